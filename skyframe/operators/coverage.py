@@ -100,8 +100,9 @@ def shape_cover(shape: Circle | Zone) -> str:
     return zone_cover(*(f"({value!r}D)" for value in values))
 
 
-def _classified(cells: DataFrame, carried: list[str]) -> DataFrame:
-    """The cells with `cover` brought up to date; one settled earlier is passed through."""
+def with_caps(cells: DataFrame, carried: list[str]) -> DataFrame:
+    """Cells given by face coordinates, `face`, `east`, `west` out of `side`, with the cap around
+    each: its centre, its radius `reach`, and `aside`."""
     cells = cells.selectExpr(
         *carried,
         f"{CELL_RADIUS}D / side AS reach",
@@ -115,13 +116,17 @@ def _classified(cells: DataFrame, carried: list[str]) -> DataFrame:
         "CASE WHEN abs(y) > 1 THEN signum(y) * (90D - degrees(2 * asin((2D - abs(y)) / sqrt(6D)))) "
         "ELSE degrees(asin(y / 1.5D)) END AS cell_dec",
     )
+    return cells.selectExpr(*carried, "reach", "cell_ra", "cell_dec", f"{ASIDE} AS aside")
+
+
+def _classified(cells: DataFrame, carried: list[str]) -> DataFrame:
+    """The cells with `cover` brought up to date; one settled earlier is passed through."""
     fresh = (
         f"CASE WHEN kind = 'circle' THEN {circle_cover('ra', 'dec', 'radius')} "
         f"ELSE {zone_cover('ra_from', 'width', 'dec_from', 'dec_to')} END"
     )
     kept = [name for name in carried if name != "cover"]
-    cells = cells.selectExpr(*carried, "reach", "cell_ra", "cell_dec", f"{ASIDE} AS aside")
-    return cells.selectExpr(*kept, f"CASE WHEN cover = {BOUNDARY} THEN {fresh} ELSE cover END AS cover")
+    return with_caps(cells, carried).selectExpr(*kept, f"CASE WHEN cover = {BOUNDARY} THEN {fresh} ELSE cover END AS cover")
 
 
 def covering(shape_table: DataFrame, deepest: int) -> DataFrame:
