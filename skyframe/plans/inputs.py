@@ -84,7 +84,7 @@ def _write_collection(spark: SparkSession, rows: DataFrame, root: str) -> None:
     ).withColumn("Dir", F.floor(F.col("Npix") / 10_000) * 10_000)
     (
         rows.repartitionByRange("_healpix_29", "event_id")
-        .sortWithinPartitions("Norder", "Npix", "_healpix_29", "event_id")
+        .sortWithinPartitions("Norder", "Dir", "Npix", "_healpix_29", "event_id")
         .write.partitionBy("Norder", "Dir", "Npix")
         .parquet(f"{root}/catalog/dataset")
     )

@@ -98,9 +98,10 @@ def _integer(token: Column, datatype: str) -> Column:
     hexadecimal = token.rlike(f"^0[xX][0-9a-fA-F]{{1,{digits}}}$")
     raw = F.conv(F.substring(token, 3, 16), 16, -10).cast("decimal(20,0)")
     wrapped = raw if datatype in ("unsignedByte", "long") else F.when(raw > high, raw - 2 ** (4 * digits)).otherwise(raw)
-    decimal = token.rlike(r"^[+-]?[0-9]+$").__and__(token.try_cast("decimal(20,0)").between(low, high))
+    decimal = token.rlike(r"^[+-]?[0-9]+$") & token.try_cast("decimal(20,0)").between(low, high)
     return (
-        F.when(hexadecimal, wrapped.cast(kind))
+        F.when(token.isNull(), F.lit(None).cast(kind))
+        .when(hexadecimal, wrapped.cast(kind))
         .when(decimal, token.try_cast(kind))
         .otherwise(_refused(token, f"a {datatype}").cast(kind))
     )
@@ -111,7 +112,8 @@ def _float(token: Column, datatype: str) -> Column:
     lower = F.lower(token)
     number = token.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
     return (
-        F.when(number, token.try_cast(kind))
+        F.when(token.isNull(), F.lit(None).cast(kind))
+        .when(number, token.try_cast(kind))
         .when(lower.rlike(r"^[+-]?nan$"), F.lit(float("nan")).cast(kind))
         .when(lower.rlike(r"^\+?inf(inity)?$"), F.lit(float("inf")).cast(kind))
         .when(lower.rlike(r"^-inf(inity)?$"), F.lit(-float("inf")).cast(kind))
@@ -124,13 +126,14 @@ def _boolean(token: Column) -> Column:
     return (
         F.when(lower.isin("t", "1", "true"), True)
         .when(lower.isin("f", "0", "false"), False)
-        .when(lower.isin("", "?"), F.lit(None).cast("boolean"))
+        .when(token.isNull() | lower.isin("", "?"), F.lit(None).cast("boolean"))
         .otherwise(_refused(token, "a boolean").cast("boolean"))
     )
 
 
 def _bit(token: Column) -> Column:
-    return F.when(token == "1", True).when(token == "0", False).otherwise(_refused(token, "a bit").cast("boolean"))
+    known = F.when(token.isNull(), F.lit(None).cast("boolean")).when(token == "1", True).when(token == "0", False)
+    return known.otherwise(_refused(token, "a bit").cast("boolean"))
 
 
 def _value(token: Column, field: Field) -> Column:
@@ -166,7 +169,7 @@ def _texts(text: Column, field: Field) -> Column:
         F.sequence(F.lit(0), length - 1),
         lambda at: _text(F.substring(text, at * field.width + 1, F.lit(field.width)), field),
     )
-    return F.when(pieces <= length, strings).otherwise(
+    return F.when(text.isNull(), F.lit(None)).when(pieces <= length, strings).otherwise(
         _refused(text, f"a cell of arraysize {field.arraysize}").cast("array<string>")
     )
 
