@@ -67,14 +67,6 @@ def ra_reach(dec: float, radius: float) -> float:
     return 180.0 if ratio > 1.0 - NEAR_ONE else math.degrees(math.asin(ratio)) + PAD
 
 
-def ra_reach_column(dec: Column, radius: Column) -> Column:
-    """`ra_reach` with the disk's centre and radius taken from a row."""
-    ratio = F.sin(F.radians(radius)) / F.cos(F.radians(dec))
-    open_ended = (F.abs(dec) + radius >= 90.0) | (ratio > 1.0 - NEAR_ONE)
-    safe = F.when(open_ended, F.lit(0.0)).otherwise(ratio)
-    return F.when(open_ended, F.lit(180.0)).otherwise(F.degrees(F.asin(safe)) + PAD)
-
-
 def coordinate_type(df: DataFrame, name: str) -> str:
     return df.select(name).schema[0].dataType.typeName()
 

@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyframe.functions.geometry import (
+    NEAR_ONE,
     PAD,
     any_of,
     distance,
     finite,
     number,
-    ra_reach_column,
     separated_by_at_most,
 )
 from skyframe.operators.skew import HOT_ROWS, HotKeys, hot_keys, salted, small
@@ -30,84 +30,84 @@ _KEY, _HERE = "__bucket", ("__ra", "__dec")
 _ON = (_KEY, "__lsalt", "__rsalt")
 
 
-def _folded(ra, dec) -> tuple[Column, Column]:
-    """The position with dec in -90..90: past a pole is the far side of it, which is the point
-    the haversine measures from too."""
-    ra, dec = number(ra), number(dec)
-    turn = F.pmod(dec + 90.0, F.lit(360.0))
-    ordinary = F.abs(dec) <= 90.0
-    return (
-        F.pmod(F.when(ordinary | (turn <= 180.0), ra).otherwise(ra + 180.0), F.lit(360.0)),
-        F.when(ordinary, dec).when(turn <= 180.0, turn - 90.0).otherwise(270.0 - turn),
-    )
+# The steps are SQL text: one parsed expression per column, where the same in Column calls is a
+# call into the JVM per operator.
+
 
+def _placed(df: DataFrame, ra: str, dec: str) -> DataFrame:
+    """`df` with its position in 0..360 and -90..90; a row without one is in no pair and leaves.
 
-def _placed(df: DataFrame, ra, dec) -> DataFrame:
-    """`df` with its folded position; rows without one are in no pair and leave here."""
+    A dec past a pole is the far side of it, which is the point the haversine measures from too.
+    """
     df = df.where(finite(number(ra)) & finite(number(dec)))
-    here_ra, here_dec = _folded(ra, dec)
-    return df.withColumns({_HERE[0]: here_ra, _HERE[1]: here_dec})
+    ra, dec = f"CAST({_quoted(ra)} AS DOUBLE)", f"CAST({_quoted(dec)} AS DOUBLE)"
+    over = f"pmod({dec} + 90D, 360D)"
+    return df.selectExpr(
+        "*",
+        f"pmod(if(abs({dec}) <= 90D OR {over} <= 180D, {ra}, {ra} + 180D), 360D) AS {_HERE[0]}",
+        f"CASE WHEN abs({dec}) <= 90D THEN {dec} WHEN {over} <= 180D THEN {over} - 90D "
+        f"ELSE 270D - {over} END AS {_HERE[1]}",
+    )
 
 
-def _height(level: Column, finest: float) -> Column:
-    return finest * F.pow(F.lit(4.0), level)
+def _quoted(name: str) -> str:
+    return ".".join(f"`{part}`" for part in name.replace("`", "").split("."))
 
 
-def _zone(dec: Column, height: Column) -> Column:
-    return F.floor((dec + 90.0) / height)
+def _height(finest: float) -> str:
+    """The height of a level's zones."""
+    return f"({finest!r}D * pow(4D, __level))"
 
 
-def _buckets(zone: Column, height: Column) -> Column:
+def _buckets(finest: float) -> str:
     """How many buckets a zone has: about as wide as the zone is high, one at a pole."""
-    low = zone * height - 90.0
-    widest = F.least(F.lit(90.0), F.greatest(F.abs(low), F.abs(low + height)))
-    return F.greatest(F.lit(1).cast("bigint"), F.floor(360.0 * F.cos(F.radians(widest)) / height))
+    low, height = f"(__zone * {_height(finest)} - 90D)", _height(finest)
+    widest = f"least(90D, greatest(abs({low}), abs({low} + {height})))"
+    return f"greatest(1L, floor(360D * cos(radians({widest})) / {height})) AS __of"
 
 
-def _packed(level: Column, zone: Column, bucket: Column) -> Column:
-    shift = F.lit(1 << 28).cast("bigint")
-    return (level.cast("bigint") * shift + zone) * shift + bucket
+# A level, a zone and a bucket in one number.
+_PACKED = "((CAST(__level AS BIGINT) * 268435456L + __zone) * 268435456L + {bucket})"
 
 
 def _home(df: DataFrame, finest: float, levels: list[int]) -> DataFrame:
     """One bucket per row and level. There is one level unless radii come from a column."""
-    ra, dec = (F.col(name) for name in _HERE)
-    if len(levels) == 1:
-        df = df.withColumn("__level", F.lit(levels[0]))
-    else:
-        df = df.withColumn("__level", F.explode(F.array(*[F.lit(level) for level in levels])))
-    height = _height(F.col("__level"), finest)
-    df = df.withColumn("__zone", _zone(dec, height))
-    df = df.withColumn("__of", _buckets(F.col("__zone"), height))
-    bucket = F.least(F.col("__of") - 1, F.floor(ra * F.col("__of") / 360.0))
-    return df.withColumn(_KEY, _packed(F.col("__level"), F.col("__zone"), bucket)).drop(
-        "__level", "__zone", "__of"
-    )
+    names = [f"`{name}`" for name in df.columns]
+    ra, dec = _HERE
+    listed = ", ".join(str(level) for level in levels)
+    df = df.selectExpr(*names, f"explode(array({listed})) AS __level")
+    df = df.selectExpr(*names, "__level", f"floor(({dec} + 90D) / {_height(finest)}) AS __zone")
+    df = df.selectExpr(*names, "__level", "__zone", _buckets(finest))
+    bucket = _PACKED.format(bucket=f"least(__of - 1, floor({ra} * __of / 360D))")
+    # Exploded, though it is one: a semi-join is moved below a projection and its keys are
+    # written out again for every use, and below a generator it is not.
+    return df.selectExpr(*names, f"explode(array({bucket})) AS {_KEY}")
 
 
 def _probe(df: DataFrame, finest: float, keep_level: bool = False) -> DataFrame:
     """A copy of the row for every bucket that its disk, `__radius` at `__level`, can touch."""
-    ra, dec, radius = F.col(_HERE[0]), F.col(_HERE[1]), F.col("__radius")
-    height = _height(F.col("__level"), finest)
-    south = _zone(F.greatest(F.lit(-90.0), dec - radius - PAD), height)
-    north = _zone(F.least(F.lit(90.0), dec + radius + PAD), height)
-    df = df.withColumns(
-        {"__reach": ra_reach_column(dec, radius) + PAD, "__zone": F.explode(F.sequence(south, north))}
+    ra, dec = _HERE
+    names = [f"`{name}`" for name in df.columns]
+    height = _height(finest)
+    ratio = f"sin(radians(__radius)) / cos(radians({dec}))"
+    df = df.selectExpr(
+        *names,
+        f"if(abs({dec}) + __radius >= 90D OR {ratio} > {1 - NEAR_ONE}D, 180D, "
+        f"degrees(asin(least(1D, {ratio})))) + 2 * {PAD}D AS __reach",
+        f"explode(sequence(floor((greatest(-90D, {dec} - __radius - {PAD}D) + 90D) / {height}), "
+        f"floor((least(90D, {dec} + __radius + {PAD}D) + 90D) / {height}))) AS __zone",
     )
-    df = df.withColumn("__of", _buckets(F.col("__zone"), height))
-    df = df.withColumns(
-        {
-            "__west": F.floor((ra - F.col("__reach")) * F.col("__of") / 360.0),
-            "__east": F.floor((ra + F.col("__reach")) * F.col("__of") / 360.0),
-        }
+    df = df.selectExpr(*names, "__reach", "__zone", _buckets(finest))
+    df = df.selectExpr(
+        *names, "__zone", "__of",
+        f"floor(({ra} - __reach) * __of / 360D) AS __west", f"floor(({ra} + __reach) * __of / 360D) AS __east",
     )
     # Once round is every bucket; more would meet the first ones again.
-    east = F.least(F.col("__east"), F.col("__west") + F.col("__of") - 1)
-    df = df.withColumn("__step", F.explode(F.sequence(F.col("__west"), east)))
-    bucket = F.pmod(F.col("__step"), F.col("__of"))
-    df = df.withColumn(_KEY, _packed(F.col("__level"), F.col("__zone"), bucket))
-    working = ["__zone", "__of", "__west", "__east", "__step", "__reach"]
-    return df.drop(*working) if keep_level else df.drop("__level", *working)
+    df = df.selectExpr(
+        *names, "__zone", "__of", "explode(sequence(__west, least(__east, __west + __of - 1))) AS __step"
+    )
+    kept = names if keep_level else [name for name in names if name != "`__level`"]
+    return df.selectExpr(*kept, f"{_PACKED.format(bucket='pmod(__step, __of)')} AS {_KEY}")
 
 
 def _with_radius(df: DataFrame, radius) -> tuple[DataFrame, float, list[int]]:

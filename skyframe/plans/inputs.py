@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skyframe.functions.healpix import healpix_index, shift_right
 from skyframe.sources.catalog import Catalog, open_catalog
 from skyframe.sources.files import shared_folder
+from skyframe.sources.sinks import write_parquet
 
 # Fixed values of the sequence.
 _RA, _DEC = "0.5698402909980532", "0.7548776662466927"
@@ -26,20 +27,43 @@ def with_position(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def _sky(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A given table with a position and its cell, stored once a session in cell order.
+
+    Stored, so that queries scan columns as a survey's table has them and their bounds prune row
+    groups. Spread by range of cell and key, which cuts a crowded cell between tasks.
+    """
+    entry = (spark.sparkContext.applicationId, sf_dir, name)
+    if entry not in _stored:
+        path = shared_folder(spark, name)
+        rows = with_position(table(spark, sf_dir, name), key).withColumn("_healpix_29", healpix_index("ra", "dec"))
+        rows = rows.repartitionByRange("_healpix_29", key).sortWithinPartitions("_healpix_29", key)
+        write_parquet(rows, path)
+        _stored[entry] = path
+    return spark.read.parquet(_stored[entry])
+
+
+def indexed_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sky(spark, sf_dir, "events", "event_id")
+
+
 def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_position(table(spark, sf_dir, "events"), "event_id")
+    return indexed_stars(spark, sf_dir).drop("_healpix_29")
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_position(table(spark, sf_dir, "orders"), "o_orderkey")
+    return _sky(spark, sf_dir, "orders", "o_orderkey").drop("_healpix_29")
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_position(table(spark, sf_dir, "customer"), "c_custkey")
+    return _sky(spark, sf_dir, "customer", "c_custkey").drop("_healpix_29")
 
 
 def beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_position(table(spark, sf_dir, "supplier"), "s_suppkey")
+    return _sky(spark, sf_dir, "supplier", "s_suppkey").drop("_healpix_29")
 
 
 def light_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,13 +94,12 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _catalogs:
         root = shared_folder(spark, "stars")
-        _write_collection(spark, stars(spark, sf_dir), root)
+        _write_collection(spark, indexed_stars(spark, sf_dir), root)
         _catalogs[key] = open_catalog(spark, root)
     return _catalogs[key]
 
 
 def _write_collection(spark: SparkSession, rows: DataFrame, root: str) -> None:
-    rows = rows.withColumn("_healpix_29", healpix_index("ra", "dec"))
     order = (1 + shift_right(F.col("_healpix_29"), 58) % 2).cast("int")
     rows = rows.withColumn("Norder", order)
     rows = rows.withColumn(

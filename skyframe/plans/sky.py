@@ -29,8 +29,8 @@ from skyframe.plans.inputs import (
     detections,
     distance_sql,
     in_circle_sql,
+    indexed_stars,
     rounded,
-    star_catalog,
     stars,
     targets,
 )
@@ -164,34 +164,44 @@ def distance_bound(spark, sf_dir):
 
 
 _MOC = "2/3 10 17-19 3/100-140 5/19 4000-4300"
+_IN_MOC = (
+    "(cell >> 54) IN (3, 10, 17, 18, 19) OR (cell >> 52) BETWEEN 100 AND 140 "
+    "OR (cell >> 48) = 19 OR (cell >> 48) BETWEEN 4000 AND 4300"
+)
+_CELLS = f"{STARS}, {cell_sql('stars', 29)}"
 
 
-@query(
-    f"WITH {STARS}, {cell_sql('stars', 5)} SELECT event_id FROM celld WHERE (cell >> 6) IN (3, 10, 17, 18, 19) "
-    "OR (cell >> 4) BETWEEN 100 AND 140 OR cell = 19 OR cell BETWEEN 4000 AND 4300"
-)
+@query(f"WITH {_CELLS} SELECT event_id FROM celld WHERE {_IN_MOC}")
 def moc_select(spark, sf_dir):
-    df = stars(spark, sf_dir).withColumn("cell", healpix_index("ra", "dec", 5))
-    return where_region(df, Moc.from_ascii(_MOC), healpix="cell", healpix_order=5).select("event_id")
+    return where_region(indexed_stars(spark, sf_dir), Moc.from_ascii(_MOC)).select("event_id")
 
 
-@query(
-    f"WITH {STARS}, {cell_sql('stars', 6)} SELECT event_id FROM celld WHERE cell % 3 = 0"
-)
+@query(f"WITH {STARS}, {cell_sql('stars', 5)} SELECT event_id FROM celld WHERE (cell >> 6) = 10 OR cell BETWEEN 4000 AND 4300")
+def moc_coarse_index(spark, sf_dir):
+    """A moc against an index of its own order, which the caller has to name."""
+    df = indexed_stars(spark, sf_dir).withColumn("cell", F.shiftright("_healpix_29", 48)).drop("_healpix_29")
+    return where_region(df, Moc.from_ascii("2/10 5/4000-4300"), healpix="cell", healpix_order=5).select("event_id")
+
+
+def _scattered() -> Moc:
+    """A moc of sixteen thousand ranges."""
+    return Moc.of_cells((6, cell, cell) for cell in range(0, 12 << 12, 3))
+
+
+@query(f"WITH {_CELLS} SELECT event_id FROM celld WHERE (cell >> 46) % 3 = 0")
 def moc_many_ranges(spark, sf_dir):
-    """A moc of sixteen thousand ranges, joined as a table of cells."""
-    df = stars(spark, sf_dir).withColumn("cell", healpix_index("ra", "dec", 6))
-    moc = Moc.of_cells((6, cell, cell) for cell in range(0, 12 << 12, 3))
-    return where_moc(df, moc, "cell", 6).select("event_id")
+    return where_moc(indexed_stars(spark, sf_dir), _scattered()).select("event_id")
 
 
-@query(
-    f"WITH {STARS}, {cell_sql('stars', 6)} SELECT event_id FROM celld WHERE cell % 3 = 0 OR {in_circle_sql(45, -20, 5)}"
-)
+@query(f"WITH {_CELLS} SELECT event_id FROM celld WHERE (cell >> 46) % 3 = 0 OR {in_circle_sql(45, -20, 5)}")
 def moc_with_circle(spark, sf_dir):
-    df = stars(spark, sf_dir).withColumn("cell", healpix_index("ra", "dec", 6))
-    moc = Moc.of_cells((6, cell, cell) for cell in range(0, 12 << 12, 3))
-    return where_region(df, [moc, Circle(45, -20, 5)], healpix="cell", healpix_order=6).select("event_id")
+    return where_region(indexed_stars(spark, sf_dir), [_scattered(), Circle(45, -20, 5)]).select("event_id")
+
+
+@query(f"WITH {STARS} {_SHOWN} FROM stars WHERE {in_circle_sql(45, -20, 5)}")
+def circle_indexed(spark, sf_dir):
+    """The circle again, with the cell column's ranges in front of it."""
+    return _shown(where_region(indexed_stars(spark, sf_dir), Circle(45, -20, 5)))
 
 
 @query(
@@ -212,7 +222,7 @@ def healpix_index_values(spark, sf_dir):
     f"WHERE {in_circle_sql(45, -20, 25)} OR (ra BETWEEN 200 AND 260 AND dec BETWEEN 30 AND 31)"
 )
 def prefilter_equivalence(spark, sf_dir):
-    df = star_catalog(spark, sf_dir).select()
+    df = indexed_stars(spark, sf_dir)
     shapes = [Circle(45, -20, 25), Zone((200, 260), (30, 31))]
     return df.agg(
         F.count_if(region_column(df, shapes, prefilter=False)).alias("plain"),
