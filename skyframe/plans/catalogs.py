@@ -204,3 +204,8 @@ def cell_centres(spark, sf_dir):
         F.count_distinct(F.when(F.col("cell") == F.col("again"), F.col("cell"))).alias("cells"),
         F.sum(F.when(F.col("cell") == F.col("again"), F.col("rows"))).alias("n"),
     )
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 200")
+def file_front_filtered(spark, sf_dir):
+    return first_rows(spark, f"{sf_dir}/events.parquet", 200, ["event_id", "value"], where="event_type = 'click'")

@@ -129,13 +129,16 @@ class Catalog:
         found = chosen.select("path").limit(LISTED_PATHS + 1).collect()
         return self._scan([row.path for row in found] if len(found) <= LISTED_PATHS else None)
 
-    def _scan(self, paths: list[str] | None) -> DataFrame:
+    def _scan(self, paths: list[str] | None, located: bool = False) -> DataFrame:
+        """The catalog's columns out of the given partitions, or all of them; `located` adds
+        where each row was written."""
         names = [F.col(f"`{name}`") for name in self.schema.names]
-        if paths is not None and not paths:
-            return self.spark.createDataFrame([], self.schema)
+        if located:
+            names += [F.col(f"_metadata.{field}").alias(name) for name, field in _LOCATION.items()]
         dataset = f"{self.root}/dataset"
         reader = self.spark.read.schema(self.schema).option("basePath", dataset)
-        return reader.parquet(*(paths or [dataset])).select(*names, F.col("_metadata"))
+        df = reader.parquet(*(paths or [dataset])).select(*names)
+        return df.limit(0) if paths is not None and not paths else df
 
     def select(self, regions=None, where: str | Column | None = None, columns: list[str] | None = None,
                identifiers: dict | None = None) -> DataFrame:
@@ -193,14 +196,14 @@ class Catalog:
     def front(self, n: int, regions=None, where=None, columns: list[str] | None = None) -> DataFrame:
         """The first `n` rows in catalog order: by partition span, then as written in it."""
         if n == 0:
-            return self._shaped(self.spark.createDataFrame([], self.schema), columns)
+            return self._shaped(self._scan([]), columns)
         df = self._until_filled(n, regions, where, descending=False)
         # The span start comes from the path, so it does not depend on what the columns say.
-        path = F.col("_metadata.file_path")
+        path, row = (F.col(name) for name in _LOCATION)
         order = F.regexp_extract(path, tables.PATH_CELL, 1).cast("int")
         pixel = F.regexp_extract(path, tables.PATH_CELL, 2).cast("bigint")
         start = shift_left(pixel, 2 * (MAX_ORDER - order))
-        return self._shaped(df.orderBy(start, path, F.col("_metadata.row_index")).limit(n), columns)
+        return self._shaped(df.orderBy(start, path, row).limit(n), columns)
 
     def ordered_by_index(self, n: int, descending: bool = False, then: list[Column] | None = None,
                          regions=None, where=None, columns: list[str] | None = None) -> DataFrame:
@@ -234,14 +237,14 @@ class Catalog:
             at, batch = upto, batch * 2
             if kept >= n:
                 break
-        return self._scan(None).limit(0) if df is None else df
+        return self._scan([], located=True) if df is None else df
 
     def _batch(self, cells, regions, where) -> DataFrame:
         sure = [cell.path for cell in cells if not cell.needs_test]
         edge = [cell.path for cell in cells if cell.needs_test]
-        parts = [self._scan(sure)] if sure else []
+        parts = [self._scan(sure, located=True)] if sure else []
         if edge:
-            parts.append(self._in_region(self._scan(edge), regions))
+            parts.append(self._in_region(self._scan(edge, located=True), regions))
         df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         if where is None:
             return df
@@ -251,7 +254,7 @@ class Catalog:
 
     def create_view(self, name: str) -> None:
         """The whole catalog under a name, for Spark SQL."""
-        self._shaped(self._scan(None), None).createOrReplaceTempView(name)
+        self._scan(None).createOrReplaceTempView(name)
 
     def contains(self, shape) -> Column:
         """The region test for this catalog's own position and cell columns."""
@@ -260,6 +263,8 @@ class Catalog:
         return region_column(self._scan(None), shape, ra, dec, healpix=column, healpix_order=order)
 
 
+# Where a row was written: the column it is carried in, and the metadata field it comes from.
+_LOCATION = {"__path": "file_path", "__row": "row_index"}
 _PARTITION = ["Norder", "Npix", "lo", "hi", "rows", "bytes", "path"]
 
 

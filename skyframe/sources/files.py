@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyframe.operators.projection import select_columns, where_text
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -28,12 +30,34 @@ def from_nanoseconds(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({name: F.timestamp_micros(F.floor(F.col(name) / 1000)) for name in columns})
 
 
-def first_rows(spark: SparkSession, path, n: int, columns: list[str] | None = None, names: str | None = None):
-    """The front of a table's files, the same rows every time: by file, then by row in it."""
-    df = read_parquet(spark, path, names)
-    kept = columns or df.columns
-    position = (F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    return df.orderBy(*position).limit(n).select(*[F.col(f"`{name}`") for name in kept])
+def first_rows(
+    spark: SparkSession,
+    path: str,
+    n: int,
+    columns: list[str] | None = None,
+    where: str | None = None,
+    names: str | None = None,
+) -> DataFrame:
+    """The front of a table's files, the same rows every time: by file, then by row in it.
+
+    Files are taken in order, twice as many each time, until they hold `n` rows, so the front of
+    a large table is found without reading the rest of it.
+    """
+    whole = read_parquet(spark, path, names)
+    files, upto = sorted(whole.inputFiles()), 1
+    reader = spark.read.schema(whole.schema)
+    if len(files) > 1:
+        reader = reader.option("basePath", path)
+    while True:
+        df = reader.parquet(*files[:upto])
+        df = df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+        if where is not None:
+            df = where_text(df, where)
+        if upto >= len(files) or df.limit(n).count() >= n:
+            break
+        upto *= 2
+    front = df.orderBy("__path", "__row").limit(n).drop("__path", "__row")
+    return front if columns is None else select_columns(front, columns)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
