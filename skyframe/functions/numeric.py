@@ -41,8 +41,8 @@ def mod(x, y) -> Column:
 def divide(x, y) -> Column:
     """IEEE division of doubles: infinities and NaN where Spark's ANSI mode raises."""
     x, y = _column(x).cast("double"), _column(y).cast("double")
-    # atan2 is what tells a negative zero from a positive one.
-    infinite = F.when(F.atan2(F.lit(0.0), y) > 1.0, F.lit(-INFINITY)).otherwise(F.lit(INFINITY))
+    # Its text is what still tells a negative zero from a positive one.
+    infinite = F.when(y.cast("string").startswith("-"), F.lit(-INFINITY)).otherwise(F.lit(INFINITY))
     return F.when(y == 0.0, x * infinite).otherwise(F.try_divide(x, y))
 
 

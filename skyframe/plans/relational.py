@@ -150,7 +150,9 @@ def correlated_subquery(spark, sf_dir):
 def set_comparison(spark, sf_dir):
     return _sql(
         spark, sf_dir,
-        "SELECT s_suppkey FROM {supplier} WHERE s_acctbal > (SELECT max(s_acctbal - 5000) FROM {supplier} WHERE s_nationkey < 3)",
+        # ALL as a comparison with the greatest, and true of an empty set.
+        "WITH few AS (SELECT count(*) AS n, max(s_acctbal - 5000) AS most FROM {supplier} WHERE s_nationkey < 3) "
+        "SELECT s_suppkey FROM {supplier} WHERE (SELECT n FROM few) = 0 OR s_acctbal > (SELECT most FROM few)",
         "supplier",
     )
 

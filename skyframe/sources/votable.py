@@ -185,11 +185,11 @@ def cell(text: Column, field: Field) -> Column:
             return _value(trimmed, field)
         return _value(F.when(F.length(trimmed) > 0, trimmed), field)
     if field.datatype == "bit":
-        tokens = F.split(F.regexp_replace(trimmed, r"\s+", ""), "(?!^)")
+        tokens = F.split(F.regexp_replace(trimmed, r"\s+", ""), "(?<=.)(?=.)")
     elif field.datatype == "boolean":
         # `TTF` is three values; a lone word is one.
         runs = ~trimmed.rlike(r"\s") & ~F.lower(trimmed).isin("true", "false")
-        tokens = F.when(runs, F.split(trimmed, "(?!^)")).otherwise(F.split(trimmed, r"\s+"))
+        tokens = F.when(runs, F.split(trimmed, "(?<=.)(?=.)")).otherwise(F.split(trimmed, r"\s+"))
     else:
         tokens = F.split(F.when(F.length(trimmed) > 0, trimmed), r"\s+")
     wanted, fixed = field.count
