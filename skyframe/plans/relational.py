@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyframe.operators import sets
 from skyframe.operators.limits import top
+from skyframe.operators.sets import in_, not_in
+from skyframe.operators.skew import HOT_ROWS
+from skyframe.operators.windows import (
+    frame_sum,
+    group_median,
+    group_sizes,
+    numbered,
+    range_count,
+    ranked,
+    shifted,
+    tile,
+)
 from skyframe.plans.inputs import rounded, table
 from skyframe.plans.registry import query
 
@@ -94,16 +107,18 @@ def cross_join(spark, sf_dir):
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def semi_join(spark, sf_dir):
-    wanted = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").join(wanted, "c_custkey", "left_semi")
+    wanted = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select("o_custkey")
+    return in_(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", wanted)
 
 
 @query("SELECT p_partkey, p_brand FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 50 AND l_discount < p_size / 500.0)")
 def exists_subquery(spark, sf_dir):
+    # Some discount is below a bound when the least is: one row a part goes to the join.
     return _sql(
         spark, sf_dir,
-        "SELECT p_partkey, p_brand FROM {part} WHERE EXISTS (SELECT 1 FROM {lineitem} "
-        "WHERE l_partkey = p_partkey AND l_quantity >= 50 AND l_discount < p_size / 500D)",
+        "WITH least AS (SELECT l_partkey, min(l_discount) AS least FROM {lineitem} WHERE l_quantity >= 50 GROUP BY l_partkey) "
+        "SELECT p_partkey, p_brand FROM {part} WHERE EXISTS (SELECT 1 FROM least "
+        "WHERE l_partkey = p_partkey AND least < p_size / 500D)",
         "part", "lineitem",
     )
 
@@ -111,18 +126,14 @@ def exists_subquery(spark, sf_dir):
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def anti_join(spark, sf_dir):
     placed = table(spark, sf_dir, "orders").where("o_totalprice > 300000")
-    placed = placed.select(F.col("o_custkey").alias("c_custkey"))
+    placed = placed.select(F.col("o_custkey").alias("c_custkey")).distinct()
     return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").join(placed, "c_custkey", "left_anti")
 
 
-@query("SELECT user_id, event_id FROM events WHERE user_id NOT IN (SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey END FROM supplier WHERE s_suppkey < 0 OR s_suppkey % 2 = 0)")
+@query("SELECT user_id, event_id FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)")
 def not_in_subquery(spark, sf_dir):
-    return _sql(
-        spark, sf_dir,
-        "SELECT user_id, event_id FROM {events} WHERE user_id NOT IN (SELECT CASE WHEN s_suppkey % 2 = 0 "
-        "THEN s_suppkey END FROM {supplier} WHERE s_suppkey < 0 OR s_suppkey % 2 = 0)",
-        "events", "supplier",
-    )
+    even = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select("s_suppkey")
+    return not_in(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", even)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1.5 * (SELECT avg(o_totalprice) FROM orders)")
@@ -239,23 +250,26 @@ def grouping_sets(spark, sf_dir):
     "round(median(l_quantity), 6) AS med, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1"
 )
 def statistics(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+    items = table(spark, sf_dir, "lineitem")
+    moments = items.groupBy("l_returnflag").agg(
         F.round(F.stddev("l_extendedprice"), 4).alias("sd"),
         rounded(F.var_pop("l_quantity")).alias("vp"),
-        rounded(F.median("l_quantity")).alias("med"),
         rounded(F.corr("l_quantity", "l_extendedprice")).alias("r"),
     )
+    middles = group_median(items, ["l_returnflag"], "l_quantity", "med").withColumn("med", rounded("med"))
+    return moments.join(middles, "l_returnflag")
 
 
 @query("SELECT count(*) > 0 AS near, count(*) > 0 AS middle FROM lineitem")
 def approximate_statistics(spark, sf_dir):
     """Approximate answers lie near the exact ones; the exact ones are in the same row."""
-    got = table(spark, sf_dir, "lineitem").agg(
+    items = table(spark, sf_dir, "lineitem").withColumn("one", F.lit(1))
+    got = items.groupBy("one").agg(
         F.approx_count_distinct("l_partkey", 0.02).alias("about"),
         F.count_distinct("l_partkey").alias("exact"),
         F.percentile_approx("l_quantity", 0.5, 10_000).alias("half"),
-        F.median("l_quantity").alias("median"),
     )
+    got = got.join(group_median(items, ["one"], "l_quantity"), "one")
     return got.select(
         (F.abs(F.col("about") - F.col("exact")) <= 0.1 * F.col("exact")).alias("near"),
         (F.abs(F.col("half") - F.col("median")) <= 1).alias("middle"),
@@ -272,16 +286,25 @@ _BY_SEGMENT = "OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey
     f"ntile(4) {_BY_SEGMENT} AS quarter FROM customer"
 )
 def window_rank(spark, sf_dir):
-    w = Window.partitionBy("c_nationkey").orderBy(F.col("c_acctbal").desc(), "c_custkey")
-    return table(spark, sf_dir, "customer").select(
-        "c_custkey",
-        F.row_number().over(w).cast("bigint").alias("rn"),
-        F.rank().over(w).cast("bigint").alias("rk"),
-        F.dense_rank().over(w).cast("bigint").alias("dr"),
-        F.ntile(4).over(w).cast("bigint").alias("quarter"),
+    keys, order = ["c_nationkey"], [F.col("c_acctbal").desc(), F.col("c_custkey")]
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    rows = numbered(rows, keys, order).join(group_sizes(rows, keys), keys)
+    # With the key in the order no two rows tie, and every rank is the row's number.
+    number = F.col("rn")
+    return rows.select(
+        "c_custkey", "rn", number.alias("rk"), number.alias("dr"), tile(number, F.col("size"), 4).alias("quarter")
     )
 
 
+@query(
+    "SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS rk, "
+    "dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS dr FROM lineitem"
+)
+def window_rank_ties(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return ranked(rows, ["l_returnflag"], F.col("l_quantity")).select("l_orderkey", "l_linenumber", "rk", "dr")
+
+
 _BY_USER = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
 
 
@@ -291,15 +314,17 @@ _BY_USER = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
     "FROM events"
 )
 def window_lag(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return table(spark, sf_dir, "events").select(
-        "event_id",
-        F.lag("value").over(w).alias("before"),
-        F.lead("value").over(w).alias("after"),
-        F.first("event_id").over(w).alias("first_id"),
-        F.last("event_id").over(whole).alias("last_id"),
+    return window_lag_of(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value"))
+
+
+def window_lag_of(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    keys = ["user_id"]
+    rows = numbered(rows, keys, [F.col("ts"), F.col("event_id")], hot_rows=hot_rows)
+    rows = shifted(shifted(rows, keys, "value", 1, "before"), keys, "value", -1, "after")
+    ends = rows.groupBy(*keys).agg(
+        F.min_by("event_id", "rn").alias("first_id"), F.max_by("event_id", "rn").alias("last_id")
     )
+    return rows.join(ends, keys).select("event_id", "before", "after", "first_id", "last_id")
 
 
 @query(
@@ -307,13 +332,15 @@ def window_lag(spark, sf_dir):
     "count(*) OVER (PARTITION BY user_id ORDER BY value RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS alike FROM events"
 )
 def window_frames(spark, sf_dir):
-    rows = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 0)
-    near = Window.partitionBy("user_id").orderBy("value").rangeBetween(-10, 10)
-    return table(spark, sf_dir, "events").select(
-        "event_id",
-        rounded(F.sum("value").over(rows)).alias("recent"),
-        F.count("*").over(near).alias("alike"),
-    )
+    return window_frames_of(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value"))
+
+
+def window_frames_of(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    keys = ["user_id"]
+    alike = range_count(rows, keys, "event_id", "value", 10, 10, "alike", hot_rows).drop(*keys)
+    rows = numbered(rows, keys, [F.col("ts"), F.col("event_id")], hot_rows=hot_rows)
+    recent = frame_sum(rows, keys, "value", 2, "recent")
+    return recent.join(alike, "event_id").select("event_id", rounded("recent").alias("recent"), "alike")
 
 
 # ---- order, limit, sets ----
@@ -355,22 +382,22 @@ def union_all(spark, sf_dir):
 @query(f"{_C} EXCEPT {_U}", name="except")
 def except_(spark, sf_dir):
     events, customers = _keys(spark, sf_dir)
-    return customers.subtract(events)
+    return sets.except_(customers, events)
 
 
 @query(f"{_U} INTERSECT {_C}")
 def intersect(spark, sf_dir):
     events, customers = _keys(spark, sf_dir)
-    return events.intersect(customers)
+    return sets.intersect(events, customers)
 
 
 @query(f"{_U} EXCEPT ALL {_C}")
 def except_all(spark, sf_dir):
     events, customers = _keys(spark, sf_dir)
-    return events.exceptAll(customers)
+    return sets.except_all(events, customers)
 
 
 @query(f"{_U} INTERSECT ALL {_C}")
 def intersect_all(spark, sf_dir):
     events, customers = _keys(spark, sf_dir)
-    return events.intersectAll(customers)
+    return sets.intersect_all(events, customers)
