@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values. PAD widens a derived bound so that rounding never drops a boundary row;
 # NEAR_ONE is where asin gets too steep for its result to be trusted as a bound.
@@ -67,36 +68,55 @@ def ra_reach(dec: float, radius: float) -> float:
     return 180.0 if ratio > 1.0 - NEAR_ONE else math.degrees(math.asin(ratio)) + PAD
 
 
-def coordinate_type(df: DataFrame, name: str) -> str:
-    return df.select(name).schema[0].dataType.typeName()
+def quoted(name: str) -> str:
+    """A dotted column name for SQL text."""
+    return ".".join(f"`{part}`" for part in name.replace("`", "").split("."))
 
 
-def value_between(name: str, type_name: str, low: float, high: float) -> Column:
+def column_type(df: DataFrame, name: str) -> T.DataType:
+    """The type of a dotted column name; any casing, as Spark itself reads names."""
+    at: T.DataType = df.schema
+    for part in name.replace("`", "").split("."):
+        found = [f for f in at.fields if f.name == part] or [f for f in at.fields if f.name.lower() == part.lower()]
+        if len(found) != 1:
+            raise ValueError(f"{name!r} names no column; there are {', '.join(df.columns)}")
+        at = found[0].dataType
+    return at
+
+
+def haversine_sql(ra: str, dec: str, ra_b: float, dec_b: float) -> str:
+    """`haversine` against a known point."""
+    ra, dec = f"CAST({quoted(ra)} AS DOUBLE)", f"CAST({quoted(dec)} AS DOUBLE)"
+    return (
+        f"pow(sin(radians({dec} - ({dec_b!r}D)) / 2), 2D) + "
+        f"cos(radians({dec})) * cos(radians({dec_b!r}D)) * pow(sin(radians({ra} - ({ra_b!r}D)) / 2), 2D)"
+    )
+
+
+def _between(name: str, type_: T.DataType, low: float, high: float) -> str:
     """`low <= column <= high` on the column as stored, so that the comparison is pushed down.
 
     A double bound against a float column would cast the column, which pushes nothing. The
     smallest float not below `low` and the largest not above `high` select the same floats.
     """
-    if type_name != "float":
-        return F.col(name).between(F.lit(float(low)), F.lit(float(high)))
+    if not isinstance(type_, T.FloatType):
+        return f"{quoted(name)} BETWEEN {float(low)!r}D AND {float(high)!r}D"
     first, last = np.float32(low), np.float32(high)
     if float(first) < low:
         first = np.nextafter(first, np.float32(np.inf))
     if float(last) > high:
         last = np.nextafter(last, np.float32(-np.inf))
-    return F.col(name).between(
-        F.lit(float(first)).cast("float"), F.lit(float(last)).cast("float")
-    )
+    return f"{quoted(name)} BETWEEN CAST({float(first)!r}D AS FLOAT) AND CAST({float(last)!r}D AS FLOAT)"
 
 
-def dec_between(name: str, type_name: str, low: float, high: float) -> Column | None:
+def dec_between(df: DataFrame, name: str, low: float, high: float) -> str | None:
     """A declination range, or None where it leaves nothing out."""
     if low <= -90.0 and high >= 90.0:
         return None
-    return value_between(name, type_name, max(low, -90.0), min(high, 90.0))
+    return _between(name, column_type(df, name), max(low, -90.0), min(high, 90.0))
 
 
-def ra_between(name: str, type_name: str, start: float, width: float) -> Column | None:
+def ra_between(df: DataFrame, name: str, start: float, width: float) -> str | None:
     """The eastward arc from `start` over `width` degrees, or None for the whole circle.
 
     The arc is matched a turn either way, which covers files written in 0..360 and in
@@ -104,13 +124,18 @@ def ra_between(name: str, type_name: str, start: float, width: float) -> Column
     """
     if width >= 360.0:
         return None
-    start %= 360.0
-    return any_of(
-        [
-            value_between(name, type_name, start + turn, start + width + turn)
-            for turn in (-360.0, 0.0, 360.0)
-        ]
-    )
+    start, type_ = start % 360.0, column_type(df, name)
+    turns = (-360.0, 0.0, 360.0)
+    return any_sql([_between(name, type_, start + turn, start + width + turn) for turn in turns])
+
+
+def any_sql(conditions: list[str]) -> str:
+    """OR of SQL conditions, which Spark's parser makes a balanced tree."""
+    return " OR ".join(f"({condition})" for condition in conditions)
+
+
+def all_sql(conditions: list[str]) -> str:
+    return " AND ".join(f"({condition})" for condition in conditions)
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -23,10 +23,7 @@ MAX_DEPTH = 20
 # Orders refined per step: 256 descendants of a cell at once keep the plan to a few steps.
 STEP = 4
 
-SHAPE_SCHEMA = (
-    "shape int, depth int, kind string, ra double, dec double, radius double, "
-    "ra_from double, width double, dec_from double, dec_to double"
-)
+SHAPE_COLUMNS = "shape, depth, kind, ra, dec, radius, ra_from, width, dec_from, dec_to"
 
 
 def row_depth(shape: Shape, floor: int = 0) -> int:
@@ -39,20 +36,21 @@ def row_depth(shape: Shape, floor: int = 0) -> int:
     return max(0, min(MAX_DEPTH, max(wanted, floor)))
 
 
-def shape_rows(spark: SparkSession, listed: list[Shape], depths: list[int]) -> DataFrame:
-    """Circles and zones as rows, for covering any number of them in one job."""
+def shape_rows(listed: list[Circle | Zone], depths: list[int]) -> str:
+    """Circles and zones as an inline table, for covering any number of them in one job."""
     rows = []
     for number, (shape, depth) in enumerate(zip(listed, depths, strict=True)):
         if isinstance(shape, Circle):
-            values = ("circle", shape.ra, shape.dec, shape.radius, None, None, None, None)
+            values = ["'circle'", shape.ra, shape.dec, shape.radius, "NULL", "NULL", "NULL", "NULL"]
         else:
-            values = ("zone", None, None, None, shape.ra[0] % 360.0, shape.width, *shape.dec)
-        rows.append((number, depth, *values))
-    return spark.createDataFrame(rows, SHAPE_SCHEMA)
+            values = ["'zone'", "NULL", "NULL", "NULL", shape.ra[0] % 360.0, shape.width, *shape.dec]
+        written = [value if isinstance(value, str) else f"{value!r}D" for value in values]
+        rows.append(f"({number}, {depth}, {', '.join(written)})")
+    return f"(VALUES {', '.join(rows)} AS shapes({SHAPE_COLUMNS}))"
 
 
-# The steps below are written as SQL text: one expression per column instead of a call into the
-# JVM per operator, which for a formula of this size is most of the planning time.
+# The steps below are SQL text: one parse, where the same in Column calls is a call into the JVM
+# per operator, which for formulas of this size is most of the planning time.
 
 
 def _distance(ra_a: str, dec_a: str, ra_b: str, dec_b: str) -> str:
@@ -100,74 +98,65 @@ def shape_cover(shape: Circle | Zone) -> str:
     return zone_cover(*(f"({value!r}D)" for value in values))
 
 
-def with_caps(cells: DataFrame, carried: list[str]) -> DataFrame:
-    """Cells given by face coordinates, `face`, `east`, `west` out of `side`, with the cap around
-    each: its centre, its radius `reach`, and `aside`."""
-    cells = cells.selectExpr(
-        *carried,
-        f"{CELL_RADIUS}D / side AS reach",
-        "2 * (face % 4) + if(face div 4 = 1, 0, 1) AS face_x",
-        "(east - west) / side AS across",
-        "(east + west + 1) / side - face div 4 AS y",
-    ).selectExpr(
-        *carried,
-        "reach",
-        "pmod(45D * (face_x + across / least(1D, 2D - abs(y))), 360D) AS cell_ra",
+def cap_steps(source: str, carried: str, name: str) -> str:
+    """CTEs that end in `name`: the cells of `source`, given by face coordinates `face`, `east`,
+    `west` out of `side`, with the cap around each: its centre, its radius `reach`, and `aside`."""
+    return (
+        f"{name}_plane AS (SELECT {carried}, {CELL_RADIUS!r}D / side AS reach, "
+        "2 * (face % 4) + if(face div 4 = 1, 0, 1) AS face_x, (east - west) / side AS across, "
+        f"(east + west + 1) / side - face div 4 AS y FROM {source}), "
+        f"{name}_centre AS (SELECT {carried}, reach, "
+        "pmod(45D * (face_x + across / least(1D, 2D - abs(y))), 360D) AS cell_ra, "
         "CASE WHEN abs(y) > 1 THEN signum(y) * (90D - degrees(2 * asin((2D - abs(y)) / sqrt(6D)))) "
-        "ELSE degrees(asin(y / 1.5D)) END AS cell_dec",
+        f"ELSE degrees(asin(y / 1.5D)) END AS cell_dec FROM {name}_plane), "
+        f"{name} AS (SELECT {carried}, reach, cell_ra, cell_dec, {ASIDE} AS aside FROM {name}_centre)"
     )
-    return cells.selectExpr(*carried, "reach", "cell_ra", "cell_dec", f"{ASIDE} AS aside")
 
 
-def _classified(cells: DataFrame, carried: list[str]) -> DataFrame:
-    """The cells with `cover` brought up to date; one settled earlier is passed through."""
+def _classified(source: str, name: str) -> str:
+    """CTEs that bring `cover` up to date; a cell settled earlier is passed through."""
+    cell = f"{SHAPE_COLUMNS}, level, side, face, east, west"
     fresh = (
         f"CASE WHEN kind = 'circle' THEN {circle_cover('ra', 'dec', 'radius')} "
         f"ELSE {zone_cover('ra_from', 'width', 'dec_from', 'dec_to')} END"
     )
-    kept = [name for name in carried if name != "cover"]
-    return with_caps(cells, carried).selectExpr(*kept, f"CASE WHEN cover = {BOUNDARY} THEN {fresh} ELSE cover END AS cover")
+    return (
+        f"{cap_steps(source, f'{cell}, cover', f'{name}_cap')}, {name} AS (SELECT {cell}, "
+        f"CASE WHEN cover = {BOUNDARY} THEN {fresh} ELSE cover END AS cover FROM {name}_cap)"
+    )
 
 
-def covering(shape_table: DataFrame, deepest: int) -> DataFrame:
+def covering(spark: SparkSession, shape_table: str, deepest: int) -> DataFrame:
     """The covering of every shape of a table: `(shape, Norder, Npix, lo, hi, inside)`.
 
     A cell is carried by its face coordinates, since the descendants of one are then plain
     arithmetic and no step undoes the interleaving of the step before.
     """
-    shape_columns = shape_table.columns
-    carried = [*shape_columns, "level", "side", "face", "east", "west", "cover"]
-    cells = shape_table.selectExpr(
-        *shape_columns, "0 AS level", "1L AS side", "0L AS east", "0L AS west",
-        f"{BOUNDARY} AS cover", "explode(sequence(0L, 11L)) AS face",
-    )
-    cells = _classified(cells, carried)
-    for _ in range(-(-deepest // STEP)):
-        jump = f"if(cover = {BOUNDARY}, least({STEP}, depth - level), 0)"
-        cells = cells.selectExpr(*carried, f"{jump} AS jump")
+    steps = [
+        f"start AS (SELECT *, 0 AS level, 1L AS side, 0L AS east, 0L AS west, {BOUNDARY} AS cover, "
+        f"explode(sequence(0L, 11L)) AS face FROM {shape_table})",
+        _classified("start", "cells_0"),
+    ]
+    last = -(-deepest // STEP)
+    for at in range(last):
         # No descendants at all for a cell outside, which drops it here without a filter.
-        cells = cells.selectExpr(
-            *carried, "jump",
-            f"explode(if(cover = {OUTSIDE}, NULL, sequence(0L, shiftleft(1L, 2 * jump) - 1))) AS child",
-        )
-        cells = cells.selectExpr(
-            *shape_columns, "level + jump AS level", "shiftleft(side, jump) AS side", "face", "cover",
-            "shiftleft(east, jump) + child % shiftleft(1L, jump) AS east",
-            "shiftleft(west, jump) + child div shiftleft(1L, jump) AS west",
-        )
-        cells = _classified(cells, carried)
+        steps += [
+            f"jump_{at} AS (SELECT *, if(cover = {BOUNDARY}, least({STEP}, depth - level), 0) AS jump FROM cells_{at})",
+            f"child_{at} AS (SELECT *, explode(if(cover = {OUTSIDE}, NULL, "
+            f"sequence(0L, shiftleft(1L, 2 * jump) - 1))) AS child FROM jump_{at})",
+            f"next_{at} AS (SELECT {SHAPE_COLUMNS}, level + jump AS level, shiftleft(side, jump) AS side, face, cover, "
+            "shiftleft(east, jump) + child % shiftleft(1L, jump) AS east, "
+            f"shiftleft(west, jump) + child div shiftleft(1L, jump) AS west FROM child_{at})",
+            _classified(f"next_{at}", f"cells_{at + 1}"),
+        ]
     # Binary digits read in base 4 are the bits spread over the even places.
     spread = "CAST(conv(conv(CAST({} AS STRING), 10, 2), 4, 10) AS BIGINT)"
     pixel = f"shiftleft(face, 2 * level) + {spread.format('east')} + 2 * {spread.format('west')}"
-    cells = cells.selectExpr(
-        "shape", "level AS Norder", f"{pixel} AS Npix",
-        f"explode(if(cover = {OUTSIDE}, NULL, array(cover = {INSIDE}))) AS inside",
-    )
-    return cells.selectExpr(
-        "shape", "Norder", "Npix",
-        f"shiftleft(Npix, 2 * ({MAX_ORDER} - Norder)) AS lo",
-        f"shiftleft(Npix + 1, 2 * ({MAX_ORDER} - Norder)) AS hi",
-        "inside",
+    return spark.sql(
+        f"WITH {', '.join(steps)}, kept AS (SELECT shape, level AS Norder, {pixel} AS Npix, "
+        f"explode(if(cover = {OUTSIDE}, NULL, array(cover = {INSIDE}))) AS inside FROM cells_{last}) "
+        f"SELECT shape, Norder, Npix, shiftleft(Npix, 2 * ({MAX_ORDER} - Norder)) AS lo, "
+        f"shiftleft(Npix + 1, 2 * ({MAX_ORDER} - Norder)) AS hi, inside FROM kept"
     )
 
 
@@ -182,8 +171,7 @@ def ranges_of(spark: SparkSession, listed: list[Shape], floor: int = 0):
     drawn = [shape for shape in listed if not isinstance(shape, Moc)]
     if drawn:
         depths = [row_depth(shape, floor) for shape in drawn]
-        table = covering(shape_rows(spark, drawn, depths), max(depths))
-        for row in table.select("lo", "hi", "inside").collect():
+        for row in covering(spark, shape_rows(drawn, depths), max(depths)).collect():
             outer.append((row.lo, row.hi))
             if row.inside:
                 inner.append((row.lo, row.hi))

@@ -18,8 +18,8 @@ from skyframe.functions.geometry import (
     PAD,
     any_of,
     distance,
-    finite,
     number,
+    quoted,
     separated_by_at_most,
 )
 from skyframe.operators.skew import HOT_ROWS, HotKeys, hot_keys, salted, small
@@ -30,8 +30,8 @@ _KEY, _HERE = "__bucket", ("__ra", "__dec")
 _ON = (_KEY, "__lsalt", "__rsalt")
 
 
-# The steps are SQL text: one parsed expression per column, where the same in Column calls is a
-# call into the JVM per operator.
+# The steps are SQL text: one parse a side, where the same in Column calls is a call into the JVM
+# per operator.
 
 
 def _placed(df: DataFrame, ra: str, dec: str) -> DataFrame:
@@ -39,21 +39,17 @@ def _placed(df: DataFrame, ra: str, dec: str) -> DataFrame:
 
     A dec past a pole is the far side of it, which is the point the haversine measures from too.
     """
-    df = df.where(finite(number(ra)) & finite(number(dec)))
-    ra, dec = f"CAST({_quoted(ra)} AS DOUBLE)", f"CAST({_quoted(dec)} AS DOUBLE)"
-    over = f"pmod({dec} + 90D, 360D)"
-    return df.selectExpr(
-        "*",
-        f"pmod(if(abs({dec}) <= 90D OR {over} <= 180D, {ra}, {ra} + 180D), 360D) AS {_HERE[0]}",
-        f"CASE WHEN abs({dec}) <= 90D THEN {dec} WHEN {over} <= 180D THEN {over} - 90D "
-        f"ELSE 270D - {over} END AS {_HERE[1]}",
+    ra, dec = f"CAST({quoted(ra)} AS DOUBLE)", f"CAST({quoted(dec)} AS DOUBLE)"
+    over, finite = f"pmod({dec} + 90D, 360D)", "abs({0}) < double('Infinity')"
+    return df.sparkSession.sql(
+        f"""SELECT *, pmod(if(abs({dec}) <= 90D OR {over} <= 180D, {ra}, {ra} + 180D), 360D) AS {_HERE[0]},
+            CASE WHEN abs({dec}) <= 90D THEN {dec} WHEN {over} <= 180D THEN {over} - 90D
+                ELSE 270D - {over} END AS {_HERE[1]}
+        FROM {{df}} WHERE {finite.format(ra)} AND {finite.format(dec)}""",
+        df=df,
     )
 
 
-def _quoted(name: str) -> str:
-    return ".".join(f"`{part}`" for part in name.replace("`", "").split("."))
-
-
 def _height(finest: float) -> str:
     """The height of a level's zones."""
     return f"({finest!r}D * pow(4D, __level))"
@@ -63,7 +59,7 @@ def _buckets(finest: float) -> str:
     """How many buckets a zone has: about as wide as the zone is high, one at a pole."""
     low, height = f"(__zone * {_height(finest)} - 90D)", _height(finest)
     widest = f"least(90D, greatest(abs({low}), abs({low} + {height})))"
-    return f"greatest(1L, floor(360D * cos(radians({widest})) / {height})) AS __of"
+    return f"greatest(1L, floor(360D * cos(radians({widest})) / {height}))"
 
 
 # A level, a zone and a bucket in one number.
@@ -72,42 +68,41 @@ _PACKED = "((CAST(__level AS BIGINT) * 268435456L + __zone) * 268435456L + {buck
 
 def _home(df: DataFrame, finest: float, levels: list[int]) -> DataFrame:
     """One bucket per row and level. There is one level unless radii come from a column."""
-    names = [f"`{name}`" for name in df.columns]
     ra, dec = _HERE
     listed = ", ".join(str(level) for level in levels)
-    df = df.selectExpr(*names, f"explode(array({listed})) AS __level")
-    df = df.selectExpr(*names, "__level", f"floor(({dec} + 90D) / {_height(finest)}) AS __zone")
-    df = df.selectExpr(*names, "__level", "__zone", _buckets(finest))
     bucket = _PACKED.format(bucket=f"least(__of - 1, floor({ra} * __of / 360D))")
     # Exploded, though it is one: a semi-join is moved below a projection and its keys are
     # written out again for every use, and below a generator it is not.
-    return df.selectExpr(*names, f"explode(array({bucket})) AS {_KEY}")
+    return df.sparkSession.sql(
+        f"""WITH levels AS (SELECT *, explode(array({listed})) AS __level FROM {{df}}),
+        zones AS (SELECT *, floor(({dec} + 90D) / {_height(finest)}) AS __zone FROM levels),
+        counts AS (SELECT *, {_buckets(finest)} AS __of FROM zones)
+        SELECT * EXCEPT (__level, __zone, __of), explode(array({bucket})) AS {_KEY} FROM counts""",
+        df=df,
+    )
 
 
 def _probe(df: DataFrame, finest: float, keep_level: bool = False) -> DataFrame:
     """A copy of the row for every bucket that its disk, `__radius` at `__level`, can touch."""
     ra, dec = _HERE
-    names = [f"`{name}`" for name in df.columns]
     height = _height(finest)
     ratio = f"sin(radians(__radius)) / cos(radians({dec}))"
-    df = df.selectExpr(
-        *names,
-        f"if(abs({dec}) + __radius >= 90D OR {ratio} > {1 - NEAR_ONE}D, 180D, "
-        f"degrees(asin(least(1D, {ratio})))) + 2 * {PAD}D AS __reach",
-        f"explode(sequence(floor((greatest(-90D, {dec} - __radius - {PAD}D) + 90D) / {height}), "
-        f"floor((least(90D, {dec} + __radius + {PAD}D) + 90D) / {height}))) AS __zone",
-    )
-    df = df.selectExpr(*names, "__reach", "__zone", _buckets(finest))
-    df = df.selectExpr(
-        *names, "__zone", "__of",
-        f"floor(({ra} - __reach) * __of / 360D) AS __west", f"floor(({ra} + __reach) * __of / 360D) AS __east",
-    )
+    working = "__zone, __of, __west, __east, __step, __reach" + ("" if keep_level else ", __level")
     # Once round is every bucket; more would meet the first ones again.
-    df = df.selectExpr(
-        *names, "__zone", "__of", "explode(sequence(__west, least(__east, __west + __of - 1))) AS __step"
+    return df.sparkSession.sql(
+        f"""WITH zones AS (
+            SELECT *, if(abs({dec}) + __radius >= 90D OR {ratio} > {1 - NEAR_ONE}D, 180D,
+                degrees(asin(least(1D, {ratio})))) + 2 * {PAD}D AS __reach,
+                explode(sequence(floor((greatest(-90D, {dec} - __radius - {PAD}D) + 90D) / {height}),
+                    floor((least(90D, {dec} + __radius + {PAD}D) + 90D) / {height}))) AS __zone
+            FROM {{df}}),
+        counts AS (SELECT *, {_buckets(finest)} AS __of FROM zones),
+        arcs AS (SELECT *, floor(({ra} - __reach) * __of / 360D) AS __west,
+            floor(({ra} + __reach) * __of / 360D) AS __east FROM counts),
+        steps AS (SELECT *, explode(sequence(__west, least(__east, __west + __of - 1))) AS __step FROM arcs)
+        SELECT * EXCEPT ({working}), {_PACKED.format(bucket='pmod(__step, __of)')} AS {_KEY} FROM steps""",
+        df=df,
     )
-    kept = names if keep_level else [name for name in names if name != "`__level`"]
-    return df.selectExpr(*kept, f"{_PACKED.format(bucket='pmod(__step, __of)')} AS {_KEY}")
 
 
 def _with_radius(df: DataFrame, radius) -> tuple[DataFrame, float, list[int]]:
@@ -254,7 +249,8 @@ def where_any_circle(
     probe = _probe(_placed(disks, "__cra", "__cdec"), finest, keep_level=True)
     # Named apart from the circles' own: an outer reference whose name the subquery also knows,
     # even in a projection further down, would be resolved to that.
-    home, tests = _placed(df, *position).withColumns({"__at_ra": F.col(_HERE[0]), "__at_dec": F.col(_HERE[1])}), []
+    home = _placed(df, *position).selectExpr("*", f"{_HERE[0]} AS __at_ra", f"{_HERE[1]} AS __at_dec")
+    tests = []
     for level in levels:
         here = _home(home, finest, [level])
         at = probe.where(F.col("__level") == level)

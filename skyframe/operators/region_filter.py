@@ -1,17 +1,24 @@
-"""Region tests as filters over a table with two coordinate columns and maybe a cell column."""
+"""Region tests as filters over a table with two coordinate columns and maybe a cell column.
+
+A test is one SQL expression: thousands of shapes are one parse, and Spark's parser balances the
+OR of them.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyframe.functions.geometry import (
     PAD,
-    all_of,
-    any_of,
-    coordinate_type,
+    all_sql,
+    any_sql,
+    column_type,
     dec_between,
-    number,
+    haversine_sql,
+    quoted,
     ra_between,
     ra_reach,
     separated_by_at_most,
@@ -35,12 +42,12 @@ class SpatialIndex:
     def __init__(self, df: DataFrame, column: str, order: int):
         if not 0 <= order <= MAX_ORDER:
             raise ValueError(f"{order} is not a HEALPix order")
-        field = df.select(column).schema[0]
+        type_ = column_type(df, column)
         # An unsigned 64-bit index arrives as decimal(20, 0), which holds any cell.
-        if not field.dataType.typeName().startswith("decimal"):
-            capacity = _CAPACITY.get(field.dataType.typeName())
+        if not type_.typeName().startswith("decimal"):
+            capacity = _CAPACITY.get(type_.typeName())
             if capacity is None or capacity < cell_count(order):
-                raise ValueError(f"{column} is {field.dataType.simpleString()}, too narrow for order {order}")
+                raise ValueError(f"{column} is {type_.simpleString()}, too narrow for order {order}")
         self.column, self.order = column, order
 
     @classmethod
@@ -54,41 +61,39 @@ class SpatialIndex:
         except ValueError:
             return None
 
-    def between(self, ranges, outward: bool) -> Column | None:
+    def between(self, ranges, outward: bool) -> str | None:
         own = on_index_order(ranges, self.order, outward)
         if not own:
             return None
-        return any_of([F.col(self.column).between(low, high - 1) for low, high in own])
+        return any_sql([f"{quoted(self.column)} BETWEEN {low}L AND {high - 1}L" for low, high in own])
 
 
-def coordinate_bounds(df: DataFrame, shape: Circle | Zone, ra: str, dec: str) -> Column | None:
+def coordinate_bounds(df: DataFrame, shape: Circle | Zone, ra: str, dec: str) -> str | None:
     """Plain comparisons on the stored columns that hold wherever the shape does."""
-    ra_type, dec_type = coordinate_type(df, ra), coordinate_type(df, dec)
     if isinstance(shape, Circle):
         reach = ra_reach(shape.dec, shape.radius)
         parts = [
-            dec_between(dec, dec_type, shape.dec - shape.radius - PAD, shape.dec + shape.radius + PAD),
-            ra_between(ra, ra_type, shape.ra - reach, 2.0 * reach),
+            dec_between(df, dec, shape.dec - shape.radius - PAD, shape.dec + shape.radius + PAD),
+            ra_between(df, ra, shape.ra - reach, 2.0 * reach),
         ]
     else:
-        parts = [
-            dec_between(dec, dec_type, *shape.dec),
-            ra_between(ra, ra_type, shape.ra[0], shape.width),
-        ]
+        parts = [dec_between(df, dec, *shape.dec), ra_between(df, ra, shape.ra[0], shape.width)]
     parts = [part for part in parts if part is not None]
-    return all_of(parts) if parts else None
+    return all_sql(parts) if parts else None
 
 
-def shape_test(df: DataFrame, shape: Circle | Zone, ra: str, dec: str) -> Column:
+def shape_test(df: DataFrame, shape: Circle | Zone, ra: str, dec: str) -> str:
     """The exact test of one shape, bounds first. A null coordinate is in no shape."""
     bounds = coordinate_bounds(df, shape, ra, dec)
     if isinstance(shape, Zone):
-        return bounds if bounds is not None else F.lit(True)
-    exact = separated_by_at_most((ra, dec), (shape.ra, shape.dec), shape.radius)
-    return exact if bounds is None else bounds & exact
+        return bounds if bounds is not None else "true"
+    # Inclusive: a point exactly the radius away is inside.
+    limit = math.sin(math.radians(shape.radius) / 2) ** 2
+    exact = f"{haversine_sql(ra, dec, shape.ra, shape.dec)} <= {limit!r}D"
+    return exact if bounds is None else all_sql([bounds, exact])
 
 
-def region_column(
+def region_sql(
     df: DataFrame,
     regions,
     ra: str | None = "ra",
@@ -98,7 +103,7 @@ def region_column(
     healpix_order: int | None = None,
     prefilter: bool = True,
     floor: int = 0,
-) -> Column:
+) -> str:
     """Whether a row is in any of the regions, in a form whose conjuncts reach the scan.
 
     With a cell column the test is `outer AND (inner OR exact)`: the same rows as
@@ -116,31 +121,29 @@ def region_column(
         raise ValueError("a moc is tested against a HEALPix column; name one and its order")
 
     tests = [shape_test(df, shape, ra, dec) for shape in drawn]
-    for moc in mocs:
-        # Inward on a coarser column: a cell only partly in the moc has rows that are not.
-        test = index.between(moc.ranges, outward=False)
-        tests.append(F.lit(False) if test is None else test)
-    exact = any_of(tests)
-
-    fronts = []
+    # Inward on a coarser column: a cell only partly in a moc has rows that are not.
+    tests += [index.between(moc.ranges, outward=False) or "false" for moc in mocs]
+    exact, fronts = any_sql(tests), []
     bounds = [coordinate_bounds(df, shape, ra, dec) for shape in drawn]
     if len(drawn) > 1 and not mocs and all(b is not None for b in bounds):
-        fronts.append(any_of(bounds))
+        fronts.append(any_sql(bounds))
     if drawn and index is not None and prefilter and len(listed) <= COVERED_SHAPES:
         inner, outer = ranges_of(df.sparkSession, listed, floor)
-        reach = index.between(outer, outward=True)
-        if reach is None:
-            return F.lit(False)
         if outer != [(0, cell_count(MAX_ORDER))]:
-            fronts.append(reach)
+            fronts.append(index.between(outer, outward=True) or "false")
         sure = index.between(inner, outward=False)
         if sure is not None:
-            exact = sure | exact
-    return all_of([*fronts, exact])
+            exact = any_sql([sure, exact])
+    return all_sql([*fronts, exact])
+
+
+def region_column(df: DataFrame, regions, ra: str | None = "ra", dec: str | None = "dec", **options) -> Column:
+    """The region test as a condition. See `region_sql` for the options."""
+    return F.expr(region_sql(df, regions, ra, dec, **options))
 
 
 def where_region(df: DataFrame, regions, ra: str | None = "ra", dec: str | None = "dec", **options) -> DataFrame:
-    """The rows of `df` in any of the regions. See `region_column` for the options."""
+    """The rows of `df` in any of the regions. See `region_sql` for the options."""
     listed = shapes(regions)
     ranges = merged([span for shape in listed if isinstance(shape, Moc) for span in shape.ranges])
     if len(ranges) > LITERAL_RANGES:
@@ -151,7 +154,7 @@ def where_region(df: DataFrame, regions, ra: str | None = "ra", dec: str | None
         in_moc = _flag_moc(df, *named)
         hit = F.col("__in_moc") | region_column(in_moc, drawn, ra, dec, **options)
         return in_moc.where(hit).select(*[F.col(f"`{name}`") for name in df.columns])
-    return df.where(region_column(df, listed, ra, dec, **options))
+    return df.where(region_sql(df, listed, ra, dec, **options))
 
 
 def _cell_table(df: DataFrame, moc: Moc, index: SpatialIndex) -> tuple[DataFrame, list[int]]:
@@ -232,9 +235,3 @@ def within_distance(df: DataFrame, a: tuple, b: tuple, radius: float, **options)
         return separated_by_at_most(a, b, radius)
     centre, position = (a, b) if constant[0] else (b, a)
     return contains(df, position, Circle(float(centre[0]), float(centre[1]), radius), **options)
-
-
-__all__ = [
-    "SpatialIndex", "contains", "coordinate_bounds", "intersects", "number", "region_column",
-    "where_moc", "where_region", "within_distance",
-]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyframe.functions.healpix import DEFAULT_INDEX, MAX_ORDER, shift_left, shift_right
-from skyframe.operators.coverage import BOUNDARY, INSIDE, OUTSIDE, shape_cover, with_caps
+from skyframe.operators.coverage import BOUNDARY, INSIDE, OUTSIDE, cap_steps, shape_cover
 from skyframe.operators.projection import select_columns, where_text
 from skyframe.operators.region_filter import region_column, where_region
 from skyframe.operators.regions import Moc, merged, shapes
@@ -61,6 +61,7 @@ class Catalog:
     partitions: DataFrame
     schema: T.StructType
     indexes: dict[str, str] = field(default_factory=dict)
+    deepest: int = 0
 
     # ---- what the properties say ----
 
@@ -174,8 +175,7 @@ class Catalog:
     def _in_region(self, df: DataFrame, regions) -> DataFrame:
         ra, dec = self.position or (None, None)
         column, order = self.healpix or (None, None)
-        deepest = self.partitions.agg(F.max("Norder")).first()[0] or 0
-        return where_region(df, regions, ra, dec, healpix=column, healpix_order=order, floor=deepest + DETAIL)
+        return where_region(df, regions, ra, dec, healpix=column, healpix_order=order, floor=self.deepest + DETAIL)
 
     def _identified(self, df: DataFrame, column: str, values) -> DataFrame:
         """The rows with one of the values, row groups narrowed by the cells the index gives."""
@@ -281,34 +281,26 @@ def _drawn_cover(cells: DataFrame, drawn) -> DataFrame:
     """
     steps = 1 << DETAIL
     digits = "conv(CAST(Npix - shiftleft(shiftright(Npix, 2 * Norder), 2 * Norder) AS STRING), 10, 4)"
-    small_cells = cells.selectExpr(
-        *cells.columns,
-        "shiftright(Npix, 2 * Norder) AS face",
-        f"CAST(conv(translate({digits}, '0123', '0101'), 2, 10) AS BIGINT) * {steps} AS east0",
-        f"CAST(conv(translate({digits}, '0123', '0011'), 2, 10) AS BIGINT) * {steps} AS west0",
-        f"shiftleft({steps}L, Norder) AS side",
-        f"explode(sequence(0, {steps * steps - 1})) AS child",
-    ).selectExpr("*", f"east0 + child % {steps} AS east", f"west0 + child div {steps} AS west")
-    small_cells = with_caps(small_cells, cells.columns)
     covers = [shape_cover(shape) for shape in drawn]
     best = covers[0] if len(covers) == 1 else f"greatest({', '.join(covers)})"
-    kept = [name for name in cells.columns if name != "cover"]
+    carried = ", ".join(cells.columns)
+    kept = ", ".join(f"first({name}) AS {name}" for name in cells.columns if name not in ("Norder", "Npix", "cover"))
     # Partitions are told apart by their cell, and are as few as there are files.
-    return (
-        small_cells.selectExpr(*cells.columns, f"{best} AS here")
-        .groupBy("Norder", "Npix")
-        .agg(
-            *[F.first(name).alias(name) for name in kept if name not in ("Norder", "Npix")],
-            F.max(F.greatest("cover", "here")).alias("top"),
-            F.min(F.greatest("cover", "here")).alias("bottom"),
-        )
-        .select(
-            *kept,
-            F.when(F.col("top") == OUTSIDE, OUTSIDE)
-            .when(F.col("bottom") == INSIDE, INSIDE)
-            .otherwise(BOUNDARY)
-            .alias("cover"),
-        )
+    return cells.sparkSession.sql(
+        f"""WITH whole AS (
+            SELECT *, shiftright(Npix, 2 * Norder) AS face, shiftleft({steps}L, Norder) AS side,
+                CAST(conv(translate({digits}, '0123', '0101'), 2, 10) AS BIGINT) * {steps} AS east0,
+                CAST(conv(translate({digits}, '0123', '0011'), 2, 10) AS BIGINT) * {steps} AS west0,
+                explode(sequence(0, {steps * steps - 1})) AS child
+            FROM {{cells}}),
+        parts AS (SELECT *, east0 + child % {steps} AS east, west0 + child div {steps} AS west FROM whole),
+        {cap_steps('parts', carried, 'caps')},
+        marks AS (SELECT {carried}, greatest(cover, {best}) AS here FROM caps),
+        judged AS (
+            SELECT Norder, Npix, {kept}, max(here) AS top, min(here) AS bottom FROM marks GROUP BY Norder, Npix)
+        SELECT * EXCEPT (top, bottom), CASE WHEN top = {OUTSIDE} THEN {OUTSIDE}
+            WHEN bottom = {INSIDE} THEN {INSIDE} ELSE {BOUNDARY} END AS cover FROM judged""",
+        cells=cells,
     )
 
 
@@ -362,7 +354,8 @@ def open_catalog(spark: SparkSession, root: str) -> Catalog:
         partitions = tables.from_listing(spark, root, suffix)
     # Asked again by every selection, and one small row per file.
     partitions = partitions.persist()
-    return Catalog(spark, root, properties, partitions, _schema(spark, root, partitions), found)
+    deepest = partitions.agg(F.max("Norder")).first()[0] or 0
+    return Catalog(spark, root, properties, partitions, _schema(spark, root, partitions), found, deepest)
 
 
 def _schema(spark: SparkSession, root: str, partitions: DataFrame) -> T.StructType:
