@@ -101,7 +101,7 @@ def outer_join(spark, sf_dir):
 def cross_join(spark, sf_dir):
     """A statement's cross join is answered under its row cap; both sides are fixed lists."""
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    pairs = nations.select("n_name").crossJoin(F.broadcast(regions.select("r_name")))
+    pairs = nations.select("n_name").crossJoin(regions.select("r_name"))
     return top(pairs.orderBy("n_name", "r_name"), 60)
 
 

@@ -60,16 +60,21 @@ def first_rows(
     return front if columns is None else select_columns(front, columns)
 
 
+_local_roots: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path for a table of this job's own, in the folder the cluster shares.
 
-    That is the one `spark.checkpoint.dir` names. Only where nothing set it, as in a local run,
-    is a temporary folder of this machine used, and set for the session.
+    That is the one `spark.checkpoint.dir` names. Only a local run that names none is given a
+    temporary folder of its machine.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="skyframe-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        application = spark.sparkContext.applicationId
+        if application not in _local_roots:
+            _local_roots[application] = tempfile.mkdtemp(prefix="skyframe-")
+        root = _local_roots[application]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

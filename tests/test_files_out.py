@@ -83,7 +83,26 @@ def test_null_sentinels_that_would_split_cells(value):
 
 
 def test_the_shared_folder_is_the_clusters(spark):
-    assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert named is None or shared_folder(spark, "x").startswith(named)
+
+
+class Elsewhere:
+    """A session that names no folder, as far as choosing one goes."""
+
+    def __init__(self, master):
+        self.master, self.applicationId = master, "app-1"
+        self.sparkContext = self.conf = self
+
+    def get(self, _, default):
+        return default
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Elsewhere("yarn"), "x")
+    one, two = (shared_folder(Elsewhere("local[4]"), "x") for _ in range(2))
+    assert one != two and one.rsplit("/", 1)[0] == two.rsplit("/", 1)[0]
 
 
 FIELDS = """
