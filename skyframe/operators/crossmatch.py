@@ -22,12 +22,11 @@ from skyframe.functions.geometry import (
     quoted,
     separated_by_at_most,
 )
-from skyframe.operators.skew import HOT_ROWS, HotKeys, hot_keys, salted, small
+from skyframe.operators.skew import HOT_ROWS, HotKeys, hot_keys, salted, small, split_join
 
 # The finest zone, in degrees. Finer ones would copy more probe rows and spare few candidates.
 FINEST_ZONE = 10.0 / 3600.0
 _KEY, _HERE = "__bucket", ("__ra", "__dec")
-_ON = (_KEY, "__lsalt", "__rsalt")
 
 
 # The steps are SQL text: one parse a side, where the same in Column calls is a call into the JVM
@@ -161,15 +160,14 @@ def crossmatch(
         hot = hot_keys(probe, home, _KEY, hot_rows)
     else:
         hot = HotKeys()
-    probe, home = salted(probe, _KEY, hot, "left"), salted(home, _KEY, hot, "right")
     # The right side's columns keep out of the way until the pair is made.
     home = home.select(
-        *[F.col(name).alias(f"__h{name}") for name in (*_ON, *_HERE)],
+        *[F.col(name).alias(f"__h{name}") for name in (_KEY, *_HERE)],
         *[F.col(f"`{name}`").alias(f"__h_{name}") for name in right.columns],
     )
     a, b = [F.col(name) for name in _HERE], [F.col(f"__h{name}") for name in _HERE]
-    on = _same_bucket(hot) & _residual(a, b, strict)
-    pairs = (F.broadcast(probe) if listed else probe).join(home, on, "inner")
+    probe = F.broadcast(probe) if listed else probe
+    pairs = split_join(probe, home, _KEY, f"__h{_KEY}", _residual(a, b, strict), hot)
     columns = [F.col(f"`{name}`") for name in left.columns]
     columns += [F.col(f"`__h_{name}`").alias(names[name]) for name in right.columns]
     if separation is not None:
@@ -177,13 +175,6 @@ def crossmatch(
     return pairs.select(*columns)
 
 
-def _same_bucket(hot: HotKeys) -> Column:
-    on = F.col(_KEY) == F.col(f"__h{_KEY}")
-    for salt in _ON[1:] if hot else ():
-        on = on & (F.col(salt) == F.col(f"__h{salt}"))
-    return on
-
-
 def _residual(a, b, strict: bool) -> Column:
     # A difference in dec is the cheapest lower bound on a separation, and rejects most of a
     # bucket before any sine is taken.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,9 @@ HOT_ROWS = 100_000
 # How many keys the heavy-hitter sketch follows; its error stays well below HOT_SHARE.
 TRACKED = 10_000
 
+# Copies of one row that stay together when they are counted instead of shuffled.
+COPIES = 1_000
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
@@ -63,9 +66,12 @@ def _hashable(df: DataFrame) -> list[str]:
     return [f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, nested)]
 
 
-def salted(
-    df: DataFrame, key: str, hot: HotKeys, side: str, columns: list[str] | None = None
-) -> DataFrame:
+def ways_table(spark: SparkSession, key: str, hot: HotKeys) -> DataFrame:
+    """The hot keys and how many ways each is split: at most 2 / HOT_SHARE rows of three integers."""
+    return F.broadcast(spark.createDataFrame(hot.rows(), f"{key} bigint, __lways int, __rways int"))
+
+
+def salted(df: DataFrame, key: str, hot: HotKeys, side: str, own: Column | None = None) -> DataFrame:
     """One side of a join on `key`, with `__lsalt` and `__rsalt` to join on as well.
 
     A side's own salt is a hash of the row, the other side's salts are all written out, so every
@@ -74,23 +80,86 @@ def salted(
     """
     if not hot:
         return df.withColumns({"__lsalt": F.lit(0), "__rsalt": F.lit(0)})
-    own, other = ("__lways", "__rways") if side == "left" else ("__rways", "__lways")
-    # At most 2 / HOT_SHARE rows of three integers.
-    ways = df.sparkSession.createDataFrame(hot.rows(), f"{key} bigint, __lways int, __rways int")
-    names = columns or _hashable(df.drop(key))
-    df = df.join(F.broadcast(ways), key, "left").withColumns(
+    mine, other = ("__lways", "__rways") if side == "left" else ("__rways", "__lways")
+    number = F.xxhash64(*_hashable(df.drop(key))) if own is None else own
+    df = df.join(ways_table(df.sparkSession, key, hot), key, "left").withColumns(
         {
-            "__own": F.coalesce(F.pmod(F.xxhash64(*names), F.col(own)), F.lit(0)).cast("int"),
-            "__every": F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1),
+            "__own": F.coalesce(F.pmod(number, F.col(mine)), F.lit(0)).cast("int"),
+            "__each": F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)),
         }
     )
-    df = df.withColumn("__each", F.explode("__every"))
     first, second = ("__own", "__each") if side == "left" else ("__each", "__own")
     return df.withColumns({"__lsalt": F.col(first), "__rsalt": F.col(second)}).drop(
-        "__lways", "__rways", "__own", "__every", "__each"
+        "__lways", "__rways", "__own", "__each"
     )
 
 
+def _collapsed(df: DataFrame, name: str) -> DataFrame:
+    """Copies of a row as one row with `name` of them, COPIES at most, and numbered chunks.
+
+    Copies hash alike, so a hash cannot part them; counted, before they are shuffled, they are
+    parted by chunk. What cannot be grouped by, a map, is left as it is.
+    """
+    if any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema.fields):
+        return df.withColumns({name: F.lit(1).cast("bigint"), f"{name}_chunk": F.lit(0).cast("bigint")})
+    columns = [F.col(f"`{column}`") for column in df.columns]
+    counted = df.groupBy(*columns).agg(F.count("*").alias("__all"))
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__all") - 1) / COPIES))
+    counted = counted.select(*columns, "__all", F.explode(chunks).alias(f"{name}_chunk"))
+    size = F.least(F.lit(COPIES).cast("bigint"), F.col("__all") - F.col(f"{name}_chunk") * COPIES)
+    return counted.withColumn(name, size).drop("__all")
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, right_key: str, residual: Column, hot: HotKeys) -> DataFrame:
+    """The inner join on `key` and `residual`, its hot keys apart from the rest.
+
+    Cold keys are an ordinary equi-join. Hot ones have their copies counted, are salted on both
+    sides, and each pair found is written out as often as its two rows had copies.
+    """
+    plain = F.col(key) == F.col(right_key)
+    if not hot:
+        return left.join(right, plain & residual)
+    names = [*left.columns, *right.columns]
+    spark = left.sparkSession
+    keys = ways_table(spark, key, hot).select(key)
+    right_keys = ways_table(spark, right_key, hot).select(right_key)
+    cold = left.join(keys, key, "left_anti").join(right.join(right_keys, right_key, "left_anti"), plain & residual)
+
+    def side(df: DataFrame, on: str, wanted: DataFrame, which: str) -> DataFrame:
+        few = _collapsed(df.join(wanted, on, "left_semi"), f"__{which}_copies")
+        chunk = f"__{which}_copies_chunk"
+        spread = F.xxhash64(*_hashable(few.drop(on, chunk))) + F.col(chunk)
+        few = salted(few, on, hot, which, own=spread).drop(chunk)
+        return few.withColumnsRenamed({salt: f"{which}{salt}" for salt in ("__lsalt", "__rsalt")})
+
+    a, b = side(left, key, keys, "left"), side(right, right_key, right_keys, "right")
+    on = plain & residual
+    for salt in ("__lsalt", "__rsalt"):
+        on = on & (F.col(f"left{salt}") == F.col(f"right{salt}"))
+    copies = F.col("__left_copies") * F.col("__right_copies")
+    pairs = a.join(b, on).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
+    quoted = [F.col(f"`{name}`") for name in names]
+    return cold.select(*quoted).unionByName(pairs.select(*quoted))
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """`left` with the columns of a table that has one row per key, nulls being a key too.
+
+    A hot key of the left is split by a hash of its rows, and the one row it meets is copied.
+    """
+    added = [name for name in right.columns if name not in keys]
+    left_names = left.columns
+    left = left.withColumn("__key", F.xxhash64(*keys))
+    right = right.withColumn("__key", F.xxhash64(*keys))
+    hot = HotKeys(left=hot_keys(left, right.limit(0), "__key", hot_rows).left)
+    left, right = salted(left, "__key", hot, "left").alias("a"), salted(right, "__key", hot, "right").alias("b")
+    on = (F.col("a.__key") == F.col("b.__key")) & (F.col("a.__lsalt") == F.col("b.__lsalt"))
+    for key in keys:
+        on = on & F.col(f"a.`{key}`").eqNullSafe(F.col(f"b.`{key}`"))
+    columns = [F.col(f"a.`{name}`") for name in left_names] + [F.col(f"b.`{name}`") for name in added]
+    return left.join(right, on, "left").select(*columns)
+
+
 def _row_bytes(df: DataFrame) -> Column:
     widths = []
     for f in df.schema.fields:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyframe.operators.skew import HOT_ROWS, HOT_SHARE, TRACKED
+from skyframe.operators.skew import HOT_ROWS, HOT_SHARE, TRACKED, lookup
 from skyframe.sources.files import shared_folder
 
 
@@ -73,15 +73,21 @@ def ranked(df: DataFrame, keys: list[str], by: Column, hot_rows: int = HOT_ROWS)
     levels = df.groupBy(*keys, "__by").agg(F.count("*").alias("__n"))
     levels = running_sum(levels, keys, [F.col("__by")], F.col("__n"), "__upto", hot_rows)
     levels = running_sum(levels, keys, [F.col("__by")], F.lit(1).cast("bigint"), "dr", hot_rows)
-    levels = levels.withColumn("rk", F.col("__upto") - F.col("__n") + 1).alias("l")
-    same = [F.col(f"d.{key}").eqNullSafe(F.col(f"l.{key}")) for key in [*keys, "__by"]]
-    joined = df.alias("d").join(levels, same)
-    return joined.select(*[F.col(f"d.`{c}`") for c in df.columns if c != "__by"], "rk", "dr")
+    levels = levels.select(*keys, "__by", (F.col("__upto") - F.col("__n") + 1).alias("rk"), "dr")
+    return lookup(df, levels, [*keys, "__by"], hot_rows).drop("__by")
 
 
-def group_sizes(df: DataFrame, keys: list[str], name: str = "size") -> DataFrame:
-    """Rows per group, counted before they are shuffled."""
-    return df.groupBy(*keys).agg(F.count("*").alias(name))
+def with_group_size(df: DataFrame, keys: list[str], name: str = "size", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """`COUNT(*)` over the group, counted before anything is shuffled."""
+    return lookup(df, df.groupBy(*keys).agg(F.count("*").alias(name)), keys, hot_rows)
+
+
+def with_ends(
+    rows: DataFrame, keys: list[str], value: str, first: str, last: str, number: str = "rn", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """`FIRST_VALUE` and `LAST_VALUE` over the whole group, of numbered rows."""
+    ends = rows.groupBy(*keys).agg(F.min_by(value, number).alias(first), F.max_by(value, number).alias(last))
+    return lookup(rows, ends, keys, hot_rows)
 
 
 def tile(number: Column, size: Column, parts: int) -> Column:

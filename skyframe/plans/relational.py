@@ -12,12 +12,13 @@ from skyframe.operators.skew import HOT_ROWS
 from skyframe.operators.windows import (
     frame_sum,
     group_median,
-    group_sizes,
     numbered,
     range_count,
     ranked,
     shifted,
     tile,
+    with_ends,
+    with_group_size,
 )
 from skyframe.plans.inputs import rounded, table
 from skyframe.plans.registry import query
@@ -288,7 +289,7 @@ _BY_SEGMENT = "OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey
 def window_rank(spark, sf_dir):
     keys, order = ["c_nationkey"], [F.col("c_acctbal").desc(), F.col("c_custkey")]
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    rows = numbered(rows, keys, order).join(group_sizes(rows, keys), keys)
+    rows = with_group_size(numbered(rows, keys, order), keys)
     # With the key in the order no two rows tie, and every rank is the row's number.
     number = F.col("rn")
     return rows.select(
@@ -321,10 +322,8 @@ def window_lag_of(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     keys = ["user_id"]
     rows = numbered(rows, keys, [F.col("ts"), F.col("event_id")], hot_rows=hot_rows)
     rows = shifted(shifted(rows, keys, "value", 1, "before"), keys, "value", -1, "after")
-    ends = rows.groupBy(*keys).agg(
-        F.min_by("event_id", "rn").alias("first_id"), F.max_by("event_id", "rn").alias("last_id")
-    )
-    return rows.join(ends, keys).select("event_id", "before", "after", "first_id", "last_id")
+    rows = with_ends(rows, keys, "event_id", "first_id", "last_id", hot_rows=hot_rows)
+    return rows.select("event_id", "before", "after", "first_id", "last_id")
 
 
 @query(

@@ -7,6 +7,7 @@ from conftest import awkward_points, known, separation
 from pyspark.sql import functions as F
 
 from skyframe.operators import crossmatch as module
+from skyframe.operators import skew
 from skyframe.operators.crossmatch import crossmatch, nearest_match, where_any_circle
 from skyframe.operators.skew import hot_keys, salted, small
 
@@ -71,6 +72,19 @@ def test_a_third_of_all_rows_in_one_place(spark):
     assert split.select("id", "rid").distinct().count() == plain
 
 
+def test_copies_of_a_row_are_parted_and_all_there(spark, monkeypatch):
+    """Nothing tells a third of the rows apart, on either side."""
+    monkeypatch.setattr(skew, "COPIES", 20)
+    left = spark.range(0, 300).selectExpr("if(id % 3 = 0, -1L, id) AS id", "if(id % 3 = 0, 10D, id * 0.59D) AS ra", "5D AS dec")
+    right = spark.range(0, 240).selectExpr("if(id % 3 = 0, -1L, id) AS rid", "if(id % 3 = 0, 10D, id * 0.4D) AS ra", "5D AS dec")
+    plain = crossmatch(left, right, 0.3, split_hot=False)
+    split = crossmatch(left, right, 0.3, hot_rows=15)
+    wanted = {tuple(row) for row in plain.groupBy("id", "rid").count().collect()}
+    assert (-1, -1, 8000) in wanted
+    assert {tuple(row) for row in split.groupBy("id", "rid").count().collect()} == wanted
+    assert split.columns == plain.columns and split.schema == plain.schema
+
+
 def test_a_hot_key_is_found_and_split(spark):
     df = spark.range(0, 9000).selectExpr("id", "if(id % 3 = 0, -1L, id) AS k")
     found = hot_keys(df, df, "k", hot_rows=500)

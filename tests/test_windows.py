@@ -17,6 +17,8 @@ from skyframe.operators.windows import (
     running_sum,
     shifted,
     tile,
+    with_ends,
+    with_group_size,
 )
 
 HOT = 40
@@ -68,13 +70,16 @@ def test_neighbours_and_frames(rows, hot_rows):
         F.lead("w").over(w).alias("after"),
         F.sum("w").over(w.rowsBetween(-3, 0)).alias("frame"),
         F.ntile(7).over(w).alias("tile"),
+        F.first("w").over(w).alias("first"),
+        F.last("w").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("last"),
     )
     got = numbered(rows, ["k"], order, hot_rows=hot_rows)
     got = shifted(shifted(got, ["k"], "w", 2, "before"), ["k"], "w", -1, "after")
     got = frame_sum(got, ["k"], "w", 3, "frame")
-    got = got.join(rows.groupBy("k").agg(F.count("*").alias("size")), "k")
+    got = with_group_size(got, ["k"], hot_rows=hot_rows)
     got = got.withColumn("tile", tile(F.col("rn"), F.col("size"), 7))
-    names = ["id", "before", "after", "frame", "tile"]
+    got = with_ends(got, ["k"], "w", "first", "last", hot_rows=hot_rows)
+    names = ["id", "before", "after", "frame", "tile", "first", "last"]
     assert table(got, *names) == table(wanted, *names)
 
 
