@@ -24,38 +24,42 @@ def has_hot_group(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> b
     return any(entry["count"] > limit for entry in found.top or [])
 
 
-def running_sum(
-    df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, hot_rows: int = HOT_ROWS
+def running_sums(
+    df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """`df` with the sum of `value` over its group up to and with each row, in `order`.
-
-    The order has to tell the rows of a group apart: rows that tie are in one piece.
+    """`df` with, for each name, the sum of a value over its group up to and with the row, in
+    `order`. The order has to tell the rows of a group apart: rows that tie are in one piece.
     """
     if not has_hot_group(df, keys, hot_rows):
         so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(value).over(so_far))
+        return df.withColumns({name: F.sum(value).over(so_far) for name, value in sums.items()})
     names = df.columns
-    rows = df.withColumn("__value", value).repartitionByRange(*keys, *order)
+    rows = df.withColumns({f"__v_{name}": value for name, value in sums.items()})
     # Written, and not only planned: the cut points are drawn from the data, and both uses of the
     # pieces below have to see the same ones, also after a lost executor.
     path = shared_folder(df.sparkSession, "pieces")
-    rows.withColumn("__piece", F.spark_partition_id()).write.parquet(path)
+    rows.repartitionByRange(*keys, *order).withColumn("__piece", F.spark_partition_id()).write.parquet(path)
     rows = df.sparkSession.read.parquet(path)
     at = [*keys, "__piece"]
     inside = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = rows.groupBy(*at).agg(F.sum("__value").alias("__sum"))
+    pieces = rows.groupBy(*at).agg(*[F.sum(f"__v_{name}").alias(name) for name in sums])
     pieces = pieces.select(
-        *at, F.sum("__sum").over(earlier).alias("__before"), F.count("*").over(earlier).alias("__nth")
+        *at, F.count("*").over(earlier).alias("__nth"), *[F.sum(name).over(earlier).alias(f"__b_{name}") for name in sums]
     )
     # Only a group that a cut goes through has a piece with another before it, so there are fewer
     # of these than there are cuts, and as few whatever the data: broadcast by that bound.
     pieces = F.broadcast(pieces.where("__nth > 0")).alias("p")
-    rows = rows.withColumn("__inside", F.sum("__value").over(inside)).alias("r")
+    rows = rows.withColumns({f"__i_{name}": F.sum(f"__v_{name}").over(inside) for name in sums}).alias("r")
     same = [F.col(f"r.{key}").eqNullSafe(F.col(f"p.{key}")) for key in at]
-    joined = rows.join(pieces, same, "left").withColumn("__before", F.coalesce("__before", F.lit(0)))
-    total = F.col("__inside") + F.col("__before")
-    return joined.select(*[F.col(f"r.`{column}`") for column in names], total.alias(name))
+    totals = [(F.col(f"__i_{name}") + F.coalesce(f"__b_{name}", F.lit(0))).alias(name) for name in sums]
+    return rows.join(pieces, same, "left").select(*[F.col(f"r.`{column}`") for column in names], *totals)
+
+
+def running_sum(
+    df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    return running_sums(df, keys, order, {name: value}, hot_rows)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -71,8 +75,8 @@ def ranked(df: DataFrame, keys: list[str], by: Column, hot_rows: int = HOT_ROWS)
     df = df.withColumn("__by", by)
     # The sort direction is part of `by`; what ties is the value under it.
     levels = df.groupBy(*keys, "__by").agg(F.count("*").alias("__n"))
-    levels = running_sum(levels, keys, [F.col("__by")], F.col("__n"), "__upto", hot_rows)
-    levels = running_sum(levels, keys, [F.col("__by")], F.lit(1).cast("bigint"), "dr", hot_rows)
+    sums = {"__upto": F.col("__n"), "dr": F.lit(1).cast("bigint")}
+    levels = running_sums(levels, keys, [F.col("__by")], sums, hot_rows)
     levels = levels.select(*keys, "__by", (F.col("__upto") - F.col("__n") + 1).alias("rk"), "dr")
     return lookup(df, levels, [*keys, "__by"], hot_rows).drop("__by")
 

@@ -20,6 +20,7 @@ from skyframe.plans.inputs import (
 )
 from skyframe.plans.registry import query
 from skyframe.sources import partitions as tables
+from skyframe.sources.catalog import open_catalog
 from skyframe.sources.files import first_rows
 
 # Every star with its order-29 cell and the partition it is in, by the checking SQL's own formula.
@@ -51,6 +52,14 @@ def partition_sources(spark, sf_dir):
     return listed.join(named, ["Norder", "Npix"], "full")
 
 
+@query(
+    f"WITH {_PLACED} SELECT count(DISTINCT (Norder, Npix)) AS partitions, 0::BIGINT AS tested, count(*) AS rows, true AS sized FROM placed"
+)
+def partition_estimate(spark, sf_dir):
+    catalog = open_catalog(spark, star_catalog(spark, sf_dir).root, partitions_from="data")
+    return catalog.estimate().select("partitions", "tested", "rows", (F.col("bytes") > 0).alias("sized"))
+
+
 _PLAN = [Circle(45, -20, 25), Zone((200, 260), (30, 60)), Moc.from_ascii("3/64-66")]
 _PLAN_SQL = (
     f"({in_circle_sql(45, -20, 25)} OR (ra BETWEEN 200 AND 260 AND dec BETWEEN 30 AND 60) "

@@ -19,7 +19,6 @@ from skyframe.operators.coverage import BOUNDARY, INSIDE, OUTSIDE, cap_steps, sh
 from skyframe.operators.projection import select_columns, where_text
 from skyframe.operators.region_filter import region_column, where_region
 from skyframe.operators.regions import Moc, merged, shapes
-from skyframe.operators.skew import small
 from skyframe.sources import index as indexes
 from skyframe.sources import partitions as tables
 
@@ -97,6 +96,16 @@ class Catalog:
                 chosen = chosen.join(named, ["Norder", "Npix"], "left_semi")
         return chosen.withColumn("needs_test", F.col("cover") == BOUNDARY).orderBy("lo", "Norder")
 
+    def estimate(self, regions=None, identifiers: dict | None = None) -> DataFrame:
+        """What a selection would read, in one row. A total of rows or bytes is given only where
+        every partition's is known."""
+        plan = self.plan(regions, identifiers)
+        totals = [
+            F.when(F.count(name) == F.count("*"), F.coalesce(F.sum(name), F.lit(0))).alias(name)
+            for name in ("rows", "bytes")
+        ]
+        return plan.agg(F.count("*").alias("partitions"), F.count_if("needs_test").alias("tested"), *totals)
+
     def _covered(self, regions) -> DataFrame:
         if regions is None:
             return self.partitions.select(*_PARTITION, F.lit(INSIDE).alias("cover"))
@@ -183,9 +192,10 @@ class Catalog:
             name, _ = self.healpix
             found = self._entries(column, values)
             if name in found.columns:
-                cells = found.select(F.col(name).cast("bigint").alias(name)).distinct()
-                if small(cells, max_rows=LISTED_CELLS):
-                    df = df.where(F.col(name).isin([row[0] for row in cells.collect()]))
+                # Few cells prune row groups as a list; more than a list holds are left to the join.
+                cells = found.select(F.col(name).cast("bigint")).distinct().limit(LISTED_CELLS + 1).collect()
+                if len(cells) <= LISTED_CELLS:
+                    df = df.where(F.col(name).isin([cell[0] for cell in cells]))
         if isinstance(values, DataFrame):
             wanted = values.select(F.col(column).cast(self.schema[column].dataType).alias(column))
             return df.join(wanted.distinct(), column, "left_semi")
@@ -326,8 +336,15 @@ def _moc_cover(cells: DataFrame, moc: Moc) -> DataFrame:
     return marked.withColumn("cover", F.greatest("cover", F.coalesce("m", F.lit(OUTSIDE)))).drop("m")
 
 
-def open_catalog(spark: SparkSession, root: str) -> Catalog:
-    """A catalog, or a collection's primary table with the collection's indexes."""
+_TABLES = {"info": tables.from_partition_info, "listing": tables.from_listing, "data": tables.from_data}
+
+
+def open_catalog(spark: SparkSession, root: str, partitions_from: str | None = None) -> Catalog:
+    """A catalog, or a collection's primary table with the collection's indexes.
+
+    The partitions are those of `partition_info.csv`, else of the listing. `partitions_from` asks
+    for one of "info", "listing", which knows bytes, and "data", which knows rows as well.
+    """
     root = root.rstrip("/")
     collection = _read_properties(spark, [f"{root}/collection.properties"])
     found: dict[str, str] = {}
@@ -347,9 +364,9 @@ def open_catalog(spark: SparkSession, root: str) -> Catalog:
         raise ValueError(f"{root} is not a catalog: it has no properties file")
     suffix = properties.get("hats_npix_suffix", ".parquet")
     try:
-        partitions = tables.from_partition_info(spark, root, suffix)
+        partitions = _TABLES[partitions_from or "info"](spark, root, suffix)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if partitions_from is not None or error.getCondition() != "PATH_NOT_FOUND":
             raise
         partitions = tables.from_listing(spark, root, suffix)
     # Asked again by every selection, and one small row per file.

@@ -15,21 +15,6 @@ def read_index(spark: SparkSession, root: str, column: str) -> DataFrame:
     return index
 
 
-def values_table(index: DataFrame, column: str, values) -> DataFrame:
-    """Wanted values as a table of the index's own type for them."""
-    if isinstance(values, DataFrame):
-        wanted = values.select(F.col(column).cast(index.schema[column].dataType).alias(column))
-    else:
-        spark = index.sparkSession
-        found = [(value,) for value in dict.fromkeys(values)]
-        kind = "string" if all(isinstance(v[0], str) for v in found) and found else None
-        kind = kind or index.schema[column].dataType.simpleString()
-        wanted = spark.createDataFrame(found, f"`{column}` {kind}").select(
-            F.col(column).cast(index.schema[column].dataType).alias(column)
-        )
-    return wanted
-
-
 def entries(index: DataFrame, column: str, values) -> DataFrame:
     """The index rows of the wanted values: what partition, and where in it if the index says.
 
@@ -37,7 +22,8 @@ def entries(index: DataFrame, column: str, values) -> DataFrame:
     values is a semi-join, whose size Spark decides the strategy by.
     """
     if isinstance(values, DataFrame):
-        return index.join(values_table(index, column, values), column, "left_semi")
+        wanted = values.select(F.col(column).cast(index.schema[column].dataType).alias(column))
+        return index.join(wanted.distinct(), column, "left_semi")
     return index.where(F.col(column).isin(list(dict.fromkeys(values))))
 
 

@@ -29,7 +29,7 @@ def rows(spark):
     return [(n, r.ra, r.dec, r.id << 46) for n, r in enumerate(found)]
 
 
-def write(root, rows, coordinates=pa.float64(), suffix=".parquet", info=True, index_column="_healpix_29", listing=PIXELS):
+def write(root, rows, coordinates=pa.float64(), suffix=".parquet", info=True, cells=False, common=False):
     """256 rows in row groups of eight, under the names a catalog's files have."""
     for pixel in PIXELS:
         part = [row for row in rows if row[3] >> 52 == pixel]
@@ -39,9 +39,15 @@ def write(root, rows, coordinates=pa.float64(), suffix=".parquet", info=True, in
                 "id": pa.array([r[0] for r in part], pa.int64()),
                 "ra": pa.array([r[1] for r in part]).cast(coordinates, safe=False),
                 "dec": pa.array([r[2] for r in part]).cast(coordinates, safe=False),
-                index_column: pa.array([r[3] for r in part], pa.int64()),
+                "_healpix_29": pa.array([r[3] for r in part], pa.int64()),
             }
         )
+        if cells:
+            for name, value, kind in (("Norder", 3, pa.uint8()), ("Dir", 0, pa.uint64()), ("Npix", pixel, pa.uint64())):
+                table = table.append_column(name, pa.array([value] * len(part), kind))
+        os.makedirs(folder, exist_ok=True)
+        if common:
+            pq.write_metadata(table.schema, f"{root}/dataset/_common_metadata")
         if suffix.endswith("/"):
             os.makedirs(f"{folder}/Npix={pixel}", exist_ok=True)
             pq.write_table(table.slice(0, 40), f"{folder}/Npix={pixel}/a.parquet", row_group_size=8)
@@ -54,7 +60,7 @@ def write(root, rows, coordinates=pa.float64(), suffix=".parquet", info=True, in
         out.write("\n".join(lines) + "\n")
     if info:
         with open(f"{root}/partition_info.csv", "w") as out:
-            out.write("extra, Norder , Npix\n" + "".join(f"x,3,{p}\n" for p in [*reversed(listing), PIXELS[0]]))
+            out.write("extra, Norder , Npix\n" + "".join(f"x,3,{p}\n" for p in [*reversed(PIXELS), PIXELS[0]]))
     return str(root)
 
 
@@ -91,7 +97,7 @@ def test_partitions_far_off_are_not_read(plain, centre):
     assert [row.lo for row in sure] == sorted(row.lo for row in sure)
 
 
-@pytest.mark.parametrize("layout", [{"suffix": "/"}, {"coordinates": pa.float32()}, {"info": False}, {"suffix": ".pq"}])
+@pytest.mark.parametrize("layout", [{"suffix": "/"}, {"coordinates": pa.float32()}, {"info": False}, {"suffix": ".pq"}, {"cells": True}, {"common": True}])
 def test_layouts_answer_alike(spark, rows, centre, tmp_path, layout):
     catalog = open_catalog(spark, write(tmp_path, rows, **layout))
     narrow = layout.get("coordinates") is not None
@@ -112,6 +118,16 @@ def test_partition_tables_agree(spark, plain):
     assert named.select("path").first().path.endswith(".parquet")
 
 
+def test_an_estimate_is_whole_or_not_given(spark, plain, centre):
+    assert tuple(plain.estimate(Circle(*centre, 60.0)).first()) == (4, 0, None, None)
+    sized = open_catalog(spark, plain.root, partitions_from="listing").estimate().first()
+    assert sized.partitions == 4 and sized.rows is None and sized.bytes > 1000
+    counted = open_catalog(spark, plain.root, partitions_from="data")
+    assert counted.estimate().first().rows == 256
+    assert counted.estimate(Circle(*centre, 0.5)).first().rows == 64
+    assert counted.estimate(Circle(200.0, -60.0, 1.0)).first().rows == 0
+
+
 def test_a_cell_that_is_none_is_refused(spark, tmp_path):
     for text in ("Norder,Npix\n3,768\n", "Norder,Npix\n30,1\n", "Norder,Npix\n1,\n"):
         (tmp_path / "partition_info.csv").write_text(text)
