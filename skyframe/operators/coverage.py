@@ -160,8 +160,8 @@ def covering(spark: SparkSession, shape_table: str, deepest: int) -> DataFrame:
     )
 
 
-def ranges_of(spark: SparkSession, listed: list[Shape], floor: int = 0):
-    """(inner, outer) order-29 ranges of a union of shapes, each within RANGE_BUDGET.
+def ranges_of(spark: SparkSession, listed: list[Shape], floor: int = 0, budget: int = RANGE_BUDGET):
+    """(inner, outer) order-29 ranges of a union of shapes, at most `budget` of each.
 
     The number of cells follows from the depth and not from any data, and the depth from the
     budget, so what is collected is a few hundred small rows per shape.
@@ -175,7 +175,7 @@ def ranges_of(spark: SparkSession, listed: list[Shape], floor: int = 0):
             outer.append((row.lo, row.hi))
             if row.inside:
                 inner.append((row.lo, row.hi))
-    return largest(merged(inner), RANGE_BUDGET), closed_up(merged(outer), RANGE_BUDGET)
+    return largest(merged(inner), budget), closed_up(merged(outer), budget)
 
 
 def closed_up(ranges, budget: int):

@@ -24,11 +24,12 @@ from skyframe.functions.geometry import (
     separated_by_at_most,
 )
 from skyframe.functions.healpix import DEFAULT_INDEX, MAX_ORDER, cell_count, shift_right
-from skyframe.operators.coverage import closed_up, on_index_order, ranges_of
+from skyframe.operators.coverage import RANGE_BUDGET, closed_up, on_index_order, ranges_of
+from skyframe.operators.crossmatch import where_any_circle
 from skyframe.operators.regions import Circle, Moc, Shape, Zone, merged, shapes
 
 # A covering is worth a job of its own for a handful of shapes; past this many, the coordinate
-# bounds alone go in front of the test. Many circles at once are `where_any_circle`.
+# bounds alone go in front of the test, and circles are joined as a table.
 COVERED_SHAPES = 64
 # Ranges of a moc written out as comparisons; a longer one is joined as a table of cells.
 LITERAL_RANGES = 64
@@ -82,15 +83,13 @@ def coordinate_bounds(df: DataFrame, shape: Circle | Zone, ra: str, dec: str) ->
     return all_sql(parts) if parts else None
 
 
-def shape_test(df: DataFrame, shape: Circle | Zone, ra: str, dec: str) -> str:
-    """The exact test of one shape, bounds first. A null coordinate is in no shape."""
-    bounds = coordinate_bounds(df, shape, ra, dec)
+def exact_test(shape: Circle | Zone, ra: str, dec: str) -> str:
+    """What the bounds leave to be tested: nothing of a zone, which is its bounds."""
     if isinstance(shape, Zone):
-        return bounds if bounds is not None else "true"
+        return "true"
     # Inclusive: a point exactly the radius away is inside.
     limit = math.sin(math.radians(shape.radius) / 2) ** 2
-    exact = f"{haversine_sql(ra, dec, shape.ra, shape.dec)} <= {limit!r}D"
-    return exact if bounds is None else all_sql([bounds, exact])
+    return f"{haversine_sql(ra, dec, shape.ra, shape.dec)} <= {limit!r}D"
 
 
 def region_sql(
@@ -103,13 +102,15 @@ def region_sql(
     healpix_order: int | None = None,
     prefilter: bool = True,
     floor: int = 0,
+    budget: int = RANGE_BUDGET,
 ) -> str:
     """Whether a row is in any of the regions, in a form whose conjuncts reach the scan.
 
-    With a cell column the test is `outer AND (inner OR exact)`: the same rows as
-    `inner OR (outer AND exact)`, since inner lies inside outer, but a conjunct of ranges that
-    parquet statistics can use. Several shapes repeat their bounds as a conjunct of their own,
-    because an OR that holds trigonometry is never pushed down.
+    `bounds AND outer AND (inner OR exact)`: the same rows as `inner OR (outer AND exact)`, since
+    inner lies inside outer and both inside the bounds, but with conjuncts of plain comparisons
+    that parquet statistics can use. Several shapes repeat their bounds as a conjunct of their
+    own, because an OR that holds trigonometry is never pushed down. `budget` is how many ranges
+    of cells may be written out; `floor` the least order they are found at.
     """
     listed = shapes(regions)
     drawn = [shape for shape in listed if not isinstance(shape, Moc)]
@@ -120,15 +121,20 @@ def region_sql(
     if mocs and index is None:
         raise ValueError("a moc is tested against a HEALPix column; name one and its order")
 
-    tests = [shape_test(df, shape, ra, dec) for shape in drawn]
+    bounds = [coordinate_bounds(df, shape, ra, dec) for shape in drawn]
+    if len(listed) == 1 and drawn:
+        fronts, tests = [bounds[0] or "true"], [exact_test(drawn[0], ra, dec)]
+    else:
+        fronts = [any_sql(bounds)] if drawn and not mocs and all(bounds) else []
+        tests = [
+            all_sql([bound, exact_test(shape, ra, dec)]) if bound else exact_test(shape, ra, dec)
+            for bound, shape in zip(bounds, drawn, strict=True)
+        ]
     # Inward on a coarser column: a cell only partly in a moc has rows that are not.
     tests += [index.between(moc.ranges, outward=False) or "false" for moc in mocs]
-    exact, fronts = any_sql(tests), []
-    bounds = [coordinate_bounds(df, shape, ra, dec) for shape in drawn]
-    if len(drawn) > 1 and not mocs and all(b is not None for b in bounds):
-        fronts.append(any_sql(bounds))
+    exact = any_sql(tests)
     if drawn and index is not None and prefilter and len(listed) <= COVERED_SHAPES:
-        inner, outer = ranges_of(df.sparkSession, listed, floor)
+        inner, outer = ranges_of(df.sparkSession, listed, floor, budget)
         if outer != [(0, cell_count(MAX_ORDER))]:
             fronts.append(index.between(outer, outward=True) or "false")
         sure = index.between(inner, outward=False)
@@ -154,6 +160,10 @@ def where_region(df: DataFrame, regions, ra: str | None = "ra", dec: str | None
         in_moc = _flag_moc(df, *named)
         hit = F.col("__in_moc") | region_column(in_moc, drawn, ra, dec, **options)
         return in_moc.where(hit).select(*[F.col(f"`{name}`") for name in df.columns])
+    if len(listed) > COVERED_SHAPES and all(isinstance(shape, Circle) for shape in listed):
+        rows = [(shape.ra, shape.dec, shape.radius) for shape in listed]
+        circles = df.sparkSession.createDataFrame(rows, "ra double, dec double, radius double")
+        return where_any_circle(df, circles, position=(ra, dec))
     return df.where(region_sql(df, listed, ra, dec, **options))
 
 

@@ -24,6 +24,8 @@ from skyframe.sources import partitions as tables
 
 # Orders below a partition's own at which it is classified.
 DETAIL = 2
+# Ranges of cells in front of the rows of all the partitions on a region's boundary together.
+RANGES = 48
 # Past this many partitions a scan is given the dataset's root rather than a list of paths; the
 # region's ranges still skip files by their statistics.
 LISTED_PATHS = 20_000
@@ -184,7 +186,9 @@ class Catalog:
     def _in_region(self, df: DataFrame, regions) -> DataFrame:
         ra, dec = self.position or (None, None)
         column, order = self.healpix or (None, None)
-        return where_region(df, regions, ra, dec, healpix=column, healpix_order=order, floor=self.deepest + DETAIL)
+        return where_region(
+            df, regions, ra, dec, healpix=column, healpix_order=order, floor=self.deepest + DETAIL, budget=RANGES
+        )
 
     def _identified(self, df: DataFrame, column: str, values) -> DataFrame:
         """The rows with one of the values, row groups narrowed by the cells the index gives."""

@@ -205,9 +205,15 @@ def _list_type(field: Field) -> str:
     return f"array<{_FLOATS.get(field.datatype, 'boolean')}>"
 
 
-def read_votable(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
-    """The rows of a folder of TABLEDATA documents, typed by their FIELDs."""
-    fields = fields_of(spark, path)
+def read_votable(
+    spark: SparkSession, path: str, names: str | None = None, fields_from: str | None = None
+) -> DataFrame:
+    """The rows of a folder of TABLEDATA documents, typed by their FIELDs.
+
+    Finding the FIELDs of every document, to see that they agree, is a pass over all of them.
+    `fields_from` is the caller's word that they do: the one document to read them from.
+    """
+    fields = fields_of(spark, fields_from or path)
     reader = spark.read.format("xml").option("rowTag", "TR").schema("TD array<string>")
     reader = reader.option("ignoreSurroundingSpaces", "false").option("nullValue", "\0")
     if names is not None:

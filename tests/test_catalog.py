@@ -11,7 +11,7 @@ import pytest
 from conftest import separation
 from pyspark.sql import functions as F
 
-from skyframe.functions.healpix import cell_center
+from skyframe.functions.healpix import cell_center, healpix_index
 from skyframe.operators.regions import Circle, Moc, Zone
 from skyframe.sources import catalog as module
 from skyframe.sources.catalog import open_catalog
@@ -25,8 +25,8 @@ def rows(spark):
     """64 rows in each of four cells of order 3, at the centres of its cells of order 6."""
     cells = spark.range(64 * 64, 68 * 64).withColumn("k", F.lit(6))
     ra, dec = cell_center(F.col("k"), F.col("id"))
-    found = cells.select("id", ra.alias("ra"), dec.alias("dec")).orderBy("id").collect()
-    return [(n, r.ra, r.dec, r.id << 46) for n, r in enumerate(found)]
+    placed = cells.select("id", ra.alias("ra"), dec.alias("dec")).withColumn("cell", healpix_index("ra", "dec"))
+    return [(n, r.ra, r.dec, r.cell) for n, r in enumerate(placed.orderBy("id").collect())]
 
 
 def write(root, rows, coordinates=pa.float64(), suffix=".parquet", info=True, cells=False, common=False):

@@ -165,6 +165,8 @@ def test_a_folder_of_documents(spark, tmp_path):
     for n in range(3):
         document(tmp_path / f"{n}.vot", *[[str(10 * n + i)] for i in range(4)], fields=field)
     assert sorted(r.x for r in read_votable(spark, str(tmp_path)).collect()) == [10 * n + i for n in range(3) for i in range(4)]
+    first = read_votable(spark, str(tmp_path), names="[01].vot", fields_from=str(tmp_path / "2.vot"))
+    assert first.columns == ["x"] and first.count() == 8
     document(tmp_path / "other.vot", ["1"], fields='<FIELD name="y" datatype="int"/>')
     with pytest.raises(ValueError, match="differ"):
         read_votable(spark, str(tmp_path))
