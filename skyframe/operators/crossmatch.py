@@ -118,7 +118,8 @@ def _with_radius(df: DataFrame, radius) -> tuple[DataFrame, float, list[int]]:
         return df.withColumns({"__radius": F.lit(float(radius)), "__level": F.lit(0)}), finest, [0]
     value = number(radius)
     df = df.withColumn("__radius", F.least(value, F.lit(180.0)))
-    df = df.where(F.col("__radius").isNotNull() & ~F.isnan("__radius") & (value >= 0.0))
+    # Also neither null nor NaN, which `least` passes over and a comparison takes for large.
+    df = df.where((value >= 0.0) & ~F.isnan(value))
     doublings = F.log2(F.greatest(2.0 * F.col("__radius"), F.lit(FINEST_ZONE)) / FINEST_ZONE)
     level = F.ceil(doublings / 2.0)
     df = df.withColumn("__level", level.cast("int"))
@@ -155,7 +156,8 @@ def crossmatch(
     probe, finest, levels = _with_radius(left, radius)
     probe = _probe(_placed(probe, *left_position), finest)
     home = _home(_placed(right, *right_position), finest, levels)
-    listed = small_left and small(left)
+    # Measured as it would be handed out, every copy counted.
+    listed = small_left and small(probe)
     if split_hot and not listed and not right.isStreaming and not left.isStreaming:
         hot = hot_keys(probe, home, _KEY, hot_rows)
     else:
@@ -235,9 +237,9 @@ def where_any_circle(
     given = circles.select(
         number(ra).alias("__cra"), number(dec).alias("__cdec"), number(radius).alias("__cradius")
     ).distinct()
-    listed = small(given)
     disks, finest, levels = _with_radius(given, "__cradius")
     probe = _probe(_placed(disks, "__cra", "__cdec"), finest, keep_level=True)
+    listed = small(probe)
     # Named apart from the circles' own: an outer reference whose name the subquery also knows,
     # even in a projection further down, would be resolved to that.
     home = _placed(df, *position).selectExpr("*", f"{_HERE[0]} AS __at_ra", f"{_HERE[1]} AS __at_dec")

@@ -140,6 +140,13 @@ def test_small_measures_rows_and_bytes(spark):
     assert not small(df, max_bytes=50_000)
 
 
+def test_a_row_without_a_radius_is_in_no_pair(sides):
+    left, right = sides
+    radii = F.expr("CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN double('NaN') WHEN 2 THEN -1D ELSE 1D END")
+    wanted = brute(lambda i: 1.0 if i % 4 == 3 else -1.0)
+    assert pairs_of(crossmatch(left.withColumn("r", radii), right, "r")) == wanted
+
+
 def test_a_negative_radius_is_refused(sides):
     with pytest.raises(ValueError):
         crossmatch(*sides, -1.0)
