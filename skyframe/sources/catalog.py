@@ -8,17 +8,20 @@ paths to read, which a scan needs there in any case.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyframe.functions.healpix import DEFAULT_INDEX, MAX_ORDER, shift_left, shift_right
+from skyframe.functions.geometry import PAD
+from skyframe.functions.healpix import CELL_RADIUS, DEFAULT_INDEX, MAX_ORDER, shift_left, shift_right
 from skyframe.operators.coverage import BOUNDARY, INSIDE, OUTSIDE, cap_steps, shape_cover
+from skyframe.operators.crossmatch import where_any_circle
 from skyframe.operators.projection import select_columns, where_text
-from skyframe.operators.region_filter import region_column, where_region
-from skyframe.operators.regions import Moc, merged, shapes
+from skyframe.operators.region_filter import COVERED_SHAPES, region_column, where_region
+from skyframe.operators.regions import Circle, Moc, merged, shapes
 from skyframe.sources import index as indexes
 from skyframe.sources import partitions as tables
 
@@ -115,6 +118,10 @@ class Catalog:
         drawn = [shape for shape in listed if not isinstance(shape, Moc)]
         spans = merged([span for shape in listed if isinstance(shape, Moc) for span in shape.ranges])
         chosen = self.partitions.select("*", F.lit(OUTSIDE).alias("cover"))
+        if len(drawn) > COVERED_SHAPES:
+            circles = [shape for shape in drawn if isinstance(shape, Circle)]
+            drawn = [shape for shape in drawn if not isinstance(shape, Circle)]
+            chosen = _circles_cover(chosen, circles)
         if drawn:
             chosen = _drawn_cover(chosen, drawn)
         if spans:
@@ -318,6 +325,31 @@ def _drawn_cover(cells: DataFrame, drawn) -> DataFrame:
     )
 
 
+def _circles_cover(cells: DataFrame, circles: list[Circle]) -> DataFrame:
+    """`cover` raised to Boundary where any of many circles reaches a partition's cap.
+
+    The circles are a table here and the partitions' centres are joined with it by position, each
+    order with the circles widened by the radius of its cells.
+    """
+    rows = [(shape.ra, shape.dec, shape.radius) for shape in circles]
+    table = cells.sparkSession.createDataFrame(rows, "ra double, dec double, radius double")
+    reached = []
+    for (order,) in cells.select("Norder").distinct().collect():
+        wide = F.least(F.col("radius") + CELL_RADIUS / (1 << order) + PAD, F.lit(180.0))
+        centres = cells.where(F.col("Norder") == order).select("Norder", "Npix", "centre_ra", "centre_dec")
+        position = ("centre_ra", "centre_dec")
+        reached.append(where_any_circle(centres, table.withColumn("radius", wide), position=position, split_hot=False))
+    if not reached:
+        return cells
+    marks = reduce(DataFrame.unionByName, reached).select("Norder", "Npix", F.lit(BOUNDARY).alias("m"))
+    return _raised(cells, marks)
+
+
+def _raised(cells: DataFrame, marks: DataFrame) -> DataFrame:
+    marked = cells.join(marks, ["Norder", "Npix"], "left")
+    return marked.withColumn("cover", F.greatest("cover", F.coalesce("m", F.lit(OUTSIDE)))).drop("m")
+
+
 def _moc_cover(cells: DataFrame, moc: Moc) -> DataFrame:
     """`cover` raised to how each partition lies to a moc: two equi-joins on whole cells.
 
@@ -335,9 +367,7 @@ def _moc_cover(cells: DataFrame, moc: Moc) -> DataFrame:
     ).distinct()
     reached = cells.join(down, ["Norder", "Npix"], "left_semi").select("Norder", "Npix")
     marks = inside.unionByName(reached.withColumn("m", F.lit(BOUNDARY)))
-    marks = marks.groupBy("Norder", "Npix").agg(F.max("m").alias("m"))
-    marked = cells.join(marks, ["Norder", "Npix"], "left")
-    return marked.withColumn("cover", F.greatest("cover", F.coalesce("m", F.lit(OUTSIDE)))).drop("m")
+    return _raised(cells, marks.groupBy("Norder", "Npix").agg(F.max("m").alias("m")))
 
 
 _TABLES = {"info": tables.from_partition_info, "listing": tables.from_listing, "data": tables.from_data}

@@ -1,4 +1,5 @@
-"""The partitions of a catalog, as a table: `Norder, Npix, lo, hi, rows, bytes, path`.
+"""The partitions of a catalog, as a table: `Norder, Npix, lo, hi, rows, bytes, path` and the cell's
+centre, `centre_ra, centre_dec`.
 
 `lo` and `hi` are the cell's span of order-29 indices, half open. A catalog's partitions are
 disjoint and the table is ordered by span wherever order matters.
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.functions.healpix import MAX_ORDER, end_index, first_index
+from skyframe.functions.healpix import MAX_ORDER, cell_center, end_index, first_index
 
 PATH_CELL = r"Norder=(\d+)/(?:.*/)?Npix=(\d+)"
 
@@ -37,7 +38,10 @@ def _finished(df: DataFrame, root: str, suffix: str) -> DataFrame:
         F.lit(f"{root}/dataset/Norder="), F.col("Norder"), F.lit("/Dir="), folder,
         F.lit("/Npix="), F.col("Npix"), F.lit(suffix.rstrip("/")),
     )
-    return df.select("Norder", "Npix", "lo", "hi", "rows", "bytes", path.alias("path"))
+    ra, dec = cell_center(F.col("Norder"), F.col("Npix"))
+    return df.select(
+        "Norder", "Npix", "lo", "hi", "rows", "bytes", path.alias("path"), ra.alias("centre_ra"), dec.alias("centre_dec")
+    )
 
 
 def from_partition_info(spark: SparkSession, root: str, suffix: str = ".parquet") -> DataFrame:

@@ -87,6 +87,15 @@ def test_circles_reach_one_some_and_all_partitions(plain, rows, centre, radius):
     assert ids(plain.select(Circle(*centre, radius), where="id % 2 = 0", columns=["id"])) == [i for i in wanted if i % 2 == 0]
 
 
+def test_many_circles_choose_partitions(plain, rows, centre):
+    many = [Circle(centre[0] + 0.01 * i, centre[1] + 0.01 * (i % 9), 0.3 + 0.001 * i) for i in range(90)]
+    many += [Circle(200.0 + i, -60.0, 1.0) for i in range(30)]
+    wanted = [r[0] for r in rows if any(separation((c.ra, c.dec), r[1:3]) <= c.radius for c in many)]
+    assert wanted and ids(plain.select(many)) == wanted
+    assert plain.plan(many).count() < 4
+    assert ids(plain.select([*many, Zone((0.0, 360.0), (-90.0, 90.0))])) == [r[0] for r in rows]
+
+
 def test_partitions_far_off_are_not_read(plain, centre):
     near = plain.plan(Circle(*centre, 0.5)).collect()
     assert [row.Npix for row in near] == [64]
