@@ -9,8 +9,10 @@ from skyframe.operators.crossmatch import crossmatch
 from skyframe.operators.limits import capped
 from skyframe.operators.regions import Circle, Moc, Zone
 from skyframe.plans.inputs import (
+    BEACONS,
     DETECTIONS,
     STARS,
+    beacons,
     cell_sql,
     detections,
     in_circle_sql,
@@ -113,6 +115,15 @@ def catalog_union(spark, sf_dir):
     return star_catalog(spark, sf_dir).select(_PLAN, columns=["event_id", "_healpix_29"])
 
 
+@query(
+    f"WITH {_PLACED}, {BEACONS} {_CELL} FROM placed WHERE value > 20 AND EXISTS (SELECT 1 FROM beacons b WHERE "
+    f"{in_circle_sql('placed.ra', 'placed.dec', '1.5', 'b.')})"
+)
+def catalog_many_circles(spark, sf_dir):
+    circles = beacons(spark, sf_dir).select("ra", "dec", F.lit(1.5).alias("radius"))
+    return star_catalog(spark, sf_dir).select_circles(circles, "value > 20", ["event_id", "_healpix_29"])
+
+
 @query(
     f"WITH {_PLACED} {_CELL} FROM placed WHERE cell BETWEEN 1000000000000000000 AND 1300000000000000000"
 )

@@ -121,7 +121,8 @@ class Catalog:
         if len(drawn) > COVERED_SHAPES:
             circles = [shape for shape in drawn if isinstance(shape, Circle)]
             drawn = [shape for shape in drawn if not isinstance(shape, Circle)]
-            chosen = _circles_cover(chosen, circles)
+            rows = [(shape.ra, shape.dec, shape.radius) for shape in circles]
+            chosen = _circles_cover(chosen, self.spark.createDataFrame(rows, "ra double, dec double, radius double"))
         if drawn:
             chosen = _drawn_cover(chosen, drawn)
         if spans:
@@ -168,6 +169,20 @@ class Catalog:
         """
         return self._shaped(self._rows(regions, where, identifiers), columns)
 
+    def select_circles(
+        self, circles: DataFrame, where: str | Column | None = None, columns: list[str] | None = None
+    ) -> DataFrame:
+        """Rows in any circle of a table of `ra`, `dec`, `radius`, each row once: a list of sources
+        of any length, of which the partitions it reaches are read."""
+        if self.position is None:
+            raise ValueError("this catalog does not name its position columns")
+        circles = circles.select(*[F.col(name).cast("double").alias(name) for name in ("ra", "dec", "radius")])
+        cells = _circles_cover(self.partitions.select("*", F.lit(OUTSIDE).alias("cover")), circles)
+        rows = where_any_circle(self.read(cells.where(F.col("cover") != OUTSIDE)), circles, position=self.position)
+        if where is not None:
+            rows = where_text(rows, where) if isinstance(where, str) else rows.where(where)
+        return self._shaped(rows, columns)
+
     def _shaped(self, df: DataFrame, columns: list[str] | None) -> DataFrame:
         df = df.select(*[F.col(f"`{name}`") for name in self.schema.names])
         return df if columns is None else select_columns(df, columns)
@@ -325,20 +340,18 @@ def _drawn_cover(cells: DataFrame, drawn) -> DataFrame:
     )
 
 
-def _circles_cover(cells: DataFrame, circles: list[Circle]) -> DataFrame:
-    """`cover` raised to Boundary where any of many circles reaches a partition's cap.
+def _circles_cover(cells: DataFrame, circles: DataFrame) -> DataFrame:
+    """`cover` raised to Boundary where any circle of a table reaches a partition's cap.
 
-    The circles are a table here and the partitions' centres are joined with it by position, each
-    order with the circles widened by the radius of its cells.
+    The partitions' centres are joined with the circles by position, each order with the circles
+    widened by the radius of its cells.
     """
-    rows = [(shape.ra, shape.dec, shape.radius) for shape in circles]
-    table = cells.sparkSession.createDataFrame(rows, "ra double, dec double, radius double")
     reached = []
     for (order,) in cells.select("Norder").distinct().collect():
         wide = F.least(F.col("radius") + CELL_RADIUS / (1 << order) + PAD, F.lit(180.0))
         centres = cells.where(F.col("Norder") == order).select("Norder", "Npix", "centre_ra", "centre_dec")
         position = ("centre_ra", "centre_dec")
-        reached.append(where_any_circle(centres, table.withColumn("radius", wide), position=position, split_hot=False))
+        reached.append(where_any_circle(centres, circles.withColumn("radius", wide), position=position, split_hot=False))
     if not reached:
         return cells
     marks = reduce(DataFrame.unionByName, reached).select("Norder", "Npix", F.lit(BOUNDARY).alias("m"))
