@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyframe.operators.skew import lookup, small
+
 # Copies of one row that a single task writes out.
 COPIES = 100_000
 
@@ -45,16 +47,29 @@ def intersect_all(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def in_(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """`column IN (SELECT ...)`."""
-    return df.join(values.toDF(column).distinct(), column, "left_semi").select(*df.columns)
+    return _marked(df, column, values.toDF(column).where(F.col(column).isNotNull()).distinct(), True)
 
 
 def not_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """`column NOT IN (SELECT ...)`: no row at all once a value is null, every row if there is no
-    value. Asked first, so that the join is an ordinary anti-join that need not be broadcast."""
+    value. Asked first, so that the join is an ordinary one and need not be broadcast."""
     values = values.toDF(column).distinct()
     seen = values.agg(F.count("*").alias("n"), F.count_if(F.col(column).isNull()).alias("nulls")).first()
     if seen.n == 0:
         return df
     if seen.nulls:
         return df.where(F.lit(False))
-    return df.where(F.col(column).isNotNull()).join(values, column, "left_anti").select(*df.columns)
+    return _marked(df.where(F.col(column).isNotNull()), column, values, False)
+
+
+def _marked(df: DataFrame, column: str, values: DataFrame, wanted: bool) -> DataFrame:
+    """The rows whose column is, or is not, one of some distinct values.
+
+    Values that measure few are handed out and nothing is shuffled. More are looked up, which
+    splits a hot value of the column.
+    """
+    if small(values):
+        how = "left_semi" if wanted else "left_anti"
+        return df.join(F.broadcast(values), column, how).select(*[F.col(f"`{name}`") for name in df.columns])
+    found = lookup(df, values.withColumn("__in", F.lit(True)), [column])
+    return found.where(F.col("__in").isNotNull() if wanted else F.col("__in").isNull()).drop("__in")

@@ -22,6 +22,7 @@ from skyframe.operators.crossmatch import where_any_circle
 from skyframe.operators.projection import select_columns, where_text
 from skyframe.operators.region_filter import COVERED_SHAPES, region_column, where_region
 from skyframe.operators.regions import Circle, Moc, merged, shapes
+from skyframe.operators.sets import in_
 from skyframe.sources import index as indexes
 from skyframe.sources import partitions as tables
 
@@ -224,7 +225,7 @@ class Catalog:
                     df = df.where(F.col(name).isin([cell[0] for cell in cells]))
         if isinstance(values, DataFrame):
             wanted = values.select(F.col(column).cast(self.schema[column].dataType).alias(column))
-            return df.join(wanted.distinct(), column, "left_semi")
+            return in_(df, column, wanted)
         return df.where(F.col(column).isin(list(values)))
 
     # ---- front of the catalog, and order by the index ----

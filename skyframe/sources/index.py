@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyframe.operators.sets import in_
+
+# Values that are looked up as a list; more are a join.
+LISTED_VALUES = 1_000
+
 
 def read_index(spark: SparkSession, root: str, column: str) -> DataFrame:
     """An index catalog. Without the two columns that name a partition it is not one."""
@@ -18,12 +23,15 @@ def read_index(spark: SparkSession, root: str, column: str) -> DataFrame:
 def entries(index: DataFrame, column: str, values) -> DataFrame:
     """The index rows of the wanted values: what partition, and where in it if the index says.
 
-    A short list is an IN over the index, which its sorted files' statistics answer; a table of
-    values is a semi-join, whose size Spark decides the strategy by.
+    Few values, given as a list or found to be few, are an IN over the index, which the statistics
+    of its sorted files answer. More are joined.
     """
     if isinstance(values, DataFrame):
-        wanted = values.select(F.col(column).cast(index.schema[column].dataType).alias(column))
-        return index.join(wanted.distinct(), column, "left_semi")
+        wanted = values.select(F.col(column).cast(index.schema[column].dataType).alias(column)).distinct()
+        few = wanted.limit(LISTED_VALUES + 1).collect()
+        if len(few) > LISTED_VALUES:
+            return in_(index, column, wanted)
+        values = [row[0] for row in few]
     return index.where(F.col(column).isin(list(dict.fromkeys(values))))
 
 

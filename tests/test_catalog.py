@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skyframe.functions.healpix import cell_center, healpix_index
 from skyframe.operators.regions import Circle, Moc, Zone
 from skyframe.sources import catalog as module
+from skyframe.sources import index as indexes
 from skyframe.sources.catalog import open_catalog
 from skyframe.sources.partitions import from_data, from_listing, from_partition_info
 
@@ -212,7 +213,9 @@ def test_identifiers_choose_partitions(collection, rows):
     ]
 
 
-def test_a_table_of_identifiers(spark, collection, rows):
+@pytest.mark.parametrize("listed", [1_000, 2])
+def test_a_table_of_identifiers(spark, collection, rows, monkeypatch, listed):
+    monkeypatch.setattr(indexes, "LISTED_VALUES", listed)
     wanted = spark.createDataFrame([(i,) for i in (1, 1, 70, 255, 999)], "id int")
     assert ids(collection.select(identifiers={"id": wanted})) == [1, 70, 255]
 

@@ -110,10 +110,13 @@ def test_sets_with_copies(spark, rows, monkeypatch):
         assert table(ours, *ours.columns) == table(theirs, *theirs.columns)
 
 
-def test_not_in_follows_nulls(spark, rows):
+@pytest.mark.parametrize("handed_out", [True, False])
+def test_not_in_follows_nulls(spark, rows, monkeypatch, handed_out):
+    monkeypatch.setattr(sets, "small", lambda _: handed_out)
     none, some = spark.sql("SELECT 1L AS x WHERE false"), spark.sql("SELECT 1L AS x")
     unknown = spark.sql("SELECT * FROM VALUES (1L), (NULL) AS t(x)")
     assert sets.not_in(rows, "k", none).count() == 900
     assert sets.not_in(rows, "k", unknown).count() == 0
     assert sets.not_in(rows, "k", some).count() == rows.where("k <> 1").count()
     assert sets.in_(rows, "k", unknown).count() == rows.where("k = 1").count()
+    assert sets.in_(rows, "k", unknown).columns == rows.columns
