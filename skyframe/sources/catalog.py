@@ -95,8 +95,16 @@ class Catalog:
     def plan(self, regions=None, identifiers: dict | None = None) -> DataFrame:
         """The partitions a selection reads, in catalog order, and whether their rows still need
         the region's test: the partition table with `cover` and `needs_test`. No row is read."""
+        return self._plan(regions, self._listed(identifiers))
+
+    def _listed(self, identifiers: dict | None) -> dict:
+        """The identifiers with their values as lists where they are few."""
+        given = (identifiers or {}).items()
+        return {column: indexes.listed(values, self.schema[column].dataType, column) for column, values in given}
+
+    def _plan(self, regions, identifiers: dict) -> DataFrame:
         chosen = self._covered(regions)
-        for column, values in (identifiers or {}).items():
+        for column, values in identifiers.items():
             if column in self.indexes:
                 named = indexes.partitions_of(self._entries(column, values))
                 chosen = chosen.join(named, ["Norder", "Npix"], "left_semi")
@@ -189,7 +197,8 @@ class Catalog:
         return df if columns is None else select_columns(df, columns)
 
     def _rows(self, regions, where, identifiers) -> DataFrame:
-        chosen = self.plan(regions, identifiers).select("path", "needs_test").limit(LISTED_PATHS + 1).collect()
+        identifiers = self._listed(identifiers)
+        chosen = self._plan(regions, identifiers).select("path", "needs_test").limit(LISTED_PATHS + 1).collect()
         if len(chosen) > LISTED_PATHS:
             df = self._scan(None)
             df = df if regions is None else self._in_region(df, regions)
@@ -200,7 +209,7 @@ class Catalog:
             if edge:
                 tested = self._in_region(self._scan(edge), regions)
                 df = tested if len(edge) == len(chosen) else sure.unionByName(tested)
-        for column, values in (identifiers or {}).items():
+        for column, values in identifiers.items():
             df = self._identified(df, column, values)
         if where is not None:
             df = where_text(df, where) if isinstance(where, str) else df.where(where)
@@ -214,19 +223,18 @@ class Catalog:
         )
 
     def _identified(self, df: DataFrame, column: str, values) -> DataFrame:
-        """The rows with one of the values, row groups narrowed by the cells the index gives."""
+        """The rows with one of the values. A list's rows are also narrowed by the cells the index
+        gives, which prune row groups; a table's are left to the join."""
+        if isinstance(values, DataFrame):
+            return in_(df, column, values)
         if column in self.indexes and self.healpix is not None:
             name, _ = self.healpix
             found = self._entries(column, values)
             if name in found.columns:
-                # Few cells prune row groups as a list; more than a list holds are left to the join.
                 cells = found.select(F.col(name).cast("bigint")).distinct().limit(LISTED_CELLS + 1).collect()
                 if len(cells) <= LISTED_CELLS:
                     df = df.where(F.col(name).isin([cell[0] for cell in cells]))
-        if isinstance(values, DataFrame):
-            wanted = values.select(F.col(column).cast(self.schema[column].dataType).alias(column))
-            return in_(df, column, wanted)
-        return df.where(F.col(column).isin(list(values)))
+        return df.where(F.col(column).isin(values))
 
     # ---- front of the catalog, and order by the index ----
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyframe.operators.sets import in_
 
@@ -20,19 +21,24 @@ def read_index(spark: SparkSession, root: str, column: str) -> DataFrame:
     return index
 
 
+def listed(values, data_type: T.DataType, column: str):
+    """Wanted values as a list where they are few, else as a table of distinct ones."""
+    if not isinstance(values, DataFrame):
+        return list(dict.fromkeys(values))
+    wanted = values.select(F.col(column).cast(data_type).alias(column)).distinct()
+    few = wanted.limit(LISTED_VALUES + 1).collect()
+    return wanted if len(few) > LISTED_VALUES else [row[0] for row in few]
+
+
 def entries(index: DataFrame, column: str, values) -> DataFrame:
     """The index rows of the wanted values: what partition, and where in it if the index says.
 
-    Few values, given as a list or found to be few, are an IN over the index, which the statistics
-    of its sorted files answer. More are joined.
+    A list is an IN over the index, which the statistics of its sorted files answer. A table is
+    joined.
     """
     if isinstance(values, DataFrame):
-        wanted = values.select(F.col(column).cast(index.schema[column].dataType).alias(column)).distinct()
-        few = wanted.limit(LISTED_VALUES + 1).collect()
-        if len(few) > LISTED_VALUES:
-            return in_(index, column, wanted)
-        values = [row[0] for row in few]
-    return index.where(F.col(column).isin(list(dict.fromkeys(values))))
+        return in_(index, column, values.select(F.col(column).cast(index.schema[column].dataType).alias(column)))
+    return index.where(F.col(column).isin(values))
 
 
 def partitions_of(found: DataFrame) -> DataFrame:
