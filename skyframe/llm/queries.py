@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyframe.llm.chat import conversation_nodes, format_branches, masked_texts, parsed
 from skyframe.llm.decontamination import contaminated
 from skyframe.llm.language import fit, identify
 from skyframe.llm.lines import drop_frequent_lines
 from skyframe.llm.packing import pack
 from skyframe.llm.scoring import interpolated_scores
+from skyframe.llm.secrets import find_secrets, written
 from skyframe.llm.simhash import near_duplicates
 from skyframe.llm.tables import remainder
+from skyframe.llm.topk import top_k
+from skyframe.llm.urls import ALLOW, BLOCK, Rule, judge
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -50,12 +54,78 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_TOP = """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+    FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query(_TOP)
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+_CHAT = r"""
+WITH own AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (SELECT *, 6 + length(role) + 1 + length(regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g')) + 8 AS size FROM own)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(size)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query(_CHAT)
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    formatted = format_branches(conversation_nodes(rows.unionByName(extra)), keep=1)
+    read_back = formatted.select(
+        F.col("tree.conv_id").alias("conv_id"),
+        "formatted",
+        parsed(F.col("formatted")).alias("turns"),
+        F.array_join(masked_texts(F.col("formatted"), F.col("loss_spans")), "").alias("loss"),
+    )
+    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read_back.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 @query()
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return packed.select("row.doc_id", *[name for name in packed.columns if name != "row"])
 
 
+@query()
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "row.doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
 @query()
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -100,3 +170,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang_score").alias("score"),
         "accepted",
     )
+
+
+URL_RULES = [
+    Rule("com/en/", BLOCK),
+    Rule("example.com/en/7", ALLOW),
+    Rule("net/de/", ALLOW),
+    Rule("example.net/de/8", BLOCK),
+    Rule("org/es/", BLOCK),
+]
+
+
+@query()
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
