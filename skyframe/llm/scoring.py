@@ -8,7 +8,8 @@ from the counts that the estimates are then taken from.
 How it moves. Texts are dealt into chunks by hash. A chunk names the distinct n-grams that it
 holds, as hashes in ascending order, with their counts, cut by range of hash into shards. A shard
 adds up what all chunks say and answers each chunk with the totals of the n-grams it named, in the
-order it named them, so an answer is a list of counts and no key travels back. A chunk then scores
+order it named them, so an answer is a list of counts and no key travels back. Hashes in ascending
+order are sent as the steps between them. A chunk then scores
 its texts from the answers. An n-gram that is everywhere is one entry a chunk, so no shard is hot;
 chunks and shards both grow in number with the input.
 """
@@ -71,16 +72,27 @@ def _grams(texts: list[bytes | None], order: int) -> tuple[list[np.ndarray], np.
     return grams, ends
 
 
-def _cuts(distinct: np.ndarray, shards: int) -> np.ndarray:
+def _cuts(distinct: np.ndarray, shards: int) -> list[int]:
     """Where each shard's range begins and ends among sorted hashes."""
     limits = np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(distinct, limits), [len(distinct)])).astype(np.int32)
+    return [0, *np.searchsorted(distinct, limits).tolist(), len(distinct)]
 
 
-_NAMED = "shard int, chunk int, n int, grams array<bigint>, counts array<bigint>"
+_NAMED = "shard int, chunk int, n int, grams binary, counts binary"
 _ANSWERED = "chunk int, shard int, n int, every array<bigint>, rest array<bigint>"
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Integers with all their first bytes together, then all second ones, and so on: the upper
+    bytes of small ones are zero, which a shuffle's compression then takes to nothing."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _unplaned(buffers: list[bytes], kind) -> list[np.ndarray]:
+    size = np.dtype(kind).itemsize
+    return [np.frombuffer(b, np.uint8).reshape(size, -1).T.copy().view(kind).ravel() for b in buffers]
+
+
 def _named(order: int, shards: int):
     """Of every batch, for each chunk and n: its distinct n-grams with their learned counts."""
 
@@ -96,17 +108,23 @@ def _named(order: int, shards: int):
                 weight = np.repeat(learned[at], sizes)
                 for n, keys in enumerate(grams, 1):
                     distinct, where = np.unique(keys, return_inverse=True)
-                    counts = np.bincount(where, weight, len(distinct)).astype(np.int64)
-                    cuts = pa.array(_cuts(distinct, shards))
-                    columns = [
-                        pa.array(np.arange(shards, dtype=np.int32)),
-                        pa.array(np.full(shards, chunk, np.int32)),
-                        pa.array(np.full(shards, n, np.int32)),
-                        pa.ListArray.from_arrays(cuts, pa.array(distinct.view(np.int64))),
-                        pa.ListArray.from_arrays(cuts, pa.array(counts)),
-                    ]
-                    out = pa.RecordBatch.from_arrays(columns, ["shard", "chunk", "n", "grams", "counts"])
-                    yield out.filter(pa.array(np.diff(cuts.to_numpy()) > 0))
+                    counts = np.bincount(where, weight, len(distinct)).astype(np.int32)
+                    cuts, rows = _cuts(distinct, shards), []
+                    for shard, (low, high) in enumerate(zip(cuts[:-1], cuts[1:])):
+                        if low < high:
+                            steps = np.diff(distinct[low:high], prepend=np.uint64(0))
+                            rows.append((shard, _planes(steps), _planes(counts[low:high])))
+                    columns = list(zip(*rows)) if rows else [[], [], []]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(columns[0], pa.int32()),
+                            pa.array(np.full(len(rows), chunk, np.int32)),
+                            pa.array(np.full(len(rows), n, np.int32)),
+                            pa.array(columns[1], pa.binary()),
+                            pa.array(columns[2], pa.binary()),
+                        ],
+                        ["shard", "chunk", "n", "grams", "counts"],
+                    )
 
     return run
 
@@ -121,15 +139,16 @@ def _answered(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     numbers = table.column("n").to_numpy()
     for n in np.unique(numbers):
         part = table.filter(pa.array(numbers == n))
-        grams = part.column("grams").combine_chunks()
-        sizes = np.diff(grams.offsets.to_numpy())
-        keys = grams.flatten().to_numpy().view(np.uint64)
-        counts = part.column("counts").combine_chunks().flatten().to_numpy().astype(np.float64)
-        chunks = np.repeat(part.column("chunk").to_numpy(), sizes).astype(np.int64)
+        lists = _unplaned(part.column("grams").to_pylist(), np.uint64)
+        keys = np.concatenate([np.cumsum(steps) for steps in lists])
+        counts = np.concatenate(_unplaned(part.column("counts").to_pylist(), np.int32))
+        chunks = np.repeat(part.column("chunk").to_numpy(), list(map(len, lists)))
+        del lists, part
         distinct, where = np.unique(keys, return_inverse=True)
+        del keys
         every = np.bincount(where, counts, len(distinct)).astype(np.int64)
         rest = every - np.bincount(where, counts * (chunks % HELD == 0), len(distinct)).astype(np.int64)
-        pairs = np.unique(chunks * len(distinct) + where)
+        pairs = np.unique(chunks.astype(np.int64) * len(distinct) + where)
         chunks, where = pairs // len(distinct), pairs % len(distinct)
         begins = np.concatenate((np.flatnonzero(np.diff(chunks, prepend=-1)), [len(chunks)]))
         for a, b in zip(begins[:-1], begins[1:]):

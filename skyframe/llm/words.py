@@ -29,6 +29,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mixed((np.arange(1, 257, dtype=np.uint64)) * np.uint64(_BASE))
+_STRETCH = 1 << 16
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -56,14 +57,20 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
+        """A stretch of the buffer at a time, so that sums and powers stay in the cache."""
         data = np.frombuffer(self.data, np.uint8)
-        if not len(self.starts):
-            return np.empty(0, np.uint64)
-        up, down = _powers_to(len(data))
-        sums = np.empty(len(data) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-        return mixed((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        out = np.empty(len(self.starts), np.uint64)
+        cuts = np.searchsorted(self.starts, np.arange(0, len(data) + _STRETCH, _STRETCH))
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            if low == high:
+                continue
+            begin, end = int(self.starts[low]), int(self.ends[high - 1])
+            up, down = _powers_to(end - begin)
+            sums = np.zeros(end - begin + 1, np.uint64)
+            np.cumsum(_BYTE[data[begin:end]] * up[: end - begin], out=sums[1:])
+            starts, ends = self.starts[low:high] - begin, self.ends[low:high] - begin
+            out[low:high] = (sums[ends] - sums[starts]) * down[starts]
+        return mixed(out)
 
 
 def words_of(texts: list[bytes | None]) -> Words:
