@@ -20,10 +20,13 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local session that names none gets one."""
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="skyframe-llm-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if given.isEmpty():
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skyframe-llm-"))
+            given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = given.get()
     return root.rstrip("/")
 
 
