@@ -12,6 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyframe.functions.geometry import (
     NEAR_ONE,
@@ -200,18 +201,24 @@ def nearest_match(
     """The nearest right row of every left row that has one, ties to the smallest `tie`.
 
     A minimum over a struct, and not a window: partial minima are taken before the shuffle, so a
-    left row with very many matches never has them all in one task.
+    left row with very many matches never has them all in one task. `key` need not tell the left
+    rows apart: rows that share it are kept apart by their other columns, and copies of a row are
+    counted first and written out again. Maps among the left columns are refused.
     """
-    pairs = crossmatch(left, right, radius, separation=separation, suffix=suffix, **options)
     keys = [key] if isinstance(key, str) else list(key)
+    if any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in left.schema.fields):
+        raise ValueError("a left row with a map in it cannot be told from its copies")
+    left = left.groupBy(*[F.col(f"`{name}`") for name in left.columns]).agg(F.count("*").alias("__copies"))
+    pairs = crossmatch(left, right, radius, separation=separation, suffix=suffix, **options)
     names = _unique(right.columns, left.columns, suffix)
     first = [separation, names[tie]]
     rest = [name for name in names.values() if name not in first]
     best = F.min(F.struct(*[F.col(f"`{name}`") for name in first + rest])).alias("__best")
-    kept = [name for name in left.columns if name not in keys]
-    grouped = pairs.groupBy(*keys).agg(*[F.first(F.col(f"`{name}`")).alias(name) for name in kept], best)
-    return grouped.select(
-        *[F.col(f"`{name}`") for name in left.columns],
+    apart = F.xxhash64(*[F.col(f"`{name}`") for name in left.columns]).alias("__row")
+    kept = [F.first(F.col(f"`{name}`")).alias(name) for name in left.columns if name not in keys]
+    grouped = pairs.groupBy(*[F.col(f"`{name}`") for name in keys], apart).agg(*kept, best)
+    return grouped.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(
+        *[F.col(f"`{name}`") for name in left.columns if name != "__copies"],
         *[F.col(f"__best.`{names[name]}`").alias(names[name]) for name in right.columns],
         F.col(f"__best.`{separation}`").alias(separation),
     )
@@ -249,7 +256,7 @@ def where_any_circle(
         at = probe.where(F.col("__level") == level)
         hot = HotKeys()
         if split_hot and not listed and not df.isStreaming:
-            hot = HotKeys(right=hot_keys(at, here, _KEY, hot_rows).right)
+            hot = hot_keys(at.limit(0), here, _KEY, hot_rows)
         at = salted(at, _KEY, hot, "left")
         own = [f"__key{level}", f"__salt{level}", "__at_ra", "__at_dec"]
         home = salted(here, _KEY, hot, "right").withColumnsRenamed(

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A key is hot above this share of its side, so at most 1 / HOT_SHARE keys can be.
-HOT_SHARE = 1 / 1000
-# Below this many rows a key is not worth splitting, whatever its share.
+from skyframe.sources.files import shared_folder
+
+# Rows of one key that a task is given: what a task holds, whatever the table's size.
 HOT_ROWS = 100_000
-# How many keys the heavy-hitter sketch follows; its error stays well below HOT_SHARE.
-TRACKED = 10_000
 
 # Copies of one row that stay together when they are counted instead of shuffled.
 COPIES = 1_000
@@ -24,40 +22,45 @@ BROADCAST_BYTES = 64 << 20
 
 @dataclass(frozen=True)
 class HotKeys:
-    """How many ways each hot key is split, on each side of a join."""
+    """The hot keys of a join with how many ways each is split on each side, as a stored table of
+    `key`, `__lways` and `__rways`; none if there is no hot key."""
 
-    left: dict[int, int] = field(default_factory=dict)
-    right: dict[int, int] = field(default_factory=dict)
+    table: DataFrame | None = None
 
     def __bool__(self) -> bool:
-        return bool(self.left or self.right)
+        return self.table is not None
+
+    def _ways(self, side: str) -> dict[int, int]:
+        rows = self.table.where(F.col(side) > 1).collect() if self else []
+        return {row["key"]: row[side] for row in rows}
 
-    def rows(self) -> list[tuple[int, int, int]]:
-        return [(key, self.left.get(key, 1), self.right.get(key, 1)) for key in {**self.left, **self.right}]
+    @property
+    def left(self) -> dict[int, int]:
+        return self._ways("__lways")
+
+    @property
+    def right(self) -> dict[int, int]:
+        return self._ways("__rways")
 
 
 def hot_keys(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> HotKeys:
-    """The hot values of a bigint join key on each side.
+    """The values of a bigint join key that more than `hot_rows` rows of a side have.
 
-    One pass over the keys alone, into a heavy-hitter sketch of fixed size per side: nothing is
-    shuffled but the sketches, and what reaches the driver is at most 1 / HOT_SHARE keys a side.
-    The counts only choose how finely a key is split, so an approximate one changes no answer.
+    Counted, in one pass over the keys of both sides with partial counts before the shuffle, so a
+    key is found however many others there are. The table is written to the shared folder: there
+    are at most rows / hot_rows of them, which is not few at every size.
     """
-    top = f"approx_top_k({key}, {round(1 / HOT_SHARE)}, {TRACKED})"
-    sides = (
-        left.select(F.lit(0).alias("side"), key)
-        .unionByName(right.select(F.lit(1).alias("side"), key))
-        .groupBy("side")
-        .agg(F.expr(top).alias("top"), F.count(F.lit(1)).alias("total"))
-        .collect()
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    both = left.select(F.col(key).alias("key"), one.alias("l"), none.alias("r")).unionByName(
+        right.select(F.col(key).alias("key"), none.alias("l"), one.alias("r"))
     )
-    found: list[dict[int, int]] = [{}, {}]
-    for row in sides:
-        target = max(hot_rows, int(row.total * HOT_SHARE))
-        for entry in row.top:
-            if entry["count"] > target and entry["item"] is not None:
-                found[row.side][entry["item"]] = -(-entry["count"] // target)
-    return HotKeys(*found)
+    counts = both.where("key IS NOT NULL").groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    ways = {f"__{side}ways": F.ceil(F.greatest(F.col(side), one) / hot_rows).cast("int") for side in ("l", "r")}
+    hot = counts.where((F.col("l") > hot_rows) | (F.col("r") > hot_rows)).withColumns(ways).drop("l", "r")
+    path = shared_folder(left.sparkSession, "hot-keys")
+    hot.write.parquet(path)
+    table = left.sparkSession.read.schema(hot.schema).parquet(path)
+    return HotKeys(None if table.isEmpty() else table)
 
 
 def _hashable(df: DataFrame) -> list[str]:
@@ -66,9 +69,9 @@ def _hashable(df: DataFrame) -> list[str]:
     return [f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, nested)]
 
 
-def ways_table(spark: SparkSession, key: str, hot: HotKeys) -> DataFrame:
-    """The hot keys and how many ways each is split: at most 2 / HOT_SHARE rows of three integers."""
-    return F.broadcast(spark.createDataFrame(hot.rows(), f"{key} bigint, __lways int, __rways int"))
+def ways_table(key: str, hot: HotKeys) -> DataFrame:
+    """The hot keys under the name that `key` has in a join, handed out if they measure few."""
+    return broadcast_if_small(hot.table.withColumnRenamed("key", key))
 
 
 def salted(df: DataFrame, key: str, hot: HotKeys, side: str, own: Column | None = None) -> DataFrame:
@@ -82,7 +85,7 @@ def salted(df: DataFrame, key: str, hot: HotKeys, side: str, own: Column | None
         return df.withColumns({"__lsalt": F.lit(0), "__rsalt": F.lit(0)})
     mine, other = ("__lways", "__rways") if side == "left" else ("__rways", "__lways")
     number = F.xxhash64(*_hashable(df.drop(key))) if own is None else own
-    df = df.join(ways_table(df.sparkSession, key, hot), key, "left").withColumns(
+    df = df.join(ways_table(key, hot), key, "left").withColumns(
         {
             "__own": F.coalesce(F.pmod(number, F.col(mine)), F.lit(0)).cast("int"),
             "__each": F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)),
@@ -120,9 +123,8 @@ def split_join(left: DataFrame, right: DataFrame, key: str, right_key: str, resi
     if not hot:
         return left.join(right, plain & residual)
     names = [*left.columns, *right.columns]
-    spark = left.sparkSession
-    keys = ways_table(spark, key, hot).select(key)
-    right_keys = ways_table(spark, right_key, hot).select(right_key)
+    keys = ways_table(key, hot).select(key)
+    right_keys = ways_table(right_key, hot).select(right_key)
     cold = left.join(keys, key, "left_anti").join(right.join(right_keys, right_key, "left_anti"), plain & residual)
 
     def side(df: DataFrame, on: str, wanted: DataFrame, which: str) -> DataFrame:
@@ -145,19 +147,28 @@ def split_join(left: DataFrame, right: DataFrame, key: str, right_key: str, resi
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """`left` with the columns of a table that has one row per key, nulls being a key too.
 
-    A hot key of the left is split by a hash of its rows, and the one row it meets is copied.
+    A hot key's rows have their copies counted, which a hash could not part, are split, and meet a
+    copy each of the one row there is; then each is written out as often as it was there.
     """
     added = [name for name in right.columns if name not in keys]
-    left_names = left.columns
+    columns = [F.col(f"a.`{name}`") for name in left.columns] + [F.col(f"b.`{name}`") for name in added]
     left = left.withColumn("__key", F.xxhash64(*keys))
     right = right.withColumn("__key", F.xxhash64(*keys))
-    hot = HotKeys(left=hot_keys(left, right.limit(0), "__key", hot_rows).left)
-    left, right = salted(left, "__key", hot, "left").alias("a"), salted(right, "__key", hot, "right").alias("b")
-    on = (F.col("a.__key") == F.col("b.__key")) & (F.col("a.__lsalt") == F.col("b.__lsalt"))
+    hot = hot_keys(left, right.limit(0), "__key", hot_rows)
+    on = F.col("a.__key") == F.col("b.__key")
     for key in keys:
         on = on & F.col(f"a.`{key}`").eqNullSafe(F.col(f"b.`{key}`"))
-    columns = [F.col(f"a.`{name}`") for name in left_names] + [F.col(f"b.`{name}`") for name in added]
-    return left.join(right, on, "left").select(*columns)
+    if not hot:
+        return left.alias("a").join(right.alias("b"), on, "left").select(*columns)
+    wanted = ways_table("__key", hot).select("__key")
+    cold = left.join(wanted, "__key", "left_anti").alias("a").join(right.alias("b"), on, "left").select(*columns)
+    few = _collapsed(left.join(wanted, "__key", "left_semi"), "__copies")
+    spread = F.xxhash64(*_hashable(few.drop("__key", "__copies_chunk"))) + F.col("__copies_chunk")
+    few = salted(few, "__key", hot, "left", own=spread).alias("a")
+    on = on & (F.col("a.__lsalt") == F.col("b.__lsalt"))
+    found = few.join(salted(right, "__key", hot, "right").alias("b"), on, "left")
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("a.__copies")))
+    return cold.unionByName(found.select(*columns, copies.alias("__copy")).drop("__copy"))
 
 
 def _row_bytes(df: DataFrame) -> Column:

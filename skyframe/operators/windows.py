@@ -1,27 +1,68 @@
 """Window functions that no one group can hold up.
 
 Spark's own window gives a whole group to one task. That is what is used while no group is hot.
-Where a heavy-hitter sketch finds one that is, rows are cut by range of (group, order) into
-pieces, the window runs inside each piece, and a summary of the pieces, one row each, supplies
-what came before. Everything else is built on that numbering: a lag is an equi-join on
-(group, number - 1), a frame of rows a sum over the few numbers it covers.
+Where one holds more rows than a task should, rows are cut by range of (group, order) into pieces,
+the window runs inside each piece, and a summary of the pieces, one row each, supplies what came
+before. That numbers the rows. A function that looks a bounded number of rows back and ahead then
+runs in stretches of numbers, each with as many of its neighbours' rows as the function can see.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from skyframe.operators.skew import HOT_ROWS, HOT_SHARE, TRACKED, lookup
+from skyframe.operators.skew import HOT_ROWS, lookup
 from skyframe.sources.files import shared_folder
 
 
 def has_hot_group(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
-    """Whether a group holds more rows than one task should be given."""
-    top = f"approx_top_k(g, {round(1 / HOT_SHARE)}, {TRACKED})"
-    found = df.select(F.xxhash64(*keys).alias("g")).agg(F.expr(top).alias("top"), F.count("*").alias("n")).first()
-    limit = max(hot_rows, int(found.n * HOT_SHARE))
-    return any(entry["count"] > limit for entry in found.top or [])
+    """Whether a group holds more rows than one task should be given. Counted before the shuffle."""
+    return not df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows).isEmpty()
+
+
+def windowed(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    columns: dict[str, Callable[[WindowSpec], Column]],
+    frame: tuple[int, int] | None = None,
+    reach: tuple[int, int] = (0, 0),
+    ends: dict[str, tuple[str, str]] | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """`df` with, for each name, what a function makes of a window over the group in `order`.
+
+    `frame` is ROWS BETWEEN these offsets, negative before the row. Without one, `reach` says how
+    many rows before and after it the functions look at, as LAG and LEAD do. `ends` names columns
+    that hold the first or last value of the group: name to ("first" or "last", value). Any order
+    keys, directions and null order; the order has to tell the rows of a group apart.
+    """
+    ends = ends or {}
+    before, after = reach if frame is None else (max(0, -frame[0]), max(0, frame[1]))
+    if not has_hot_group(df, keys, hot_rows):
+        plain = Window.partitionBy(*keys).orderBy(*order)
+        whole = plain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        own = plain if frame is None else plain.rowsBetween(*frame)
+        at = {"first": F.first, "last": F.last}
+        made = {name: make(own) for name, make in columns.items()}
+        return df.withColumns({**made, **{name: at[which](value).over(whole) for name, (which, value) in ends.items()}})
+    rows = numbered(df, keys, order, "__rn", hot_rows)
+    # A stretch of numbers, and every stretch that can see the row.
+    stretch = lambda shift: F.floor((F.col("__rn") - 1 + shift) / hot_rows)
+    seen = F.sequence(F.greatest(stretch(-after), F.lit(0).cast("bigint")), stretch(before))
+    parts = rows.withColumns({"__own": stretch(0), "__part": F.explode(seen)})
+    inside = Window.partitionBy(*keys, "__part").orderBy("__rn")
+    own = inside if frame is None else inside.rowsBetween(*frame)
+    done = parts.withColumns({name: make(own) for name, make in columns.items()})
+    done = done.where(F.col("__part") == F.col("__own")).drop("__own", "__part")
+    if ends:
+        at = {"first": F.min_by, "last": F.max_by}
+        values = [at[which](value, "__rn").alias(name) for name, (which, value) in ends.items()]
+        done = lookup(done, rows.groupBy(*keys).agg(*values), keys, hot_rows)
+    return done.drop("__rn")
 
 
 def running_sums(
@@ -38,7 +79,9 @@ def running_sums(
     # Written, and not only planned: the cut points are drawn from the data, and both uses of the
     # pieces below have to see the same ones, also after a lost executor.
     path = shared_folder(df.sparkSession, "pieces")
-    rows.repartitionByRange(*keys, *order).withColumn("__piece", F.spark_partition_id()).write.parquet(path)
+    # As many as the rows ask for: adaptive execution would merge them into as many as their bytes do.
+    cuts = max(2, -(-rows.count() // hot_rows))
+    rows.repartitionByRange(cuts, *keys, *order).withColumn("__piece", F.spark_partition_id()).write.parquet(path)
     rows = df.sparkSession.read.parquet(path)
     at = [*keys, "__piece"]
     inside = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -52,7 +95,10 @@ def running_sums(
     pieces = F.broadcast(pieces.where("__nth > 0")).alias("p")
     rows = rows.withColumns({f"__i_{name}": F.sum(f"__v_{name}").over(inside) for name in sums}).alias("r")
     same = [F.col(f"r.{key}").eqNullSafe(F.col(f"p.{key}")) for key in at]
-    totals = [(F.col(f"__i_{name}") + F.coalesce(f"__b_{name}", F.lit(0))).alias(name) for name in sums]
+    # Null as long as no value has been seen, in this piece or before it.
+    totals = [
+        F.coalesce(F.col(f"__i_{name}") + F.col(f"__b_{name}"), f"__i_{name}", f"__b_{name}").alias(name) for name in sums
+    ]
     return rows.join(pieces, same, "left").select(*[F.col(f"r.`{column}`") for column in names], *totals)
 
 
@@ -67,18 +113,28 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "r
     return running_sum(df, keys, order, F.lit(1).cast("bigint"), name, hot_rows)
 
 
-def ranked(df: DataFrame, keys: list[str], by: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+def ranked(
+    df: DataFrame, keys: list[str], by: Column | list[str], hot_rows: int = HOT_ROWS, order: list[Column] | None = None
+) -> DataFrame:
     """`RANK` and `DENSE_RANK` of each row as `rk` and `dr`, ties in `by` alike.
 
-    Ties are counted before anything is ordered, so however many there are they are one row.
+    `by` is a value, ascending, or names of columns that `order` puts in an order of its own, of
+    any direction and null order. Where a group is hot, ties are counted before anything is
+    ordered, so however many there are they are one row.
     """
-    df = df.withColumn("__by", by)
-    # The sort direction is part of `by`; what ties is the value under it.
-    levels = df.groupBy(*keys, "__by").agg(F.count("*").alias("__n"))
+    names = by if isinstance(by, list) else ["__by"]
+    df = df if isinstance(by, list) else df.withColumn("__by", by)
+    order = order or [F.col(f"`{name}`") for name in names]
+    if not has_hot_group(df, keys, hot_rows):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        # As the branch below has them, so that which one ran does not show in the types.
+        ranks = {"rk": F.rank().over(w).cast("bigint"), "dr": F.dense_rank().over(w).cast("bigint")}
+        return df.withColumns(ranks).drop("__by")
+    levels = df.groupBy(*keys, *names).agg(F.count("*").alias("__n"))
     sums = {"__upto": F.col("__n"), "dr": F.lit(1).cast("bigint")}
-    levels = running_sums(levels, keys, [F.col("__by")], sums, hot_rows)
-    levels = levels.select(*keys, "__by", (F.col("__upto") - F.col("__n") + 1).alias("rk"), "dr")
-    return lookup(df, levels, [*keys, "__by"], hot_rows).drop("__by")
+    levels = running_sums(levels, keys, order, sums, hot_rows)
+    levels = levels.select(*keys, *names, (F.col("__upto") - F.col("__n") + 1).alias("rk"), "dr")
+    return lookup(df, levels, list(dict.fromkeys([*keys, *names])), hot_rows).drop("__by")
 
 
 def with_group_size(df: DataFrame, keys: list[str], name: str = "size", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -102,21 +158,26 @@ def tile(number: Column, size: Column, parts: int) -> Column:
     return F.when(number <= wide, in_wide).otherwise(over + F.floor((number - 1 - wide) / F.greatest(least, F.lit(1))) + 1)
 
 
+def _beside(rows: DataFrame, others: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """`rows` with the column `name` of the row of `others` that has the same keys, null being one."""
+    on = [F.col(f"r.`{key}`").eqNullSafe(F.col(f"o.`{key}`")) for key in keys]
+    joined = rows.alias("r").join(others.alias("o"), on, "left")
+    return joined.select(*[F.col(f"r.`{column}`") for column in rows.columns], F.col(f"o.`{name}`"))
+
+
 def shifted(rows: DataFrame, keys: list[str], value: str, by: int, name: str, number: str = "rn") -> DataFrame:
     """`LAG(value, by)` of numbered rows, or `LEAD` where `by` is negative: an equi-join on the
-    group and the number, which spreads a hot group evenly."""
+    group and the number, for rows that are numbered already and whose groups may be hot."""
     others = rows.select(*keys, (F.col(number) + by).alias(number), F.col(value).alias(name))
-    return rows.join(others, [*keys, number], "left")
+    return _beside(rows, others, [*keys, number], name)
 
 
 def frame_sum(
-    rows: DataFrame, keys: list[str], value: str, preceding: int, name: str, number: str = "rn"
+    rows: DataFrame, keys: list[str], value: str, preceding: int, name: str, number: str = "rn", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """`SUM(value)` over the row and the `preceding` before it, of numbered rows."""
-    steps = F.explode(F.sequence(F.lit(0), F.lit(preceding)))
-    parts = rows.select(*keys, number, value, steps.alias("__step"))
-    sums = parts.groupBy(*keys, (F.col(number) + F.col("__step")).alias(number)).agg(F.sum(value).alias(name))
-    return rows.join(sums, [*keys, number], "left")
+    sums = {name: lambda w: F.sum(value).over(w)}
+    return windowed(rows, keys, [F.col(number)], sums, frame=(-preceding, 0), hot_rows=hot_rows)
 
 
 def range_count(
@@ -142,11 +203,14 @@ def range_count(
 
 
 def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The exact median of each group: the middle of its counted values, copies counted first."""
+    """The exact median of each group: the middle of its counted values, copies counted first.
+
+    Null is a group as any other, and a group without a value has a null median.
+    """
+    every = df.groupBy(*keys).agg(F.count(value).alias("__all"))
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"))
     counts = running_sum(counts, keys, [F.col(value)], F.col("__n"), "__upto", hot_rows)
-    counts = counts.join(sizes, keys)
+    counts = lookup(counts, every, keys, hot_rows)
     low, high = F.floor((F.col("__all") + 1) / 2), F.floor(F.col("__all") / 2) + 1
 
     def holds(position: Column) -> Column:
@@ -154,4 +218,5 @@ def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median
 
     middle = counts.where(holds(low) | holds(high))
     weight = F.when(holds(low) & holds(high), 2).otherwise(1)
-    return middle.groupBy(*keys).agg((F.sum(F.col(value) * weight) / F.sum(weight)).alias(name))
+    found = middle.groupBy(*keys).agg((F.sum(F.col(value) * weight) / F.sum(weight)).alias(name))
+    return _beside(every.drop("__all"), found, keys, name)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from skyframe.functions.healpix import cell_center, healpix_index
+from skyframe.functions.sql import register
 from skyframe.operators.crossmatch import crossmatch
 from skyframe.operators.limits import capped
 from skyframe.operators.regions import Circle, Moc, Zone
@@ -23,7 +26,7 @@ from skyframe.plans.inputs import (
 from skyframe.plans.registry import query
 from skyframe.sources import partitions as tables
 from skyframe.sources.catalog import open_catalog
-from skyframe.sources.files import first_rows
+from skyframe.sources.files import first_rows, shared_folder
 
 # Every star with its order-29 cell and the partition it is in, by the checking SQL's own formula.
 _PLACED = (
@@ -229,3 +232,63 @@ def cell_centres(spark, sf_dir):
 @query("SELECT event_id, value FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 200")
 def file_front_filtered(spark, sf_dir):
     return first_rows(spark, f"{sf_dir}/events.parquet", 200, ["event_id", "value"], where="event_type = 'click'")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 100")
+def file_front_partitioned(spark, sf_dir):
+    """A folder of one file, with a column in the name of a folder."""
+    path = shared_folder(spark, "front")
+    rows = table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", "event_type")
+    rows.orderBy("event_id").limit(100).coalesce(1).write.partitionBy("event_type").parquet(path)
+    return first_rows(spark, path, 100, ["event_id", "event_type"])
+
+
+@query(
+    f"WITH {_PLACED}, thirds AS (SELECT DISTINCT Norder, Npix FROM placed WHERE Npix % 3 = 0) "
+    f"{_CELL} FROM placed JOIN thirds USING (Norder, Npix)"
+)
+def catalog_read_listed(spark, sf_dir):
+    """Chosen partitions past the number that is handed over as a list."""
+    catalog = dataclasses.replace(star_catalog(spark, sf_dir), listed_paths=2)
+    return catalog.read(catalog.partitions.where("Npix % 3 = 0")).select("event_id", "_healpix_29")
+
+
+_ONE_FILE = "(SELECT count(DISTINCT (Norder, Npix)) FROM placed WHERE event_id IN (7, 42))"
+
+
+@query(f"WITH {_PLACED} {_CELL}, {_ONE_FILE} AS partitions FROM placed WHERE event_id IN (7, 42) AND value > -1")
+def catalog_where_index(spark, sf_dir):
+    """An equality in a predicate goes through the index; the partitions opened are counted."""
+    found = star_catalog(spark, sf_dir).select(where="event_id IN (7, 42) AND value > -1", columns=["event_id", "_healpix_29"])
+    return found.withColumn("partitions", F.lit(_partitions_read(found)).cast("bigint"))
+
+
+def _partitions_read(df) -> int:
+    """Partitions whose files a plan opens."""
+    return len({path.rpartition("/")[0] for path in df.inputFiles()})
+
+
+_LOW, _HIGH = 3 << 56, (3 << 56) + (1 << 55)
+
+
+@query(
+    f"WITH {_PLACED} {_CELL}, (SELECT count(DISTINCT (Norder, Npix)) FROM placed WHERE Npix << (2 * (29 - Norder)) <= {_HIGH} "
+    f"AND (Npix + 1) << (2 * (29 - Norder)) > {_LOW}) AS partitions FROM placed WHERE cell BETWEEN {_LOW} AND {_HIGH}"
+)
+def catalog_where_cells(spark, sf_dir):
+    """A range of cells written by hand opens the partitions it reaches and no other."""
+    where = f"_healpix_29 BETWEEN {_LOW} AND {_HIGH}"
+    found = star_catalog(spark, sf_dir).select(where=where, columns=["event_id", "_healpix_29"])
+    return found.withColumn("partitions", F.lit(_partitions_read(found)).cast("bigint"))
+
+
+@query(
+    f"WITH {_PLACED} SELECT event_type, count(*) AS n, true AS pruned FROM placed WHERE {in_circle_sql(45, -20, 6)} GROUP BY event_type"
+)
+def catalog_sql_region(spark, sf_dir):
+    """A circle in the text of a statement chooses the partitions that the statement reads."""
+    register(spark)
+    catalog = star_catalog(spark, sf_dir)
+    found = catalog.sql("SELECT event_type, event_id FROM {catalog} WHERE sky_in_circle(ra, dec, 45, -20, 6)")
+    pruned = _partitions_read(found) < catalog.partitions.count() / 4
+    return found.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("pruned", F.lit(pruned))

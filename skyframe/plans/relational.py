@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyframe.operators import sets
 from skyframe.operators.limits import top
-from skyframe.operators.sets import in_, not_in
+from skyframe.operators.sets import compared, in_, not_in
 from skyframe.operators.skew import HOT_ROWS
 from skyframe.operators.windows import (
     frame_sum,
@@ -15,9 +15,9 @@ from skyframe.operators.windows import (
     numbered,
     range_count,
     ranked,
-    shifted,
+    running_sum,
     tile,
-    with_ends,
+    windowed,
     with_group_size,
 )
 from skyframe.plans.inputs import rounded, table
@@ -137,6 +137,32 @@ def not_in_subquery(spark, sf_dir):
     return not_in(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", even)
 
 
+# A column of which a third is one value, and nothing beside it that tells its rows apart.
+_HOT = "if(event_id % 3 = 0, 1, user_id)"
+
+
+def _hot_rows(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr(f"{_HOT} AS who")
+
+
+_HOT_SQL = "(SELECT CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS who FROM events)"
+
+
+@query(f"SELECT who, count(*) AS n FROM {_HOT_SQL} WHERE who IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 1) GROUP BY who")
+def semi_join_hot(spark, sf_dir):
+    """Copies of one row under a hot value, split and all there."""
+    wanted = table(spark, sf_dir, "customer").where("c_custkey % 2 = 1").select("c_custkey")
+    found = in_(_hot_rows(spark, sf_dir), "who", wanted, handed_out=False, hot_rows=500)
+    return found.groupBy("who").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT who, count(*) AS n FROM {_HOT_SQL} WHERE who NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY who")
+def not_in_hot(spark, sf_dir):
+    refused = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey")
+    found = not_in(_hot_rows(spark, sf_dir), "who", refused, handed_out=False, hot_rows=500)
+    return found.groupBy("who").agg(F.count("*").alias("n"))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1.5 * (SELECT avg(o_totalprice) FROM orders)")
 def scalar_subquery(spark, sf_dir):
     return _sql(
@@ -160,12 +186,26 @@ def correlated_subquery(spark, sf_dir):
 
 @query("SELECT s_suppkey FROM supplier WHERE s_acctbal > ALL (SELECT s_acctbal - 5000 FROM supplier WHERE s_nationkey < 3)")
 def set_comparison(spark, sf_dir):
-    return _sql(
-        spark, sf_dir,
-        # ALL as a comparison with the greatest, and true of an empty set.
-        "WITH few AS (SELECT count(*) AS n, max(s_acctbal - 5000) AS most FROM {supplier} WHERE s_nationkey < 3) "
-        "SELECT s_suppkey FROM {supplier} WHERE (SELECT n FROM few) = 0 OR s_acctbal > (SELECT most FROM few)",
-        "supplier",
+    suppliers = table(spark, sf_dir, "supplier")
+    few = suppliers.where("s_nationkey < 3").selectExpr("s_acctbal - 5000 AS least")
+    return suppliers.where(compared(F.col("s_acctbal"), ">", "ALL", few)).select("s_suppkey")
+
+
+@query(
+    "SELECT s_suppkey, s_acctbal > ALL (SELECT nullif(s_nationkey, 3) * 100 FROM supplier) AS over_all, "
+    "s_acctbal > ANY (SELECT nullif(s_nationkey, 3) * 100 FROM supplier) AS over_any, "
+    "s_acctbal <= ALL (SELECT s_acctbal FROM supplier WHERE s_nationkey < 0) AS of_none FROM supplier"
+)
+def set_comparison_nulls(spark, sf_dir):
+    suppliers = table(spark, sf_dir, "supplier")
+    some = suppliers.selectExpr("nullif(s_nationkey, 3) * 100 AS least")
+    none = suppliers.where("s_nationkey < 0").select("s_acctbal")
+    balance = F.col("s_acctbal")
+    return suppliers.select(
+        "s_suppkey",
+        compared(balance, ">", "ALL", some).alias("over_all"),
+        compared(balance, ">", "ANY", some).alias("over_any"),
+        compared(balance, "<=", "ALL", none).alias("of_none"),
     )
 
 
@@ -261,22 +301,30 @@ def statistics(spark, sf_dir):
     return moments.join(middles, "l_returnflag")
 
 
-@query("SELECT count(*) > 0 AS near, count(*) > 0 AS middle FROM lineitem")
+@query(
+    "SELECT l_returnflag, round(count(DISTINCT l_partkey) / count(DISTINCT l_partkey), 0)::DOUBLE AS parts, "
+    "quantile_disc(l_quantity, 0.5)::DOUBLE AS half, quantile_disc(l_quantity, 0.9)::DOUBLE AS most FROM lineitem GROUP BY 1"
+)
 def approximate_statistics(spark, sf_dir):
-    """Approximate answers lie near the exact ones; the exact ones are in the same row."""
-    items = table(spark, sf_dir, "lineitem").withColumn("one", F.lit(1))
-    got = items.groupBy("one").agg(
-        F.approx_count_distinct("l_partkey", 0.02).alias("about"),
-        F.count_distinct("l_partkey").alias("exact"),
-        F.percentile_approx("l_quantity", 0.5, 10_000).alias("half"),
-    )
-    got = got.join(group_median(items, ["one"], "l_quantity"), "one")
-    return got.select(
-        (F.abs(F.col("about") - F.col("exact")) <= 0.1 * F.col("exact")).alias("near"),
-        (F.abs(F.col("half") - F.col("median")) <= 1).alias("middle"),
+    """Sketches as values: a count as a share of the exact one, rounded to its tolerance, and
+    percentiles at an accuracy that the number of distinct values makes exact."""
+    about = F.approx_count_distinct("l_partkey", 0.02) / F.count_distinct("l_partkey")
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        F.round(about, 0).alias("parts"),
+        F.percentile_approx("l_quantity", 0.5, 10_000).cast("double").alias("half"),
+        F.percentile_approx("l_quantity", 0.9, 10_000).cast("double").alias("most"),
     )
 
 
+@query(
+    "SELECT nullif(l_linenumber, 2) AS line, median(if(l_linenumber = 5, NULL, l_quantity)) AS middle FROM lineitem GROUP BY 1"
+)
+def median_null_group(spark, sf_dir):
+    """A group of nulls, and one that has no value."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("nullif(l_linenumber, 2) AS line", "if(l_linenumber = 5, NULL, l_quantity) AS quantity")
+    return group_median(rows, ["line"], "quantity", "middle")
+
+
 # ---- windows ----
 
 _BY_SEGMENT = "OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)"
@@ -290,11 +338,21 @@ def window_rank(spark, sf_dir):
     keys, order = ["c_nationkey"], [F.col("c_acctbal").desc(), F.col("c_custkey")]
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     rows = with_group_size(numbered(rows, keys, order), keys)
-    # With the key in the order no two rows tie, and every rank is the row's number.
-    number = F.col("rn")
-    return rows.select(
-        "c_custkey", "rn", number.alias("rk"), number.alias("dr"), tile(number, F.col("size"), 4).alias("quarter")
+    rows = ranked(rows, keys, ["c_acctbal", "c_custkey"], order=order)
+    return rows.select("c_custkey", "rn", "rk", "dr", tile(F.col("rn"), F.col("size"), 4).alias("quarter"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY nullif(l_linenumber, 3) ORDER BY l_returnflag DESC, nullif(l_quantity, 7) DESC NULLS LAST) AS rk, "
+    "dense_rank() OVER (PARTITION BY nullif(l_linenumber, 3) ORDER BY l_returnflag DESC, nullif(l_quantity, 7) DESC NULLS LAST) AS dr FROM lineitem"
+)
+def window_rank_desc(spark, sf_dir):
+    """Two keys, both descending, ties, nulls last, and a group of nulls."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_returnflag", "nullif(l_linenumber, 3) AS line", "nullif(l_quantity, 7) AS quantity"
     )
+    order = [F.col("l_returnflag").desc(), F.col("quantity").desc_nulls_last()]
+    return ranked(rows, ["line"], ["l_returnflag", "quantity"], order=order).select("l_orderkey", "l_linenumber", "rk", "dr")
 
 
 @query(
@@ -319,13 +377,55 @@ def window_lag(spark, sf_dir):
 
 
 def window_lag_of(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    keys = ["user_id"]
-    rows = numbered(rows, keys, [F.col("ts"), F.col("event_id")], hot_rows=hot_rows)
-    rows = shifted(shifted(rows, keys, "value", 1, "before"), keys, "value", -1, "after")
-    rows = with_ends(rows, keys, "event_id", "first_id", "last_id", hot_rows=hot_rows)
+    neighbours = {"before": lambda w: F.lag("value").over(w), "after": lambda w: F.lead("value").over(w)}
+    ends = {"first_id": ("first", "event_id"), "last_id": ("last", "event_id")}
+    order = [F.col("ts"), F.col("event_id")]
+    rows = windowed(rows, ["user_id"], order, neighbours, reach=(1, 1), ends=ends, hot_rows=hot_rows)
     return rows.select("event_id", "before", "after", "first_id", "last_id")
 
 
+_BY_TYPE = "OVER (PARTITION BY nullif(event_type, 'click') ORDER BY value DESC NULLS LAST, event_id"
+
+
+@query(
+    f"SELECT event_id, lag(value, 2) {_BY_TYPE}) AS before, max(value) {_BY_TYPE} ROWS BETWEEN 1 PRECEDING AND 3 FOLLOWING) AS high FROM events"
+)
+def window_null_group(spark, sf_dir):
+    """A group of nulls, a descending order, and a frame that reaches ahead."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "value", "nullif(event_type, 'click') AS kind")
+    order = [F.col("value").desc_nulls_last(), F.col("event_id")]
+    rows = windowed(rows, ["kind"], order, {"before": lambda w: F.lag("value", 2).over(w)}, reach=(2, 0))
+    rows = windowed(rows, ["kind"], order, {"high": lambda w: F.max("value").over(w)}, frame=(-1, 3))
+    return rows.select("event_id", "before", "high")
+
+
+@query(
+    "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), 6) AS ahead, "
+    "count(*) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS n FROM events"
+)
+def window_frame_following(spark, sf_dir):
+    return window_following_of(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value"))
+
+
+def window_following_of(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    ahead = {"ahead": lambda w: rounded(F.avg("value").over(w)), "n": lambda w: F.count("*").over(w)}
+    order = [F.col("ts").desc(), F.col("event_id")]
+    rows = windowed(rows, ["user_id"], order, ahead, frame=(1, 4), hot_rows=hot_rows)
+    return rows.select("event_id", "ahead", "n")
+
+
+@query(
+    "SELECT event_id, sum(if(event_id % 3 = 0, NULL, event_id)) OVER "
+    "(PARTITION BY nullif(event_type, 'view') ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM events"
+)
+def window_running_sum_nulls(spark, sf_dir):
+    """Null as long as the group has shown no value, whichever way the group is taken apart."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "ts", "nullif(event_type, 'view') AS kind")
+    value = F.expr("if(event_id % 3 = 0, NULL, event_id)")
+    order = [F.col("ts"), F.col("event_id")]
+    return running_sum(rows, ["kind"], order, value, "total", hot_rows=1_000).select("event_id", "total")
+
+
 @query(
     "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS recent, "
     "count(*) OVER (PARTITION BY user_id ORDER BY value RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS alike FROM events"

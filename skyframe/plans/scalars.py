@@ -253,6 +253,20 @@ def json_rows(spark, sf_dir):
     return rows.select("r.event_id", "odd", "r.kind", "null_written")
 
 
+@query("SELECT event_id, '[{\"at\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.123456\",\"day\":\"' || strftime(ts, '%Y-%m-%d') || '\"}]' AS seen FROM events")
+def json_nested_instants(spark, sf_dir):
+    """Instants inside a list of structs keep all their digits."""
+    path = shared_folder(spark, "json")
+    second = F.date_trunc("second", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz")
+    at = (second + F.expr("INTERVAL 123456 MICROSECONDS")).alias("at")
+    rows = table(spark, sf_dir, "events").select("event_id", F.array(F.struct(at, F.to_date("ts").alias("day"))).alias("seen"))
+    write_json(rows, path)
+    written = spark.read.text(path)
+    return written.select(
+        F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id"), F.get_json_object("value", "$.seen").alias("seen")
+    )
+
+
 @query(
     f"SELECT event_id::VARCHAR AS event_id, {_RATIO.format(inf='inf')}, coalesce(CASE WHEN event_id % 5 <> 0 THEN event_type END, 'NULL') AS kind, "
     "strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM events"

@@ -326,6 +326,22 @@ def match_nearest(spark, sf_dir):
     return best.select("c_custkey", "event_id", rounded("separation").alias("separation"))
 
 
+@query(
+    f"WITH {TARGETS}, {STARS}, twice AS (SELECT c_nationkey AS nation, ra, dec FROM targets UNION ALL SELECT c_nationkey, ra, dec FROM targets WHERE c_custkey % 2 = 0), "
+    f"one AS (SELECT DISTINCT nation, ra, dec FROM twice), best AS (SELECT nation, ra, dec, event_id FROM (SELECT a.*, b.event_id, row_number() OVER "
+    f"(PARTITION BY a.nation, a.ra, a.dec ORDER BY {distance_sql('a.ra', 'a.dec', 'b.ra', 'b.dec')}, b.event_id) AS rn "
+    f"FROM one a JOIN stars b ON {in_circle_sql('b.ra', 'b.dec', 2, 'a.')}) WHERE rn = 1) "
+    "SELECT t.nation, b.event_id, count(*) AS n FROM twice t JOIN best b ON t.nation = b.nation AND t.ra = b.ra AND t.dec = b.dec GROUP BY 1, 2"
+)
+def match_nearest_repeated_key(spark, sf_dir):
+    """A key that many left rows share, and left rows that are there twice."""
+    once = targets(spark, sf_dir).selectExpr("c_custkey", "c_nationkey AS nation", "ra", "dec")
+    left = once.drop("c_custkey").unionByName(once.where("c_custkey % 2 = 0").drop("c_custkey"))
+    right = stars(spark, sf_dir).select("event_id", "ra", "dec")
+    best = nearest_match(left, right, 2.0, key="nation", tie="event_id")
+    return best.groupBy("nation", "event_id").agg(F.count("*").alias("n"))
+
+
 @query(
     f"WITH {STARS} SELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high, "
     f"round(avg(value), 6) AS mean FROM stars WHERE {in_circle_sql(45, -20, 30)} GROUP BY 1 HAVING count(*) > 1"

@@ -7,6 +7,7 @@ paths to read, which a scan needs there in any case.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,22 +17,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyframe.functions.geometry import PAD
-from skyframe.functions.healpix import CELL_RADIUS, DEFAULT_INDEX, MAX_ORDER, shift_left, shift_right
-from skyframe.operators.coverage import BOUNDARY, INSIDE, OUTSIDE, cap_steps, shape_cover
+from skyframe.functions.healpix import CELL_RADIUS, DEFAULT_INDEX, MAX_ORDER, cell_count, shift_left, shift_right
+from skyframe.operators.coverage import BOUNDARY, INSIDE, OUTSIDE, cap_steps, closed_up, shape_cover
 from skyframe.operators.crossmatch import where_any_circle
 from skyframe.operators.projection import select_columns, where_text
 from skyframe.operators.region_filter import COVERED_SHAPES, region_column, where_region
-from skyframe.operators.regions import Circle, Moc, merged, shapes
+from skyframe.operators.regions import Circle, Moc, Zone, merged, shapes
 from skyframe.operators.sets import in_
+from skyframe.operators.skew import broadcast_if_small
 from skyframe.sources import index as indexes
 from skyframe.sources import partitions as tables
+from skyframe.sources.pruning import Constraints, scanned
 
 # Orders below a partition's own at which it is classified.
 DETAIL = 2
 # Ranges of cells in front of the rows of all the partitions on a region's boundary together.
 RANGES = 48
-# Past this many partitions a scan is given the dataset's root rather than a list of paths; the
-# region's ranges still skip files by their statistics.
+# Past this many partitions a scan is given the dataset's root, and rows are joined with the chosen
+# cells; the region's ranges still skip files by their statistics.
 LISTED_PATHS = 20_000
 # Cell values an identifier lookup may turn into an IN list; more are joined.
 LISTED_CELLS = 1_000
@@ -67,6 +70,9 @@ class Catalog:
     schema: T.StructType
     indexes: dict[str, str] = field(default_factory=dict)
     deepest: int = 0
+    # A partition's path, over which predicates are planned.
+    first: str | None = None
+    listed_paths: int = LISTED_PATHS
 
     # ---- what the properties say ----
 
@@ -102,8 +108,10 @@ class Catalog:
         given = (identifiers or {}).items()
         return {column: indexes.listed(values, self.schema[column].dataType, column) for column, values in given}
 
-    def _plan(self, regions, identifiers: dict) -> DataFrame:
+    def _plan(self, regions, identifiers: dict, implied: Constraints | None = None) -> DataFrame:
         chosen = self._covered(regions)
+        if implied is not None:
+            chosen = self._reached(chosen, implied)
         for column, values in identifiers.items():
             if column in self.indexes:
                 named = indexes.partitions_of(self._entries(column, values))
@@ -138,6 +146,35 @@ class Catalog:
             chosen = _moc_cover(chosen, Moc(tuple(spans)))
         return chosen.where(F.col("cover") != OUTSIDE).select(*_PARTITION, "cover")
 
+    def _implied(self, where: str | Column | None) -> Constraints | None:
+        """What a predicate says about the cells, the positions and the indexed columns. It is
+        planned over the first partition's file, which is enough for Spark to resolve it."""
+        if where is None or self.first is None:
+            return None
+        probe = self._scan([self.first])
+        found = scanned(where_text(probe, where) if isinstance(where, str) else probe.where(where), self.first)
+        return found[0] if len(found) == 1 else None
+
+    def _reached(self, chosen: DataFrame, implied: Constraints) -> DataFrame:
+        """The partitions that can hold a row a predicate lets through."""
+        if self.healpix is not None and self.healpix[0] in implied.intervals:
+            column, order = self.healpix
+            shift, top = 2 * (MAX_ORDER - order), cell_count(order) - 1
+            spans = [(max(0, math.ceil(low)), min(top, math.floor(high))) for low, high in
+                     ((max(low, 0), min(high, top)) for low, high in implied.intervals[column])]
+            spans = closed_up([span for span in spans if span[0] <= span[1]], RANGES)
+            reached = [f"(lo < {(high + 1) << shift}L AND hi > {low << shift}L)" for low, high in spans]
+            chosen = chosen.where(" OR ".join(reached) or "false")
+        if self.position is not None and self.position[1] in implied.intervals:
+            zones = _zones(implied.intervals, *self.position)
+            covered = self._covered(zones) if zones else self.partitions.limit(0)
+            chosen = chosen.join(covered.select("Norder", "Npix"), ["Norder", "Npix"], "left_semi")
+        for column, values in implied.values.items():
+            if column in self.indexes and len(values) <= indexes.LISTED_VALUES:
+                named = indexes.partitions_of(self._entries(column, values))
+                chosen = chosen.join(named, ["Norder", "Npix"], "left_semi")
+        return chosen
+
     def within_index_range(self, low: int, high: int) -> DataFrame:
         """The partitions that hold any index value of `low..high`, for a range written by hand."""
         _, order = self.healpix or (None, MAX_ORDER)
@@ -155,8 +192,18 @@ class Catalog:
         """All rows of the chosen partitions, or of the whole catalog, under its one schema."""
         if chosen is None:
             return self._scan(None)
-        found = chosen.select("path").limit(LISTED_PATHS + 1).collect()
-        return self._scan([row.path for row in found] if len(found) <= LISTED_PATHS else None)
+        found = chosen.select("path").limit(self.listed_paths + 1).collect()
+        return self._scan([row.path for row in found]) if len(found) <= self.listed_paths else self._of(chosen)
+
+    def _of(self, chosen: DataFrame, located: bool = False) -> DataFrame:
+        """The rows of chosen partitions that are too many to list: of all files, those that a
+        partition of the table is written in, by the cell that the file's name says."""
+        rows = self._scan(None, located=True)
+        order, pixel = (F.regexp_extract(F.col("__path"), tables.PATH_CELL, k) for k in (1, 2))
+        rows = rows.withColumns({"__order": order.try_cast("int"), "__pixel": pixel.try_cast("bigint")})
+        cells = chosen.select(F.col("Norder").alias("__order"), F.col("Npix").alias("__pixel"))
+        rows = rows.join(broadcast_if_small(cells), ["__order", "__pixel"], "left_semi").drop("__order", "__pixel")
+        return rows if located else rows.drop(*_LOCATION)
 
     def _scan(self, paths: list[str] | None, located: bool = False) -> DataFrame:
         """The catalog's columns out of the given partitions, or all of them; `located` adds
@@ -198,10 +245,12 @@ class Catalog:
 
     def _rows(self, regions, where, identifiers) -> DataFrame:
         identifiers = self._listed(identifiers)
-        chosen = self._plan(regions, identifiers).select("path", "needs_test").limit(LISTED_PATHS + 1).collect()
-        if len(chosen) > LISTED_PATHS:
-            df = self._scan(None)
-            df = df if regions is None else self._in_region(df, regions)
+        plan = self._plan(regions, identifiers, self._implied(where))
+        chosen = plan.select("path", "needs_test").limit(self.listed_paths + 1).collect()
+        if len(chosen) > self.listed_paths:
+            df = self._of(plan.where(~F.col("needs_test")))
+            if regions is not None:
+                df = df.unionByName(self._in_region(self._of(plan.where("needs_test")), regions))
         else:
             sure = self._scan([row.path for row in chosen if not row.needs_test])
             edge = [row.path for row in chosen if row.needs_test]
@@ -298,9 +347,26 @@ class Catalog:
     # ---- the catalog as a table ----
 
     def create_view(self, name: str) -> None:
-        """The whole catalog under a name, for Spark SQL."""
+        """The whole catalog under a name, for Spark SQL. `sql` reads fewer partitions."""
         self._scan(None).createOrReplaceTempView(name)
 
+    def sql(self, statement: str, name: str = "catalog", **tables: DataFrame) -> DataFrame:
+        """A statement that names this catalog as {catalog}, and other tables by their own names.
+
+        The statement is planned once over one file. What Spark pushes down to each place where the
+        catalog is read, comparisons of cells, positions and indexed columns, chooses partitions;
+        the statement then runs over those that any place needs.
+        """
+        rows = self._scan(None)
+        if self.first is not None:
+            probe = self.spark.sql(statement, **{name: self._scan([self.first])}, **tables)
+            places = scanned(probe, self.first)
+            every = self.partitions.select(*_PARTITION, F.lit(INSIDE).alias("cover"))
+            if places and all(place.intervals or place.values for place in places):
+                chosen = reduce(DataFrame.unionByName, [self._reached(every, place) for place in places])
+                rows = self.read(chosen.dropDuplicates(["Norder", "Npix"]))
+        return self.spark.sql(statement, **{name: rows}, **tables)
+
     def contains(self, shape) -> Column:
         """The region test for this catalog's own position and cell columns."""
         ra, dec = self.position or (None, None)
@@ -313,6 +379,23 @@ _LOCATION = {"__path": "file_path", "__row": "row_index"}
 _PARTITION = ["Norder", "Npix", "lo", "hi", "rows", "bytes", "path"]
 
 
+def _zones(intervals: dict[str, list[tuple]], ra: str, dec: str) -> list[Zone]:
+    """Zones that hold every position in some intervals of its coordinates. An interval of ra may
+    be written under any turn, and is one zone however often it is."""
+    zones = {}
+    for south, north in intervals[dec]:
+        low, high = max(-90.0, south - PAD), min(90.0, north + PAD)
+        if low > high:
+            continue
+        for west, east in intervals.get(ra, [(0.0, 360.0)]):
+            if east - west + 2 * PAD >= 360.0:
+                zones[0, 360, low] = Zone((0.0, 360.0), (low, high))
+            else:
+                start = (west - PAD) % 360.0
+                zones[round(start, 6), round(east - west, 6), low] = Zone((start, start + (east - west) + 2 * PAD), (low, high))
+    return list(zones.values())
+
+
 def _shares_cell(one, other, shift: int) -> bool:
     low, high = sorted([one, other], key=lambda cell: cell.lo)
     return shift > 0 and (high.lo >> shift) <= ((low.hi - 1) >> shift)
@@ -427,18 +510,18 @@ def open_catalog(spark: SparkSession, root: str, partitions_from: str | None = N
         partitions = tables.from_listing(spark, root, suffix)
     # Asked again by every selection, and one small row per file.
     partitions = partitions.persist()
-    deepest = partitions.agg(F.max("Norder")).first()[0] or 0
-    return Catalog(spark, root, properties, partitions, _schema(spark, root, partitions), found, deepest)
+    known = partitions.agg(F.max("Norder").alias("deepest"), F.min_by("path", "lo").alias("first")).first()
+    schema = _schema(spark, root, known.first)
+    return Catalog(spark, root, properties, partitions, schema, found, known.deepest or 0, known.first)
 
 
-def _schema(spark: SparkSession, root: str, partitions: DataFrame) -> T.StructType:
+def _schema(spark: SparkSession, root: str, first: str | None) -> T.StructType:
     """One schema for every partition: the common one if there is one, else the first's."""
     try:
         return spark.read.parquet(f"{root}/dataset/_common_metadata").schema
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    first = partitions.orderBy("lo").select("path").first()
     if first is None:
         raise ValueError("this catalog has no partitions, so nothing says what columns it has")
-    return spark.read.parquet(first.path).schema
+    return spark.read.parquet(first).schema

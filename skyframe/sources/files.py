@@ -45,8 +45,9 @@ def first_rows(
     """
     whole = read_parquet(spark, path, names)
     files, upto = sorted(whole.inputFiles()), 1
+    # Below a folder, names of folders may hold columns, also where there is but one file.
     reader = spark.read.schema(whole.schema)
-    if len(files) > 1:
+    if len(files) > 1 or not (set(path) & set("*?[{") or files[0].endswith(path.rpartition("/")[2])):
         reader = reader.option("basePath", path)
     while True:
         df = reader.parquet(*files[:upto])

@@ -1,0 +1,160 @@
+"""What a predicate says about a table's columns, read off the plan that Spark makes of it.
+
+Spark resolves the predicate, folds its constants and pushes it down to the scan; what is left
+there, comparisons of a column with a literal under AND and OR, is turned into intervals. Whatever
+else is there constrains nothing, so the intervals are always wide enough.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+
+_INFINITY = float("inf")
+# Of a comparison read from right to left.
+_MIRRORED = {
+    "GreaterThan": "LessThan",
+    "GreaterThanOrEqual": "LessThanOrEqual",
+    "LessThan": "GreaterThan",
+    "LessThanOrEqual": "GreaterThanOrEqual",
+    "EqualTo": "EqualTo",
+    "EqualNullSafe": "EqualNullSafe",
+}
+
+
+@dataclass
+class Constraints:
+    """Per column, closed intervals that hold every value the predicate lets through; and the
+    values listed where it lists them. A column that is not here is not constrained."""
+
+    intervals: dict[str, list[tuple]] = field(default_factory=dict)
+    values: dict[str, list] = field(default_factory=dict)
+
+
+def _merged(intervals: list[tuple]) -> list[tuple]:
+    out: list[tuple] = []
+    for low, high in sorted(intervals):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _both(one: Constraints, two: Constraints) -> Constraints:
+    result = Constraints(dict(one.intervals), dict(one.values))
+    for name, spans in two.intervals.items():
+        mine = result.intervals.get(name)
+        if mine is not None:
+            spans = [(max(a, c), min(b, d)) for a, b in mine for c, d in spans if max(a, c) <= min(b, d)]
+        result.intervals[name] = spans
+    for name, listed in two.values.items():
+        mine = result.values.get(name)
+        result.values[name] = listed if mine is None else [v for v in mine if v in listed]
+    return result
+
+
+def _either(one: Constraints, two: Constraints) -> Constraints:
+    shared = one.intervals.keys() & two.intervals.keys()
+    listed = one.values.keys() & two.values.keys()
+    return Constraints(
+        {name: _merged(one.intervals[name] + two.intervals[name]) for name in shared},
+        {name: list(dict.fromkeys(one.values[name] + two.values[name])) for name in listed},
+    )
+
+
+def _simple_name(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _column(node) -> str | None:
+    return node.name() if _simple_name(node) == "AttributeReference" else None
+
+
+def _literal(node):
+    """A number or a text; None for anything else."""
+    if _simple_name(node) != "Literal" or node.value() is None:
+        return None
+    value = node.value()
+    if isinstance(value, bool):
+        return None
+    if isinstance(value, (int, float)):
+        return value
+    kind = node.dataType().typeName()
+    if kind == "string":
+        return value.toString()
+    if kind.startswith("decimal") and value.toBigDecimal().isWhole():
+        return int(value.toString().partition(".")[0])
+    return None
+
+
+def _listed(name: str, values: list) -> Constraints:
+    if any(value is None for value in values):
+        return Constraints()
+    numbers = all(isinstance(value, (int, float)) for value in values)
+    return Constraints({name: _merged([(v, v) for v in values])} if numbers else {}, {name: values})
+
+
+def _compared(kind: str, name: str, value) -> Constraints:
+    if kind in ("EqualTo", "EqualNullSafe"):
+        return _listed(name, [value])
+    if not isinstance(value, (int, float)):
+        return Constraints()
+    # Closed in any case: an open end only makes the interval wider by its edge.
+    above = kind.startswith("Greater")
+    return Constraints({name: [(value, _INFINITY) if above else (-_INFINITY, value)]})
+
+
+def _of(node) -> Constraints:
+    kind = _simple_name(node)
+    if kind == "And":
+        return _both(_of(node.left()), _of(node.right()))
+    if kind == "Or":
+        return _either(_of(node.left()), _of(node.right()))
+    if kind in _MIRRORED:
+        for kind_, one, other in ((kind, node.left(), node.right()), (_MIRRORED[kind], node.right(), node.left())):
+            name, value = _column(one), _literal(other)
+            if name is not None and value is not None:
+                return _compared(kind_, name, value)
+    if kind == "In" and _column(node.value()) is not None:
+        items = [node.list().apply(k) for k in range(node.list().size())]
+        # A null in the list lets nothing more through.
+        items = [item for item in items if not (_simple_name(item) == "Literal" and item.value() is None)]
+        return _listed(_column(node.value()), [_literal(item) for item in items])
+    if kind == "InSet" and _column(node.child()) is not None:
+        found, each = [], node.hset().iterator()
+        while each.hasNext():
+            value = each.next()
+            if value is not None:
+                found.append(value if isinstance(value, (int, float)) else None)
+        return _listed(_column(node.child()), found)
+    return Constraints()
+
+
+def scanned(df: DataFrame, path: str) -> list[Constraints]:
+    """What every scan of the file at `path` in a plan is asked for, one entry a scan."""
+    found: list[Constraints] = []
+    name = path.rstrip("/").rpartition("dataset/")[2]
+
+    def is_scan(node) -> bool:
+        if _simple_name(node) != "LogicalRelation" or not hasattr(node.relation(), "location"):
+            return False
+        return name in node.relation().location().rootPaths().mkString(" ")
+
+    def visit(node) -> None:
+        if _simple_name(node) == "Filter" and is_scan(node.child()):
+            found.append(_of(node.condition()))
+            return
+        if is_scan(node):
+            found.append(Constraints())
+            return
+        for at in range(node.children().size()):
+            visit(node.children().apply(at))
+        # Plans of subqueries are inside expressions.
+        inner = node.subqueries()
+        for at in range(inner.size()):
+            visit(inner.apply(at))
+
+    visit(df._jdf.queryExecution().optimizedPlan())
+    return found

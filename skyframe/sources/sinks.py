@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,10 +22,9 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     df.write.mode(mode).options(**PARQUET).parquet(path)
 
 
-def _instant(name: str, data_type: T.DataType) -> F.Column | None:
+def _instant(column: Column, data_type: T.DataType) -> Column | None:
     """`YYYY-MM-DDThh:mm:ss[.f]`, with the fraction a value has and no more; a zoned one in UTC,
-    marked so."""
-    column = F.col(f"`{name}`")
+    marked so. Instants inside structs, lists and maps too; None where there is none to write."""
     if isinstance(data_type, T.TimestampType):
         # The session's zone is what a cast prints in, so the instant is moved to UTC first.
         utc = F.to_utc_timestamp(column, F.current_timezone()).cast("string")
@@ -34,12 +33,33 @@ def _instant(name: str, data_type: T.DataType) -> F.Column | None:
         return F.translate(column.cast("string"), " ", "T")
     if isinstance(data_type, T.DateType):
         return F.date_format(column, DATE)
+    if isinstance(data_type, T.StructType):
+        fields = {f.name: (column.getField(f.name), f.dataType) for f in data_type.fields}
+        written = {name: _instant(value, kind) for name, (value, kind) in fields.items()}
+        if all(value is None for value in written.values()):
+            return None
+        parts = [(fields[name][0] if value is None else value).alias(name) for name, value in written.items()]
+        return F.when(column.isNotNull(), F.struct(*parts))
+    if isinstance(data_type, T.ArrayType):
+        if not _has_instant(data_type.elementType):
+            return None
+        return F.transform(column, lambda item: _instant(item, data_type.elementType))
+    if isinstance(data_type, T.MapType):
+        if _has_instant(data_type.valueType):
+            column = F.transform_values(column, lambda _, value: _instant(value, data_type.valueType))
+        if _has_instant(data_type.keyType):
+            return F.transform_keys(column, lambda key, _: _instant(key, data_type.keyType))
+        return column if _has_instant(data_type.valueType) else None
     return None
 
 
+def _has_instant(data_type: T.DataType) -> bool:
+    return _instant(F.lit(None), data_type) is not None
+
+
 def with_instants(df: DataFrame) -> DataFrame:
     """Dates and times as the text they are written as."""
-    written = {f.name: _instant(f.name, f.dataType) for f in df.schema.fields}
+    written = {f.name: _instant(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
     return df.withColumns({name: value for name, value in written.items() if value is not None})
 
 
