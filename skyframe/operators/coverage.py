@@ -20,6 +20,8 @@ OUTSIDE, BOUNDARY, INSIDE = 0, 1, 2
 # How many ranges a row filter carries. More cost more per row and skip no more row groups.
 RANGE_BUDGET = 16
 MAX_DEPTH = 20
+# Cells of a shape's covering, about: what comes to the driver, whatever the catalog's orders.
+CELL_BUDGET = 1_000
 # Orders refined per step: 256 descendants of a cell at once keep the plan to a few steps.
 STEP = 4
 
@@ -28,12 +30,16 @@ SHAPE_COLUMNS = "shape, depth, kind, ra, dec, radius, ra_from, width, dec_from,
 
 def row_depth(shape: Shape, floor: int = 0) -> int:
     """Two orders past the one at which about RANGE_BUDGET cells span a shape's boundary: fine
-    enough to have cells inside, and closed up to the budget afterwards."""
+    enough to have cells inside, and closed up to the budget afterwards. Finer, down to `floor`, as
+    long as the covering stays within about CELL_BUDGET cells."""
     if shape.perimeter <= 0:
         return MAX_DEPTH
     side = math.degrees(math.sqrt(4 * math.pi / 12))
     wanted = 2 + math.floor(math.log2(side * RANGE_BUDGET / shape.perimeter))
-    return max(0, min(MAX_DEPTH, max(wanted, floor)))
+    # At order k a boundary meets about 2 ** k * perimeter / side cells, and the cells inside that
+    # it leaves on its way are some times as many.
+    kept = math.floor(math.log2(side * CELL_BUDGET / (10 * shape.perimeter)))
+    return max(0, min(MAX_DEPTH, max(wanted, min(floor, kept))))
 
 
 def shape_rows(listed: list[Circle | Zone], depths: list[int]) -> str:
@@ -163,8 +169,8 @@ def covering(spark: SparkSession, shape_table: str, deepest: int) -> DataFrame:
 def ranges_of(spark: SparkSession, listed: list[Shape], floor: int = 0, budget: int = RANGE_BUDGET):
     """(inner, outer) order-29 ranges of a union of shapes, at most `budget` of each.
 
-    The number of cells follows from the depth and not from any data, and the depth from the
-    budget, so what is collected is a few hundred small rows per shape.
+    The number of cells follows from the depth and not from any data, and the depth is held back
+    by CELL_BUDGET, so what is collected is that many small rows per shape.
     """
     inner = [span for shape in listed if isinstance(shape, Moc) for span in shape.ranges]
     outer = list(inner)

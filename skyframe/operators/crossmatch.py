@@ -18,12 +18,13 @@ from skyframe.functions.geometry import (
     NEAR_ONE,
     PAD,
     any_of,
+    dec_between,
     distance,
     number,
     quoted,
     separated_by_at_most,
 )
-from skyframe.operators.skew import HOT_ROWS, HotKeys, hot_keys, salted, small, split_join
+from skyframe.operators.skew import BROADCAST_ROWS, HOT_ROWS, HotKeys, hot_keys, salted, small, split_join
 
 # The finest zone, in degrees. Finer ones would copy more probe rows and spare few candidates.
 FINEST_ZONE = 10.0 / 3600.0
@@ -117,17 +118,19 @@ def _with_radius(df: DataFrame, radius) -> tuple[DataFrame, float, list[int]]:
             raise ValueError("a radius is a number of degrees, not negative")
         finest = max(2.0 * radius, FINEST_ZONE)
         return df.withColumns({"__radius": F.lit(float(radius)), "__level": F.lit(0)}), finest, [0]
-    value = number(radius)
-    df = df.withColumn("__radius", F.least(value, F.lit(180.0)))
-    # Also neither null nor NaN, which `least` passes over and a comparison takes for large.
-    df = df.where((value >= 0.0) & ~F.isnan(value))
-    doublings = F.log2(F.greatest(2.0 * F.col("__radius"), F.lit(FINEST_ZONE)) / FINEST_ZONE)
-    level = F.ceil(doublings / 2.0)
-    df = df.withColumn("__level", level.cast("int"))
+    df = _leveled(df, number(radius))
     levels = sorted(row[0] for row in df.select("__level").distinct().collect())
     return df, FINEST_ZONE, levels or [0]
 
 
+def _leveled(df: DataFrame, radius: Column) -> DataFrame:
+    """`df` with a radius from a column and its level, without the rows that have none."""
+    # Neither null nor NaN, which `least` passes over and a comparison takes for large.
+    df = df.withColumn("__radius", F.least(radius, F.lit(180.0))).where((radius >= 0.0) & ~F.isnan(radius))
+    doublings = F.log2(F.greatest(2.0 * F.col("__radius"), F.lit(FINEST_ZONE)) / FINEST_ZONE)
+    return df.withColumn("__level", F.ceil(doublings / 2.0).cast("int"))
+
+
 def _unique(names: list[str], taken: list[str], suffix: str) -> dict[str, str]:
     return {name: f"{name}{suffix}" if name in taken else name for name in names}
 
@@ -244,9 +247,28 @@ def where_any_circle(
     given = circles.select(
         number(ra).alias("__cra"), number(dec).alias("__cdec"), number(radius).alias("__cradius")
     ).distinct()
-    disks, finest, levels = _with_radius(given, "__cradius")
-    probe = _probe(_placed(disks, "__cra", "__cdec"), finest, keep_level=True)
-    listed = small(probe)
+    finest = FINEST_ZONE
+    disks = _placed(_leveled(given, number("__cradius")), "__cra", "__cdec")
+    # One job says all that is to be known of the circles.
+    south, north = F.col(_HERE[1]) - F.col("__radius"), F.col(_HERE[1]) + F.col("__radius")
+    seen = disks.agg(
+        F.count("*").alias("n"),
+        F.collect_set("__level").alias("levels"),
+        F.min(south).alias("south"),
+        F.max(north).alias("north"),
+        F.max(F.abs(F.col(_HERE[1])) + F.col("__radius")).alias("polar"),
+    ).first()
+    levels = sorted(seen.levels) or [0]
+    probe = _probe(disks, finest, keep_level=True)
+    # Zones are at least twice a radius high, so a disk meets two of them and in each, off the
+    # poles, three buckets at most.
+    listed = seen.n * 6 <= BROADCAST_ROWS if (seen.polar or 0.0) < 80.0 else small(probe)
+    # No position past what the circles span; one written past a pole is left to the test.
+    if seen.n:
+        low, high = seen.south - PAD, seen.north + PAD
+        span = dec_between(df, dec_of := position[1], low, high)
+        if span is not None:
+            df = df.where(f"({span}) OR {quoted(dec_of)} > 90 OR {quoted(dec_of)} < -90")
     # Named apart from the circles' own: an outer reference whose name the subquery also knows,
     # even in a projection further down, would be resolved to that.
     home = _placed(df, *position).selectExpr("*", f"{_HERE[0]} AS __at_ra", f"{_HERE[1]} AS __at_dec")

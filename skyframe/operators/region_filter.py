@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skyframe.functions.geometry import (
     PAD,
     all_sql,
+    any_of,
     any_sql,
     column_type,
     dec_between,
@@ -27,6 +28,7 @@ from skyframe.functions.healpix import DEFAULT_INDEX, MAX_ORDER, cell_count, shi
 from skyframe.operators.coverage import RANGE_BUDGET, closed_up, on_index_order, ranges_of
 from skyframe.operators.crossmatch import where_any_circle
 from skyframe.operators.regions import Circle, Moc, Shape, Zone, merged, shapes
+from skyframe.operators.skew import BROADCAST_ROWS
 
 # A covering is worth a job of its own for a handful of shapes; past this many, the coordinate
 # bounds alone go in front of the test, and circles are joined as a table.
@@ -143,85 +145,86 @@ def region_sql(
     return all_sql([*fronts, exact])
 
 
+def _long_moc(listed: list[Shape]) -> Moc | None:
+    """The mocs of a list as one, if that has more ranges than are written out."""
+    ranges = merged([span for shape in listed if isinstance(shape, Moc) for span in shape.ranges])
+    return Moc(tuple(ranges)) if len(ranges) > LITERAL_RANGES else None
+
+
 def region_column(df: DataFrame, regions, ra: str | None = "ra", dec: str | None = "dec", **options) -> Column:
-    """The region test as a condition. See `region_sql` for the options."""
-    return F.expr(region_sql(df, regions, ra, dec, **options))
+    """The region test as a condition. See `region_sql` for the options.
+
+    A long moc is looked up in a table of its cells, which Spark allows in a `where` only.
+    """
+    listed = shapes(regions)
+    moc = _long_moc(listed)
+    if moc is None:
+        return F.expr(region_sql(df, listed, ra, dec, **options))
+    inside = _in_moc(df, moc, options.get("healpix"), options.get("healpix_order"))
+    drawn = [shape for shape in listed if not isinstance(shape, Moc)]
+    return inside | F.expr(region_sql(df, drawn, ra, dec, **options)) if drawn else inside
 
 
 def where_region(df: DataFrame, regions, ra: str | None = "ra", dec: str | None = "dec", **options) -> DataFrame:
-    """The rows of `df` in any of the regions. See `region_sql` for the options."""
-    listed = shapes(regions)
-    ranges = merged([span for shape in listed if isinstance(shape, Moc) for span in shape.ranges])
-    if len(ranges) > LITERAL_RANGES:
-        drawn = [shape for shape in listed if not isinstance(shape, Moc)]
-        named = (Moc(tuple(ranges)), options.get("healpix"), options.get("healpix_order"))
-        if not drawn:
-            return where_moc(df, *named)
-        in_moc = _flag_moc(df, *named)
-        hit = F.col("__in_moc") | region_column(in_moc, drawn, ra, dec, **options)
-        return in_moc.where(hit).select(*[F.col(f"`{name}`") for name in df.columns])
-    if len(listed) > COVERED_SHAPES and all(isinstance(shape, Circle) for shape in listed):
-        rows = [(shape.ra, shape.dec, shape.radius) for shape in listed]
-        circles = df.sparkSession.createDataFrame(rows, "ra double, dec double, radius double")
-        return where_any_circle(df, circles, position=(ra, dec))
-    return df.where(region_sql(df, listed, ra, dec, **options))
-
-
-def _cell_table(df: DataFrame, moc: Moc, index: SpatialIndex) -> tuple[DataFrame, list[int]]:
-    """A moc as a table of whole cells no finer than the index, and the orders it has.
-
-    The cells come out of the caller's own text, so the table is as small as the text is; its
-    size is known to Spark, which broadcasts it only below its threshold.
+    """The rows of `df` in any of the regions. See `region_sql` for the options.
+
+    Past a number of shapes the circles are joined as a table, and what else there is is tested
+    first, so that a row comes out once.
     """
+    listed = shapes(regions)
+    drawn = [shape for shape in listed if not isinstance(shape, Moc)]
+    circles = [shape for shape in drawn if isinstance(shape, Circle)]
+    if len(drawn) <= COVERED_SHAPES or not circles:
+        moc = _long_moc(listed)
+        if moc is not None and not drawn:
+            return where_moc(df, moc, options.get("healpix"), options.get("healpix_order"))
+        return df.where(region_column(df, listed, ra, dec, **options))
+    rows = [(shape.ra, shape.dec, shape.radius) for shape in circles]
+    table = df.sparkSession.createDataFrame(rows, "ra double, dec double, radius double")
+    others = [shape for shape in listed if not isinstance(shape, Circle)]
+    if not others:
+        return where_any_circle(df, table, position=(ra, dec))
+    test = F.coalesce(region_column(df, others, ra, dec, **options), F.lit(False))
+    return df.where(test).unionByName(where_any_circle(df.where(~test), table, position=(ra, dec)))
+
+
+def _cells_of(moc: Moc, index: SpatialIndex) -> dict[int, list[int]]:
+    """A moc as whole cells no finer than the index, by order."""
     shift = 2 * (MAX_ORDER - index.order)
     own = on_index_order(moc.ranges, index.order, outward=False)
-    cells = Moc(tuple((low << shift, high << shift) for low, high in own)).cells() if own else []
-    table = df.sparkSession.createDataFrame(cells, "__order int, __cell bigint")
-    return table, sorted({order for order, _ in cells})
+    cells: dict[int, list[int]] = {}
+    for order, cell in Moc(tuple((low << shift, high << shift) for low, high in own)).cells() if own else []:
+        cells.setdefault(order, []).append(cell)
+    return cells
+
 
+def _in_moc(df: DataFrame, moc: Moc, healpix: str | None = None, healpix_order: int | None = None) -> Column:
+    """Whether a row's cell is in a moc of any length: for each order that the moc has, whether
+    the row's ancestor there is one of its cells. Null without a cell.
 
-def _index_of(df: DataFrame, healpix: str | None, healpix_order: int | None) -> SpatialIndex:
+    The cells come out of the caller's own text. Their number is known, and up to BROADCAST_ROWS of
+    them are handed out, so that no row is shuffled or copied.
+    """
     index = SpatialIndex.of(df, healpix, healpix_order)
     if index is None:
         raise ValueError("a moc is tested against a HEALPix column; name one and its order")
-    return index
-
-
-def _ancestor(index: SpatialIndex, order: int) -> Column:
-    return shift_right(F.col(index.column).cast("bigint"), 2 * (index.order - order))
+    tests = []
+    for order, cells in sorted(_cells_of(moc, index).items()):
+        table = df.sparkSession.createDataFrame([(cell,) for cell in cells], f"__moc{order} bigint")
+        table = F.broadcast(table) if len(cells) <= BROADCAST_ROWS else table
+        own = shift_right(F.col(index.column).outer().cast("bigint"), 2 * (index.order - order))
+        tests.append(table.where(F.col(f"__moc{order}") == own).exists())
+    found = any_of(tests) if tests else F.lit(False)
+    return F.when(F.col(f"`{index.column}`").isNotNull(), found)
 
 
 def where_moc(df: DataFrame, moc: Moc, healpix: str | None = None, healpix_order: int | None = None) -> DataFrame:
-    """The rows whose cell is in a moc, for a moc of any length.
-
-    A moc's cells are disjoint, so of a row's ancestors at most one is in the table: a row comes
-    out once, from one hash probe per order.
-    """
-    index = _index_of(df, healpix, healpix_order)
-    table, orders = _cell_table(df, moc, index)
-    if not orders:
-        return df.where(F.lit(False))
-    names = [F.col(f"`{name}`") for name in df.columns]
-    ancestors = F.array(
-        *[F.struct(F.lit(order).alias("o"), _ancestor(index, order).alias("c")) for order in orders]
-    )
+    """The rows whose cell is in a moc, for a moc of any length."""
+    index = SpatialIndex.of(df, healpix, healpix_order)
+    inside = _in_moc(df, moc, healpix, healpix_order)
     # A few ranges around the whole moc, so that the scan still skips row groups.
     reach = index.between(closed_up(list(moc.ranges), 16), outward=True)
-    probes = df.where(reach).select("*", F.explode(ancestors).alias("__a"))
-    on = (F.col("__a.o") == F.col("__order")) & (F.col("__a.c") == F.col("__cell"))
-    return probes.join(table, on, "left_semi").select(*names)
-
-
-def _flag_moc(df: DataFrame, moc: Moc, healpix: str | None, healpix_order: int | None) -> DataFrame:
-    """`df` with `__in_moc`, one lookup per order the moc has."""
-    index = _index_of(df, healpix, healpix_order)
-    table, orders = _cell_table(df, moc, index)
-    flagged = df.withColumn("__in_moc", F.lit(False))
-    for order in orders:
-        at = table.where(F.col("__order") == order).select(F.col("__cell").alias("__at"))
-        flagged = flagged.join(at, _ancestor(index, order) == F.col("__at"), "left")
-        flagged = flagged.withColumn("__in_moc", F.col("__in_moc") | F.col("__at").isNotNull()).drop("__at")
-    return flagged
+    return df.where(reach or "false").where(inside)
 
 
 def contains(df: DataFrame, position: tuple[str, str], shape: Shape, **options) -> Column:

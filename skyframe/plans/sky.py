@@ -116,6 +116,17 @@ def region_many_radii(spark, sf_dir):
     return _shown(where_any_circle(stars(spark, sf_dir), circles))
 
 
+@query(
+    f"WITH {STARS}, {BEACONS} {_SHOWN} FROM stars WHERE dec BETWEEN -40 AND -30 OR EXISTS (SELECT 1 FROM beacons b WHERE "
+    f"{in_circle_sql('stars.ra', 'stars.dec', 0.7, 'b.')})"
+)
+def region_many_mixed(spark, sf_dir):
+    """Many circles written out, as a join, beside a zone, which is not."""
+    circles = [Circle(row.ra % 360, row.dec, 0.7) for row in beacons(spark, sf_dir).select("ra", "dec").collect()]
+    circles += [Circle(0.5 * k, 85.0, 1e-9) for k in range(100)]
+    return _shown(where_region(stars(spark, sf_dir), [*circles, Zone((0, 360), (-40, -30))]))
+
+
 @query(f"WITH {STARS} SELECT event_type, count(*) AS n FROM stars WHERE NOT ({in_circle_sql(45, -20, 60)}) GROUP BY 1")
 def not_contains(spark, sf_dir):
     df = stars(spark, sf_dir)
@@ -193,6 +204,12 @@ def moc_many_ranges(spark, sf_dir):
     return where_moc(indexed_stars(spark, sf_dir), _scattered()).select("event_id")
 
 
+@query(f"WITH {_CELLS} SELECT event_type, count(*) AS n FROM celld WHERE (cell >> 46) % 3 <> 0 GROUP BY event_type")
+def not_in_long_moc(spark, sf_dir):
+    df = indexed_stars(spark, sf_dir)
+    return df.where(~contains(df, ("ra", "dec"), _scattered())).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_CELLS} SELECT event_id FROM celld WHERE (cell >> 46) % 3 = 0 OR {in_circle_sql(45, -20, 5)}")
 def moc_with_circle(spark, sf_dir):
     return where_region(indexed_stars(spark, sf_dir), [_scattered(), Circle(45, -20, 5)]).select("event_id")

@@ -36,7 +36,7 @@ RANGES = 48
 # Past this many partitions a scan is given the dataset's root, and rows are joined with the chosen
 # cells; the region's ranges still skip files by their statistics.
 LISTED_PATHS = 20_000
-# Cell values an identifier lookup may turn into an IN list; more are joined.
+# Cell values an identifier lookup may turn into an IN list; more are ranges around them.
 LISTED_CELLS = 1_000
 _PROPERTIES = ("hats.properties", "properties")
 
@@ -61,6 +61,14 @@ def _inside(named: str, key: str) -> str:
     return named.rstrip("/")
 
 
+@dataclass(frozen=True)
+class _Wanted:
+    """Identifiers that a selection asks for, and what their index says of them if there is one."""
+
+    values: list | DataFrame
+    entries: DataFrame | None
+
+
 @dataclass(frozen=True)
 class Catalog:
     spark: SparkSession
@@ -106,16 +114,19 @@ class Catalog:
     def _listed(self, identifiers: dict | None) -> dict:
         """The identifiers with their values as lists where they are few."""
         given = (identifiers or {}).items()
-        return {column: indexes.listed(values, self.schema[column].dataType, column) for column, values in given}
+        return {
+            column: _Wanted(values := indexes.listed(self.spark, wanted, self.schema[column].dataType, column),
+                            self._entries(column, values) if column in self.indexes else None)
+            for column, wanted in given
+        }
 
     def _plan(self, regions, identifiers: dict, implied: Constraints | None = None) -> DataFrame:
         chosen = self._covered(regions)
         if implied is not None:
             chosen = self._reached(chosen, implied)
-        for column, values in identifiers.items():
-            if column in self.indexes:
-                named = indexes.partitions_of(self._entries(column, values))
-                chosen = chosen.join(named, ["Norder", "Npix"], "left_semi")
+        for wanted in identifiers.values():
+            if wanted.entries is not None:
+                chosen = chosen.join(indexes.partitions_of(wanted.entries), ["Norder", "Npix"], "left_semi")
         return chosen.withColumn("needs_test", F.col("cover") == BOUNDARY).orderBy("lo", "Norder")
 
     def estimate(self, regions=None, identifiers: dict | None = None) -> DataFrame:
@@ -258,8 +269,8 @@ class Catalog:
             if edge:
                 tested = self._in_region(self._scan(edge), regions)
                 df = tested if len(edge) == len(chosen) else sure.unionByName(tested)
-        for column, values in identifiers.items():
-            df = self._identified(df, column, values)
+        for column, wanted in identifiers.items():
+            df = self._identified(df, column, wanted)
         if where is not None:
             df = where_text(df, where) if isinstance(where, str) else df.where(where)
         return df
@@ -271,19 +282,20 @@ class Catalog:
             df, regions, ra, dec, healpix=column, healpix_order=order, floor=self.deepest + DETAIL, budget=RANGES
         )
 
-    def _identified(self, df: DataFrame, column: str, values) -> DataFrame:
-        """The rows with one of the values. A list's rows are also narrowed by the cells the index
-        gives, which prune row groups; a table's are left to the join."""
-        if isinstance(values, DataFrame):
-            return in_(df, column, values)
-        if column in self.indexes and self.healpix is not None:
-            name, _ = self.healpix
-            found = self._entries(column, values)
-            if name in found.columns:
-                cells = found.select(F.col(name).cast("bigint")).distinct().limit(LISTED_CELLS + 1).collect()
-                if len(cells) <= LISTED_CELLS:
-                    df = df.where(F.col(name).isin([cell[0] for cell in cells]))
-        return df.where(F.col(column).isin(values))
+    def _identified(self, df: DataFrame, column: str, wanted: _Wanted) -> DataFrame:
+        """The rows with one of the values, narrowed first by the cells the index gives, which
+        prune row groups: each cell where they are few, else ranges around them."""
+        if wanted.entries is not None and self.healpix is not None and self.healpix[0] in wanted.entries.columns:
+            name, order = self.healpix
+            cells = wanted.entries.select(F.col(name).cast("bigint")).distinct().limit(LISTED_CELLS + 1).collect()
+            if len(cells) <= LISTED_CELLS:
+                df = df.where(F.col(name).isin([cell[0] for cell in cells]))
+            else:
+                spans = indexes.cell_ranges(wanted.entries, name, order, RANGES)
+                df = df.where(" OR ".join(f"`{name}` BETWEEN {low}L AND {high - 1}L" for low, high in spans))
+        if isinstance(wanted.values, DataFrame):
+            return in_(df, column, wanted.values)
+        return df.where(F.col(column).isin(wanted.values))
 
     # ---- front of the catalog, and order by the index ----
 

@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyframe.operators.coverage import closed_up
+from skyframe.operators.regions import merged
 from skyframe.operators.sets import in_
+from skyframe.sources.files import shared_folder
 
 # Values that are looked up as a list; more are a join.
 LISTED_VALUES = 1_000
+# The order at which the cells of very many entries are told to the driver: 49,152 at most.
+COARSE = 6
 
 
 def read_index(spark: SparkSession, root: str, column: str) -> DataFrame:
@@ -21,11 +26,18 @@ def read_index(spark: SparkSession, root: str, column: str) -> DataFrame:
     return index
 
 
-def listed(values, data_type: T.DataType, column: str):
-    """Wanted values as a list where they are few, else as a table of distinct ones."""
+def listed(spark: SparkSession, values, data_type: T.DataType, column: str):
+    """Wanted values as a list where they are few, else as a stored table of distinct ones, so
+    that whatever they come from is evaluated once."""
     if not isinstance(values, DataFrame):
-        return list(dict.fromkeys(values))
+        values = list(dict.fromkeys(values))
+        if len(values) <= LISTED_VALUES:
+            return values
+        values = spark.createDataFrame([(value,) for value in values], T.StructType([T.StructField(column, data_type)]))
     wanted = values.select(F.col(column).cast(data_type).alias(column)).distinct()
+    path = shared_folder(spark, "wanted")
+    wanted.write.parquet(path)
+    wanted = spark.read.schema(wanted.schema).parquet(path)
     few = wanted.limit(LISTED_VALUES + 1).collect()
     return wanted if len(few) > LISTED_VALUES else [row[0] for row in few]
 
@@ -34,11 +46,23 @@ def entries(index: DataFrame, column: str, values) -> DataFrame:
     """The index rows of the wanted values: what partition, and where in it if the index says.
 
     A list is an IN over the index, which the statistics of its sorted files answer. A table is
-    joined.
+    joined, once: partitions and cells are both taken from what that gives.
     """
-    if isinstance(values, DataFrame):
-        return in_(index, column, values.select(F.col(column).cast(index.schema[column].dataType).alias(column)))
-    return index.where(F.col(column).isin(values))
+    if not isinstance(values, DataFrame):
+        return index.where(F.col(column).isin(values))
+    found = in_(index, column, values.select(F.col(column).cast(index.schema[column].dataType).alias(column)))
+    path = shared_folder(index.sparkSession, "entries")
+    found.write.parquet(path)
+    return index.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def cell_ranges(found: DataFrame, cell: str, order: int, budget: int) -> list[tuple[int, int]]:
+    """Ranges of index values, at most `budget`, that hold the cells of some entries. What comes to
+    the driver is cells of a coarse order, of which there are a bounded number."""
+    up = 2 * max(0, order - COARSE)
+    coarse = found.select(F.shiftright(F.col(cell).cast("bigint"), up).alias("c")).where("c IS NOT NULL").distinct()
+    spans = merged([(row.c << up, (row.c + 1) << up) for row in coarse.collect()])
+    return closed_up(spans, budget)
 
 
 def partitions_of(found: DataFrame) -> DataFrame:
