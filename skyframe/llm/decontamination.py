@@ -8,8 +8,8 @@ passage, the sum of its words' block maxima bounds the score of every item in th
 Suel, 2011); only blocks whose bound reaches the threshold are scored item by item. Bounds and
 scores of a batch of passages are computed together in numpy.
 
-Retrieved pairs are verified on the words themselves: of the five-word shingles of the question,
-and of the answer, a share must be in the passage.
+Retrieved pairs are verified on the words themselves: of the item's five-word shingles a share has
+to be in the passage, and as large a share of the words of its question, and of its answer.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ _LETTERS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256
 @dataclass
 class Index:
     """Words by hash, ascending; for each its blocks and their largest impacts, and its items and
-    impacts. `parts[i]` holds the shingles of item i's question and answer."""
+    impacts. `parts[i]` holds item i's shingles, and the words of its question and its answer."""
 
     ids: list
     words: np.ndarray
@@ -58,7 +58,7 @@ class Index:
     items: np.ndarray
     impact: np.ndarray
     window: int
-    parts: list[tuple[set, set]]
+    parts: list[tuple[set, set, set]]
 
 
 def _clean(text: str | None) -> bytes:
@@ -90,7 +90,7 @@ def build_index(rows: list[tuple], share: float = RETRIEVED) -> Index:
         question, answer = question_and_answer(text)
         ids.append(item_id)
         bags.append(words)
-        parts.append(tuple(_shingles(_clean(half).split(), SHINGLE_WORDS) for half in (question, answer)))
+        parts.append((_shingles(words, SHINGLE_WORDS), set(_clean(question).split()), set(_clean(answer).split())))
     postings: dict[bytes, dict[int, float]] = defaultdict(dict)
     mean = sum(map(len, bags)) / max(1, len(bags))
     for i, words in enumerate(bags):
@@ -171,8 +171,9 @@ def _share(part: set, seen: set) -> float:
     return len(part & seen) / len(part) if part else 1.0
 
 
-def _matches(index: Index, cleaned: list[bytes]) -> list[tuple[int, int, float, float]]:
-    """(text, item, question's share, answer's share) of all verified pairs of some texts.
+def _matches(index: Index, cleaned: list[bytes]) -> list[tuple[int, int, float, float, float]]:
+    """(text, item, share of its shingles, of its question's words, of its answer's) of all verified
+    pairs of some texts.
 
     A passage is a window of twice the longest item, begun after each such length, so whatever is
     as long as an item is whole in one of them.
@@ -194,32 +195,33 @@ def _matches(index: Index, cleaned: list[bytes]) -> list[tuple[int, int, float,
     passage = np.concatenate((begins[text], begins[text])) + both
     pairs = np.unique(passage * len(index.words) + np.concatenate((at[known], at[known])))
     passage, item = _retrieved(index, pairs // len(index.words), pairs % len(index.words), int(begins[-1]))
-    best: dict[tuple[int, int], tuple[float, float]] = {}
-    shingles: dict[tuple[int, int], set] = {}
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    seen: dict[int, tuple[set, set, list]] = {}
     for p, i in zip(passage.tolist(), item.tolist()):
         t = int(np.searchsorted(begins, p, "right") - 1)
-        low = (p - int(begins[t])) * index.window
-        body = cleaned[t].split()[low : low + 2 * index.window]
-        found = []
-        for part in index.parts[i]:
-            width = min(map(len, part), default=SHINGLE_WORDS)
-            if (p, width) not in shingles:
-                shingles[p, width] = _shingles(body, width)
-            found.append(_share(part, shingles[p, width]))
+        if p not in seen:
+            low = (p - int(begins[t])) * index.window
+            body = cleaned[t].split()[low : low + 2 * index.window]
+            seen[p] = (_shingles(body, SHINGLE_WORDS), set(body), body)
+        shingles, bag, body = seen[p]
+        own, question, answer = index.parts[i]
+        width = min(map(len, own))
+        found = (_share(own, shingles if width == SHINGLE_WORDS else _shingles(body, width)), _share(question, bag), _share(answer, bag))
         if min(found) >= SIMILARITY:
-            best[t, i] = max(best.get((t, i), (0.0, 0.0)), tuple(found))
+            best[t, i] = max(best.get((t, i), (0.0, 0.0, 0.0)), found)
     return [(t, i, *shares) for (t, i), shares in best.items()]
 
 
 def contaminated(
     documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """(row, item_id, question_overlap, answer_overlap): every test item found in a document, once.
+    """(row, item_id, overlap, question_overlap, answer_overlap): every test item found in a
+    document, once, with the shares that verify it.
 
     `row` is a struct of the document's columns but its text. Texts are compared by their runs of
-    letters and digits, lower-cased. An item is found if five-word shingles of its
-    question and of its answer (its last sentence) are in one passage to a share of 0.8 each; a
-    part of fewer words is one shingle. Null, empty and wordless texts and items match nothing.
+    letters and digits, lower-cased. An item is found if one passage holds 0.8 of
+    its five-word shingles, and 0.8 of the words of its question and of its answer, which is its
+    last sentence. An item of fewer words is one shingle. Null, empty and wordless texts and items match nothing.
     Repeated rows are found each; repeated items, each under its id.
 
     Items are taken by parts of bounded bytes, each indexed and broadcast in turn: with one part,
@@ -228,7 +230,7 @@ def contaminated(
     columns = [F.col(f"`{name}`") for name in documents.columns if name != text]
     source = documents.select(F.struct(*columns).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = benchmark.schema[item_id].dataType
-    schema = with_row(source, f"item_id {kind.simpleString()}, question_overlap double, answer_overlap double")
+    schema = with_row(source, f"item_id {kind.simpleString()}, overlap double, question_overlap double, answer_overlap double")
     id_type = to_arrow_type(kind)
 
     def search(part: list[tuple]) -> DataFrame:
@@ -241,10 +243,10 @@ def contaminated(
                     found = _matches(index, texts[begin:end])
                     if not found:
                         continue
-                    rows, items, question, answer = zip(*found)
+                    rows, items, *shares = zip(*found)
                     ids = pa.array([index.ids[i] for i in items], id_type)
-                    own = [batch.column(0).take(pa.array([begin + t for t in rows])), ids, pa.array(question), pa.array(answer)]
-                    yield pa.RecordBatch.from_arrays(own, ["row", "item_id", "question_overlap", "answer_overlap"])
+                    own = [batch.column(0).take(pa.array([begin + t for t in rows])), ids, *map(pa.array, shares)]
+                    yield pa.RecordBatch.from_arrays(own, ["row", "item_id", "overlap", "question_overlap", "answer_overlap"])
 
         return source.mapInArrow(run, schema)
 

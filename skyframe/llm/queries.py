@@ -136,7 +136,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = contaminated(documents, read(spark, sf_dir, "benchmark"))
-    return found.select("row.doc_id", "item_id", "question_overlap", "answer_overlap")
+    return found.select("row.doc_id", "item_id", "overlap", "question_overlap", "answer_overlap")
 
 
 _LINES = """

@@ -232,7 +232,7 @@ def test_leaks_are_those_of_brute_force(spark, sf_dir, documents):
     assert want and want <= got
     for d, i in got:
         body, own = next(b for x, b, _ in documents if x == d), five_words(dict(items)[i])
-        assert len(own & five_words(body)) >= 0.7 * len(own)
+        assert len(own & five_words(body)) >= 0.8 * len(own)
 
 
 def test_leaks_in_odd_texts(spark):
@@ -251,9 +251,11 @@ def test_leaks_in_odd_texts(spark):
         filler,
         "the old mill and the stone bridge " * 50,
         f"so {question} {answer}",
+        f"{filler} {question} {answer.replace('bends', 'turns')} {filler}",  # one word changed
+        f"{question} {' '.join(reversed(answer.split()))}",  # the answer's words, but not its text
     ]
     got = {tuple(r) for r in contaminated(frame(spark, texts), items).select("row.doc_id", "item_id").collect()}
-    assert got == {(0, 1), (1, 1), (2, 1), (9, 1)}
+    assert got == {(0, 1), (1, 1), (2, 1), (9, 1), (10, 1)}
     assert contaminated(frame(spark, texts), items.limit(0)).count() == 0
     assert contaminated(frame(spark, texts).limit(0), items).count() == 0
 
