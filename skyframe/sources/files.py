@@ -61,21 +61,19 @@ def first_rows(
     return front if columns is None else select_columns(front, columns)
 
 
-_local_roots: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path for a table of this job's own, in the folder the cluster shares.
 
-    That is the one `spark.checkpoint.dir` names. Only a local run that names none is given a
-    temporary folder of its machine.
+    That is the one `spark.checkpoint.dir` names, or that the context was given. Only a session
+    whose executors are threads of this process, and that names none, is given one.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-        application = spark.sparkContext.applicationId
-        if application not in _local_roots:
-            _local_roots[application] = tempfile.mkdtemp(prefix="skyframe-")
-        root = _local_roots[application]
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if given.isEmpty():
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skyframe-"))
+            given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = given.get()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
