@@ -3,7 +3,9 @@
 The sky is cut into zones of declination and each zone into buckets of right ascension. A row of
 the home side lies in one bucket; a row of the probe side is copied to every bucket its disk
 touches. Joined on the bucket, with the exact separation as residual, a pair is met once. The
-home side is never copied, and the probe side about four times at most.
+home side is never copied, and the probe side about four times at most. Where radii come from a
+column and a few disks are far wider than the rest, those few are handed out on a grid of their own,
+so that they do not coarsen the grid of the others.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from skyframe.operators.skew import BROADCAST_ROWS, HOT_ROWS, HotKeys, hot_keys,
 
 # The finest zone, in degrees. Finer ones would copy more probe rows and spare few candidates.
 FINEST_ZONE = 10.0 / 3600.0
+# Buckets that a disk meets on its grid, off the poles: two zones, and three buckets in each.
+PROBED = 6
 _KEY, _HERE = "__bucket", ("__ra", "__dec")
 
 
@@ -67,15 +71,14 @@ def _buckets(finest: float) -> str:
 _PACKED = "((CAST(__level AS BIGINT) * 268435456L + __zone) * 268435456L + {bucket})"
 
 
-def _home(df: DataFrame, finest: float, levels: list[int]) -> DataFrame:
-    """One bucket per row and level. There is one level unless radii come from a column."""
+def _home(df: DataFrame, finest: float, level: int) -> DataFrame:
+    """Every row with its one bucket, on the grid of a level."""
     ra, dec = _HERE
-    listed = ", ".join(str(level) for level in levels)
     bucket = _PACKED.format(bucket=f"least(__of - 1, floor({ra} * __of / 360D))")
     # Exploded, though it is one: a semi-join is moved below a projection and its keys are
     # written out again for every use, and below a generator it is not.
     return df.sparkSession.sql(
-        f"""WITH levels AS (SELECT *, explode(array({listed})) AS __level FROM {{df}}),
+        f"""WITH levels AS (SELECT *, {level} AS __level FROM {{df}}),
         zones AS (SELECT *, floor(({dec} + 90D) / {_height(finest)}) AS __zone FROM levels),
         counts AS (SELECT *, {_buckets(finest)} AS __of FROM zones)
         SELECT * EXCEPT (__level, __zone, __of), explode(array({bucket})) AS {_KEY} FROM counts""",
@@ -106,21 +109,36 @@ def _probe(df: DataFrame, finest: float, keep_level: bool = False) -> DataFrame:
     )
 
 
-def _with_radius(df: DataFrame, radius) -> tuple[DataFrame, float, list[int]]:
-    """The probe side with `__radius` and `__level`, the finest zone, and the levels in use.
+def _with_radius(df: DataFrame, radius) -> tuple[float, list[tuple[DataFrame, int, bool]]]:
+    """The finest zone, and the probe side in parts: rows with `__radius` and `__level`, the grid
+    that a part is on, and whether it is so few rows that they are handed out.
 
-    A level's zones are four times as high as the one below's, and a row is probed at the first
-    level whose zones are at least twice its radius high, so one wide disk does not coarsen the
-    grid for the rest. There are nine levels at most; the distinct ones are what is collected.
+    A level's zones are four times as high as the one below's, and a disk needs one whose zones are
+    at least twice its radius high. On a higher one it has more candidates, sixteen times as many
+    a level; so disks up to some level share its grid, and those above it, if they are few, the
+    highest. The cut that leaves the fewest candidates is taken, out of the rows of each of the ten
+    levels there can be, which is what is collected.
     """
     if isinstance(radius, (int, float)):
         if not math.isfinite(radius) or radius < 0:
             raise ValueError("a radius is a number of degrees, not negative")
         finest = max(2.0 * radius, FINEST_ZONE)
-        return df.withColumns({"__radius": F.lit(float(radius)), "__level": F.lit(0)}), finest, [0]
+        return finest, [(df.withColumns({"__radius": F.lit(float(radius)), "__level": F.lit(0)}), 0, False)]
     df = _leveled(df, number(radius))
-    levels = sorted(row[0] for row in df.select("__level").distinct().collect())
-    return df, FINEST_ZONE, levels or [0]
+    rows = dict(df.groupBy("__level").count().collect())
+    top = max(rows, default=0)
+
+    def candidates(cut: int) -> float:
+        few = sum(n for level, n in rows.items() if level > cut)
+        if few * PROBED > BROADCAST_ROWS:
+            return math.inf
+        return sum(n * 16.0**cut for level, n in rows.items() if level <= cut) + few * 16.0**top
+
+    cut = min(rows, key=lambda level: (candidates(level), -level), default=0)
+    parts = [(df.where(F.col("__level") <= cut).withColumn("__level", F.lit(cut)), cut, False)]
+    if cut < top:
+        parts.append((df.where(F.col("__level") > cut).withColumn("__level", F.lit(top)), top, True))
+    return FINEST_ZONE, parts
 
 
 def _leveled(df: DataFrame, radius: Column) -> DataFrame:
@@ -157,28 +175,37 @@ def crossmatch(
     shuffled. A right column whose name the left side has gets `suffix`.
     """
     names = _unique(right.columns, left.columns, suffix)
-    probe, finest, levels = _with_radius(left, radius)
-    probe = _probe(_placed(probe, *left_position), finest)
-    home = _home(_placed(right, *right_position), finest, levels)
-    # Measured as it would be handed out, every copy counted.
-    listed = small_left and small(probe)
-    if split_hot and not listed and not right.isStreaming and not left.isStreaming:
+    finest, parts = _with_radius(left, radius)
+    columns = [F.col(f"`{name}`") for name in left.columns]
+    columns += [F.col(f"`__h_{name}`").alias(names[name]) for name in right.columns]
+    if separation is not None:
+        columns.append(distance([F.col(name) for name in _HERE], [F.col(f"__h{name}") for name in _HERE]).alias(separation))
+    pairs = None
+    for part, level, few in parts:
+        probe = _probe(_placed(part, *left_position), finest)
+        home = _home(_placed(right, *right_position), finest, level)
+        # Measured as it would be handed out, every copy counted.
+        listed = few or (small_left and small(probe))
+        found = _joined(probe, home, right.columns, listed, split_hot, hot_rows, strict).select(*columns)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return pairs
+
+
+def _joined(
+    probe: DataFrame, home: DataFrame, columns: list[str], listed: bool, split_hot: bool, hot_rows: int, strict: bool
+) -> DataFrame:
+    """The pairs of one part, the right side's columns under names that keep out of the way."""
+    if split_hot and not listed and not home.isStreaming and not probe.isStreaming:
         hot = hot_keys(probe, home, _KEY, hot_rows)
     else:
         hot = HotKeys()
-    # The right side's columns keep out of the way until the pair is made.
     home = home.select(
         *[F.col(name).alias(f"__h{name}") for name in (_KEY, *_HERE)],
-        *[F.col(f"`{name}`").alias(f"__h_{name}") for name in right.columns],
+        *[F.col(f"`{name}`").alias(f"__h_{name}") for name in columns],
     )
     a, b = [F.col(name) for name in _HERE], [F.col(f"__h{name}") for name in _HERE]
     probe = F.broadcast(probe) if listed else probe
-    pairs = split_join(probe, home, _KEY, f"__h{_KEY}", _residual(a, b, strict), hot)
-    columns = [F.col(f"`{name}`") for name in left.columns]
-    columns += [F.col(f"`__h_{name}`").alias(names[name]) for name in right.columns]
-    if separation is not None:
-        columns.append(distance(a, b).alias(separation))
-    return pairs.select(*columns)
+    return split_join(probe, home, _KEY, f"__h{_KEY}", _residual(a, b, strict), hot)
 
 
 def _residual(a, b, strict: bool) -> Column:
@@ -260,9 +287,7 @@ def where_any_circle(
     ).first()
     levels = sorted(seen.levels) or [0]
     probe = _probe(disks, finest, keep_level=True)
-    # Zones are at least twice a radius high, so a disk meets two of them and in each, off the
-    # poles, three buckets at most.
-    listed = seen.n * 6 <= BROADCAST_ROWS if (seen.polar or 0.0) < 80.0 else small(probe)
+    listed = seen.n * PROBED <= BROADCAST_ROWS if (seen.polar or 0.0) < 80.0 else small(probe)
     # No position past what the circles span; one written past a pole is left to the test.
     if seen.n:
         low, high = seen.south - PAD, seen.north + PAD
@@ -274,7 +299,7 @@ def where_any_circle(
     home = _placed(df, *position).selectExpr("*", f"{_HERE[0]} AS __at_ra", f"{_HERE[1]} AS __at_dec")
     tests = []
     for level in levels:
-        here = _home(home, finest, [level])
+        here = _home(home, finest, level)
         at = probe.where(F.col("__level") == level)
         hot = HotKeys()
         if split_hot and not listed and not df.isStreaming:

@@ -80,7 +80,8 @@ class Catalog:
     deepest: int = 0
     # A partition's path, over which predicates are planned.
     first: str | None = None
-    listed_paths: int = LISTED_PATHS
+    # How many partitions are handed over as a list of paths, if not LISTED_PATHS.
+    listed_paths: int | None = None
 
     # ---- what the properties say ----
 
@@ -203,8 +204,11 @@ class Catalog:
         """All rows of the chosen partitions, or of the whole catalog, under its one schema."""
         if chosen is None:
             return self._scan(None)
-        found = chosen.select("path").limit(self.listed_paths + 1).collect()
-        return self._scan([row.path for row in found]) if len(found) <= self.listed_paths else self._of(chosen)
+        found = chosen.select("path").limit(self._most_paths() + 1).collect()
+        return self._scan([row.path for row in found]) if len(found) <= self._most_paths() else self._of(chosen)
+
+    def _most_paths(self) -> int:
+        return LISTED_PATHS if self.listed_paths is None else self.listed_paths
 
     def _of(self, chosen: DataFrame, located: bool = False) -> DataFrame:
         """The rows of chosen partitions that are too many to list: of all files, those that a
@@ -257,8 +261,8 @@ class Catalog:
     def _rows(self, regions, where, identifiers) -> DataFrame:
         identifiers = self._listed(identifiers)
         plan = self._plan(regions, identifiers, self._implied(where))
-        chosen = plan.select("path", "needs_test").limit(self.listed_paths + 1).collect()
-        if len(chosen) > self.listed_paths:
+        chosen = plan.select("path", "needs_test").limit(self._most_paths() + 1).collect()
+        if len(chosen) > self._most_paths():
             df = self._of(plan.where(~F.col("needs_test")))
             if regions is not None:
                 df = df.unionByName(self._in_region(self._of(plan.where("needs_test")), regions))

@@ -177,10 +177,71 @@ def test_order_by_the_index(plain, rows, descending):
     assert [r.id for r in got.collect()] == [r[0] for r in ordered[:100]]
 
 
-def test_a_path_list_that_is_too_long_is_the_whole_dataset(plain, rows, centre, monkeypatch):
-    monkeypatch.setattr(module, "LISTED_PATHS", 1)
-    assert ids(plain.select(Circle(*centre, 6.0))) == [r[0] for r in rows if separation(centre, r[1:3]) <= 6]
-    assert plain.read(plain.plan(Circle(*centre, 60.0))).count() == 256
+@pytest.mark.parametrize("suffix", [".parquet", "/"])
+def test_more_partitions_than_are_listed(spark, rows, centre, monkeypatch, tmp_path, suffix):
+    """Exactly the chosen rows, and none of a file that the partition table does not name."""
+    write(tmp_path, rows, suffix=suffix)
+    catalog = open_catalog(spark, str(tmp_path))
+    three = catalog.partitions.where("Npix <> 66")
+    within = [r[0] for r in rows if separation(centre, r[1:3]) <= 6]
+    for most in (20_000, 2, 0):
+        monkeypatch.setattr(module, "LISTED_PATHS", most)
+        assert ids(catalog.read(three)) == [r[0] for r in rows if r[3] >> 52 != 66]
+        low, high = rows[70][3], rows[130][3]
+        cells = catalog.read(catalog.within_index_range(low, high)).where(F.col("_healpix_29").between(low, high))
+        assert ids(cells) == [r[0] for r in rows if low <= r[3] <= high]
+        assert ids(catalog.select(Circle(*centre, 6.0))) == within
+        assert ids(catalog.select(Circle(*centre, 60.0))) == [r[0] for r in rows]
+        assert ids(catalog.select(where=f"_healpix_29 BETWEEN {low} AND {high}")) == [r[0] for r in rows if low <= r[3] <= high]
+
+
+def opened(df) -> set[str]:
+    return {path.rpartition("Npix=")[2].partition(".")[0].partition("/")[0] for path in df.inputFiles()}
+
+
+def test_predicates_choose_partitions(plain, rows):
+    low, high = rows[70][3], rows[130][3]
+    wanted = {str(r[3] >> 52) for r in rows if low <= r[3] <= high}
+    within = [r[0] for r in rows if low <= r[3] <= high]
+    for where in (
+        f"_healpix_29 BETWEEN {low} AND {high}",
+        f"{low} <= _healpix_29 AND _healpix_29 <= {high} AND id >= 0",
+        f"NOT (_healpix_29 < {low} OR _healpix_29 > {high})",
+        F.col("_healpix_29").between(low, high),
+        f"_healpix_29 BETWEEN {low} AND {rows[100][3]} OR _healpix_29 BETWEEN {rows[101][3]} AND {high}",
+    ):
+        found = plain.select(where=where)
+        assert ids(found) == within and opened(found) == wanted
+    cells = [rows[3][3], rows[250][3]]
+    found = plain.select(where=f"_healpix_29 IN ({cells[0]}, {cells[1]}, NULL)")
+    assert ids(found) == [3, 250] and opened(found) == {str(c >> 52) for c in cells}
+    assert plain.select(where="_healpix_29 < 0").count() == 0
+    # What is not a comparison of the cells constrains nothing.
+    for where in (f"_healpix_29 >= {low} OR id < 5", "_healpix_29 % 2 = 0", "id = 7"):
+        assert len(opened(plain.select(where=where))) == 4
+    assert ids(plain.select(where=f"_healpix_29 >= {low} OR id < 5")) == sorted({r[0] for r in rows if r[3] >= low or r[0] < 5})
+
+
+def test_statements_choose_partitions(spark, plain, rows, centre):
+    from skyframe.functions.sql import register
+
+    register(spark)
+    ra, dec = rows[5][1:3]
+    near = [r[0] for r in rows if separation((ra, dec), r[1:3]) <= 0.5]
+    found = plain.sql(f"SELECT * FROM {{catalog}} WHERE sky_in_circle(ra, dec, {ra}D, {dec}D, 0.5D)")
+    assert ids(found) == near and len(opened(found)) < 4
+    found = plain.sql(f"SELECT id FROM {{catalog}} WHERE sky_in_zone(ra, dec, {ra - 1}D, {ra + 1}D, {dec - 1}D, {dec + 1}D)")
+    assert ids(found) == [r[0] for r in rows if abs(r[2] - dec) <= 1 and abs((r[1] - ra + 180) % 360 - 180) <= 1]
+    low, high = rows[3][3], rows[250][3]
+    both = plain.sql(
+        f"SELECT a.id FROM {{catalog}} a JOIN {{others}} o ON a.id = o.id WHERE a._healpix_29 = {low} "
+        f"UNION ALL SELECT id FROM {{catalog}} WHERE _healpix_29 = {high}",
+        others=spark.range(100).select("id"),
+    )
+    assert ids(both) == [3, 250] and len(opened(both)) == 2
+    # One place that is not constrained needs every partition.
+    every = plain.sql(f"SELECT id FROM {{catalog}} WHERE _healpix_29 = {low} UNION ALL SELECT id FROM {{catalog}}")
+    assert every.count() == 257
 
 
 @pytest.fixture(scope="module", params=[True, False], ids=["with cells", "without cells"])
@@ -220,6 +281,27 @@ def test_a_table_of_identifiers(spark, collection, rows, monkeypatch, listed):
     assert ids(collection.select(identifiers={"id": wanted})) == [1, 70, 255]
 
 
+def test_predicates_go_through_the_index(collection, rows):
+    for where, wanted in (
+        ("id = 7", [7]),
+        ("id IN (3, 200, 5000) AND ra > -400", [3, 200]),
+        ("7 = id AND dec < 100", [7]),
+        (f"id IN ({', '.join(str(k) for k in range(20))})", list(range(20))),
+    ):
+        found = collection.select(where=where)
+        assert ids(found) == wanted
+        assert opened(found) == {str(rows[i][3] >> 52) for i in wanted}
+    assert len(opened(collection.select(where="id = 7 OR dec > 0"))) == 4
+    found = collection.sql("SELECT id FROM {catalog} WHERE id = 7")
+    assert ids(found) == [7] and len(opened(found)) == 1
+
+
+def test_a_long_list_is_a_table(collection, monkeypatch):
+    monkeypatch.setattr(indexes, "LISTED_VALUES", 5)
+    monkeypatch.setattr(module, "LISTED_CELLS", 3)
+    assert ids(collection.select(identifiers={"id": list(range(0, 300, 9))})) == list(range(0, 256, 9))
+
+
 def test_an_index_only_narrows(collection, rows, centre):
     """A column without an index is answered all the same, and beside a region."""
     found = collection.select(Circle(*centre, 6.0), identifiers={"_healpix_29": [rows[0][3], rows[200][3]]})

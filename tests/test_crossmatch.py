@@ -140,6 +140,31 @@ def test_small_measures_rows_and_bytes(spark):
     assert not small(df, max_bytes=50_000)
 
 
+@pytest.mark.parametrize("wide", [5, 0])
+def test_radii_of_all_sizes(sides, spark, monkeypatch, wide):
+    """A few wide disks are handed out on a grid of their own; with none allowed, all share one."""
+    monkeypatch.setattr(module, "BROADCAST_ROWS", wide * module.PROBED)
+    left, right = sides
+    radius = lambda i: 40.0 if i in (3, 77) else 0.002 * (i % 300)
+    given = left.withColumn("r", F.expr("if(id IN (3, 77), 40D, 0.002D * (id % 300))"))
+    assert pairs_of(crossmatch(given, right, "r")) == brute(radius)
+
+
+def test_the_right_side_is_not_copied(spark):
+    df = spark.range(0, 500).selectExpr("id", "id * 0.7D AS ra", "id * 0.1D AS dec")
+    for level in (0, 4, 9):
+        home = module._home(module._placed(df, "ra", "dec"), module.FINEST_ZONE, level)
+        assert home.count() == 500 and home.select("id").distinct().count() == 500
+
+
+def test_left_rows_that_share_a_key_or_all(spark):
+    left = spark.createDataFrame([(1, 10.0, 0.0, "a"), (1, 20.0, 0.0, "b"), (1, 20.0, 0.0, "b"), (2, 50.0, 0.0, "c")], "id int, ra double, dec double, tag string")
+    right = spark.createDataFrame([(7, 10.1, 0.0), (8, 20.2, 0.0), (9, 20.1, 0.0)], "rid int, ra double, dec double")
+    got = nearest_match(left, right, 1.0, key="id", tie="rid")
+    assert sorted((r.id, r.tag, r.rid) for r in got.collect()) == [(1, "a", 7), (1, "b", 9), (1, "b", 9)]
+    assert got.columns == ["id", "ra", "dec", "tag", "rid", "ra_2", "dec_2", "separation"]
+
+
 def test_a_row_without_a_radius_is_in_no_pair(sides):
     left, right = sides
     radii = F.expr("CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN double('NaN') WHEN 2 THEN -1D ELSE 1D END")
