@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skyframe.functions.healpix import cell_center, healpix_index
 from skyframe.functions.sql import register
+from skyframe.operators.coverage import BOUNDARY, INSIDE, OUTSIDE
 from skyframe.operators.crossmatch import crossmatch
 from skyframe.operators.limits import capped
 from skyframe.operators.regions import Circle, Moc, Zone
@@ -72,20 +73,33 @@ _PLAN_SQL = (
 )
 
 
-@query(f"WITH {_PLACED} SELECT Norder, Npix, count(*) AS in_region FROM placed WHERE {_PLAN_SQL} GROUP BY Norder, Npix")
+@query(
+    f"WITH {_PLACED} SELECT Norder, Npix, count(*) AS n, count(*) FILTER ({_PLAN_SQL}) AS in_region, true AS fits, true AS pruned "
+    "FROM placed GROUP BY Norder, Npix"
+)
 def partition_plan(spark, sf_dir):
-    """The planned partitions that hold rows of the region, and how many: none may be missing."""
+    """Every partition, with its rows in the region by brute force, and whether its cover fits them:
+    none where it is left out, all where it is inside. Half of those without rows are left out."""
     catalog = star_catalog(spark, sf_dir)
-    planned = catalog.plan(_PLAN).select("Norder", "Npix")
-    return _counted(catalog, planned, catalog.contains(_PLAN))
-
-
-def _counted(catalog, planned, condition):
-    df = catalog.read(catalog.partitions.join(planned, ["Norder", "Npix"], "left_semi"))
+    cover = catalog.plan(_PLAN).select("Norder", "Npix", "cover")
     index = F.col("_healpix_29")
-    placed = df.where(condition).withColumn("Norder", (1 + F.shiftright(index, 58) % 2).cast("int"))
+    placed = catalog.read().select("ra", "dec", "_healpix_29", F.expr(_IN_PLAN).alias("hit"))
+    placed = placed.withColumn("Norder", (1 + F.shiftright(index, 58) % 2).cast("int"))
     placed = placed.withColumn("Npix", F.call_function("shiftright", index, 2 * (29 - F.col("Norder"))))
-    return placed.groupBy("Norder", "Npix").agg(F.count("*").alias("in_region"))
+    counted = placed.groupBy("Norder", "Npix").agg(F.count("*").alias("n"), F.count_if("hit").alias("in_region"))
+    judged = counted.join(cover, ["Norder", "Npix"], "left").withColumn("cover", F.coalesce("cover", F.lit(OUTSIDE)))
+    fits = (F.col("cover") == BOUNDARY) | F.when(F.col("cover") == INSIDE, F.col("in_region") == F.col("n")).otherwise(F.col("in_region") == 0)
+    bare = judged.agg(F.count_if(F.col("in_region") == 0).alias("bare"), F.count_if(F.col("cover") == OUTSIDE).alias("out"))
+    judged = judged.join(F.broadcast(bare))
+    return judged.select("Norder", "Npix", "n", "in_region", fits.alias("fits"), (F.col("out") * 2 >= F.col("bare")).alias("pruned"))
+
+
+# The planned region as plain formulas, not the tests that are checked here.
+_IN_PLAN = (
+    "pow(sin(radians(dec + 20) / 2), 2) + cos(radians(dec)) * cos(radians(-20D)) * pow(sin(radians(ra - 45) / 2), 2) "
+    "<= pow(sin(radians(25D) / 2), 2) OR (ra BETWEEN 200 AND 260 AND dec BETWEEN 30 AND 60) "
+    "OR shiftright(_healpix_29, 52) BETWEEN 64 AND 66"
+)
 
 
 @query(f"WITH {_PLACED} SELECT 0::BIGINT AS wrong, 0::BIGINT AS lost, count(*) AS n FROM placed")

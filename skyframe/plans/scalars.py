@@ -171,11 +171,14 @@ def not_a_number(spark, sf_dir):
     )
 
 
-@query("SELECT count(*) AS n, true AS within FROM events")
+@query("SELECT unnest(range(5)) AS fifth, 0.2::DOUBLE AS share, true AS apart FROM (SELECT count(*) FROM events)")
 def random_numbers(spark, sf_dir):
+    """A fifth of the numbers in each fifth of 0 to 1, none outside, and hardly one drawn twice."""
     drawn = table(spark, sf_dir, "events").select(numeric.rand(7).alias("r"))
-    inside = F.bool_and((F.col("r") >= 0) & (F.col("r") < 1))
-    return drawn.agg(F.count("*").alias("n"), inside.alias("within"))
+    parts = drawn.groupBy(F.floor(F.col("r") * 5).alias("fifth")).agg(F.count("*").alias("n"), F.count_distinct("r").alias("unlike"))
+    total = table(spark, sf_dir, "events").agg(F.count("*").alias("total"))
+    parts = parts.join(F.broadcast(total))
+    return parts.select("fifth", F.round(F.col("n") / F.col("total"), 1).alias("share"), (F.col("unlike") > 0.99 * F.col("n")).alias("apart"))
 
 
 @query(

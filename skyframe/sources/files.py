@@ -20,7 +20,7 @@ def read_parquet(spark: SparkSession, path, names: str | None = None) -> DataFra
         reader = reader.option("pathGlobFilter", names)
     df = reader.parquet(*([path] if isinstance(path, str) else path))
     if not df.columns:
-        raise ValueError("this table describes no columns; it is empty, or not parquet")
+        raise ValueError(f"no parquet column is stored under {path}")
     return df
 
 
