@@ -9,6 +9,7 @@ and the union of all cells kept is a superset.
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -166,6 +167,23 @@ def covering(spark: SparkSession, shape_table: str, deepest: int) -> DataFrame:
     )
 
 
+# Spans of cells by shapes and depths, the latest last: a covering follows from those alone, and a
+# selection, or a query that is asked again, needs the same one more than once.
+_covered: OrderedDict[tuple, list[tuple[int, int, bool]]] = OrderedDict()
+KEPT_COVERINGS = 200
+
+
+def _spans(spark: SparkSession, drawn: tuple[Shape, ...], depths: tuple[int, ...]) -> list[tuple[int, int, bool]]:
+    key = (drawn, depths)
+    if key not in _covered:
+        found = covering(spark, shape_rows(list(drawn), list(depths)), max(depths)).collect()
+        _covered[key] = [(row.lo, row.hi, row.inside) for row in found]
+        while len(_covered) > KEPT_COVERINGS:
+            _covered.popitem(last=False)
+    _covered.move_to_end(key)
+    return _covered[key]
+
+
 def ranges_of(spark: SparkSession, listed: list[Shape], floor: int = 0, budget: int = RANGE_BUDGET):
     """(inner, outer) order-29 ranges of a union of shapes, at most `budget` of each.
 
@@ -176,11 +194,10 @@ def ranges_of(spark: SparkSession, listed: list[Shape], floor: int = 0, budget:
     outer = list(inner)
     drawn = [shape for shape in listed if not isinstance(shape, Moc)]
     if drawn:
-        depths = [row_depth(shape, floor) for shape in drawn]
-        for row in covering(spark, shape_rows(drawn, depths), max(depths)).collect():
-            outer.append((row.lo, row.hi))
-            if row.inside:
-                inner.append((row.lo, row.hi))
+        for low, high, inside in _spans(spark, tuple(drawn), tuple(row_depth(shape, floor) for shape in drawn)):
+            outer.append((low, high))
+            if inside:
+                inner.append((low, high))
     return largest(merged(inner), budget), closed_up(merged(outer), budget)
 
 

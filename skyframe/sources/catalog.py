@@ -27,6 +27,7 @@ from skyframe.operators.sets import in_
 from skyframe.operators.skew import broadcast_if_small
 from skyframe.sources import index as indexes
 from skyframe.sources import partitions as tables
+from skyframe.sources.files import shared_folder
 from skyframe.sources.pruning import Constraints, scanned
 
 # Orders below a partition's own at which it is classified.
@@ -307,31 +308,31 @@ class Catalog:
         """The first `n` rows in catalog order: by partition span, then as written in it."""
         if n == 0:
             return self._shaped(self._scan([]), columns)
-        df = self._until_filled(n, regions, where, descending=False)
         # The span start comes from the path, so it does not depend on what the columns say.
         path, row = (F.col(name) for name in _LOCATION)
         order = F.regexp_extract(path, tables.PATH_CELL, 1).cast("int")
         pixel = F.regexp_extract(path, tables.PATH_CELL, 2).cast("bigint")
         start = shift_left(pixel, 2 * (MAX_ORDER - order))
-        return self._shaped(df.orderBy(start, path, row).limit(n), columns)
+        return self._shaped(self._until_filled(n, regions, where, False, [start, path, row]), columns)
 
     def ordered_by_index(self, n: int, descending: bool = False, then: list[Column] | None = None,
                          regions=None, where=None, columns: list[str] | None = None) -> DataFrame:
         """`ORDER BY index [DESC], ... LIMIT n`, reading partitions from the end it starts at."""
         if self.healpix is None:
             raise ValueError("this catalog has no cell column to order by")
-        df = self._until_filled(n, regions, where, descending)
         key = F.col(self.healpix[0])
         keys = [key.desc() if descending else key.asc(), *(then or [])]
-        return self._shaped(df.orderBy(*keys).limit(n), columns)
+        return self._shaped(self._until_filled(n, regions, where, descending, keys), columns)
 
-    def _until_filled(self, n: int, regions, where, descending: bool) -> DataFrame:
-        """The partitions, from one end, that hold `n` qualifying rows between them.
+    def _until_filled(self, n: int, regions, where, descending: bool, order: list[Column]) -> DataFrame:
+        """The first `n` qualifying rows in `order`, which the partitions are in, from one end.
 
-        Batches double, so a catalog of P partitions is asked at most log2(P) times. A limit that
-        no prefix fills ends at every chosen partition, which is the answer anyway.
+        Batches double, so a catalog of P partitions is asked at most log2(P) times, and what a
+        batch still owes, never more than `n` rows, is written to the shared folder: no batch is
+        read twice. A limit that no prefix fills ends at every chosen partition, which is the
+        answer anyway.
         """
-        cells = self.plan(regions).select("path", "needs_test", "lo", "hi", "rows").collect()
+        cells = self._plan(regions, {}, self._implied(where)).select("path", "needs_test", "lo", "hi", "rows").collect()
         if descending:
             cells = cells[::-1]
         shift = 2 * (MAX_ORDER - (self.healpix[1] if self.healpix else MAX_ORDER))
@@ -341,13 +342,16 @@ class Catalog:
             # A partition boundary inside one cell of a coarser index: both sides belong together.
             while upto < len(cells) and _shares_cell(cells[upto - 1], cells[upto], shift):
                 upto += 1
-            rows = self._batch(cells[at:upto], regions, where)
-            kept += rows.limit(n - kept).count()
+            due = self._batch(cells[at:upto], regions, where).orderBy(*order).limit(n - kept)
+            path = shared_folder(self.spark, "front")
+            due.write.parquet(path)
+            rows = self.spark.read.schema(due.schema).parquet(path)
+            kept += rows.count()
             df = rows if df is None else df.unionByName(rows)
             at, batch = upto, batch * 2
             if kept >= n:
                 break
-        return self._scan([], located=True) if df is None else df
+        return self._scan([], located=True) if df is None else df.orderBy(*order)
 
     def _batch(self, cells, regions, where) -> DataFrame:
         sure = [cell.path for cell in cells if not cell.needs_test]
