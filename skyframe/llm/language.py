@@ -3,7 +3,8 @@
 A text's subwords are its character n-grams, hashed into buckets; the mean of their embeddings goes
 through a linear layer (Joulin et al., 2016). Both are trained together by stochastic gradient
 descent in numpy, on a bounded sample. A temperature fitted on part of the sample makes scores
-probabilities, and what scores below nearly all of that part is rejected.
+probabilities, and what scores far below nearly all of that part is rejected. So is a text most of whose subwords
+were never seen: buckets are shared, and would give it some language's score all the same.
 """
 
 from __future__ import annotations
@@ -18,17 +19,19 @@ from pyspark.sql import functions as F
 
 from skyframe.llm.tables import with_row
 
-# Labelled rows that are learned from, over all languages. A row gives BUCKETS numbers at most.
+# Labelled rows that are learned from, over all languages. A row gives SIGNATURES numbers at most.
 SAMPLE_ROWS = 4_000
+# Subwords are told apart by this many hashes, and share this many embeddings.
+SIGNATURES = 1 << 18
 BUCKETS = 1 << 14
 SUBWORDS = (2, 3)
 DIMENSION = 16
 EPOCHS = 12
 # Subwords of a text that the temperature is fitted on.
 FEW = 12
-# Of the texts kept for calibration, the share that may score below the limit; and its ceiling.
-REJECTED = 0.002
-HIGHEST_LIMIT = 0.5
+# Of the texts kept for calibration, the share that is lowest: limits are half way to those, from
+# chance for a score, and from nothing for how many subwords were seen.
+LOWEST = 0.002
 UNKNOWN = "und"
 # Characters that are hashed at once.
 _AT_ONCE = 1 << 19
@@ -36,18 +39,22 @@ _AT_ONCE = 1 << 19
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """classes by name; table[bucket] is what one subword adds to each class's logit."""
+    """classes by name; table[bucket] is what one subword adds to each class's logit, and
+    seen[signature] whether it was learned from. A text is rejected that scores below `limit`, or
+    of whose subwords a smaller share than `familiar` was seen."""
 
     classes: list[str]
     table: np.ndarray
+    seen: np.ndarray
     temperature: float
     limit: float
+    familiar: float
 
 
 def _subwords(text: str):
-    """Buckets of the n-grams of a text, a part of it at a time; whitespace counts as one space.
+    """Signatures of the n-grams of a text, a part of it at a time; whitespace counts as one space.
 
-    Parts overlap by what an n-gram needs, so the buckets are those of the whole text.
+    Parts overlap by what an n-gram needs, so the n-grams are those of the whole text.
     """
     words = " " + " ".join(text.lower().split()) + " "
     longest = max(SUBWORDS)
@@ -62,18 +69,20 @@ def _subwords(text: str):
             for k in range(n):
                 key = (key ^ codes[k : k + size]) * np.uint32(0x01000193 + 2 * k)
                 key ^= key >> np.uint32(15)
-            yield (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - (BUCKETS.bit_length() - 1))
+            yield (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - (SIGNATURES.bit_length() - 1))
 
 
 def _has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def _counts(text: str) -> np.ndarray:
-    counts = np.zeros(BUCKETS, np.int64)
-    for buckets in _subwords(text):
-        counts += np.bincount(buckets, minlength=BUCKETS)
-    return counts
+def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a text and how often each is there."""
+    counts = np.zeros(SIGNATURES, np.int64)
+    for signatures in _subwords(text):
+        counts += np.bincount(signatures, minlength=SIGNATURES)
+    at = np.flatnonzero(counts)
+    return at, counts[at]
 
 
 def _sampled(documents: DataFrame, text: str, lang: str, learned: Column, rows: int) -> list:
@@ -95,9 +104,8 @@ def _sampled(documents: DataFrame, text: str, lang: str, learned: Column, rows:
         for batch in batches:
             for lang_, draw, body in zip(*(batch.column(k) for k in range(3))):
                 if _has_letter(body.as_py()):
-                    counts = _counts(body.as_py())
-                    at = np.flatnonzero(counts)
-                    sparse = [pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([counts[at].tolist()], pa.list_(pa.int64()))]
+                    at, counts = _counts(body.as_py())
+                    sparse = [pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([counts.tolist()], pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays([pa.array([lang_.as_py()]), pa.array([draw.as_py()]), *sparse], ["lang", "draw", "at", "n"])
 
     found = picked.mapInArrow(run, "lang string, draw bigint, at array<int>, n array<bigint>")
@@ -128,7 +136,7 @@ def fit(documents: DataFrame, learned: Column, text: str = "text", lang: str = "
     def dense(which) -> np.ndarray:
         x = np.zeros((len(which), BUCKETS), np.float32)
         for k, i in enumerate(which):
-            x[k, sample[i]["at"]] = sample[i]["n"]
+            np.add.at(x[k], np.array(sample[i]["at"]) % BUCKETS, np.array(sample[i]["n"], np.float32))
         return x / x.sum(axis=1, keepdims=True)
 
     embedding = random.normal(0, 0.1, (BUCKETS, DIMENSION)).astype(np.float32)
@@ -161,30 +169,39 @@ def fit(documents: DataFrame, learned: Column, text: str = "text", lang: str = "
     for i in held:
         counts = np.array(sample[i]["n"], float)
         drawn = random.choice(np.array(sample[i]["at"]), FEW, p=counts / counts.sum())
-        few.append(table[drawn].mean(axis=0))
+        few.append(table[drawn % BUCKETS].mean(axis=0))
     few, truth = np.array(few), label[held]
     scales = np.exp(np.linspace(np.log(0.05), np.log(20), 200))
     loss = [-np.log(_softmax(few / t)[np.arange(len(held)), truth] + 1e-12).mean() for t in scales]
     temperature = float(scales[int(np.argmin(loss))])
     top = np.sort(_softmax(logits / temperature).max(axis=1))
-    limit = float(min(HIGHEST_LIMIT, top[int(REJECTED * len(top))]))
-    return LanguageModel(classes, table.astype(np.float32), temperature, limit)
+    # A text of no known language scores near chance; one of two mixed scores less than the others,
+    # but well above it, and is kept.
+    chance = 1 / len(classes)
+    limit = chance + (float(top[int(LOWEST * len(top))]) - chance) / 2
+    seen = np.zeros(SIGNATURES, bool)
+    for i in train:
+        seen[sample[i]["at"]] = True
+    shares = np.sort([np.average(seen[sample[i]["at"]], weights=sample[i]["n"]) for i in held])
+    familiar = float(shares[int(LOWEST * len(shares))]) / 2
+    return LanguageModel(classes, table.astype(np.float32), seen, temperature, limit, familiar)
 
 
 def _judged(model: LanguageModel | None, text: str | None) -> tuple[str, float, bool]:
     if model is None or not _has_letter(text):
         return UNKNOWN, 0.0, False
-    total, size = np.zeros(len(model.classes)), 0
-    for buckets in _subwords(text):
+    total, size, known = np.zeros(len(model.classes)), 0, 0
+    for signatures in _subwords(text):
+        buckets = signatures % np.uint32(BUCKETS)
         if len(buckets) > BUCKETS:
-            counts = np.bincount(buckets, minlength=BUCKETS)
-            total += counts @ model.table
+            total += np.bincount(buckets, minlength=BUCKETS) @ model.table
         else:
             total += model.table[buckets].sum(axis=0, dtype=np.float64)
         size += len(buckets)
+        known += int(model.seen[signatures].sum())
     p = _softmax((total / size / model.temperature)[None])[0]
     best = int(p.argmax())
-    return model.classes[best], float(p[best]), bool(p[best] >= model.limit)
+    return model.classes[best], float(p[best]), bool(p[best] >= model.limit and known >= model.familiar * size)
 
 
 def identify(documents: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
@@ -193,8 +210,8 @@ def identify(documents: DataFrame, model: LanguageModel | None, text: str = "tex
 
     A null text, or one without a letter, is `und`, scores 0 and is rejected; so is everything
     where there was nothing to learn from. Others get the likeliest language, and are rejected if
-    that scores below the model's limit. Whole texts are read, a part at a time. The model is a
-    table of BUCKETS times languages numbers, sent with every task. Ties go to the language that
+    that scores below the model's limit or too few of the subwords are known. Whole texts are read, a part at a time. The model is a
+    table of BUCKETS times languages numbers and SIGNATURES flags, sent with every task. Ties go to the language that
     sorts first. An empty table gives an empty one.
     """
     source = documents.select(F.struct("*").alias("row"), F.col(f"`{text}`").cast("string").alias("text"))

@@ -377,6 +377,12 @@ def test_languages_of_odd_texts(spark, sf_dir):
     for i, text in enumerate(ODD + ["12 + 3"]):
         assert (got[i].lang_pred == "und") == (not any(map(str.isalpha, text or "")))
     assert got[0].accepted is False and got[0].lang_score == 0.0
+    # A language never seen is rejected, two known ones mixed are not.
+    known = {r.lang: r.text for r in docs.where("length(text) > 1000").select("lang", "text").collect()}
+    strange = ["река течёт мимо старого дома и моста " * 20, "川は古い家と橋のそばを流れている。" * 20]
+    mixed = known["en"][:600] + " " + known["fr"][:600]
+    odd = [r.accepted for r in identify(frame(spark, [*strange, mixed, *known.values()]), model).orderBy("row.doc_id").collect()]
+    assert odd == [False, False, True] + [True] * len(known)
     assert identify(frame(spark, ["a"]).limit(0), model).count() == 0
 
 
