@@ -195,15 +195,26 @@ def _joined(
     probe: DataFrame, home: DataFrame, columns: list[str], listed: bool, split_hot: bool, hot_rows: int, strict: bool
 ) -> DataFrame:
     """The pairs of one part, the right side's columns under names that keep out of the way."""
-    if split_hot and not listed and not home.isStreaming and not probe.isStreaming:
-        hot = hot_keys(probe, home, _KEY, hot_rows)
-    else:
-        hot = HotKeys()
+    streamed = probe.isStreaming and not home.isStreaming
+    hot = HotKeys()
+    if split_hot and not listed and not home.isStreaming:
+        # What arrives cannot be counted beforehand; the table that it meets can.
+        hot = hot_keys(home.limit(0) if streamed else probe, home, _KEY, hot_rows)
+    salts = []
+    if streamed and hot:
+        probe, home = salted(probe, _KEY, hot, "left"), salted(home, _KEY, hot, "right")
+        salts = ["__lsalt", "__rsalt"]
     home = home.select(
-        *[F.col(name).alias(f"__h{name}") for name in (_KEY, *_HERE)],
+        *[F.col(name).alias(f"__h{name}") for name in (_KEY, *_HERE, *salts)],
         *[F.col(f"`{name}`").alias(f"__h_{name}") for name in columns],
     )
     a, b = [F.col(name) for name in _HERE], [F.col(f"__h{name}") for name in _HERE]
+    if salts:
+        # A row that arrives meets every part of a hot bucket, each in another task.
+        on = _residual(a, b, strict)
+        for name in (_KEY, *salts):
+            on = on & (F.col(name) == F.col(f"__h{name}"))
+        return probe.join(home, on)
     probe = F.broadcast(probe) if listed else probe
     return split_join(probe, home, _KEY, f"__h{_KEY}", _residual(a, b, strict), hot)
 

@@ -189,6 +189,8 @@ def test_streams_answer_as_batches(spark, tmp_path):
     catalog = spark.range(300).selectExpr("id AS rid", "(id * 1.3D) % 360 AS ra", "(id * 0.7D) % 100 - 50 AS dec")
     pairs = crossmatch_stream(batch, catalog, 2.0, separation=None).select("id", "rid")
     matched = run(crossmatch_stream(stream, catalog, 2.0, separation=None).select("id", "rid"), "match_out")
+    split = run(crossmatch_stream(stream, catalog, 2.0, separation=None, hot_rows=2).select("id", "rid"), "split_out")
+    assert split == matched
     assert matched == sorted(tuple(r) for r in pairs.collect()) and matched
     with pytest.raises(ValueError):
         crossmatch_stream(stream, catalog, "ra")
