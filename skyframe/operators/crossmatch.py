@@ -26,7 +26,7 @@ from skyframe.functions.geometry import (
     quoted,
     separated_by_at_most,
 )
-from skyframe.operators.skew import BROADCAST_ROWS, HOT_ROWS, HotKeys, hot_keys, salted, small, split_join
+from skyframe.operators.skew import BROADCAST_ROWS, HOT_ROWS, HotKeys, handed_out, hot_keys, salted, small, split_join
 
 # The finest zone, in degrees. Finer ones would copy more probe rows and spare few candidates.
 FINEST_ZONE = 10.0 / 3600.0
@@ -197,7 +197,9 @@ def _joined(
     """The pairs of one part, the right side's columns under names that keep out of the way."""
     streamed = probe.isStreaming and not home.isStreaming
     hot = HotKeys()
-    if split_hot and not listed and not home.isStreaming:
+    # A limit below the usual one is kept whatever the tables' sizes.
+    spared = hot_rows >= HOT_ROWS and (handed_out(home) or (not streamed and handed_out(probe)))
+    if split_hot and not listed and not spared and not home.isStreaming:
         # What arrives cannot be counted beforehand; the table that it meets can.
         hot = hot_keys(home.limit(0) if streamed else probe, home, _KEY, hot_rows)
     salts = []

@@ -69,6 +69,13 @@ def _hashable(df: DataFrame) -> list[str]:
     return [f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, nested)]
 
 
+def handed_out(df: DataFrame) -> bool:
+    """Whether Spark takes a table for small enough to broadcast of itself, by the sizes of files.
+    Then the other side is not shuffled, and no key of it can be hot. No job is run to tell."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def ways_table(key: str, hot: HotKeys) -> DataFrame:
     """The hot keys under the name that `key` has in a join, handed out if they measure few."""
     return broadcast_if_small(hot.table.withColumnRenamed("key", key))
@@ -154,7 +161,8 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = H
     columns = [F.col(f"a.`{name}`") for name in left.columns] + [F.col(f"b.`{name}`") for name in added]
     left = left.withColumn("__key", F.xxhash64(*keys))
     right = right.withColumn("__key", F.xxhash64(*keys))
-    hot = hot_keys(left, right.limit(0), "__key", hot_rows)
+    spared = hot_rows >= HOT_ROWS and handed_out(right)
+    hot = HotKeys() if spared else hot_keys(left, right.limit(0), "__key", hot_rows)
     on = F.col("a.__key") == F.col("b.__key")
     for key in keys:
         on = on & F.col(f"a.`{key}`").eqNullSafe(F.col(f"b.`{key}`"))
