@@ -236,6 +236,16 @@ def test_run_is_its_stages(spark, planted):
     assert got.columns == docs.columns
 
 
+def test_copies_without_an_id(spark, planted):
+    """Of a group one stays, also where no row has an id, and where one id is there twice."""
+    docs = spark.read.parquet(f"{planted}/documents.parquet").where("doc_id IN (5, 6, 8)")
+    none = docs.where("doc_id IN (5, 8)").withColumn("doc_id", F.lit(None).cast("long"))
+    rows = docs.where("doc_id <> 8").unionByName(docs.where("doc_id = 6")).unionByName(none).unionByName(none)
+    got = [r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, rows, planted).collect()]
+    # 5 and 6, and one of the two copies of 8, which has no id.
+    assert sorted(got, key=str) == [5, 6, None]
+
+
 def test_pipeline_of_nothing(spark, planted):
     docs = spark.read.parquet(f"{planted}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
