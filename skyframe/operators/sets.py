@@ -50,6 +50,15 @@ def in_(df: DataFrame, column: str, values: DataFrame, **options) -> DataFrame:
     return _marked(df, column, values.toDF(column).where(F.col(column).isNotNull()).distinct(), True, **options)
 
 
+def among(df: DataFrame, column: str, values: DataFrame, few: bool) -> DataFrame:
+    """`column IN` a table of distinct values that has been measured: `few` are handed out."""
+    values = values.toDF(column)
+    if few:
+        found = df.join(F.broadcast(values), column, "left_semi")
+        return found.select(*[F.col(f"`{name}`") for name in df.columns])
+    return _marked(df, column, values.where(F.col(column).isNotNull()), True, handed_out=False)
+
+
 def not_in(df: DataFrame, column: str, values: DataFrame, **options) -> DataFrame:
     """`column NOT IN (SELECT ...)`: no row at all once a value is null, every row if there is no
     value. Asked first, so that the join is an ordinary one and need not be broadcast."""

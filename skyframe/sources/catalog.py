@@ -23,8 +23,8 @@ from skyframe.operators.crossmatch import where_any_circle
 from skyframe.operators.projection import select_columns, where_text
 from skyframe.operators.region_filter import COVERED_SHAPES, region_column, where_region
 from skyframe.operators.regions import Circle, Moc, Zone, merged, shapes
-from skyframe.operators.sets import in_
-from skyframe.operators.skew import broadcast_if_small
+from skyframe.operators.sets import among
+from skyframe.operators.skew import broadcast_if_small, small
 from skyframe.sources import index as indexes
 from skyframe.sources import partitions as tables
 from skyframe.sources.files import shared_folder
@@ -68,6 +68,8 @@ class _Wanted:
 
     values: list | DataFrame
     entries: DataFrame | None
+    # Whether a table of values has been measured to be small enough to hand out.
+    few: bool = False
 
 
 @dataclass(frozen=True)
@@ -115,12 +117,13 @@ class Catalog:
 
     def _listed(self, identifiers: dict | None) -> dict:
         """The identifiers with their values as lists where they are few."""
-        given = (identifiers or {}).items()
-        return {
-            column: _Wanted(values := indexes.listed(self.spark, wanted, self.schema[column].dataType, column),
-                            self._entries(column, values) if column in self.indexes else None)
-            for column, wanted in given
-        }
+        found = {}
+        for column, wanted in (identifiers or {}).items():
+            values = indexes.listed(self.spark, wanted, self.schema[column].dataType, column)
+            few = isinstance(values, DataFrame) and small(values)
+            entries = self._entries(column, values, few) if column in self.indexes else None
+            found[column] = _Wanted(values, entries, few)
+        return found
 
     def _plan(self, regions, identifiers: dict, implied: Constraints | None = None) -> DataFrame:
         chosen = self._covered(regions)
@@ -195,9 +198,9 @@ class Catalog:
         reached = (F.col("lo") < ((high + 1) << shift)) & (F.col("hi") > (low << shift))
         return self.partitions.where(reached).select(*_PARTITION).orderBy("lo")
 
-    def _entries(self, column: str, values) -> DataFrame:
+    def _entries(self, column: str, values, few: bool = False) -> DataFrame:
         index = indexes.read_index(self.spark, self.indexes[column], column)
-        return indexes.entries(index, column, values)
+        return indexes.entries(index, column, values, few)
 
     # ---- reading ----
 
@@ -289,17 +292,19 @@ class Catalog:
 
     def _identified(self, df: DataFrame, column: str, wanted: _Wanted) -> DataFrame:
         """The rows with one of the values, narrowed first by the cells the index gives, which
-        prune row groups: each cell where they are few, else ranges around them."""
+        prune row groups: each cell of a list's where they are few, else ranges around them."""
         if wanted.entries is not None and self.healpix is not None and self.healpix[0] in wanted.entries.columns:
             name, order = self.healpix
-            cells = wanted.entries.select(F.col(name).cast("bigint")).distinct().limit(LISTED_CELLS + 1).collect()
-            if len(cells) <= LISTED_CELLS:
+            cells = []
+            if not isinstance(wanted.values, DataFrame):
+                cells = wanted.entries.select(F.col(name).cast("bigint")).distinct().limit(LISTED_CELLS + 1).collect()
+            if not isinstance(wanted.values, DataFrame) and len(cells) <= LISTED_CELLS:
                 df = df.where(F.col(name).isin([cell[0] for cell in cells]))
             else:
                 spans = indexes.cell_ranges(wanted.entries, name, order, RANGES)
-                df = df.where(" OR ".join(f"`{name}` BETWEEN {low}L AND {high - 1}L" for low, high in spans))
+                df = df.where(" OR ".join(f"`{name}` BETWEEN {low}L AND {high - 1}L" for low, high in spans) or "false")
         if isinstance(wanted.values, DataFrame):
-            return in_(df, column, wanted.values)
+            return among(df, column, wanted.values, wanted.few)
         return df.where(F.col(column).isin(wanted.values))
 
     # ---- front of the catalog, and order by the index ----

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from skyframe.operators.coverage import closed_up
 from skyframe.operators.regions import merged
-from skyframe.operators.sets import in_
+from skyframe.operators.sets import among
 from skyframe.sources.files import shared_folder
 
 # Values that are looked up as a list; more are a join.
@@ -42,15 +42,16 @@ def listed(spark: SparkSession, values, data_type: T.DataType, column: str):
     return wanted if len(few) > LISTED_VALUES else [row[0] for row in few]
 
 
-def entries(index: DataFrame, column: str, values) -> DataFrame:
+def entries(index: DataFrame, column: str, values, few: bool = False) -> DataFrame:
     """The index rows of the wanted values: what partition, and where in it if the index says.
 
-    A list is an IN over the index, which the statistics of its sorted files answer. A table is
-    joined, once: partitions and cells are both taken from what that gives.
+    A list is an IN over the index, which the statistics of its sorted files answer. A table, of
+    distinct values and handed out if `few`, is joined, once: partitions and cells are both taken
+    from what that gives.
     """
     if not isinstance(values, DataFrame):
         return index.where(F.col(column).isin(values))
-    found = in_(index, column, values.select(F.col(column).cast(index.schema[column].dataType).alias(column)))
+    found = among(index, column, values.select(F.col(column).cast(index.schema[column].dataType).alias(column)), few)
     path = shared_folder(index.sparkSession, "entries")
     found.write.parquet(path)
     return index.sparkSession.read.schema(found.schema).parquet(path)
