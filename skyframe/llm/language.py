@@ -85,7 +85,16 @@ def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, counts[at]
 
 
-def _sampled(documents: DataFrame, text: str, lang: str, learned: Column, rows: int) -> list:
+@dataclass(frozen=True)
+class _Text:
+    """A labelled text: its signatures, and how often each is there."""
+
+    lang: str
+    at: np.ndarray
+    n: np.ndarray
+
+
+def _sampled(documents: DataFrame, text: str, lang: str, learned: Column, rows: int) -> list[_Text]:
     """At most about `rows` labelled rows as sparse counts, as many of each language where it has
     them: those whose text hashes lowest, so the sample does not depend on the order of rows."""
     value, label = F.col(f"`{text}`"), F.col(f"`{lang}`")
@@ -105,12 +114,16 @@ def _sampled(documents: DataFrame, text: str, lang: str, learned: Column, rows:
             for lang_, draw, body in zip(*(batch.column(k) for k in range(3))):
                 if _has_letter(body.as_py()):
                     at, counts = _counts(body.as_py())
-                    sparse = [pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([counts.tolist()], pa.list_(pa.int64()))]
+                    sparse = [pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([counts.tolist()], pa.list_(pa.int32()))]
                     yield pa.RecordBatch.from_arrays([pa.array([lang_.as_py()]), pa.array([draw.as_py()]), *sparse], ["lang", "draw", "at", "n"])
 
-    found = picked.mapInArrow(run, "lang string, draw bigint, at array<int>, n array<bigint>")
+    found = picked.mapInArrow(run, "lang string, draw bigint, at array<int>, n array<int>")
     # Copies of one text share its draw; the cut keeps the bound whatever is copied.
-    return found.dropDuplicates(["lang", "draw"]).orderBy("draw", "lang").limit(2 * rows).collect()
+    table = found.dropDuplicates(["lang", "draw"]).orderBy("draw", "lang").limit(2 * rows).toArrow()
+    at, n = (table.column(name).combine_chunks() for name in ("at", "n"))
+    cuts = at.offsets.to_numpy()
+    at, n = at.values.to_numpy(), n.values.to_numpy()
+    return [_Text(lang, at[a:b], n[a:b]) for lang, a, b in zip(table.column("lang").to_pylist(), cuts[:-1], cuts[1:])]
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -126,8 +139,8 @@ def fit(documents: DataFrame, learned: Column, text: str = "text", lang: str = "
     sample = _sampled(documents, text, lang, learned, rows)
     if not sample:
         return None
-    classes = sorted({row["lang"] for row in sample})
-    label = np.array([classes.index(row["lang"]) for row in sample])
+    classes = sorted({row.lang for row in sample})
+    label = np.array([classes.index(row.lang) for row in sample])
     random = np.random.default_rng(7)
     order = random.permutation(len(sample))
     aside = order[: len(sample) // 5]
@@ -136,7 +149,7 @@ def fit(documents: DataFrame, learned: Column, text: str = "text", lang: str = "
     def dense(which) -> np.ndarray:
         x = np.zeros((len(which), BUCKETS), np.float32)
         for k, i in enumerate(which):
-            np.add.at(x[k], np.array(sample[i]["at"]) % BUCKETS, np.array(sample[i]["n"], np.float32))
+            x[k] = np.bincount(sample[i].at % BUCKETS, sample[i].n, BUCKETS)
         return x / x.sum(axis=1, keepdims=True)
 
     embedding = random.normal(0, 0.1, (BUCKETS, DIMENSION)).astype(np.float32)
@@ -167,8 +180,7 @@ def fit(documents: DataFrame, learned: Column, text: str = "text", lang: str = "
     # Whole texts leave no doubt to learn the temperature from; a few subwords of each do.
     few = []
     for i in held:
-        counts = np.array(sample[i]["n"], float)
-        drawn = random.choice(np.array(sample[i]["at"]), FEW, p=counts / counts.sum())
+        drawn = random.choice(sample[i].at, FEW, p=sample[i].n / sample[i].n.sum())
         few.append(table[drawn % BUCKETS].mean(axis=0))
     few, truth = np.array(few), label[held]
     scales = np.exp(np.linspace(np.log(0.05), np.log(20), 200))
@@ -181,8 +193,8 @@ def fit(documents: DataFrame, learned: Column, text: str = "text", lang: str = "
     limit = chance + (float(top[int(LOWEST * len(top))]) - chance) / 2
     seen = np.zeros(SIGNATURES, bool)
     for i in train:
-        seen[sample[i]["at"]] = True
-    shares = np.sort([np.average(seen[sample[i]["at"]], weights=sample[i]["n"]) for i in held])
+        seen[sample[i].at] = True
+    shares = np.sort([np.average(seen[sample[i].at], weights=sample[i].n) for i in held])
     familiar = float(shares[int(LOWEST * len(shares))]) / 2
     return LanguageModel(classes, table.astype(np.float32), seen, temperature, limit, familiar)
 
