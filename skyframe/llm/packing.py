@@ -25,7 +25,7 @@ from skyframe.llm.words import words_of
 
 CAPACITIES = (1024, 2048, 4096)
 # Pieces of one length that are ranked in one task.
-RANKED = 10_000
+RANKED = 500
 
 
 @dataclass(frozen=True)
