@@ -56,6 +56,11 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that tell texts apart; a null text has those of an empty one."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else. `lower` is that for ASCII text, and far faster."""
     ascii_only = F.octet_length(text) == F.char_length(text)

@@ -246,6 +246,33 @@ def test_copies_without_an_id(spark, planted):
     assert sorted(got, key=str) == [5, 6, None]
 
 
+def test_near_copies_are_told_by_shingles(spark, planted):
+    """Similarity 0.8 of five-word shingles decides, whatever the fingerprints are."""
+    random = np.random.default_rng(17)
+
+    def similarity(a, b):
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    rows, near = [], set()
+    for k in range(40):
+        text = [f"w{w}" for w in random.integers(0, 5000, 120)]
+        copy = list(text)
+        for at in range(20, 20 + 20 * (2 if k % 2 else 4), 20):
+            copy[at] = f"new{k}"
+        rows += [(k, " ".join(text), "en", "src", 0), (100 + k, " ".join(copy), "en", "src", 0)]
+        near |= {100 + k} if similarity(text, copy) >= 0.8 else set()
+    # A chain, of which only neighbours are near copies.
+    chain = [[f"c{w}" for w in range(120)]]
+    for k in range(12):
+        chain.append([f"d{k}" if at == 9 * k + 6 else w for at, w in enumerate(chain[-1])])
+    rows += [(200 + k, " ".join(words), "en", "src", 0) for k, words in enumerate(chain)]
+    assert len(near) == 20 and similarity(chain[0], chain[-1]) < 0.8 < similarity(chain[3], chain[4])
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{planted}/documents.parquet").schema)
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, planted).collect()}
+    assert got == {r[0] for r in rows} - near - set(range(201, 213))
+
+
 def test_pipeline_of_nothing(spark, planted):
     docs = spark.read.parquet(f"{planted}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
