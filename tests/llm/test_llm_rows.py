@@ -273,6 +273,17 @@ def test_near_copies_are_told_by_shingles(spark, planted):
     assert got == {r[0] for r in rows} - near - set(range(201, 213))
 
 
+def test_a_leak_takes_no_other_text_along(spark, planted):
+    """Documents without an id, and unlike texts under one id, are told apart by their texts."""
+    docs = spark.read.parquet(f"{planted}/documents.parquet").where("doc_id IN (5, 6, 500)")
+    for same in (None, 9):
+        rows = docs.withColumn("doc_id", F.lit(same).cast("long"))
+        once = corpus_pipeline.near_dedup(spark, rows, planted)
+        assert once.count() == 3
+        clean = {r.text for r in corpus_pipeline.decontamination(spark, rows, planted).collect()}
+        assert clean == {r.text for r in docs.where("doc_id <> 500").collect()}
+
+
 def test_pipeline_of_nothing(spark, planted):
     docs = spark.read.parquet(f"{planted}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
