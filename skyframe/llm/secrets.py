@@ -171,16 +171,20 @@ def random_strings(strings: DataFrame, false_share: float = FALSE_SHARE) -> Data
     all are random, so twice their number estimates the random ones, and a bin's excess over its
     even share the others. The bins from the lowest that keeps the others' share small are taken,
     where small allows for the chance error of a count. Lengths at which no string is above one half
-    have no random strings. Counts cover all strings; what is kept of them is one row a bin.
+    are too sparse to tell, and take the limit of their whole encoding, or else of all. Counts cover all strings; what is kept of them is one row a bin.
     """
     tested = stored(_tested(strings), "tested-strings")
     binned = tested.withColumn("bin", F.least(F.lit(_BINS - 1), F.floor(F.col("p") * _BINS)).cast("int"))
     counts = binned.groupBy("encoding", "band", "bin").count()
-    strata = counts.groupBy("encoding", "band").agg(
-        F.sum("count").alias("n"),
-        F.sum(F.when(F.col("bin") >= _BINS // 2, F.col("count")).otherwise(0)).alias("upper"),
-        F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("bins"),
-    )
+
+    def strata(*keys: str) -> DataFrame:
+        alike = counts.groupBy(*keys, "bin").agg(F.sum("count").alias("count"))
+        return alike.groupBy(*keys).agg(
+            F.sum("count").alias("n"),
+            F.sum(F.when(F.col("bin") >= _BINS // 2, F.col("count")).otherwise(0)).alias("upper"),
+            F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("bins"),
+        )
+
     each = F.least(F.col("upper") * 2.0, F.col("n") * 1.0) / _BINS
 
     def above(first: Column) -> Column:
@@ -191,7 +195,14 @@ def random_strings(strings: DataFrame, false_share: float = FALSE_SHARE) -> Data
         F.sequence(F.lit(1), F.lit(_BINS // 2)),
         lambda b: above(b) - each * (_BINS - b) <= false_share * above(b) + F.sqrt(above(b)),
     )
-    limits = strata.where("upper > 0").select("encoding", "band", F.array_min(good).alias("lowest")).where("lowest IS NOT NULL")
+    lowest = F.array_min(good)
+    own = strata("encoding", "band").select("encoding", "band", F.when(F.col("upper") > 0, lowest).alias("own"), (F.col("upper") > 0).alias("told"))
+    # One row for each encoding, and one.
+    wider = strata("encoding").select("encoding", lowest.alias("wider"), (F.col("upper") > 0).alias("wider_told"))
+    widest = strata().select(lowest.alias("widest"))
+    limits = own.join(F.broadcast(wider), "encoding").crossJoin(F.broadcast(widest))
+    chosen = F.when(F.col("told"), F.col("own")).when(F.col("wider_told"), F.col("wider")).otherwise(F.col("widest"))
+    limits = limits.select("encoding", "band", chosen.alias("lowest")).where("lowest IS NOT NULL")
     # At most one row for each encoding and half-octave.
     return binned.join(F.broadcast(limits), ["encoding", "band"]).where("bin >= lowest").select("found")
 

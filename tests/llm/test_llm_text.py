@@ -446,6 +446,18 @@ def test_random_strings_are_told_from_words(spark):
     assert len(found & set(names)) <= 2
 
 
+def test_lone_random_strings_are_found(spark):
+    """A key that is the only one of its encoding and length, beside words that are, too."""
+    random = np.random.default_rng(11)
+    alphabets = ["0123456789ABCDEF", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    lengths = [24, 40, 56, 80, 112, 160]
+    keys = {"".join(random.choice(list(signs), n)) for signs in alphabets for n in lengths}
+    names = {("chapter1" * 20)[:n] for n in lengths}
+    strings = spark.createDataFrame([(s,) for s in sorted(keys | names)], "found string")
+    found = {r.found for r in random_strings(strings).collect()}
+    assert len(found & keys) >= 16 and not found & names
+
+
 def test_random_strings_are_added(spark):
     random = np.random.default_rng(5)
     signs = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
