@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from skyframe.llm.chat import conversation_nodes, format_branches, masked_texts, parsed
 from skyframe.llm.decontamination import contaminated
+from skyframe.llm.html import extract_main_text
 from skyframe.llm.language import fit, identify
 from skyframe.llm.lines import drop_frequent_lines
 from skyframe.llm.packing import pack
+from skyframe.llm.repair import repair_conversations, written_digest
+from skyframe.llm.runs import collapse_runs
 from skyframe.llm.scoring import interpolated_scores
 from skyframe.llm.secrets import find_secrets, written
 from skyframe.llm.simhash import near_duplicates
-from skyframe.llm.tables import remainder
+from skyframe.llm.tables import SPACES, remainder
 from skyframe.llm.topk import top_k
 from skyframe.llm.urls import ALLOW, BLOCK, Rule, judge
 
@@ -185,3 +188,71 @@ URL_RULES = [
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def made_periodic(documents: DataFrame) -> DataFrame:
+    """`documents` with the words of one in ten made periodic from some word on, by its id."""
+    h = remainder(F.col("doc_id"), 1 << 32)
+    words = F.split(F.btrim("text", F.lit(SPACES)), f"[{SPACES}]+")
+    n, g = F.size(words), F.floor(h / 10)
+    a = F.pmod(g, n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    block = F.slice(words, a + 1, p)
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    changed = F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")
+    worded = F.rlike("text", F.lit(f"[^{SPACES}]"))
+    return documents.withColumn("text", F.when((h % 10 == 0) & worded, changed).otherwise(F.col("text")))
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = made_periodic(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = collapse_runs(documents)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", longest)
+    return found.select(
+        "row.doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """`conversations` with one in five rows damaged, by its id and turn: dropped, emptied, without
+    its full stops, repeated, or said by the user. Nulls are one space, but for the order by turn."""
+    filled = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    damage = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    text = F.when(damage == 1, "").when(damage == 2, F.translate(filled("text"), ".!?", "")).otherwise(filled("text"))
+    role = F.when(damage == 4, "user").otherwise(filled("role"))
+    copies = F.when(damage == 0, 0).when(damage == 3, 2).otherwise(1)
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copies"))
+    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copy", "copies")
+
+
+@query()
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    plan, repaired = repair_conversations(damaged(conversations))
+    digests = written_digest(repaired).withColumnRenamed("conv", "digested")
+    plan = plan.drop("parts").join(digests, F.col("conv").eqNullSafe(F.col("digested")))
+    ids = conversations.select("conv_id").distinct()
+    found = ids.join(plan, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select(
+        "conv_id",
+        *[F.coalesce(F.col(name), F.lit(0).cast("bigint")).alias(name) for name in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+@query()
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))

@@ -73,10 +73,11 @@ class Words:
         return mixed(out)
 
 
-def words_of(texts: list[bytes | None]) -> Words:
-    """The words of each text; a null text has none."""
+def words_of(texts: list[bytes | None], lower: bool = True) -> Words:
+    """The words of each text; a null text has none. Without `lower`, as they are written."""
     parts = [text or b"" for text in texts]
-    data = b"\n".join(parts).lower()
+    data = b"\n".join(parts)
+    data = data.lower() if lower else data
     sizes = np.fromiter((len(part) + 1 for part in parts), np.int64, len(parts))
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     inside = _IS_WORD[np.frombuffer(data, np.uint8)]
@@ -99,3 +100,17 @@ def slices(texts: list[bytes | None], size: int = 1 << 20):
             begin, total = at + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def stretches(texts, size: int = 1 << 20):
+    """Consecutive values of an Arrow array of texts, about `size` bytes at a time, with the place
+    of the first; a longer text is a stretch of its own."""
+    begin, part, total = 0, [], 0
+    for at, value in enumerate(texts):
+        part.append(value.as_py())
+        total += len(part[-1] or b"") + 1
+        if total >= size:
+            yield begin, part
+            begin, part, total = at + 1, [], 0
+    if part:
+        yield begin, part
