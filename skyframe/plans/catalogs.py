@@ -10,7 +10,7 @@ from skyframe.functions.healpix import cell_center, healpix_index
 from skyframe.functions.sql import register
 from skyframe.operators.coverage import BOUNDARY, INSIDE, OUTSIDE
 from skyframe.operators.crossmatch import crossmatch
-from skyframe.operators.limits import capped
+from skyframe.operators.limits import with_overflow
 from skyframe.operators.regions import Circle, Moc, Zone
 from skyframe.plans.inputs import (
     BEACONS,
@@ -19,6 +19,7 @@ from skyframe.plans.inputs import (
     beacons,
     cell_sql,
     detections,
+    distance_sql,
     in_circle_sql,
     star_catalog,
     stars,
@@ -208,9 +209,16 @@ def file_front(spark, sf_dir):
 
 @query(f"WITH {STARS} SELECT event_id, true AS overflow FROM stars WHERE {in_circle_sql(45, -20, 40)} ORDER BY event_id LIMIT 20")
 def row_cap_overflow(spark, sf_dir):
+    """A cap that cuts, in the run that delivers the rows."""
     found = star_catalog(spark, sf_dir).select(Circle(45, -20, 40), columns=["event_id"]).orderBy("event_id")
-    kept, overflow = capped(found, 20)
-    return kept.withColumn("overflow", F.lit(overflow))
+    return with_overflow(found, 20)
+
+
+@query(f"WITH {STARS} SELECT event_id, false AS overflow FROM stars WHERE {in_circle_sql(45, -20, 2)}")
+def row_cap_kept(spark, sf_dir):
+    """A cap that does not cut."""
+    found = star_catalog(spark, sf_dir).select(Circle(45, -20, 2), columns=["event_id"]).orderBy("event_id")
+    return with_overflow(found, 1_000_000)
 
 
 @query(
@@ -250,10 +258,10 @@ def file_front_filtered(spark, sf_dir):
 
 @query("SELECT event_id, event_type FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 100")
 def file_front_partitioned(spark, sf_dir):
-    """A folder of one file, with a column in the name of a folder."""
+    """All clicks in several files under a folder whose name is a column; the front of them is asked for."""
     path = shared_folder(spark, "front")
     rows = table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", "event_type")
-    rows.orderBy("event_id").limit(100).coalesce(1).write.partitionBy("event_type").parquet(path)
+    rows.repartitionByRange(8, "event_id").sortWithinPartitions("event_id").write.partitionBy("event_type").parquet(path)
     return first_rows(spark, path, 100, ["event_id", "event_type"])
 
 
@@ -272,8 +280,10 @@ _ONE_FILE = "(SELECT count(DISTINCT (Norder, Npix)) FROM placed WHERE event_id I
 
 @query(f"WITH {_PLACED} {_CELL}, {_ONE_FILE} AS partitions FROM placed WHERE event_id IN (7, 42) AND value > -1")
 def catalog_where_index(spark, sf_dir):
-    """An equality in a predicate goes through the index; the partitions opened are counted."""
-    found = star_catalog(spark, sf_dir).select(where="event_id IN (7, 42) AND value > -1", columns=["event_id", "_healpix_29"])
+    """Identifiers go through the index, beside a predicate; the partitions opened are counted."""
+    found = star_catalog(spark, sf_dir).select(
+        where="value > -1", identifiers={"event_id": [7, 42]}, columns=["event_id", "_healpix_29"]
+    )
     return found.withColumn("partitions", F.lit(_partitions_read(found)).cast("bigint"))
 
 
@@ -291,8 +301,7 @@ _LOW, _HIGH = 3 << 56, (3 << 56) + (1 << 55)
 )
 def catalog_where_cells(spark, sf_dir):
     """A range of cells written by hand opens the partitions it reaches and no other."""
-    where = f"_healpix_29 BETWEEN {_LOW} AND {_HIGH}"
-    found = star_catalog(spark, sf_dir).select(where=where, columns=["event_id", "_healpix_29"])
+    found = star_catalog(spark, sf_dir).select(cells=[(_LOW, _HIGH)], columns=["event_id", "_healpix_29"])
     return found.withColumn("partitions", F.lit(_partitions_read(found)).cast("bigint"))
 
 
@@ -300,9 +309,35 @@ def catalog_where_cells(spark, sf_dir):
     f"WITH {_PLACED} SELECT event_type, count(*) AS n, true AS pruned FROM placed WHERE {in_circle_sql(45, -20, 6)} GROUP BY event_type"
 )
 def catalog_sql_region(spark, sf_dir):
-    """A circle in the text of a statement chooses the partitions that the statement reads."""
+    """A statement over the partitions that a circle reaches."""
     register(spark)
     catalog = star_catalog(spark, sf_dir)
-    found = catalog.sql("SELECT event_type, event_id FROM {catalog} WHERE sky_in_circle(ra, dec, 45, -20, 6)")
+    statement = "SELECT event_type, event_id FROM {catalog} WHERE sky_in_circle(ra, dec, 45, -20, 6)"
+    found = catalog.sql(statement, regions=Circle(45, -20, 6))
     pruned = _partitions_read(found) < catalog.partitions.count() / 4
     return found.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("pruned", F.lit(pruned))
+
+
+@query(
+    f"WITH {_PLACED} SELECT event_type, count(*) AS n FROM placed WHERE Npix << (2 * (29 - Norder)) <= {_HIGH} "
+    f"AND (Npix + 1) << (2 * (29 - Norder)) > {_LOW} AND value > 10 GROUP BY event_type"
+)
+def catalog_view_partitions(spark, sf_dir):
+    """A statement over the view, pruned by a join with the partition table."""
+    star_catalog(spark, sf_dir).create_view("sky_stars")
+    return spark.sql(
+        "SELECT event_type, count(*) AS n FROM sky_stars s JOIN sky_stars_partitions p "
+        f"ON s.Norder = p.Norder AND s.Npix = p.Npix WHERE p.lo <= {_HIGH} AND p.hi > {_LOW} AND value > 10 GROUP BY event_type"
+    )
+
+
+@query(
+    f"WITH {STARS} SELECT event_id, round({distance_sql('ra', 'dec', 45, -20)}, 6) AS separation, true AS pruned FROM stars "
+    f"ORDER BY {distance_sql('ra', 'dec', 45, -20)}, event_id LIMIT 25"
+)
+def catalog_nearest(spark, sf_dir):
+    """The nearest rows to a point, out of the partitions that can hold them."""
+    catalog = star_catalog(spark, sf_dir)
+    found, opened = catalog.nearest(25, 45.0, -20.0, columns=["event_id"], then=[F.col("event_id")])
+    pruned = F.lit(opened * 4 <= catalog.partitions.count())
+    return found.select("event_id", F.round("separation", 6).alias("separation"), pruned.alias("pruned"))

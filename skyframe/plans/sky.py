@@ -260,6 +260,33 @@ def sql_functions(spark, sf_dir):
     )
 
 
+def _written(moc: Moc) -> str:
+    """A moc as text."""
+    by_order: dict[int, list[str]] = {}
+    for order, cell in moc.cells():
+        by_order.setdefault(order, []).append(str(cell))
+    return " ".join(f"{order}/{' '.join(cells)}" for order, cells in sorted(by_order.items()))
+
+
+@query(f"WITH {_CELLS} SELECT event_id FROM celld WHERE {_IN_MOC}")
+def sql_moc(spark, sf_dir):
+    """A moc in the text of a statement."""
+    register(spark)
+    statement = f"SELECT event_id FROM {{stars}} WHERE sky_in_moc(_healpix_29, '{_MOC}')"
+    return spark.sql(statement, stars=indexed_stars(spark, sf_dir))
+
+
+@query(f"WITH {_CELLS} SELECT event_type, count(*) AS n FROM celld WHERE (cell >> 46) % 3 = 0 OR event_id % 100 = 0 GROUP BY 1")
+def sql_moc_many_ranges(spark, sf_dir):
+    """A moc of sixteen thousand ranges beside another condition."""
+    register(spark)
+    statement = (
+        "SELECT event_type, count(*) AS n FROM {stars} "
+        f"WHERE sky_in_moc(_healpix_29, '{_written(_scattered())}') OR event_id % 100 = 0 GROUP BY event_type"
+    )
+    return spark.sql(statement, stars=indexed_stars(spark, sf_dir))
+
+
 # ---- crossmatch ----
 
 _PAIR = "a.event_id, b.o_orderkey"
@@ -330,6 +357,38 @@ def match_self(spark, sf_dir):
     return pairs.where("event_id < event_id_2").selectExpr("event_id AS a_id", "event_id_2 AS b_id")
 
 
+@query(
+    f"WITH {STARS}, {DETECTIONS} SELECT {_PAIR}, round({distance_sql('a.ra', 'a.dec', 'b.ra', 'b.dec')}, 6) AS separation "
+    f"FROM stars a JOIN detections b ON abs(a.dec - b.dec) <= 0.6 AND {in_circle_sql('b.ra', 'b.dec', 0.5, 'a.')}"
+)
+def sql_match_pairs(spark, sf_dir):
+    """A crossmatch in the text of a statement, an equi-join on buckets."""
+    register(spark)
+    return spark.sql(
+        "SELECT a.event_id, b.o_orderkey, round(sky_distance(a.ra, a.dec, b.ra, b.dec), 6) AS separation "
+        "FROM {stars} a, LATERAL sky_buckets(a.ra, a.dec, 0.5D) k JOIN {detections} b "
+        "ON k.bucket = sky_bucket(b.ra, b.dec, 0.5D) AND sky_in_circle(b.ra, b.dec, a.ra, a.dec, 0.5D)",
+        stars=stars(spark, sf_dir),
+        detections=detections(spark, sf_dir),
+    )
+
+
+@query(
+    f"WITH {STARS}, {DETECTIONS} SELECT o_orderpriority, count(*) AS pairs FROM stars a JOIN detections b "
+    f"ON {in_circle_sql('b.ra', 'b.dec', '0.01::DOUBLE * (a.event_id % 50)', 'a.')} WHERE a.value > 20 AND a.event_id % 50 > 0 GROUP BY 1"
+)
+def sql_match_row_radius(spark, sf_dir):
+    """Every row with a radius of its own, on the grid of the widest."""
+    register(spark)
+    return spark.sql(
+        "SELECT o_orderpriority, count(*) AS pairs FROM (SELECT *, 0.01D * (event_id % 50) AS r FROM {stars} "
+        "WHERE value > 20 AND event_id % 50 > 0) a, LATERAL sky_buckets(a.ra, a.dec, a.r, 0.5D) k JOIN {detections} b "
+        "ON k.bucket = sky_bucket(b.ra, b.dec, 0.5D, 0.5D) AND sky_in_circle(b.ra, b.dec, a.ra, a.dec, a.r) GROUP BY o_orderpriority",
+        stars=stars(spark, sf_dir),
+        detections=detections(spark, sf_dir),
+    )
+
+
 @query(
     f"WITH {TARGETS}, {STARS} SELECT c_custkey, event_id, separation FROM (SELECT c_custkey, event_id, "
     "round(d, 6) AS separation, row_number() OVER (PARTITION BY c_custkey ORDER BY d, event_id) AS rn "

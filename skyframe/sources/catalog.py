@@ -7,28 +7,34 @@ paths to read, which a scan needs there in any case.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyframe.functions.geometry import PAD
-from skyframe.functions.healpix import CELL_RADIUS, DEFAULT_INDEX, MAX_ORDER, cell_count, shift_left, shift_right
+from skyframe.functions.geometry import PAD, distance, quoted
+from skyframe.functions.healpix import (
+    CELL_RADIUS,
+    DEFAULT_INDEX,
+    MAX_ORDER,
+    cell_count,
+    cell_radius,
+    shift_left,
+    shift_right,
+)
 from skyframe.operators.coverage import BOUNDARY, INSIDE, OUTSIDE, cap_steps, closed_up, shape_cover
 from skyframe.operators.crossmatch import where_any_circle
 from skyframe.operators.projection import select_columns, where_text
 from skyframe.operators.region_filter import COVERED_SHAPES, region_column, where_region
-from skyframe.operators.regions import Circle, Moc, Zone, merged, shapes
+from skyframe.operators.regions import Circle, Moc, merged, shapes
 from skyframe.operators.sets import among
 from skyframe.operators.skew import broadcast_if_small, small
 from skyframe.sources import index as indexes
 from skyframe.sources import partitions as tables
 from skyframe.sources.files import shared_folder
-from skyframe.sources.pruning import Constraints, scanned
 
 # Orders below a partition's own at which it is classified.
 DETAIL = 2
@@ -37,9 +43,15 @@ RANGES = 48
 # Past this many partitions a scan is given the dataset's root, and rows are joined with the chosen
 # cells; the region's ranges still skip files by their statistics.
 LISTED_PATHS = 20_000
+# Rows of the partition table that come to the driver at a time where they are read in order.
+PLANNED_AT_ONCE = 512
+# A position in floats may lie that many degrees outside of its cell.
+FLOAT_SLACK = 1e-4
 # Cell values an identifier lookup may turn into an IN list; more are ranges around them.
 LISTED_CELLS = 1_000
 _PROPERTIES = ("hats.properties", "properties")
+# Closed ranges of index values, as numbers.
+Ranges = list[tuple[int, int]]
 
 
 def _read_properties(spark: SparkSession, paths: list[str]) -> dict[str, str] | None:
@@ -81,8 +93,6 @@ class Catalog:
     schema: T.StructType
     indexes: dict[str, str] = field(default_factory=dict)
     deepest: int = 0
-    # A partition's path, over which predicates are planned.
-    first: str | None = None
     # How many partitions are handed over as a list of paths, if not LISTED_PATHS.
     listed_paths: int | None = None
 
@@ -110,10 +120,10 @@ class Catalog:
 
     # ---- choosing partitions ----
 
-    def plan(self, regions=None, identifiers: dict | None = None) -> DataFrame:
+    def plan(self, regions=None, identifiers: dict | None = None, cells: Ranges | None = None) -> DataFrame:
         """The partitions a selection reads, in catalog order, and whether their rows still need
         the region's test: the partition table with `cover` and `needs_test`. No row is read."""
-        return self._plan(regions, self._listed(identifiers))
+        return self._plan(regions, self._listed(identifiers), cells)
 
     def _listed(self, identifiers: dict | None) -> dict:
         """The identifiers with their values as lists where they are few."""
@@ -125,15 +135,23 @@ class Catalog:
             found[column] = _Wanted(values, entries, few)
         return found
 
-    def _plan(self, regions, identifiers: dict, implied: Constraints | None = None) -> DataFrame:
+    def _plan(self, regions, identifiers: dict, cells: Ranges | None = None) -> DataFrame:
         chosen = self._covered(regions)
-        if implied is not None:
-            chosen = self._reached(chosen, implied)
+        if cells is not None:
+            chosen = chosen.where(self._reaching(cells))
         for wanted in identifiers.values():
             if wanted.entries is not None:
                 chosen = chosen.join(indexes.partitions_of(wanted.entries), ["Norder", "Npix"], "left_semi")
         return chosen.withColumn("needs_test", F.col("cover") == BOUNDARY).orderBy("lo", "Norder")
 
+    def _reaching(self, cells: Ranges) -> str:
+        """Whether a partition can hold a cell of some closed ranges of the catalog's own index."""
+        _, order = self.healpix or (None, MAX_ORDER)
+        shift, top = 2 * (MAX_ORDER - order), cell_count(order) - 1
+        spans = [(max(0, low), min(top, high)) for low, high in cells]
+        spans = closed_up(merged([(low << shift, (high + 1) << shift) for low, high in spans if low <= high]), RANGES)
+        return " OR ".join(f"(lo < {high}L AND hi > {low}L)" for low, high in spans) or "false"
+
     def estimate(self, regions=None, identifiers: dict | None = None) -> DataFrame:
         """What a selection would read, in one row. A total of rows or bytes is given only where
         every partition's is known."""
@@ -162,41 +180,9 @@ class Catalog:
             chosen = _moc_cover(chosen, Moc(tuple(spans)))
         return chosen.where(F.col("cover") != OUTSIDE).select(*_PARTITION, "cover")
 
-    def _implied(self, where: str | Column | None) -> Constraints | None:
-        """What a predicate says about the cells, the positions and the indexed columns. It is
-        planned over the first partition's file, which is enough for Spark to resolve it."""
-        if where is None or self.first is None:
-            return None
-        probe = self._scan([self.first])
-        found = scanned(where_text(probe, where) if isinstance(where, str) else probe.where(where), self.first)
-        return found[0] if len(found) == 1 else None
-
-    def _reached(self, chosen: DataFrame, implied: Constraints) -> DataFrame:
-        """The partitions that can hold a row a predicate lets through."""
-        if self.healpix is not None and self.healpix[0] in implied.intervals:
-            column, order = self.healpix
-            shift, top = 2 * (MAX_ORDER - order), cell_count(order) - 1
-            spans = [(max(0, math.ceil(low)), min(top, math.floor(high))) for low, high in
-                     ((max(low, 0), min(high, top)) for low, high in implied.intervals[column])]
-            spans = closed_up([span for span in spans if span[0] <= span[1]], RANGES)
-            reached = [f"(lo < {(high + 1) << shift}L AND hi > {low << shift}L)" for low, high in spans]
-            chosen = chosen.where(" OR ".join(reached) or "false")
-        if self.position is not None and self.position[1] in implied.intervals:
-            zones = _zones(implied.intervals, *self.position)
-            covered = self._covered(zones) if zones else self.partitions.limit(0)
-            chosen = chosen.join(covered.select("Norder", "Npix"), ["Norder", "Npix"], "left_semi")
-        for column, values in implied.values.items():
-            if column in self.indexes and len(values) <= indexes.LISTED_VALUES:
-                named = indexes.partitions_of(self._entries(column, values))
-                chosen = chosen.join(named, ["Norder", "Npix"], "left_semi")
-        return chosen
-
     def within_index_range(self, low: int, high: int) -> DataFrame:
         """The partitions that hold any index value of `low..high`, for a range written by hand."""
-        _, order = self.healpix or (None, MAX_ORDER)
-        shift = 2 * (MAX_ORDER - order)
-        reached = (F.col("lo") < ((high + 1) << shift)) & (F.col("hi") > (low << shift))
-        return self.partitions.where(reached).select(*_PARTITION).orderBy("lo")
+        return self.partitions.where(self._reaching([(low, high)])).select(*_PARTITION).orderBy("lo")
 
     def _entries(self, column: str, values, few: bool = False) -> DataFrame:
         index = indexes.read_index(self.spark, self.indexes[column], column)
@@ -236,13 +222,14 @@ class Catalog:
         return df.limit(0) if paths is not None and not paths else df
 
     def select(self, regions=None, where: str | Column | None = None, columns: list[str] | None = None,
-               identifiers: dict | None = None) -> DataFrame:
-        """Rows by region, identifier and predicate, then columns.
+               identifiers: dict | None = None, cells: Ranges | None = None) -> DataFrame:
+        """Rows by region, identifier, closed ranges of the catalog's index, and predicate; then columns.
 
         Partitions wholly inside the region are read without its test. Identifiers narrow by the
-        catalog's indexes where it has them, and are exact with or without.
+        catalog's indexes where it has them, and are exact with or without. What a predicate says of
+        cells or identifiers chooses no partitions: say it in `cells` and `identifiers`.
         """
-        return self._shaped(self._rows(regions, where, identifiers), columns)
+        return self._shaped(self._rows(regions, where, identifiers, cells), columns)
 
     def select_circles(
         self, circles: DataFrame, where: str | Column | None = None, columns: list[str] | None = None
@@ -262,9 +249,9 @@ class Catalog:
         df = df.select(*[F.col(f"`{name}`") for name in self.schema.names])
         return df if columns is None else select_columns(df, columns)
 
-    def _rows(self, regions, where, identifiers) -> DataFrame:
+    def _rows(self, regions, where, identifiers, cells: Ranges | None = None) -> DataFrame:
         identifiers = self._listed(identifiers)
-        plan = self._plan(regions, identifiers, self._implied(where))
+        plan = self._plan(regions, identifiers, cells)
         chosen = plan.select("path", "needs_test").limit(self._most_paths() + 1).collect()
         if len(chosen) > self._most_paths():
             df = self._of(plan.where(~F.col("needs_test")))
@@ -277,12 +264,20 @@ class Catalog:
             if edge:
                 tested = self._in_region(self._scan(edge), regions)
                 df = tested if len(edge) == len(chosen) else sure.unionByName(tested)
+        if cells is not None:
+            df = df.where(self._in_cells(cells))
         for column, wanted in identifiers.items():
             df = self._identified(df, column, wanted)
         if where is not None:
             df = where_text(df, where) if isinstance(where, str) else df.where(where)
         return df
 
+    def _in_cells(self, cells: Ranges) -> str:
+        if self.healpix is None:
+            raise ValueError("this catalog has no cell column to take ranges of")
+        spans = merged([(low, high + 1) for low, high in cells if low <= high])
+        return " OR ".join(f"{quoted(self.healpix[0])} BETWEEN {low}L AND {high - 1}L" for low, high in spans) or "false"
+
     def _in_region(self, df: DataFrame, regions) -> DataFrame:
         ra, dec = self.position or (None, None)
         column, order = self.healpix or (None, None)
@@ -335,29 +330,87 @@ class Catalog:
         Batches double, so a catalog of P partitions is asked at most log2(P) times, and what a
         batch still owes, never more than `n` rows, is written to the shared folder: no batch is
         read twice. A limit that no prefix fills ends at every chosen partition, which is the
-        answer anyway.
+        answer anyway. Of the partitions those come to the driver that are read, and a few more.
         """
-        cells = self._plan(regions, {}, self._implied(where)).select("path", "needs_test", "lo", "hi", "rows").collect()
-        if descending:
-            cells = cells[::-1]
+        keys = [F.col(name).desc() if descending else F.col(name).asc() for name in ("lo", "Norder")]
+        plan = self._plan(regions, {}).select("path", "needs_test", "lo", "hi", "Norder").orderBy(*keys)
         shift = 2 * (MAX_ORDER - (self.healpix[1] if self.healpix else MAX_ORDER))
-        df, at, kept, batch = None, 0, 0, 1
-        while at < len(cells):
-            upto = min(len(cells), at + batch)
+        df, kept, batch, cells = None, 0, 1, _Listed(plan)
+        while kept < n and cells.some():
             # A partition boundary inside one cell of a coarser index: both sides belong together.
-            while upto < len(cells) and _shares_cell(cells[upto - 1], cells[upto], shift):
-                upto += 1
-            due = self._batch(cells[at:upto], regions, where).orderBy(*order).limit(n - kept)
-            path = shared_folder(self.spark, "front")
-            due.write.parquet(path)
-            rows = self.spark.read.schema(due.schema).parquet(path)
-            kept += rows.count()
+            due = self._batch(cells.take(batch, lambda one, other: _shares_cell(one, other, shift)), regions, where)
+            counted = Observation()
+            due = due.orderBy(*order).limit(n - kept).observe(counted, F.count(F.lit(1)).alias("n"))
+            rows = self._kept(due, "front")
+            kept += counted.get["n"]
             df = rows if df is None else df.unionByName(rows)
-            at, batch = upto, batch * 2
-            if kept >= n:
-                break
+            batch *= 2
         return self._scan([], located=True) if df is None else df.orderBy(*order)
 
+    def _kept(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows written to the shared folder, and read there."""
+        path = shared_folder(self.spark, name)
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def nearest(
+        self,
+        n: int,
+        ra: float,
+        dec: float,
+        where: str | Column | None = None,
+        columns: list[str] | None = None,
+        then: list[Column] | None = None,
+        separation: str = "separation",
+    ) -> tuple[DataFrame, int]:
+        """The `n` rows nearest to a point, nearest first, ties by `then`; and how many partitions
+        were opened for them.
+
+        Best first: partitions are read in the order of the least separation that a row of theirs
+        can have, twice as many each time, until `n` rows are there. Of the rest only those that
+        could still hold a nearer row than the last of these are read, together. Rows without a
+        position are near nothing.
+        """
+        if self.position is None:
+            raise ValueError("this catalog does not name its position columns")
+        centre = Circle(ra, dec, 180.0)
+        point = (centre.ra, centre.dec)
+        narrow = any(isinstance(self.schema[name].dataType, T.FloatType) for name in self.position)
+        reach = cell_radius(F.col("Norder")) + (FLOAT_SLACK if narrow else PAD)
+        least = F.greatest(distance(("centre_ra", "centre_dec"), point) - reach, F.lit(0.0))
+        plan = self.partitions.select("path", "lo", least.alias("least")).orderBy("least", "lo")
+        order = [F.col(separation), *(then or [])]
+        found, opened, batch, cells = None, 0, 1, _Listed(plan)
+
+        def best(paths: list[str]) -> DataFrame:
+            rows = self._scan(paths)
+            if where is not None:
+                rows = where_text(rows, where) if isinstance(where, str) else rows.where(where)
+            rows = rows.withColumn(separation, distance(self.position, point)).where(f"{separation} <= 180")
+            rows = rows if found is None else rows.unionByName(found)
+            return rows.orderBy(*order).limit(n)
+
+        last, told = None, {"n": 0}
+        while n > 0 and told["n"] < n and cells.some():
+            paths = [cell.path for cell in cells.take(batch)]
+            counted = Observation()
+            seen = [F.count(F.lit(1)).alias("n"), F.max(separation).alias("last")]
+            found = self._kept(best(paths).observe(counted, *seen), "nearest")
+            told, opened, batch = counted.get, opened + len(paths), 2 * batch
+            last = told["last"]
+        if found is None:
+            found = best([])
+        elif told["n"] >= n:
+            nearer = plan.where(F.col("least") <= last).offset(opened).limit(self._most_paths() + 1).collect()
+            if len(nearer) > self._most_paths():
+                raise ValueError("more partitions than are listed hold rows as near as that; ask for fewer rows")
+            if nearer:
+                found, opened = best([cell.path for cell in nearer]), opened + len(nearer)
+        found = found.orderBy(*order)
+        names = self.schema.names if columns is None else columns
+        shaped = select_columns(found, [*names, separation]) if columns is not None else found.select(*[F.col(f"`{c}`") for c in names], separation)
+        return shaped, opened
+
     def _batch(self, cells, regions, where) -> DataFrame:
         sure = [cell.path for cell in cells if not cell.needs_test]
         edge = [cell.path for cell in cells if cell.needs_test]
@@ -372,25 +425,32 @@ class Catalog:
     # ---- the catalog as a table ----
 
     def create_view(self, name: str) -> None:
-        """The whole catalog under a name, for Spark SQL. `sql` reads fewer partitions."""
-        self._scan(None).createOrReplaceTempView(name)
+        """The whole catalog under a name, for Spark SQL, with the partition that each row is in as
+        `Norder` and `Npix`; and the partition table as `name_partitions`.
 
-    def sql(self, statement: str, name: str = "catalog", **tables: DataFrame) -> DataFrame:
-        """A statement that names this catalog as {catalog}, and other tables by their own names.
-
-        The statement is planned once over one file. What Spark pushes down to each place where the
-        catalog is read, comparisons of cells, positions and indexed columns, chooses partitions;
-        the statement then runs over those that any place needs.
+        Comparisons of the two leave files out when the statement is planned. A join with the
+        partition table on both leaves them out when it runs, by what the statement says of the
+        spans `lo` and `hi`, as Spark prunes partitions by any other dimension.
         """
-        rows = self._scan(None)
-        if self.first is not None:
-            probe = self.spark.sql(statement, **{name: self._scan([self.first])}, **tables)
-            places = scanned(probe, self.first)
-            every = self.partitions.select(*_PARTITION, F.lit(INSIDE).alias("cover"))
-            if places and all(place.intervals or place.values for place in places):
-                chosen = reduce(DataFrame.unionByName, [self._reached(every, place) for place in places])
-                rows = self.read(chosen.dropDuplicates(["Norder", "Npix"]))
-        return self.spark.sql(statement, **{name: rows}, **tables)
+        df = self.spark.read.schema(self.schema).option("basePath", f"{self.root}/dataset").parquet(f"{self.root}/dataset")
+        path = F.col("_metadata.file_path")
+        cell = {"Norder": F.regexp_extract(path, tables.PATH_CELL, 1), "Npix": F.regexp_extract(path, tables.PATH_CELL, 2)}
+        added = []
+        for column, named in cell.items():
+            if column not in self.schema.names:
+                # A folder's name is a column of Spark's; a file's is not.
+                added.append((F.col(column) if column in df.columns else named).cast("bigint").alias(column))
+        df.select(*[F.col(f"`{column}`") for column in self.schema.names], *added).createOrReplaceTempView(name)
+        # As files: Spark does not prune by what it has cached.
+        self._kept(self.partitions.select(*_PARTITION), "partitions").createOrReplaceTempView(f"{name}_partitions")
+
+    def sql(
+        self, statement: str, name: str = "catalog", regions=None, identifiers: dict | None = None,
+        cells: Ranges | None = None, **others: DataFrame,
+    ) -> DataFrame:
+        """A statement that names this catalog as {catalog}, and other tables by their own names.
+        What the catalog is there is what `select` gives for the same arguments."""
+        return self.spark.sql(statement, **{name: self.select(regions, None, None, identifiers, cells)}, **others)
 
     def contains(self, shape) -> Column:
         """The region test for this catalog's own position and cell columns."""
@@ -404,21 +464,31 @@ _LOCATION = {"__path": "file_path", "__row": "row_index"}
 _PARTITION = ["Norder", "Npix", "lo", "hi", "rows", "bytes", "path"]
 
 
-def _zones(intervals: dict[str, list[tuple]], ra: str, dec: str) -> list[Zone]:
-    """Zones that hold every position in some intervals of its coordinates. An interval of ra may
-    be written under any turn, and is one zone however often it is."""
-    zones = {}
-    for south, north in intervals[dec]:
-        low, high = max(-90.0, south - PAD), min(90.0, north + PAD)
-        if low > high:
-            continue
-        for west, east in intervals.get(ra, [(0.0, 360.0)]):
-            if east - west + 2 * PAD >= 360.0:
-                zones[0, 360, low] = Zone((0.0, 360.0), (low, high))
-            else:
-                start = (west - PAD) % 360.0
-                zones[round(start, 6), round(east - west, 6), low] = Zone((start, start + (east - west) + 2 * PAD), (low, high))
-    return list(zones.values())
+class _Listed:
+    """The rows of a table of partitions in order, some at a time."""
+
+    def __init__(self, plan: DataFrame):
+        self.plan, self.rows, self.at, self.asked, self.whole = plan, [], 0, 0, False
+
+    def _until(self, upto: int) -> None:
+        while not self.whole and len(self.rows) < upto:
+            size = max(PLANNED_AT_ONCE, upto - len(self.rows))
+            more = self.plan.offset(self.asked).limit(size).collect()
+            self.rows, self.asked, self.whole = self.rows + more, self.asked + size, len(more) < size
+
+    def some(self) -> bool:
+        self._until(self.at + 1)
+        return self.at < len(self.rows)
+
+    def take(self, n: int, together=lambda one, other: False) -> list:
+        """The next `n`, and those after them that belong with the last."""
+        self._until(self.at + n + 1)
+        upto = min(len(self.rows), self.at + n)
+        while upto < len(self.rows) and together(self.rows[upto - 1], self.rows[upto]):
+            upto += 1
+            self._until(upto + 1)
+        taken, self.at = self.rows[self.at : upto], upto
+        return taken
 
 
 def _shares_cell(one, other, shift: int) -> bool:
@@ -537,7 +607,7 @@ def open_catalog(spark: SparkSession, root: str, partitions_from: str | None = N
     partitions = partitions.persist()
     known = partitions.agg(F.max("Norder").alias("deepest"), F.min_by("path", "lo").alias("first")).first()
     schema = _schema(spark, root, known.first)
-    return Catalog(spark, root, properties, partitions, schema, found, known.deepest or 0, known.first)
+    return Catalog(spark, root, properties, partitions, schema, found, known.deepest or 0)
 
 
 def _schema(spark: SparkSession, root: str, first: str | None) -> T.StructType:

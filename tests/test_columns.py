@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyframe.functions import numeric
 from skyframe.functions.geometry import distance
 from skyframe.functions.sql import register
-from skyframe.operators.limits import capped, top
+from skyframe.operators.limits import capped, top, with_overflow
 from skyframe.operators.projection import exact_names, resolve, select_columns, where_text
 from skyframe.sources.files import first_rows, from_nanoseconds, read_parquet
 
@@ -77,11 +77,17 @@ def test_only_the_named_leaves_are_read(spark, nested, tmp_path):
 
 
 def test_a_cap_says_when_it_cut(mixed):
-    kept, overflow = capped(mixed.orderBy("objectid"), 4)
-    assert overflow and [r.objectid for r in kept.collect()] == [0, 1, 2, 3]
-    assert capped(mixed, 10)[1] is False
-    none, overflow = capped(mixed, 0)
-    assert overflow and none.columns == mixed.columns and none.count() == 0
+    kept, told = capped(mixed.orderBy("objectid"), 4)
+    assert [r.objectid for r in kept.collect()] == [0, 1, 2, 3] and told.get["overflow"] is True
+    kept, told = capped(mixed.repartition(3), 10)
+    assert kept.count() == 10 and told.get["overflow"] is False
+    none, told = capped(mixed, 0)
+    assert none.columns == mixed.columns and none.collect() == [] and told.get["overflow"] is True
+    flagged = with_overflow(mixed.orderBy("objectid"), 4).collect()
+    assert [(r.objectid, r.overflow) for r in flagged] == [(k, True) for k in range(4)]
+    assert [r.overflow for r in with_overflow(mixed.repartition(3), 10).collect()] == [False] * 10
+    with pytest.raises(ValueError):
+        capped(mixed, -1)
     assert [r.objectid for r in top(mixed.orderBy("objectid"), 2, offset=3).collect()] == [3, 4]
 
 
