@@ -139,31 +139,34 @@ def covering(spark: SparkSession, shape_table: str, deepest: int) -> DataFrame:
     A cell is carried by its face coordinates, since the descendants of one are then plain
     arithmetic and no step undoes the interleaving of the step before.
     """
-    steps = [
+    # A statement a step: one for all of them, five levels deep, takes the analyzer more rounds than
+    # it is given.
+    start = (
         f"start AS (SELECT *, 0 AS level, 1L AS side, 0L AS east, 0L AS west, {BOUNDARY} AS cover, "
-        f"explode(sequence(0L, 11L)) AS face FROM {shape_table})",
-        _classified("start", "cells_0"),
-    ]
-    last = -(-deepest // STEP)
-    for at in range(last):
+        f"explode(sequence(0L, 11L)) AS face FROM {shape_table})"
+    )
+    cells = spark.sql(f"WITH {start}, {_classified('start', 'cells')} SELECT * FROM cells")
+    for _ in range(-(-deepest // STEP)):
         # No descendants at all for a cell outside, which drops it here without a filter.
-        steps += [
-            f"jump_{at} AS (SELECT *, if(cover = {BOUNDARY}, least({STEP}, depth - level), 0) AS jump FROM cells_{at})",
-            f"child_{at} AS (SELECT *, explode(if(cover = {OUTSIDE}, NULL, "
-            f"sequence(0L, shiftleft(1L, 2 * jump) - 1))) AS child FROM jump_{at})",
-            f"next_{at} AS (SELECT {SHAPE_COLUMNS}, level + jump AS level, shiftleft(side, jump) AS side, face, cover, "
+        steps = [
+            f"jump AS (SELECT *, if(cover = {BOUNDARY}, least({STEP}, depth - level), 0) AS jump FROM {{cells}})",
+            f"child AS (SELECT *, explode(if(cover = {OUTSIDE}, NULL, "
+            "sequence(0L, shiftleft(1L, 2 * jump) - 1))) AS child FROM jump)",
+            f"next AS (SELECT {SHAPE_COLUMNS}, level + jump AS level, shiftleft(side, jump) AS side, face, cover, "
             "shiftleft(east, jump) + child % shiftleft(1L, jump) AS east, "
-            f"shiftleft(west, jump) + child div shiftleft(1L, jump) AS west FROM child_{at})",
-            _classified(f"next_{at}", f"cells_{at + 1}"),
+            "shiftleft(west, jump) + child div shiftleft(1L, jump) AS west FROM child)",
+            _classified("next", "found"),
         ]
+        cells = spark.sql(f"WITH {', '.join(steps)} SELECT * FROM found", cells=cells)
     # Binary digits read in base 4 are the bits spread over the even places.
     spread = "CAST(conv(conv(CAST({} AS STRING), 10, 2), 4, 10) AS BIGINT)"
     pixel = f"shiftleft(face, 2 * level) + {spread.format('east')} + 2 * {spread.format('west')}"
     return spark.sql(
-        f"WITH {', '.join(steps)}, kept AS (SELECT shape, level AS Norder, {pixel} AS Npix, "
-        f"explode(if(cover = {OUTSIDE}, NULL, array(cover = {INSIDE}))) AS inside FROM cells_{last}) "
+        f"WITH kept AS (SELECT shape, level AS Norder, {pixel} AS Npix, "
+        f"explode(if(cover = {OUTSIDE}, NULL, array(cover = {INSIDE}))) AS inside FROM {{cells}}) "
         f"SELECT shape, Norder, Npix, shiftleft(Npix, 2 * ({MAX_ORDER} - Norder)) AS lo, "
-        f"shiftleft(Npix + 1, 2 * ({MAX_ORDER} - Norder)) AS hi, inside FROM kept"
+        f"shiftleft(Npix + 1, 2 * ({MAX_ORDER} - Norder)) AS hi, inside FROM kept",
+        cells=cells,
     )
 
 

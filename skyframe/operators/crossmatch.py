@@ -27,6 +27,7 @@ from skyframe.functions.geometry import (
     separated_by_at_most,
 )
 from skyframe.operators.skew import BROADCAST_ROWS, HOT_ROWS, HotKeys, handed_out, hot_keys, salted, small, split_join
+from skyframe.sources.files import kept
 
 # The finest zone, in degrees. Finer ones would copy more probe rows and spare few candidates.
 FINEST_ZONE = 10.0 / 3600.0
@@ -230,10 +231,55 @@ def _residual(a, b, strict: bool) -> Column:
     return near & separated_by_at_most(a, b, F.col("__radius"))
 
 
+# The whole sphere in square degrees.
+_SKY = 360.0 * 360.0 / math.pi
+# Zones across the radius of a ring, when one row stands for those of a bucket; a bucket is no wider
+# than three of its zones are high.
+_ACROSS = 8
+
+
+def _reach_of(left: DataFrame, right: DataFrame, left_position, right_position) -> DataFrame:
+    """(`at_ra`, `at_dec`, `__near`): for every position of the left side a radius within which it
+    has a right row, and not much more than it takes.
+
+    Rings widen twofold from the mean distance of right rows, and only positions that have found
+    nothing go into the next. In a ring one right row stands for those in each of its buckets, an
+    eighth of the ring wide, so that a position meets a bounded number of them however crowded
+    they are. A position at distance d from its nearest row is done once a ring is 1.6 d wide: after
+    as many rounds as the logarithm of the widest gap over the mean one.
+    """
+    spark = left.sparkSession
+    at = ["at_ra", "at_dec"]
+    todo = kept(_placed(left.select(*map(_quoted, left_position)), *left_position).select(*_HERE).distinct().toDF(*at), "unmatched")
+    spots = kept(_placed(right.select(*map(_quoted, right_position)), *right_position).select(*_HERE).distinct(), "spots")
+    number = spots.count()
+    found = spark.createDataFrame([], "at_ra double, at_dec double, __near double")
+    if not number:
+        return found
+    radius = min(180.0, max(FINEST_ZONE, 2.0 * math.sqrt(_SKY / number)))
+    while not todo.isEmpty():
+        few = _home(spots, radius / _ACROSS, 0).groupBy(_KEY).agg(F.min(F.struct(*_HERE)).alias("spot"))
+        few = kept(few.select(F.col("spot")[_HERE[0]].alias("ra"), F.col("spot")[_HERE[1]].alias("dec")), "ring")
+        near = crossmatch(todo, few, radius, left_position=at, separation="__near")
+        # Wider by a rounding, so that the row itself is within.
+        near = near.groupBy(*at).agg((F.min("__near") * (1 + 1e-12) + PAD).alias("__near"))
+        near = kept(near, "reach")
+        found = found.unionByName(near)
+        if radius >= 180.0:
+            break
+        todo = kept(todo.join(near, at, "left_anti"), "unmatched")
+        radius = min(180.0, 2.0 * radius)
+    return found
+
+
+def _quoted(name: str) -> Column:
+    return F.col(quoted(name))
+
+
 def nearest_match(
     left: DataFrame,
     right: DataFrame,
-    radius,
+    radius=None,
     *,
     key: list[str] | str,
     tie: str,
@@ -243,25 +289,34 @@ def nearest_match(
 ) -> DataFrame:
     """The nearest right row of every left row that has one, ties to the smallest `tie`.
 
-    A minimum over a struct, and not a window: partial minima are taken before the shuffle, so a
-    left row with very many matches never has them all in one task. `key` need not tell the left
-    rows apart: rows that share it are kept apart by their other columns, and copies of a row are
-    counted first and written out again. Maps among the left columns are refused.
+    `radius` is a number or a column of the left side; without one the nearest row is found at any
+    distance, by widening rings. A minimum over a struct, and not a window: partial minima are taken
+    before the shuffle, so a left row with very many matches never has them all in one task. `key`
+    need not tell the left rows apart: rows that share it are kept apart by their other columns, and
+    copies of a row are counted first and written out again. Maps among the left columns are refused.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in left.schema.fields):
         raise ValueError("a left row with a map in it cannot be told from its copies")
+    own = left.columns
     left = left.groupBy(*[F.col(f"`{name}`") for name in left.columns]).agg(F.count("*").alias("__copies"))
+    if radius is None:
+        at = options.get("left_position", ("ra", "dec"))
+        reach = _reach_of(left, right, at, options.get("right_position", ("ra", "dec")))
+        same = [F.col(f"placed.{own}") == F.col(f"reach.{found}") for own, found in zip(_HERE, ("at_ra", "at_dec"))]
+        joined = _placed(left, *at).alias("placed").join(reach.alias("reach"), same[0] & same[1])
+        left = joined.select(*[F.col(f"placed.`{name}`") for name in left.columns], "reach.__near")
+        radius = "__near"
     pairs = crossmatch(left, right, radius, separation=separation, suffix=suffix, **options)
     names = _unique(right.columns, left.columns, suffix)
     first = [separation, names[tie]]
     rest = [name for name in names.values() if name not in first]
     best = F.min(F.struct(*[F.col(f"`{name}`") for name in first + rest])).alias("__best")
     apart = F.xxhash64(*[F.col(f"`{name}`") for name in left.columns]).alias("__row")
-    kept = [F.first(F.col(f"`{name}`")).alias(name) for name in left.columns if name not in keys]
-    grouped = pairs.groupBy(*[F.col(f"`{name}`") for name in keys], apart).agg(*kept, best)
+    others = [F.first(F.col(f"`{name}`")).alias(name) for name in left.columns if name not in keys]
+    grouped = pairs.groupBy(*[F.col(f"`{name}`") for name in keys], apart).agg(*others, best)
     return grouped.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(
-        *[F.col(f"`{name}`") for name in left.columns if name != "__copies"],
+        *[F.col(f"`{name}`") for name in own],
         *[F.col(f"__best.`{names[name]}`").alias(names[name]) for name in right.columns],
         F.col(f"__best.`{separation}`").alias(separation),
     )

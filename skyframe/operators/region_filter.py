@@ -18,17 +18,28 @@ from skyframe.functions.geometry import (
     any_sql,
     column_type,
     dec_between,
+    haversine,
     haversine_sql,
     quoted,
     ra_between,
     ra_reach,
     separated_by_at_most,
 )
-from skyframe.functions.healpix import DEFAULT_INDEX, MAX_ORDER, cell_count, shift_right
-from skyframe.operators.coverage import RANGE_BUDGET, closed_up, on_index_order, ranges_of
+from skyframe.functions.healpix import DEFAULT_INDEX, MAX_ORDER, cell_count, healpix_index, shift_right
+from skyframe.operators.coverage import (
+    MAX_DEPTH,
+    RANGE_BUDGET,
+    STEP,
+    closed_up,
+    covering,
+    on_index_order,
+    ranges_of,
+    shape_rows,
+)
 from skyframe.operators.crossmatch import where_any_circle
 from skyframe.operators.regions import Circle, Moc, Shape, Zone, merged, shapes
-from skyframe.operators.skew import BROADCAST_ROWS
+from skyframe.operators.skew import BROADCAST_ROWS, small
+from skyframe.sources.files import kept
 
 # A covering is worth a job of its own for a handful of shapes; past this many, the coordinate
 # bounds alone go in front of the test, and circles are joined as a table.
@@ -168,8 +179,8 @@ def region_column(df: DataFrame, regions, ra: str | None = "ra", dec: str | None
 def where_region(df: DataFrame, regions, ra: str | None = "ra", dec: str | None = "dec", **options) -> DataFrame:
     """The rows of `df` in any of the regions. See `region_sql` for the options.
 
-    Past a number of shapes the circles are joined as a table, and what else there is is tested
-    first, so that a row comes out once.
+    Past a number of shapes they are joined as a table: circles alone by position, and where there
+    are others by the cells that cover them.
     """
     listed = shapes(regions)
     drawn = [shape for shape in listed if not isinstance(shape, Moc)]
@@ -179,13 +190,85 @@ def where_region(df: DataFrame, regions, ra: str | None = "ra", dec: str | None
         if moc is not None and not drawn:
             return where_moc(df, moc, options.get("healpix"), options.get("healpix_order"))
         return df.where(region_column(df, listed, ra, dec, **options))
-    rows = [(shape.ra, shape.dec, shape.radius) for shape in circles]
-    table = df.sparkSession.createDataFrame(rows, "ra double, dec double, radius double")
-    others = [shape for shape in listed if not isinstance(shape, Circle)]
-    if not others:
+    if len(circles) == len(listed):
+        rows = [(shape.ra, shape.dec, shape.radius) for shape in circles]
+        table = df.sparkSession.createDataFrame(rows, "ra double, dec double, radius double")
         return where_any_circle(df, table, position=(ra, dec))
-    test = F.coalesce(region_column(df, others, ra, dec, **options), F.lit(False))
-    return df.where(test).unionByName(where_any_circle(df.where(~test), table, position=(ra, dec)))
+    return where_any_shape(df, listed, ra, dec, healpix=options.get("healpix"), healpix_order=options.get("healpix_order"))
+
+
+# Cells of a boundary that a shape of very many may have, about.
+_CELLS_EACH = 64
+
+
+def _depth_of_many(shape: Circle | Zone) -> int:
+    """The order that one of very many shapes is covered to, one of the few that they share."""
+    if shape.perimeter <= 0:
+        return MAX_DEPTH
+    side = math.degrees(math.sqrt(4 * math.pi / 12))
+    depth = math.floor(math.log2(_CELLS_EACH * side / shape.perimeter))
+    return max(0, min(MAX_DEPTH, depth)) // STEP * STEP
+
+
+def where_any_shape(
+    df: DataFrame, regions, ra: str = "ra", dec: str = "dec", *, healpix: str | None = None, healpix_order: int | None = None
+) -> DataFrame:
+    """The rows of `df` in any of very many circles, zones and mocs, each row once, in one scan.
+
+    The shapes are one table, of the cells that cover each, at a few orders. For each of these a row
+    is looked up by its ancestor there, a semi-join on an equality; in a cell on a shape's boundary
+    the shape itself is tested. A table that measures small is handed out, and then no row moves. A
+    row without a cell column has its cell computed.
+    """
+    listed = shapes(regions)
+    drawn = [shape for shape in listed if not isinstance(shape, Moc)]
+    mocs = merged([span for shape in listed if isinstance(shape, Moc) for span in shape.ranges])
+    index, own = SpatialIndex.of(df, healpix, healpix_order), df.columns
+    depths = [_depth_of_many(shape) for shape in drawn]
+    tests = [_in_moc(df, Moc(tuple(mocs)), healpix, healpix_order)] if mocs else []
+    if drawn:
+        if index is None or index.order < max(depths):
+            df = df.withColumn("__cell", healpix_index(ra, dec))
+            index = SpatialIndex(df, "__cell", MAX_ORDER)
+        tests += _shape_tests(df, drawn, depths, index, ra, dec)
+        span = dec_between(df, dec, *_declinations(drawn)) if not mocs else None
+        df = df if span is None else df.where(span)
+    return df.where(any_of(tests)).select(*[F.col(f"`{name}`") for name in own])
+
+
+def _declinations(drawn: list[Circle | Zone]) -> tuple[float, float]:
+    lows = [s.dec - s.radius if isinstance(s, Circle) else s.dec[0] for s in drawn]
+    highs = [s.dec + s.radius if isinstance(s, Circle) else s.dec[1] for s in drawn]
+    return min(lows) - PAD, max(highs) + PAD
+
+
+def _shape_tests(df: DataFrame, drawn, depths: list[int], index: SpatialIndex, ra: str, dec: str) -> list[Column]:
+    """For each order in use, whether a row's cell is one of a shape's that the row is in."""
+    spark = df.sparkSession
+    rows = []
+    for number, shape in enumerate(drawn):
+        if isinstance(shape, Circle):
+            rows.append((number, shape.ra, shape.dec, math.sin(math.radians(shape.radius) / 2) ** 2, None, None, None, None))
+        else:
+            rows.append((number, None, None, None, shape.ra[0] % 360.0, shape.width, *shape.dec))
+    names = ["shape", "s_ra", "s_dec", "s_limit", "s_from", "s_width", "s_south", "s_north"]
+    told = spark.createDataFrame(rows, "shape int, " + ", ".join(f"{name} double" for name in names[1:]))
+    cells = covering(spark, shape_rows(drawn, depths), max(depths)).select("shape", "Norder", "Npix", "inside")
+    table = kept(cells.join(F.broadcast(told), "shape").drop("shape"), "shapes")
+    few = small(table)
+    own_ra, own_dec = (F.col(name).outer().cast("double") for name in (ra, dec))
+    limit, west = F.col("s_limit"), F.col("s_from")
+    in_circle = haversine(own_ra, own_dec, F.col("s_ra"), F.col("s_dec")) <= limit
+    arcs = [own_ra.between(west + turn, west + F.col("s_width") + turn) for turn in (-360.0, 0.0, 360.0)]
+    in_zone = own_dec.between(F.col("s_south"), F.col("s_north")) & ((F.col("s_width") >= 360.0) | any_of(arcs))
+    exact = F.col("inside") | F.when(limit.isNotNull(), in_circle).otherwise(in_zone)
+    tests = []
+    for order in range(0, max(depths) + 1, STEP):
+        at = table.where(F.col("Norder") == order)
+        at = F.broadcast(at) if few else at
+        cell = shift_right(F.col(index.column).outer().cast("bigint"), 2 * (index.order - order))
+        tests.append(at.where((F.col("Npix") == cell) & exact).exists())
+    return tests
 
 
 def _cells_of(moc: Moc, index: SpatialIndex) -> dict[int, list[int]]:

@@ -30,18 +30,6 @@ class HotKeys:
     def __bool__(self) -> bool:
         return self.table is not None
 
-    def _ways(self, side: str) -> dict[int, int]:
-        rows = self.table.where(F.col(side) > 1).collect() if self else []
-        return {row["key"]: row[side] for row in rows}
-
-    @property
-    def left(self) -> dict[int, int]:
-        return self._ways("__lways")
-
-    @property
-    def right(self) -> dict[int, int]:
-        return self._ways("__rways")
-
 
 def hot_keys(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> HotKeys:
     """The values of a bigint join key that more than `hot_rows` rows of a side have.

@@ -142,14 +142,6 @@ def with_group_size(df: DataFrame, keys: list[str], name: str = "size", hot_rows
     return lookup(df, df.groupBy(*keys).agg(F.count("*").alias(name)), keys, hot_rows)
 
 
-def with_ends(
-    rows: DataFrame, keys: list[str], value: str, first: str, last: str, number: str = "rn", hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """`FIRST_VALUE` and `LAST_VALUE` over the whole group, of numbered rows."""
-    ends = rows.groupBy(*keys).agg(F.min_by(value, number).alias(first), F.max_by(value, number).alias(last))
-    return lookup(rows, ends, keys, hot_rows)
-
-
 def tile(number: Column, size: Column, parts: int) -> Column:
     """`NTILE(parts)` of a row's number in a group of a size: the first tiles take the remainder."""
     least, over = F.floor(size / parts), size % parts
@@ -165,13 +157,6 @@ def _beside(rows: DataFrame, others: DataFrame, keys: list[str], name: str) -> D
     return joined.select(*[F.col(f"r.`{column}`") for column in rows.columns], F.col(f"o.`{name}`"))
 
 
-def shifted(rows: DataFrame, keys: list[str], value: str, by: int, name: str, number: str = "rn") -> DataFrame:
-    """`LAG(value, by)` of numbered rows, or `LEAD` where `by` is negative: an equi-join on the
-    group and the number, for rows that are numbered already and whose groups may be hot."""
-    others = rows.select(*keys, (F.col(number) + by).alias(number), F.col(value).alias(name))
-    return _beside(rows, others, [*keys, number], name)
-
-
 def frame_sum(
     rows: DataFrame, keys: list[str], value: str, preceding: int, name: str, number: str = "rn", hot_rows: int = HOT_ROWS
 ) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyframe.functions.healpix import cell_center, healpix_index
 from skyframe.functions.sql import register
@@ -29,6 +30,7 @@ from skyframe.plans.registry import query
 from skyframe.sources import partitions as tables
 from skyframe.sources.catalog import open_catalog
 from skyframe.sources.files import first_rows, shared_folder
+from skyframe.sources.index import files_with, read_index
 
 # Every star with its order-29 cell and the partition it is in, by the checking SQL's own formula.
 _PLACED = (
@@ -292,6 +294,29 @@ def _partitions_read(df) -> int:
     return len({path.rpartition("/")[0] for path in df.inputFiles()})
 
 
+@query(f"WITH {_PLACED} {_CELL}, 0::BIGINT AS files FROM placed WHERE event_id < 0")
+def index_absent(spark, sf_dir):
+    """Identifiers that are not there open no file of the index and no partition."""
+    catalog = star_catalog(spark, sf_dir)
+    files = files_with(spark, catalog.indexes["event_id"], "event_id", [-5, 10**12], T.LongType())
+    found = catalog.select(identifiers={"event_id": [-5, 10**12]}, columns=["event_id", "_healpix_29"])
+    return found.withColumn("files", F.lit(len(files) + len(found.inputFiles())).cast("bigint"))
+
+
+@query(
+    f"WITH {_PLACED} {_CELL}, user_id, true AS few FROM placed WHERE event_id IN (SELECT event_id FROM events WHERE event_id % 200 = 3) AND value > 10"
+)
+def index_scattered(spark, sf_dir):
+    """Identifiers from all over the index: only files that hold one of them are read."""
+    catalog = star_catalog(spark, sf_dir)
+    ids = [row.event_id for row in table(spark, sf_dir, "events").where("event_id % 200 = 3").select("event_id").collect()]
+    root = catalog.indexes["event_id"]
+    files = files_with(spark, root, "event_id", ids, T.LongType())
+    listed = len(read_index(spark, root, "event_id").inputFiles())
+    found = catalog.select(where="value > 10", identifiers={"event_id": ids}, columns=["event_id", "_healpix_29", "user_id"])
+    return found.withColumn("few", F.lit(len(files) <= min(listed, len(ids))))
+
+
 _LOW, _HIGH = 3 << 56, (3 << 56) + (1 << 55)
 
 

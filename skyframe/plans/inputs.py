@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from skyframe.functions.healpix import healpix_index, shift_right
 from skyframe.sources.catalog import Catalog, open_catalog
 from skyframe.sources.files import shared_folder
+from skyframe.sources.index import write_index
+from skyframe.sources.pyramid import Measures, Pyramid, build_pyramid
 from skyframe.sources.sinks import write_parquet
 
 # Fixed values of the sequence.
@@ -99,6 +101,19 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return _catalogs[key]
 
 
+_pyramids: dict[tuple[str, str], Pyramid] = {}
+
+
+def star_pyramid(spark: SparkSession, sf_dir: str) -> Pyramid:
+    """Summaries of the stars by cell and kind, written once a session beside the catalog."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _pyramids:
+        catalog = star_catalog(spark, sf_dir)
+        measures = Measures(by=["event_type"], sums=["value"], extremes=["value"], distinct=["user_id"], quantiles=["value"])
+        _pyramids[key] = build_pyramid(catalog, measures, f"{catalog.root}/pyramid")
+    return _pyramids[key]
+
+
 def _write_collection(spark: SparkSession, rows: DataFrame, root: str) -> None:
     order = (1 + shift_right(F.col("_healpix_29"), 58) % 2).cast("int")
     rows = rows.withColumn("Norder", order)
@@ -114,10 +129,7 @@ def _write_collection(spark: SparkSession, rows: DataFrame, root: str) -> None:
     cells = rows.select("Norder", "Npix").distinct()
     cells.write.option("header", True).csv(f"{root}/catalog/partition_info.csv")
     for column in ("event_id", "user_id"):
-        index = rows.select(column, "Norder", "Npix", "_healpix_29")
-        index.repartitionByRange(column, "_healpix_29").sortWithinPartitions(column).write.parquet(
-            f"{root}/{column}_index/dataset"
-        )
+        write_index(rows.select(column, "Norder", "Npix", "_healpix_29"), f"{root}/{column}_index", column)
     _write_text(
         spark,
         f"{root}/catalog/hats.properties",

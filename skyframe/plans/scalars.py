@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from skyframe.plans.inputs import (
     in_circle_sql,
     light_curves,
     rounded,
+    stars,
     table,
     with_position,
 )
@@ -22,7 +24,7 @@ from skyframe.plans.registry import query
 from skyframe.sources.files import read_parquet, shared_folder
 from skyframe.sources.sinks import write_delimited, write_json, write_parquet
 from skyframe.sources.votable import read_votable
-from skyframe.streaming.stream import crossmatch_stream, read_stream, select_stream
+from skyframe.streaming.stream import crossmatch_batches, crossmatch_stream, read_stream, select_stream
 
 
 @query(
@@ -308,16 +310,12 @@ def _documents(spark, sf_dir) -> str:
     head = f'<VOTABLE version="1.5"><RESOURCE><TABLE>{fields}<DATA><TABLEDATA>'
     foot = "</TABLEDATA></DATA></TABLE></RESOURCE></VOTABLE>"
 
-    def document(batches):
-        import pandas as pd
-
-        yield pd.DataFrame({"value": [head]})
-        yield from batches
-        yield pd.DataFrame({"value": [foot]})
-
     path = shared_folder(spark, "votable")
-    rows = table(spark, sf_dir, "events").select(row.alias("value"))
-    rows.mapInPandas(document, "value string").write.text(path)
+    # A document for every thousand ids, in one line of a file of its own.
+    rows = table(spark, sf_dir, "events").select(F.floor(e / 1000).alias("part"), row.alias("row"))
+    inside = F.array_join(F.collect_list("row"), "")
+    documents = rows.groupBy("part").agg(F.concat(F.lit(head), inside, F.lit(foot)).alias("value"))
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -377,3 +375,33 @@ def stream_match(spark, sf_dir):
         return crossmatch_stream(left, catalog, 0.3, separation=None).select("event_id", "o_orderkey")
 
     return _streamed(spark, sf_dir, "match", transform)
+
+
+@query(
+    f"WITH {STARS}, {DETECTIONS} SELECT a.event_id, b.o_orderkey FROM stars a JOIN detections b "
+    f"ON abs(a.dec - b.dec) <= 0.4 AND {in_circle_sql('b.ra', 'b.dec', 0.3, 'a.')}"
+)
+def stream_restart(spark, sf_dir):
+    """A stream that is cut short in the middle of a batch, twice, and started anew each time."""
+    folder = shared_folder(spark, "arriving")
+    left = stars(spark, sf_dir).select("event_id", "ra", "dec")
+    left.repartition(4, "event_id").write.parquet(f"{folder}/in")
+    batches = []
+
+    def catalog():
+        # Read anew for every batch; the second and the fourth time something is amiss.
+        batches.append(len(batches))
+        if len(batches) in (2, 4):
+            raise OSError("the catalog is out of reach")
+        return detections(spark, sf_dir).select("o_orderkey", "ra", "dec")
+
+    while True:
+        source = read_stream(spark, f"{folder}/in", left.schema, files_per_trigger=1)
+        running = crossmatch_batches(source, catalog, 0.3, f"{folder}/out", f"{folder}/progress", separation=None)
+        try:
+            running.awaitTermination()
+            break
+        except StreamingQueryException:
+            if len(batches) > 4:
+                raise
+    return spark.read.parquet(f"{folder}/out").select("event_id", "o_orderkey")

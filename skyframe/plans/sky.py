@@ -31,10 +31,12 @@ from skyframe.plans.inputs import (
     in_circle_sql,
     indexed_stars,
     rounded,
+    star_pyramid,
     stars,
     targets,
 )
 from skyframe.plans.registry import query
+from skyframe.sources.pyramid import distinct_count, quantile
 
 _SHOWN = "SELECT event_id, round(ra, 6) AS ra, round(dec, 6) AS dec, value"
 
@@ -127,6 +129,24 @@ def region_many_mixed(spark, sf_dir):
     return _shown(where_region(stars(spark, sf_dir), [*circles, Zone((0, 360), (-40, -30))]))
 
 
+_THOUSAND = (
+    "circles AS (SELECT 0.36::DOUBLE * range AS ra, -80 + 0.16::DOUBLE * range AS dec, 0.1 + 0.0005::DOUBLE * range AS r FROM range(1000)), "
+    "zones AS (SELECT 3.6::DOUBLE * range AS west, 3.6::DOUBLE * range + 1.5 AS east, -85 + 1.7::DOUBLE * range AS south FROM range(100))"
+)
+
+
+@query(
+    f"WITH {STARS}, {_THOUSAND} {_SHOWN} FROM stars WHERE EXISTS (SELECT 1 FROM circles b WHERE "
+    f"abs(stars.dec - b.dec) <= 1 AND {in_circle_sql('stars.ra', 'stars.dec', 'b.r', 'b.')}) "
+    "OR EXISTS (SELECT 1 FROM zones z WHERE stars.ra BETWEEN west AND east AND stars.dec BETWEEN south AND south + 0.4)"
+)
+def region_thousand_shapes(spark, sf_dir):
+    """A thousand circles and a hundred zones in one scan."""
+    listed = [Circle(0.36 * k, -80 + 0.16 * k, 0.1 + 0.0005 * k) for k in range(1000)]
+    listed += [Zone((3.6 * k, 3.6 * k + 1.5), (-85 + 1.7 * k, -85 + 1.7 * k + 0.4)) for k in range(100)]
+    return _shown(where_region(indexed_stars(spark, sf_dir), listed))
+
+
 @query(f"WITH {STARS} SELECT event_type, count(*) AS n FROM stars WHERE NOT ({in_circle_sql(45, -20, 60)}) GROUP BY 1")
 def not_contains(spark, sf_dir):
     df = stars(spark, sf_dir)
@@ -402,6 +422,20 @@ def match_nearest(spark, sf_dir):
     return best.select("c_custkey", "event_id", rounded("separation").alias("separation"))
 
 
+@query(
+    f"WITH {TARGETS}, {STARS} SELECT c_custkey, event_id, separation FROM (SELECT c_custkey, event_id, "
+    "round(d, 6) AS separation, row_number() OVER (PARTITION BY c_custkey ORDER BY d, event_id) AS rn "
+    f"FROM (SELECT a.c_custkey, b.event_id, {distance_sql('a.ra', 'a.dec', 'b.ra', 'b.dec')} AS d "
+    "FROM targets a JOIN stars b ON b.dec > -30 AND b.event_type = 'click')) WHERE rn = 1"
+)
+def match_nearest_any_distance(spark, sf_dir):
+    """The nearest row however far it is: a third of the sky has none."""
+    left = targets(spark, sf_dir).select("c_custkey", "ra", "dec")
+    right = stars(spark, sf_dir).where("dec > -30 AND event_type = 'click'").select("event_id", "ra", "dec")
+    best = nearest_match(left, right, key="c_custkey", tie="event_id")
+    return best.select("c_custkey", "event_id", rounded("separation").alias("separation"))
+
+
 @query(
     f"WITH {TARGETS}, {STARS}, twice AS (SELECT c_nationkey AS nation, ra, dec FROM targets UNION ALL SELECT c_nationkey, ra, dec FROM targets WHERE c_custkey % 2 = 0), "
     f"one AS (SELECT DISTINCT nation, ra, dec FROM twice), best AS (SELECT nation, ra, dec, event_id FROM (SELECT a.*, b.event_id, row_number() OVER "
@@ -433,6 +467,46 @@ def region_aggregate(spark, sf_dir):
     return grouped.where("n > 1")
 
 
+_WIDE = [Circle(45, -20, 30), Zone((200, 260), (-30, 60))]
+_WIDE_SQL = f"({in_circle_sql(45, -20, 30)} OR (ra BETWEEN 200 AND 260 AND dec BETWEEN -30 AND 60))"
+
+
+@query(
+    f"WITH {STARS} SELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, "
+    f"true AS spared FROM stars WHERE {_WIDE_SQL} GROUP BY 1"
+)
+def region_aggregate_stored(spark, sf_dir):
+    """Aggregates over regions out of stored summaries and the rows along the boundary, which are
+    fewer than half of those inside."""
+    pyramid = star_pyramid(spark, sf_dir)
+    found = pyramid.summary(_WIDE)
+    edge = pyramid.pieces(_WIDE)[1].agg(F.count("*").alias("edge"))
+    whole = found.agg(F.sum("n").alias("whole"))
+    spared = edge.join(whole).select((F.col("edge") * 2 < F.col("whole")).alias("spared"))
+    mean = F.round(F.col("sum_value") / F.col("n_value"), 6)
+    shown = found.select("event_type", "n", F.col("min_value").alias("low"), F.col("max_value").alias("high"), mean.alias("mean"))
+    return shown.join(F.broadcast(spared))
+
+
+@query(
+    f"WITH {STARS} SELECT event_type, count(*) AS n, true AS users_close, true AS median_close FROM stars WHERE {_WIDE_SQL} GROUP BY 1"
+)
+def region_sketches(spark, sf_dir):
+    """Distinct users and the median value of regions by united sketches, held against exact ones:
+    within five in a hundred, and between the values at ranks 0.48 and 0.52."""
+    found = star_pyramid(spark, sf_dir).summary(_WIDE)
+    found = found.select("event_type", "n", distinct_count("user_id").alias("users"), quantile("value", 0.5).alias("median"))
+    exact = where_region(indexed_stars(spark, sf_dir), _WIDE).groupBy(F.col("event_type").alias("kind")).agg(
+        F.count_distinct("user_id").alias("exact"), F.percentile("value", F.array(F.lit(0.48), F.lit(0.52))).alias("around")
+    )
+    return found.join(exact, F.col("event_type") == F.col("kind")).select(
+        "event_type",
+        "n",
+        (F.abs(F.col("users") / F.col("exact") - 1) <= 0.05).alias("users_close"),
+        F.col("median").between(F.col("around")[0], F.col("around")[1]).alias("median_close"),
+    )
+
+
 @query(
     f"WITH {STARS} SELECT floor(dec / 10)::BIGINT AS band, count(*) AS n, "
     "round(max(pow(sin(radians(dec) / 2), 2)), 9) AS top FROM stars GROUP BY 1"

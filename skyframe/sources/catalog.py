@@ -34,7 +34,7 @@ from skyframe.operators.sets import among
 from skyframe.operators.skew import broadcast_if_small, small
 from skyframe.sources import index as indexes
 from skyframe.sources import partitions as tables
-from skyframe.sources.files import shared_folder
+from skyframe.sources.files import kept
 
 # Orders below a partition's own at which it is classified.
 DETAIL = 2
@@ -185,7 +185,12 @@ class Catalog:
         return self.partitions.where(self._reaching([(low, high)])).select(*_PARTITION).orderBy("lo")
 
     def _entries(self, column: str, values, few: bool = False) -> DataFrame:
-        index = indexes.read_index(self.spark, self.indexes[column], column)
+        root = self.indexes[column]
+        index = indexes.read_index(self.spark, root, column)
+        if not isinstance(values, DataFrame):
+            files = indexes.files_with(self.spark, root, column, values, index.schema[column].dataType)
+            if files is not None:
+                index = self.spark.read.schema(index.schema).parquet(*files) if files else index.limit(0)
         return indexes.entries(index, column, values, few)
 
     # ---- reading ----
@@ -335,24 +340,18 @@ class Catalog:
         keys = [F.col(name).desc() if descending else F.col(name).asc() for name in ("lo", "Norder")]
         plan = self._plan(regions, {}).select("path", "needs_test", "lo", "hi", "Norder").orderBy(*keys)
         shift = 2 * (MAX_ORDER - (self.healpix[1] if self.healpix else MAX_ORDER))
-        df, kept, batch, cells = None, 0, 1, _Listed(plan)
-        while kept < n and cells.some():
+        df, held, batch, cells = None, 0, 1, _Listed(plan)
+        while held < n and cells.some():
             # A partition boundary inside one cell of a coarser index: both sides belong together.
             due = self._batch(cells.take(batch, lambda one, other: _shares_cell(one, other, shift)), regions, where)
             counted = Observation()
-            due = due.orderBy(*order).limit(n - kept).observe(counted, F.count(F.lit(1)).alias("n"))
-            rows = self._kept(due, "front")
-            kept += counted.get["n"]
+            due = due.orderBy(*order).limit(n - held).observe(counted, F.count(F.lit(1)).alias("n"))
+            rows = kept(due, "front")
+            held += counted.get["n"]
             df = rows if df is None else df.unionByName(rows)
             batch *= 2
         return self._scan([], located=True) if df is None else df.orderBy(*order)
 
-    def _kept(self, rows: DataFrame, name: str) -> DataFrame:
-        """Rows written to the shared folder, and read there."""
-        path = shared_folder(self.spark, name)
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
     def nearest(
         self,
         n: int,
@@ -395,7 +394,7 @@ class Catalog:
             paths = [cell.path for cell in cells.take(batch)]
             counted = Observation()
             seen = [F.count(F.lit(1)).alias("n"), F.max(separation).alias("last")]
-            found = self._kept(best(paths).observe(counted, *seen), "nearest")
+            found = kept(best(paths).observe(counted, *seen), "nearest")
             told, opened, batch = counted.get, opened + len(paths), 2 * batch
             last = told["last"]
         if found is None:
@@ -442,7 +441,7 @@ class Catalog:
                 added.append((F.col(column) if column in df.columns else named).cast("bigint").alias(column))
         df.select(*[F.col(f"`{column}`") for column in self.schema.names], *added).createOrReplaceTempView(name)
         # As files: Spark does not prune by what it has cached.
-        self._kept(self.partitions.select(*_PARTITION), "partitions").createOrReplaceTempView(f"{name}_partitions")
+        kept(self.partitions.select(*_PARTITION), "partitions").createOrReplaceTempView(f"{name}_partitions")
 
     def sql(
         self, statement: str, name: str = "catalog", regions=None, identifiers: dict | None = None,

@@ -79,3 +79,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             _local_roots[application] = tempfile.mkdtemp(prefix="skyframe-")
         root = _local_roots[application]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read there: lineage ends with them, and an executor
+    that is lost costs only the tasks it was running."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,8 +3,11 @@ predicate are column expressions, and a crossmatch with a static catalog is an e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from skyframe.operators.crossmatch import crossmatch
 from skyframe.operators.projection import select_columns, where_text
@@ -38,3 +41,32 @@ def crossmatch_stream(stream: DataFrame, catalog: DataFrame, radius: float, **op
     if not isinstance(radius, (int, float)):
         raise ValueError("a stream is matched within one radius, in degrees")
     return crossmatch(stream, catalog, radius, **options)
+
+
+def write_batches(
+    stream: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] | None = None
+) -> StreamingQuery:
+    """What has arrived of a stream, batch by batch through `each`, under `path`; read it with
+    `spark.read.parquet(path)`.
+
+    A batch has a folder of its own, named by its number, and replaces what is there: one that was
+    cut short is run again under its number when the query is started anew from its checkpoint, and
+    no row is there twice or is missing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch if each is None else each(batch)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def crossmatch_batches(
+    stream: DataFrame, catalog: Callable[[], DataFrame], radius, path: str, checkpoint: str, **options
+) -> StreamingQuery:
+    """Every arriving row with the rows around it of a catalog that is read anew for each batch.
+
+    A batch is an ordinary table: its hot buckets are counted on both sides, and the radius may be a
+    column of it.
+    """
+    return write_batches(stream, path, checkpoint, lambda batch: crossmatch(batch, catalog(), radius, **options))

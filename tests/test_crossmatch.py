@@ -88,7 +88,7 @@ def test_copies_of_a_row_are_parted_and_all_there(spark, monkeypatch):
 def test_a_hot_key_is_found_and_split(spark):
     df = spark.range(0, 9000).selectExpr("id", "if(id % 3 = 0, -1L, id) AS k")
     found = hot_keys(df, df, "k", hot_rows=500)
-    assert found.left == {-1: 6} and found.right == {-1: 6}
+    assert [tuple(r) for r in found.table.select("key", "__lways", "__rways").collect()] == [(-1, 6, 6)]
     left, right = salted(df, "k", found, "left"), salted(df, "k", found, "right")
     assert left.where("k = -1").select("__lsalt").distinct().count() == 6
     largest = left.where("k = -1").groupBy("__lsalt", "__rsalt").count().agg(F.max("count")).first()[0]
@@ -175,3 +175,47 @@ def test_a_row_without_a_radius_is_in_no_pair(sides):
 def test_a_negative_radius_is_refused(sides):
     with pytest.raises(ValueError):
         crossmatch(*sides, -1.0)
+
+
+@pytest.mark.parametrize("hot_rows", [skew.HOT_ROWS, 7])
+def test_the_nearest_at_any_distance(spark, sides, hot_rows):
+    """Isolated rows, poles, the seam and crowded fields; copies, and rows without a position."""
+    left, right = sides
+    far = [(i, p) for i, p in RIGHT if known(p) and p[1] > 84 and abs(p[0] % 360 - 10) < 4] + [(5000, (120.0, 20.0)), (5001, (120.0, 20.0))]
+    for rows in (RIGHT, far):
+        table = spark.createDataFrame([(i, *p) for i, p in rows], "rid int, ra double, dec double")
+        got = nearest_match(left.union(left.where("id < 9")), table, key="id", tie="rid", hot_rows=hot_rows).collect()
+        want = {}
+        for i, a in LEFT:
+            if known(a):
+                want[i] = min((round(separation(a, b), 9), j) for j, b in rows if known(b))
+        assert len(got) == len(want) + sum(i < 9 for i in want)
+        for row in got:
+            assert abs(row.separation - want[row.id][0]) < 2e-9
+            tied = [j for j, b in rows if known(b) and abs(separation(dict(LEFT)[row.id], b) - row.separation) < 1e-9]
+            assert row.rid in tied
+    none = right.limit(0)
+    assert nearest_match(left, none, key="id", tie="rid").count() == 0
+    assert nearest_match(left.limit(0), right, key="id", tie="rid").count() == 0
+
+
+def test_rings_are_as_many_as_the_gap_has_doublings(spark, sides, monkeypatch):
+    """Ten thousand rows in one field, looked for from the other side of the sky."""
+    field = spark.range(10_000).selectExpr("CAST(id AS INT) AS rid", "120 + (id % 100) * 0.01D AS ra", "20 + floor(id / 100) * 0.01D AS dec")
+    left = spark.createDataFrame([(1, 300.0, -20.0), (2, 120.001, 20.001), (3, 125.0, 20.0)], "id int, ra double, dec double")
+    rounds, pairs = [], module.crossmatch
+
+    def counted(one, other, radius, **options):
+        rounds.append(radius)
+        found = pairs(one, other, radius, **options)
+        if isinstance(radius, float):
+            assert found.count() <= 3 * 1000
+        return found
+
+    monkeypatch.setattr(module, "crossmatch", counted)
+    got = {row.id: (row.rid, round(row.separation, 6)) for row in nearest_match(left, field, key="id", tie="rid").collect()}
+    assert got[2] == (0, round(separation((120.001, 20.001), (120.0, 20.0)), 6))
+    every = [(i, (120 + (i % 100) * 0.01, 20 + (i // 100) * 0.01)) for i in range(10_000)]
+    for i, at in ((1, (300.0, -20.0)), (3, (125.0, 20.0))):
+        assert abs(got[i][1] - min(separation(at, p) for _, p in every)) < 1e-5
+    assert len(rounds) <= 3 + math.log2(180 / rounds[0])

@@ -15,10 +15,8 @@ from skyframe.operators.windows import (
     range_count,
     ranked,
     running_sum,
-    shifted,
     tile,
     windowed,
-    with_ends,
     with_group_size,
 )
 from skyframe.sources.files import shared_folder
@@ -67,20 +65,14 @@ def test_neighbours_and_frames(rows, hot_rows):
     w = Window.partitionBy("k").orderBy(*order)
     wanted = rows.select(
         "id",
-        F.lag("w", 2).over(w).alias("before"),
-        F.lead("w").over(w).alias("after"),
         F.sum("w").over(w.rowsBetween(-3, 0)).alias("frame"),
         F.ntile(7).over(w).alias("tile"),
-        F.first("w").over(w).alias("first"),
-        F.last("w").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("last"),
     )
     got = numbered(rows, ["k"], order, hot_rows=hot_rows)
-    got = shifted(shifted(got, ["k"], "w", 2, "before"), ["k"], "w", -1, "after")
     got = frame_sum(got, ["k"], "w", 3, "frame")
     got = with_group_size(got, ["k"], hot_rows=hot_rows)
     got = got.withColumn("tile", tile(F.col("rn"), F.col("size"), 7))
-    got = with_ends(got, ["k"], "w", "first", "last", hot_rows=hot_rows)
-    names = ["id", "before", "after", "frame", "tile", "first", "last"]
+    names = ["id", "frame", "tile"]
     assert table(got, *names) == table(wanted, *names)
 
 
@@ -181,7 +173,8 @@ def test_copies_under_a_hot_key_are_split(spark, monkeypatch):
 def test_many_keys_are_hot_at_once(spark):
     rows = spark.range(0, 300_000).selectExpr("id % 200 AS k")
     found = skew.hot_keys(rows, rows.limit(0), "k", hot_rows=10)
-    assert len(found.left) == 200 and set(found.left.values()) == {150}
+    ways = found.table.agg(F.count("*"), F.min("__lways"), F.max("__lways")).first()
+    assert tuple(ways) == (200, 150, 150)
 
 
 def test_comparisons_with_sets(spark):
