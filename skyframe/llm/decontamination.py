@@ -80,8 +80,32 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (text[: cut[-1]], text[cut[-1] :]) if cut else (text, "")
 
 
-def build_index(rows: list[tuple], share: float = RETRIEVED) -> Index:
-    """Of (id, text) rows. An item without a word is never found."""
+@dataclass
+class Statistics:
+    """Of all items of a benchmark that have a word: how many, their mean and their greatest number
+    of words, and of some words how many items have each."""
+
+    items: int
+    mean: float
+    longest: int
+    having: dict[bytes, int]
+
+
+def statistics(rows: list[tuple]) -> Statistics:
+    """Of all (id, text) rows of a benchmark."""
+    bags = [words for _, text in rows if (words := _clean(text).split())]
+    having: dict[bytes, int] = defaultdict(int)
+    for words in bags:
+        for word in set(words):
+            having[word] += 1
+    sizes = [len(words) for words in bags]
+    return Statistics(len(bags), sum(sizes) / max(1, len(bags)), max(sizes, default=1), having)
+
+
+def build_index(rows: list[tuple], share: float = RETRIEVED, told: Statistics | None = None) -> Index:
+    """Of (id, text) rows. An item without a word is never found. `told` are the statistics of the
+    whole benchmark, where the rows are a part of it."""
+    told = statistics(rows) if told is None else told
     ids, bags, parts = [], [], []
     for item_id, text in rows:
         words = _clean(text).split()
@@ -92,15 +116,15 @@ def build_index(rows: list[tuple], share: float = RETRIEVED) -> Index:
         bags.append(words)
         parts.append((_shingles(words, SHINGLE_WORDS), set(_clean(question).split()), set(_clean(answer).split())))
     postings: dict[bytes, dict[int, float]] = defaultdict(dict)
-    mean = sum(map(len, bags)) / max(1, len(bags))
     for i, words in enumerate(bags):
         for word in words:
             postings[word][i] = postings[word].get(i, 0) + 1
     own = np.zeros(len(bags))
     for word, items in postings.items():
-        idf = math.log(1 + (len(bags) - len(items) + 0.5) / (len(items) + 0.5))
+        having = told.having[word]
+        idf = math.log(1 + (told.items - having + 0.5) / (having + 0.5))
         for i, tf in items.items():
-            items[i] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(bags[i]) / mean))
+            items[i] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(bags[i]) / told.mean))
             own[i] += items[i]
     names = list(postings)
     found = words_of([b" ".join(names)])
@@ -128,7 +152,7 @@ def build_index(rows: list[tuple], share: float = RETRIEVED) -> Index:
         np.array(first),
         np.array(columns["items"], np.int64),
         np.array(columns["impact"]),
-        max(map(len, bags), default=1),
+        told.longest,
         parts,
     )
 
@@ -145,6 +169,11 @@ def _retrieved(index: Index, passage: np.ndarray, word: np.ndarray, passages: in
     pairs, by passage."""
     blocks = (len(index.ids) + BLOCK - 1) // BLOCK
     out = []
+    # A passage whose words could not reach the threshold even with their largest impacts is skipped.
+    most = np.maximum.reduceat(index.block_impact, index.block_first[:-1])
+    able = np.bincount(passage, most[word], passages) >= 1 - 1e-9
+    keep = able[passage]
+    passage, word = passage[keep], word[keep]
     step = max(1, _CELLS // max(1, blocks))
     for low in range(0, passages, step):
         some = slice(*np.searchsorted(passage, (low, low + step)))
@@ -173,43 +202,50 @@ def _share(part: set, seen: set) -> float:
 
 def _matches(index: Index, cleaned: list[bytes]) -> list[tuple[int, int, float, float, float]]:
     """(text, item, share of its shingles, of its question's words, of its answer's) of all verified
-    pairs of some texts.
+    pairs of some texts."""
+    begins, passages, found = retrieved(index, cleaned)
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    seen: dict[int, tuple[set, set, list]] = {}
+    for p, i in zip(passages.tolist(), found.tolist()):
+        t = int(np.searchsorted(begins, p, "right") - 1)
+        if p not in seen:
+            low = (p - int(begins[t])) * index.window
+            body = cleaned[t].split()[low : low + 2 * index.window]
+            seen[p] = (_shingles(body, SHINGLE_WORDS), set(body), body)
+        shingles, bag, body = seen[p]
+        own, question, answer = index.parts[i]
+        width = min(map(len, own))
+        shares = (_share(own, shingles if width == SHINGLE_WORDS else _shingles(body, width)), _share(question, bag), _share(answer, bag))
+        if min(shares) >= SIMILARITY:
+            best[t, i] = max(best.get((t, i), (0.0, 0.0, 0.0)), shares)
+    return [(t, i, *shares) for (t, i), shares in best.items()]
+
+
+def retrieved(index: Index, cleaned: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The passages of some texts, as the first of each text, and the (passage, item) pairs whose
+    score reaches the threshold.
 
     A passage is a window of twice the longest item, begun after each such length, so whatever is
     as long as an item is whole in one of them.
     """
+    none = np.empty(0, np.int64)
     words = words_of(cleaned)
     hashes = words.hashes()
     at = np.searchsorted(index.words, hashes)
     at[at == len(index.words)] = 0
     known = np.flatnonzero(index.words[at] == hashes) if len(index.words) else np.empty(0, np.int64)
-    if not len(known):
-        return []
     counts = words.counts()
     each = np.maximum(1, -(-counts // index.window) - 1)
     begins = np.concatenate(([0], np.cumsum(each)))
+    if not len(known):
+        return begins, none, none
     text = np.searchsorted(words.first, known, "right") - 1
     place = (known - words.first[text]) // index.window
     # A word is in the window that begins in its stretch and in the one before.
     both = np.concatenate((np.minimum(place, each[text] - 1), np.maximum(place - 1, 0)))
     passage = np.concatenate((begins[text], begins[text])) + both
     pairs = np.unique(passage * len(index.words) + np.concatenate((at[known], at[known])))
-    passage, item = _retrieved(index, pairs // len(index.words), pairs % len(index.words), int(begins[-1]))
-    best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    seen: dict[int, tuple[set, set, list]] = {}
-    for p, i in zip(passage.tolist(), item.tolist()):
-        t = int(np.searchsorted(begins, p, "right") - 1)
-        if p not in seen:
-            low = (p - int(begins[t])) * index.window
-            body = cleaned[t].split()[low : low + 2 * index.window]
-            seen[p] = (_shingles(body, SHINGLE_WORDS), set(body), body)
-        shingles, bag, body = seen[p]
-        own, question, answer = index.parts[i]
-        width = min(map(len, own))
-        found = (_share(own, shingles if width == SHINGLE_WORDS else _shingles(body, width)), _share(question, bag), _share(answer, bag))
-        if min(found) >= SIMILARITY:
-            best[t, i] = max(best.get((t, i), (0.0, 0.0, 0.0)), found)
-    return [(t, i, *shares) for (t, i), shares in best.items()]
+    return begins, *_retrieved(index, pairs // len(index.words), pairs % len(index.words), int(begins[-1]))
 
 
 def contaminated(
@@ -226,6 +262,8 @@ def contaminated(
 
     Items are taken by parts of bounded bytes, each indexed and broadcast in turn: with one part,
     which is usual, the documents are read once. An item too long for that is a part of its own.
+    Document frequencies, lengths and the window are those of the whole benchmark, so that what is
+    retrieved does not depend on the parts.
     """
     columns = [F.col(f"`{name}`") for name in documents.columns if name != text]
     source = documents.select(F.struct(*columns).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -233,8 +271,7 @@ def contaminated(
     schema = with_row(source, f"item_id {kind.simpleString()}, overlap double, question_overlap double, answer_overlap double")
     id_type = to_arrow_type(kind)
 
-    def search(part: list[tuple]) -> DataFrame:
-        index = build_index(part)
+    def search(index: Index) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -250,15 +287,38 @@ def contaminated(
 
         return source.mapInArrow(run, schema)
 
-    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("text"))
+    found = None
+    for index in indexes(benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("text"))):
+        found = search(index) if found is None else found.unionByName(search(index))
+    return found
+
+
+def indexes(items: DataFrame, most_bytes: int = INDEX_BYTES) -> Iterator[Index]:
+    """Indexes of (item_id, text) rows, by parts of `most_bytes` of text."""
     items = items.where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(size / INDEX_BYTES))
+    parts = max(1, math.ceil(size / most_bytes))
     if parts == 1:
-        return search([tuple(row) for row in items.collect()])
+        yield build_index([tuple(row) for row in items.collect()])
+        return
     items = stored(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), "benchmark")
-    found = None
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Each word of an item once, and its number of words under no word.
+        for batch in batches:
+            rows = []
+            for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = _clean(text).split()
+                rows += [(part, word, 0) for word in set(own)] + ([(part, None, len(own))] if own else [])
+            columns = list(zip(*rows)) if rows else [[], [], []]
+            kinds = (pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "word", "size"])
+
+    named = stored(items.select("part", "text").mapInArrow(words, "part bigint, word binary, size bigint"), "benchmark-words")
+    told = named.where("word IS NULL").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.max("size").alias("longest")).first()
+    having = stored(named.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n")), "benchmark-frequencies")
     for part in range(parts):
         rows = [tuple(row) for row in items.where(F.col("part") == part).select("item_id", "text").collect()]
-        found = search(rows) if found is None else found.unionByName(search(rows))
-    return found
+        own = having.join(named.where(F.col("part") == part).select("word").distinct(), "word").collect()
+        own = {bytes(row["word"]): row["n"] for row in own}
+        yield build_index(rows, told=Statistics(told.n, (told.total or 0) / max(1, told.n), told.longest or 1, own))
