@@ -118,9 +118,10 @@ class UrlModel:
 
 
 def _inputs(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """`rows` with a vector of their features. `suffixes` has at most SAMPLE_ROWS rows."""
+    """`rows` with a vector of their features. Suffixes grow with the input: whether they are handed
+    out is left to Spark, by their size."""
     found = features(F.col("url"), F.col("host"), F.col("path"))
-    given = rows.withColumn("suffix", _suffix(F.col("host"))).join(F.broadcast(suffixes), "suffix", "left")
+    given = rows.withColumn("suffix", _suffix(F.col("host"))).join(suffixes, "suffix", "left")
     given = given.withColumns(
         {
             **found,
@@ -135,7 +136,8 @@ def _inputs(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> UrlModel:
     """Trees from (url, host, path, verdict), on at most `rows` distinct URLs: those whose hashes
-    are lowest, in parts of them that the number of URLs decides."""
+    are lowest, in parts of them that the number of URLs decides. What is known of suffixes is
+    counted over all rows."""
     spark = labelled.sparkSession
     known = labelled.where(F.col("url").isNotNull() & F.col("verdict").isin(BLOCK, ALLOW))
     total = known.count()
@@ -144,8 +146,8 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> UrlModel:
     drawn = drawn.groupBy("url").agg(*[F.max(name).alias(name) for name in ("host", "path", "verdict")])
     sample = stored(drawn.orderBy(F.xxhash64("url"), "url").limit(rows), "labelled-urls")
     sample = sample.withColumn("label", (F.col("verdict") == BLOCK).cast("double"))
-    blocked = F.sum("label")
-    suffixes = sample.groupBy(_suffix(F.col("host")).alias("suffix")).agg(
+    blocked = F.count_if(F.col("verdict") == BLOCK)
+    suffixes = known.groupBy(_suffix(F.col("host")).alias("suffix")).agg(
         ((blocked + 1) / (F.count("*") + 2)).alias("suffix_blocked"), F.log1p(F.count("*")).alias("suffix_seen")
     )
     suffixes = stored(suffixes, "url-suffixes")
