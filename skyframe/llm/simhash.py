@@ -102,12 +102,26 @@ def _variants(fp: Column, parts: list[tuple[int, int]]) -> Column:
 def _met(a: str, b: str, distance: int) -> Column:
     unlike = F.col(f"{a}.bit") != F.col(f"{b}.bit")
     close = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= distance
-    return (F.col(f"{a}.fp") < F.col(f"{b}.fp")) & (unlike | F.col(f"{a}.lead")) & close
+    apart = F.col(f"{a}.root") != F.col(f"{b}.root")
+    return (F.col(f"{a}.fp") < F.col(f"{b}.fp")) & (unlike | F.col(f"{a}.lead")) & close & apart
+
+
+def star_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): of every segment's value the least of the distinct fingerprints `fp` that have it,
+    with each other one that is close to it. One link a fingerprint and segment at most."""
+    values = [
+        F.shiftrightunsigned("fp", begin).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).bitwiseOR(F.lit(number << 48).cast("bigint"))
+        for number, (begin, width) in enumerate(segments(distance))
+    ]
+    entries = prints.select("fp", F.explode(F.array(*values)).alias("value"))
+    least = entries.groupBy("value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= distance
+    return entries.join(least, "value").where((F.col("a") < F.col("fp")) & close).select("a", F.col("fp").alias("b")).distinct()
 
 
 def links(prints: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED) -> DataFrame:
     """(a, b), a < b: every two of the distinct fingerprints `fp` that differ by `distance` bits or
-    fewer, once or a few times.
+    fewer, once or a few times. If there is a `root`, only those with unlike ones.
 
     An equality join over the one-wildcard variants, verified by the whole distance. Fingerprints
     that share a segment's value with more than `crowded` others are cut a second time: the bits
@@ -115,7 +129,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED) -
     those differs by at most one bit, and both keys have to be equal. No bucket is capped.
     """
     parts = segments(distance)
-    keyed = prints.select("fp", F.explode(_variants(F.col("fp"), parts)).alias("v")).select("fp", "v.*")
+    prints = prints if "root" in prints.columns else prints.withColumn("root", F.col("fp"))
+    keyed = prints.select("fp", "root", F.explode(_variants(F.col("fp"), parts)).alias("v")).select("fp", "root", "v.*")
     sizes = [
         prints.groupBy(F.shiftrightunsigned("fp", begin).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).alias("value"))
         .count()
@@ -158,7 +173,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED) -
         again = list(zip(cuts[:-1], (q - p for p, q in zip(cuts[:-1], cuts[1:]))))
         own = crowd.where(F.shiftrightunsigned("key", 48).between(number * BITS, number * BITS + BITS - 1))
         twice = own.withColumn("w", F.explode(_variants(rest, again))).select(
-            "fp", "key", "bit", "lead", F.col("w.key").alias("key2"), F.col("w.bit").alias("bit2"), F.col("w.lead").alias("lead2")
+            "fp", "root", "key", "bit", "lead", F.col("w.key").alias("key2"), F.col("w.bit").alias("bit2"), F.col("w.lead").alias("lead2")
         )
         on = (F.col("a.key") == F.col("b.key")) & (F.col("a.key2") == F.col("b.key2")) & _met("a", "b", distance)
         on = on & ((F.col("a.bit2") != F.col("b.bit2")) | F.col("a.lead2"))
@@ -186,8 +201,19 @@ def near_duplicates(
     marked = stored(with_fingerprint(documents, text, width), "fingerprints")
     least = F.min(F.col("row").getField(doc_id)).alias("least")
     prints = stored(marked.groupBy("fp").agg(least), "prints")
-    edges = stored(links(prints.select("fp"), distance).distinct(), "links")
-    groups = components(edges)
+    # Links to the least of a segment's value first, which leave a dense set in one group; then only
+    # those between groups.
+    groups = stored(components(stored(star_links(prints.select("fp"), distance), "star-links")), "star-groups")
+    rooted = prints.join(groups, prints["fp"] == groups["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    rooted = stored(rooted, "rooted")
+    across = links(rooted, distance)
+    for end in ("a", "b"):
+        own = rooted.select(F.col("fp").alias(end), F.col("root").alias(f"{end}_root"))
+        across = across.join(own, end)
+    across = stored(across.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "links")
+    if not across.isEmpty():
+        joined = components(across).withColumnsRenamed({"node": "root", "root": "to"})
+        groups = rooted.join(joined, "root", "left").select(F.col("fp").alias("node"), F.coalesce("to", "root").alias("root"))
     # Of each group of fingerprints, the smallest id; fingerprints without a link are their own.
     member = prints.join(groups, prints["fp"] == groups["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
