@@ -48,7 +48,8 @@ def drop_frequent_lines(
     counts = each.select(*_hashes(F.col("key"), "h")).groupBy("h1", "h2").count()
     frequent = stored(counts.where(F.col("count") >= at_least).select("h1", "h2"), "frequent-lines")
 
-    places = documents.select(*_hashes(whole, "t"), F.posexplode(keys).alias("at", "key"))
+    # The text is hashed before its lines are exploded, not for each of them.
+    places = documents.select(*_hashes(whole, "t"), keys.alias("keys")).select("t1", "t2", F.posexplode("keys").alias("at", "key"))
     places = places.where(F.char_length("key") >= least_length).select("t1", "t2", "at", *_hashes(F.col("key"), "h"))
     found = places.join(frequent, ["h1", "h2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("at").alias("drop"))
     dropped = stored(found, "dropped-lines")
