@@ -52,29 +52,87 @@ ENCODINGS = {
 }
 
 
+_SPANS = "array<struct<start:int,kind:int,stop:int,found:string>>"
+# Matches that are added up one by one; longer lists are added up a block of so many at a time.
+_BLOCK = 64
+
+
+def _bound(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(sizes: Column) -> Column:
+    """The sum of the sizes before each. Within blocks, and over blocks, so that the arrays that are
+    copied for every element stay short."""
+    def sums(values: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("sums"))
+
+        def step(state: Column, size: Column) -> Column:
+            return F.struct((state["at"] + size).alias("at"), F.concat(state["sums"], F.array(state["at"])).alias("sums"))
+
+        return F.aggregate(values, start, step, lambda state: state["sums"])
+
+    def whole(values: Column) -> Column:
+        # An empty list has no block.
+        numbers = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        blocks = F.transform(numbers, lambda k: F.slice(values, k * _BLOCK + 1, F.lit(_BLOCK)))
+        return _bound(blocks, joined)
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda total, size: total + size))
+        return F.flatten(F.zip_with(blocks, sums(totals), lambda block, base: F.transform(sums(block), lambda at: at + base)))
+
+    return _bound(sizes, whole)
+
+
 def _spans(text: Column, pattern: str, kind: int, keep=None, hint: Column | None = None) -> Column:
     """(start, kind, stop, found) of every match, leftmost first and none overlapping another.
 
     Between the matches stand the parts that the pattern splits the text into, so a match begins
     after as many characters as the parts and matches before it have.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    pairs = F.zip_with(matches, F.slice(parts, 1, F.size(matches)), lambda m, p: F.struct(F.char_length(p).alias("skip"), m.alias("found")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,stop:int,found:string>>").alias("spans"))
-
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + pair["skip"]
-        stop = begin + F.char_length(pair["found"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), pair["found"].alias("found"))
-        return F.struct(stop.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
-
-    spans = F.aggregate(pairs, start, step, lambda state: state["spans"])
-    spans = spans if keep is None else F.filter(spans, lambda span: keep(span["found"]))
+    def spans(matches: Column, parts: Column) -> Column:
+        skips = F.transform(F.slice(parts, F.lit(1), F.size(matches)), lambda part: F.char_length(part))
+        pairs = F.zip_with(matches, skips, lambda m, skip: F.struct(skip.alias("skip"), m.alias("found")))
+        return _bound(pairs, placed)
+
+    def placed(pairs: Column) -> Column:
+        before = _running(F.transform(pairs, lambda pair: pair["skip"] + F.char_length(pair["found"])))
+        return F.zip_with(pairs, before, span)
+
+    def span(pair: Column, before: Column) -> Column:
+        start = before + pair["skip"]
+        stop = start + F.char_length(pair["found"])
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), pair["found"].alias("found"))
+
+    found = spans(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
+    found = found if keep is None else F.filter(found, lambda span: keep(span["found"]))
     # Most texts have no match, and are not taken apart.
-    none = F.array().cast("array<struct<start:int,kind:int,stop:int,found:string>>")
     match = F.rlike(text, F.lit(pattern))
-    return F.when(match if hint is None else hint & match, spans).otherwise(none)
+    return F.when(match if hint is None else hint & match, found).otherwise(F.array().cast(_SPANS))
+
+
+def _apart(more: Column, base: Column) -> Column:
+    """Those of the spans `more` that overlap none of `base`.
+
+    Spans of one kind are in order and overlap none of theirs, so of each kind only the last that
+    begins before a span's end can reach into it; it is found by halving.
+    """
+    def last_stop(span: Column, own: Column) -> Column:
+        steps = F.sequence(F.floor(F.log2(F.size(own) + 1)).cast("int"), F.lit(0), F.lit(-1))
+
+        def step(n: Column, k: Column) -> Column:
+            to = n + F.call_function("shiftleft", F.lit(1), k)
+            return F.when((to <= F.size(own)) & (F.get(own, to - 1)["start"] < span["stop"]), to).otherwise(n)
+
+        before = F.aggregate(steps, F.lit(0), step)
+        return F.coalesce(F.get(own, before - 1)["stop"], F.lit(0))
+
+    kinds = F.transform(F.array(*[F.lit(k) for k in range(3)]), lambda kind: F.filter(base, lambda span: span["kind"] == kind))
+    return _bound(
+        kinds, lambda by_kind: F.filter(more, lambda span: F.forall(by_kind, lambda own: last_stop(span, own) <= span["start"]))
+    )
 
 
 def base_spans(text: Column) -> Column:
@@ -223,7 +281,9 @@ def find_secrets(documents: DataFrame, text: str = "text") -> DataFrame:
     columns = [F.col(f"`{name}`") for name in documents.columns if name != text]
     ids = [F.xxhash64(value).alias("t1"), F.xxhash64(F.lit(1), value).alias("t2")]
 
-    runs = documents.select(*ids, F.explode(_spans(value, CANDIDATE, KINDS.index("random"))).alias("span"))
+    # Hashed before they are exploded: beside an explosion they would be hashed again for every run.
+    runs = documents.select(*ids, _spans(value, CANDIDATE, KINDS.index("random")).alias("spans"))
+    runs = runs.select("t1", "t2", F.explode("spans").alias("span"))
     runs = stored(runs, "long-runs")
     random = stored(random_strings(runs.select("span.found")), "random-strings")
     found = runs.withColumn("found", F.col("span.found")).join(random, "found", "left_semi")
@@ -231,7 +291,7 @@ def find_secrets(documents: DataFrame, text: str = "text") -> DataFrame:
 
     rows = documents.select(F.struct(*columns).alias("row"), *ids, base_spans(value).alias("base"))
     rows = rows.join(found, ["t1", "t2"], "left")
-    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
+    apart = _apart(F.col("more"), F.col("base"))
     both = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", apart)))
     return rows.select("row", both.alias("spans"))
 
