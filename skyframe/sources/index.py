@@ -17,7 +17,7 @@ from skyframe.operators.coverage import closed_up
 from skyframe.operators.regions import merged
 from skyframe.operators.sets import among
 from skyframe.sources.files import kept
-from skyframe.sources.sinks import PARQUET
+from skyframe.sources.sinks import write_parquet
 
 # Values that are looked up as a list; more are a join.
 LISTED_VALUES = 1_000
@@ -47,8 +47,7 @@ def write_index(rows: DataFrame, root: str, column: str) -> None:
     """
     others = [name for name in rows.columns if name not in (column, "Norder", "Npix")]
     spread = rows.repartitionByRange(column, *others) if others else rows.repartitionByRange(column)
-    written = spread.sortWithinPartitions(column).write.options(**PARQUET)
-    written.option(f"parquet.bloom.filter.enabled#{column}", "true").parquet(f"{root}/dataset")
+    write_parquet(spread.sortWithinPartitions(column), f"{root}/dataset", bloom=[column])
     write_manifest(rows.sparkSession, root, column)
 
 
@@ -69,7 +68,7 @@ def write_manifest(spark: SparkSession, root: str, column: str) -> None:
     values = rows.distinct().join(files, "file").select("file", F.explode(_bits(F.col("value"), F.col("size"))).alias("bit"))
     stretch = values.groupBy("file", F.floor(F.col("bit") / _STRETCH).alias("stretch"))
     bits = stretch.agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(_STRETCH))).alias("bits"))
-    bits.repartitionByRange("file", "stretch").sortWithinPartitions("file", "stretch").write.options(**PARQUET).parquet(f"{root}/manifest/bits")
+    write_parquet(bits.repartitionByRange("file", "stretch").sortWithinPartitions("file", "stretch"), f"{root}/manifest/bits")
 
 
 def _manifest(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame] | None:

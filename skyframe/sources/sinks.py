@@ -18,8 +18,11 @@ DATE = "yyyy-MM-dd"
 LONGEST_NULL = 128
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).options(**PARQUET).parquet(path)
+def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", bloom: list[str] | None = None) -> None:
+    """Parquet in the layout above. Columns in `bloom` get a filter a row group, by which a reader
+    skips the groups that a value is not in, wherever they are sorted."""
+    filters = {f"parquet.bloom.filter.enabled#{name}": "true" for name in bloom or []}
+    df.write.mode(mode).options(**PARQUET, **filters).parquet(path)
 
 
 def _instant(column: Column, data_type: T.DataType) -> Column | None:
