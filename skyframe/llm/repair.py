@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyframe.llm.tables import SPACES, stored
+from skyframe.llm.tables import SPACES, scratch, stored
 
 # What an edit costs, and what a truncated row that is not deleted adds.
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
@@ -203,6 +203,8 @@ def planned(pieces: DataFrame) -> DataFrame:
     """
     one = F.struct("piece", "symbols", "low", "high", "turns")
     source = pieces.groupBy("conv").agg(F.sort_array(F.collect_list(one)).alias("pieces"))
+    # A letter is little to move and much to compute, so tasks are not joined by their bytes.
+    source = source.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv")
 
     def plan(found: list[dict]) -> tuple:
         rows = bytes(letter - _FIRST for piece in found for letter in piece["symbols"].encode())
@@ -298,9 +300,10 @@ def repair_conversations(
     a letter for each of its rows, its audit being as long. Gaps past 64 bits wrap.
     """
     named = [F.col(f"`{name}`").alias(to) for name, to in ((conv, "conv"), (turn, "turn"), (role, "role"), (text, "text"))]
-    pieces = pieces_of(ordered_rows(rows.select(*named)))
-    plan = stored(planned(pieces.drop("rows")), "edits")
-    return plan, stored(repaired_pieces(pieces, plan), "repaired")
+    with scratch():
+        pieces = pieces_of(ordered_rows(rows.select(*named)))
+        plan = stored(planned(pieces.drop("rows")), "edits", keep=True)
+        return plan, stored(repaired_pieces(pieces, plan), "repaired", keep=True)
 
 
 def written_digest(repaired: DataFrame) -> DataFrame:
