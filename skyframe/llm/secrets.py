@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.llm.tables import stored
+from skyframe.llm.tables import scratch, stored
 
 # Pattern and group whose length counts, and the least length, by kind in order.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -281,13 +281,14 @@ def find_secrets(documents: DataFrame, text: str = "text") -> DataFrame:
     columns = [F.col(f"`{name}`") for name in documents.columns if name != text]
     ids = [F.xxhash64(value).alias("t1"), F.xxhash64(F.lit(1), value).alias("t2")]
 
-    # Hashed before they are exploded: beside an explosion they would be hashed again for every run.
-    runs = documents.select(*ids, _spans(value, CANDIDATE, KINDS.index("random")).alias("spans"))
-    runs = runs.select("t1", "t2", F.explode("spans").alias("span"))
-    runs = stored(runs, "long-runs")
-    random = stored(random_strings(runs.select("span.found")), "random-strings")
-    found = runs.withColumn("found", F.col("span.found")).join(random, "found", "left_semi")
-    found = stored(found.groupBy("t1", "t2").agg(F.collect_set("span").alias("more")), "random-spans")
+    with scratch():
+        # Hashed before they are exploded: beside an explosion they would be hashed again for every run.
+        runs = documents.select(*ids, _spans(value, CANDIDATE, KINDS.index("random")).alias("spans"))
+        runs = runs.select("t1", "t2", F.explode("spans").alias("span"))
+        runs = stored(runs, "long-runs")
+        random = stored(random_strings(runs.select("span.found")), "random-strings")
+        found = runs.withColumn("found", F.col("span.found")).join(random, "found", "left_semi")
+        found = stored(found.groupBy("t1", "t2").agg(F.collect_set("span").alias("more")), "random-spans", keep=True)
 
     rows = documents.select(F.struct(*columns).alias("row"), *ids, base_spans(value).alias("base"))
     rows = rows.join(found, ["t1", "t2"], "left")

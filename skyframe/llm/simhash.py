@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyframe.llm.components import components
-from skyframe.llm.tables import stored
+from skyframe.llm.tables import scratch, stored
 from skyframe.llm.words import words_of
 
 SHINGLE_WORDS = 4
@@ -198,26 +198,27 @@ def near_duplicates(
     id is null. Null and empty texts have fingerprint zero, and are linked like any other. An
     empty table gives an empty one.
     """
-    marked = stored(with_fingerprint(documents, text, width), "fingerprints")
-    least = F.min(F.col("row").getField(doc_id)).alias("least")
-    prints = stored(marked.groupBy("fp").agg(least), "prints")
-    # Links to the least of a segment's value first, which leave a dense set in one group; then only
-    # those between groups.
-    groups = stored(components(stored(star_links(prints.select("fp"), distance), "star-links")), "star-groups")
-    rooted = prints.join(groups, prints["fp"] == groups["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted, "rooted")
-    across = links(rooted, distance)
-    for end in ("a", "b"):
-        own = rooted.select(F.col("fp").alias(end), F.col("root").alias(f"{end}_root"))
-        across = across.join(own, end)
-    across = stored(across.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "links")
-    if not across.isEmpty():
-        joined = components(across).withColumnsRenamed({"node": "root", "root": "to"})
-        groups = rooted.join(joined, "root", "left").select(F.col("fp").alias("node"), F.coalesce("to", "root").alias("root"))
-    # Of each group of fingerprints, the smallest id; fingerprints without a link are their own.
-    member = prints.join(groups, prints["fp"] == groups["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = stored(member.join(named, "root").select("fp", "component_id"), "labels")
+    with scratch():
+        marked = stored(with_fingerprint(documents, text, width), "fingerprints", keep=True)
+        least = F.min(F.col("row").getField(doc_id)).alias("least")
+        prints = stored(marked.groupBy("fp").agg(least), "prints")
+        # Links to the least of a segment's value first, which leave a dense set in one group; then only
+        # those between groups.
+        groups = stored(components(stored(star_links(prints.select("fp"), distance), "star-links")), "star-groups")
+        rooted = prints.join(groups, prints["fp"] == groups["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+        rooted = stored(rooted, "rooted")
+        across = links(rooted, distance)
+        for end in ("a", "b"):
+            own = rooted.select(F.col("fp").alias(end), F.col("root").alias(f"{end}_root"))
+            across = across.join(own, end)
+        across = stored(across.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "links")
+        if not across.isEmpty():
+            joined = components(across).withColumnsRenamed({"node": "root", "root": "to"})
+            groups = rooted.join(joined, "root", "left").select(F.col("fp").alias("node"), F.coalesce("to", "root").alias("root"))
+        # Of each group of fingerprints, the smallest id; fingerprints without a link are their own.
+        member = prints.join(groups, prints["fp"] == groups["node"], "left").select(
+            "fp", "least", F.coalesce("root", "fp").alias("root")
+        )
+        named = member.groupBy("root").agg(F.min("least").alias("component_id"))
+        labels = stored(member.join(named, "root").select("fp", "component_id"), "labels", keep=True)
     return marked.join(labels, "fp").select("row", "fp", "component_id")
