@@ -307,9 +307,79 @@ def test_digests_of_conversations(spark, sf_dir):
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
-def test_suffix_statistics_are_bounded(spark, monkeypatch):
-    rows = [(k, f"http://host{k}.test/{'en' if k % 3 else 'xx'}/{k}") for k in range(500)]
+def test_suffix_statistics_cover_all_labelled_urls(spark):
+    """The trees are fitted on a sample; what is known of a suffix is not."""
+    rows = [(k, f"http://www.host{k % 400}.test/{'en' if k % 3 else 'xx'}/{k}") for k in range(2000)]
     df = spark.createDataFrame(rows, "page_id long, url string")
     labelled = df.select("url", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"), F.when(F.col("page_id") % 3 == 0, BLOCK).otherwise(ALLOW).alias("verdict"))
     model = urls.fit(labelled, rows=100)
-    assert model.suffixes.count() <= 100 and model.trees is not None
+    assert model.trees is not None
+    got = {r.suffix: (r.suffix_blocked, r.suffix_seen) for r in model.suffixes.collect()}
+    for k in range(400):
+        own = [i % 3 == 0 for i in range(k, 2000, 400)]
+        blocked, seen = got[f"host{k}.test"]
+        assert blocked == pytest.approx((sum(own) + 1) / (len(own) + 2)) and seen == pytest.approx(math.log1p(len(own)))
+
+
+def test_a_very_long_url(spark):
+    rows = [(k, f"http://a.com/en/{k}") for k in range(30)] + [(99, "http://b.org/" + "x/" * 200_000 + "?q=" + "1" * 100_000), (100, "http://b.net/de/1")]
+    got = {r.row.page_id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string"), [Rule("com/en/", BLOCK), Rule("net/de/", ALLOW)]).collect()}
+    assert got[99].host == "b.org" and len(got[99].path) == 400_001 and got[99].verdict in (BLOCK, ALLOW)
+
+
+def shingled(text, width=5):
+    found = text.split()
+    return {tuple(found[k : k + width]) for k in range(max(1, len(found) - width + 1))}
+
+
+def test_groups_around_the_limit_are_those_of_all_pairs(spark):
+    """Copies of a few texts with words dropped, replaced and put in, most of them not similar to
+    each other, some only through a third; and texts cut short step by step."""
+    from skyframe.llm.similar import first_of_similar
+    from skyframe.llm.tables import text_key
+
+    random = np.random.default_rng(12)
+    texts = []
+    for base in range(4):
+        words = [f"w{base}x{k}" for k in random.integers(0, 400, 130)]
+        for _ in range(110):
+            own, rate = [], random.choice([0.01, 0.02, 0.03, 0.05])
+            for word in words:
+                kind = random.random()
+                if kind < rate * 0.4:
+                    continue
+                own.append(f"z{random.integers(0, 30)}" if kind < rate * 0.8 else word)
+                if kind > 1 - rate * 0.2:
+                    own.append(f"y{random.integers(0, 9)}")
+            texts.append(" ".join(own))
+        if base % 2:
+            texts.append(" ".join(words))
+        texts += [" ".join(words[: 130 - 7 * k]) for k in range(1, 14)]
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("key", text_key(F.col("text")))
+    got = sorted(r.id for r in first_of_similar(df.repartition(4)).collect())
+    sets, root = [shingled(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            share = both / (len(sets[i]) + len(sets[j]) - both)
+            near += 0.6 < share < 0.8
+            if share >= 0.8 and find(i) != find(j):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert near > 3000 and got == sorted({find(i) for i in range(len(texts))})
+
+
+def test_stages_take_columns_of_any_name(spark, planted):
+    df = spark.createDataFrame([(1, "One two three.", "a", "k"), (1, "One two three.", "a", "k"), (2, None, "b", "k")], "doc_id long, text string, __id string, __key string")
+    kept = corpus_pipeline.near_dedup(spark, df, planted)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "One two three.", "a", "k"), (2, None, "b", "k")]
+    assert sorted(r.doc_id for r in corpus_pipeline.line_dedup(spark, df, planted).collect()) == [1, 1, 2]
