@@ -10,7 +10,9 @@ holds, as hashes in ascending order, with their counts, cut by range of hash int
 adds up what all chunks say and answers each chunk with the totals of the n-grams it named, in the
 order it named them, so an answer is a list of counts and no key travels back. Hashes in ascending
 order are sent as the steps between them. A chunk then scores
-its texts from the answers. An n-gram that is everywhere is one entry a chunk, so no shard is hot;
+its texts from the answers, a slice of them at a time. Copies of a text are in one chunk, but only
+one of them travels there from each part of the input, and rows get their scores by the text's hash.
+An n-gram that is everywhere is one entry a chunk, so no shard is hot;
 chunks and shards both grow in number with the input.
 """
 
@@ -25,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.llm.tables import flat_columns, stored, with_row
-from skyframe.llm.words import mixed, words_of
+from skyframe.llm.tables import scratch, stored, text_key
+from skyframe.llm.words import mixed, slices, words_of
 
 ORDER = 2
 # Text in a chunk; several times that is the memory a task needs. Raise it with the executors'.
@@ -38,6 +40,8 @@ HELD = 10
 _END = np.uint64(0x5851F42D4C957F2D)
 _BEGIN = np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0xD1342543DE82EF95)
+# Bytes of text that a chunk is scored at a time.
+_SLICE = 2 << 20
 # Bins of a probability's logarithm to base two, in each of which its mean is exact.
 _FINE = 4
 
@@ -79,7 +83,43 @@ def _cuts(distinct: np.ndarray, shards: int) -> list[int]:
 
 
 _NAMED = "shard int, chunk int, n int, grams binary, counts binary"
-_ANSWERED = "chunk int, shard int, n int, every array<bigint>, rest array<bigint>"
+_TOTALS = ["types", "tokens", "rest_types", "rest_tokens"]
+_ANSWERED = "chunk int, shard int, n int, every binary, rest binary, " + ", ".join(f"{name} bigint" for name in _TOTALS)
+_TEXTS = "chunk int, key binary, text binary, weight bigint"
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text of a batch once, with how many learned rows have it."""
+    for batch in batches:
+        codes = batch.column("key").dictionary_encode().indices.to_numpy()
+        number = int(codes.max()) + 1 if len(codes) else 0
+        first = np.zeros(number, np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        weight = np.bincount(codes, batch.column("learned").to_numpy(zero_copy_only=False), number).astype(np.int64)
+        at = pa.array(first)
+        own = [batch.column(name).take(at) for name in ("chunk", "key", "text")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(weight)], ["chunk", "key", "text", "weight"])
+
+
+def _unique(texts: pa.Table) -> tuple[list[bytes], list[bytes | None], np.ndarray]:
+    """The texts of a chunk, each once: their keys, themselves, and the learned rows of each."""
+    keys = texts.column("key").to_pylist()
+    place: dict[bytes, int] = {}
+    which = np.array([place.setdefault(key, len(place)) for key in keys], np.int64)
+    weight = np.bincount(which, texts.column("weight").to_numpy(), len(place)) if len(place) else np.zeros(0)
+    first = np.zeros(len(place), np.int64)
+    first[which[::-1]] = np.arange(len(which))[::-1]
+    column = texts.column("text")
+    return list(place), [column[int(i)].as_py() for i in first], weight.astype(np.int64)
+
+
+def _distinct(texts: list[bytes | None], order: int) -> list[np.ndarray]:
+    """The distinct n-grams of some texts by n, ascending."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(order)]
+    for low, high in slices(texts, _SLICE):
+        for n, keys in enumerate(_grams(texts[low:high], order)[0]):
+            parts[n].append(np.unique(keys))
+    return [np.unique(np.concatenate(part)) if part else np.empty(0, np.uint64) for part in parts]
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -153,18 +193,19 @@ def _answered(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         begins = np.concatenate((np.flatnonzero(np.diff(chunks, prepend=-1)), [len(chunks)]))
         for a, b in zip(begins[:-1], begins[1:]):
             chunk, own = int(chunks[a]), where[a:b]
-            out.append((chunk, shard, int(n), every[own], rest[own] if chunk % HELD == 0 else rest[:0]))
-        totals = [np.array([int((x > 0).sum()), int(x.sum())]) for x in (every, rest)]
-        out.append((-1, shard, int(n), *totals))
+            held = _planes(rest[own]) if chunk % HELD == 0 else b""
+            out.append((chunk, shard, int(n), _planes(every[own]), held, None, None, None, None))
+        totals = [int(y) for x in (every, rest) for y in ((x > 0).sum(), x.sum())]
+        out.append((-1, shard, int(n), b"", b"", *totals))
     columns = list(zip(*out))
-    lists = pa.list_(pa.int64())
     return pa.table(
         {
             "chunk": pa.array(columns[0], pa.int32()),
             "shard": pa.array(columns[1], pa.int32()),
             "n": pa.array(columns[2], pa.int32()),
-            "every": pa.array(columns[3], lists),
-            "rest": pa.array(columns[4], lists),
+            "every": pa.array(columns[3], pa.binary()),
+            "rest": pa.array(columns[4], pa.binary()),
+            **{name: pa.array(column, pa.int64()) for name, column in zip(_TOTALS, columns[5:])},
         }
     )
 
@@ -172,24 +213,25 @@ def _answered(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 def _lookup(table: pa.Table, column: str, n: int, size: int) -> np.ndarray:
     """The answers to one chunk for one n, in the order its n-grams were named in."""
     part = table.filter(pa.array(table.column("n").to_numpy() == n)).sort_by("shard")
-    counts = part.column(column).combine_chunks().flatten().to_numpy()
+    lists = _unplaned(part.column(column).to_pylist(), np.int64)
+    counts = np.concatenate(lists) if lists else np.empty(0, np.int64)
     if len(counts) != size:
         raise ValueError(f"a chunk named {size} {n}-grams and was answered {len(counts)}")
     return counts
 
 
-def _estimates(texts, answers: pa.Table, column: str, order: int, tokens: int):
+def _estimates(texts, distinct: list[np.ndarray], answers: list[np.ndarray], tokens: int):
     """For every token: the estimates by n from 1, and how often the longest context was seen.
 
     A context's count is that of its own n-gram, since every word has a next one; what begins a
     text was seen as often as what ends one. Also the unigram counts, and the ends of texts.
     """
+    order = len(distinct)
     grams, ends = _grams(texts, order)
     begins = np.concatenate(([0], ends[:-1] + 1))
     probabilities, context, first = [], None, None
     for n, keys in enumerate(grams, 1):
-        distinct, where = np.unique(keys, return_inverse=True)
-        counts = _lookup(answers, column, n, len(distinct))[where]
+        counts = answers[n - 1][np.searchsorted(distinct[n - 1], keys)]
         if n == 1:
             first = counts
             probabilities.append(counts / max(tokens, 1))
@@ -214,49 +256,63 @@ def _histogram(order: int, tokens: int):
 
     def run(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
         columns = ["bucket", "bins", "tokens", *[f"p{n}" for n in range(1, order + 1)]]
-        rows = [value.as_py() for value in texts.column("text")]
-        probabilities, bucket, _, ends = _estimates(rows, answers, "rest", order, tokens)
-        learned = texts.column("learned").to_numpy()
-        wanted = np.repeat(learned, np.diff(np.concatenate(([-1], ends))))
-        probabilities, bucket = [p[wanted] for p in probabilities], bucket[wanted]
-        bins = np.zeros(len(bucket), np.int64)
-        for p in probabilities:
-            log = np.round(-_FINE * np.log2(np.where(p > 0, p, 1.0))).astype(np.int64)
-            bins = bins * 1024 + np.where(p > 0, 1 + log, 0)
-        # Ten bits an estimate, and the bucket above them.
-        code, where, count = np.unique((bucket << 10 * order) + bins, return_inverse=True, return_counts=True)
-        sums = [np.bincount(where, p, len(count)) for p in probabilities]
-        bucket, bins = code >> 10 * order, code & ((1 << 10 * order) - 1)
-        return pa.table([*map(pa.array, (bucket, bins, count, *sums))], columns)
+        _, rows, weight = _unique(texts)
+        distinct = _distinct(rows, order)
+        counts = [_lookup(answers, "rest", n, len(own)) for n, own in enumerate(distinct, 1)]
+        out = []
+        for low, high in slices(rows, _SLICE):
+            probabilities, bucket, _, ends = _estimates(rows[low:high], distinct, counts, tokens)
+            wanted = np.repeat(weight[low:high], np.diff(np.concatenate(([-1], ends))))
+            bins = np.zeros(len(bucket), np.int64)
+            for p in probabilities:
+                log = np.round(-_FINE * np.log2(np.where(p > 0, p, 1.0))).astype(np.int64)
+                bins = bins * 1024 + np.where(p > 0, 1 + log, 0)
+            # Ten bits an estimate, and the bucket above them.
+            code, where = np.unique((bucket << 10 * order) + bins, return_inverse=True)
+            sums = [np.bincount(where, p * wanted, len(code)) for p in probabilities]
+            number = np.bincount(where, wanted, len(code)).astype(np.int64)
+            own = pa.table([*map(pa.array, (code >> 10 * order, code & ((1 << 10 * order) - 1), number, *sums))], columns)
+            out.append(own.filter(pa.array(number > 0)))
+        if not out:
+            out = [pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())] * order, columns)]
+        return pa.concat_tables(out)
 
     return run
 
 
-def _scores(model: Model):
-    """Of a chunk: the rows, with what the model and the base say of each text."""
+def mixed_estimates(model: Model, probabilities: list[np.ndarray], bucket: np.ndarray) -> np.ndarray:
+    """The model's probability of every token, from its estimates and the bucket of its context."""
     weights = np.array(model.weights)
+    share = weights[np.minimum(bucket, len(weights) - 1)]
+    total = share[:, 0] / (model.types + 1)
+    for n, p in enumerate(probabilities, 1):
+        total += share[:, n] * p
+    return total
+
+
+_SCORED = "key binary, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _scores(model: Model):
+    """Of a chunk: what the model and the base say of each of its texts."""
 
     def run(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = [value.as_py() for value in texts.column("text")]
-        ints, floats = pa.int64(), pa.float64()
-        if rows:
-            probabilities, bucket, seen, ends = _estimates(rows, answers, "every", model.order, model.tokens)
-            share = weights[np.minimum(bucket, len(weights) - 1)]
-            total = share[:, 0] / (model.types + 1)
-            for n, p in enumerate(probabilities, 1):
-                total += share[:, n] * p
+        keys, rows, _ = _unique(texts)
+        distinct = _distinct(rows, model.order)
+        counts = [_lookup(answers, "every", n, len(own)) for n, own in enumerate(distinct, 1)]
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        for low, high in slices(rows, _SLICE):
+            probabilities, bucket, seen, ends = _estimates(rows[low:high], distinct, counts, model.tokens)
             begins = np.concatenate(([0], ends[:-1] + 1))
             base = np.log10((seen + 1) / (model.tokens + model.types + 1))
-            own = [
-                pa.array(ends - begins + 1, ints),
-                pa.array(np.add.reduceat((seen > 0).astype(np.int64), begins), ints),
-                pa.array(np.add.reduceat(base, begins), floats),
-                pa.array(np.add.reduceat(np.log10(total), begins), floats),
-            ]
-        else:
-            own = [pa.array([], ints)] * 2 + [pa.array([], floats)] * 2
-        names = ["row", "n_tokens", "n_known", "base_score", "score"]
-        return pa.table([texts.column("row").combine_chunks(), *own], names)
+            score = np.log10(mixed_estimates(model, probabilities, bucket))
+            known = (seen > 0).astype(np.int64)
+            sums = [np.add.reduceat(values, begins) for values in (known, base, score)]
+            for column, values in zip(columns, (ends - begins + 1, *sums)):
+                column.append(values)
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        own = [pa.array(np.concatenate(column) if column else [], kind) for column, kind in zip(columns, kinds)]
+        return pa.table([pa.array(keys, pa.binary()), *own], ["key", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -265,17 +321,23 @@ def _em(rows, order: int, tokens: int, types: int, rounds: int = 200) -> list[li
     """Weights by bucket that make the held-out tokens most likely.
 
     A bucket without held-out tokens takes the nearest's; without any at all only the uniform
-    estimate counts. An estimate from a context never seen is zero, and so becomes its weight.
+    estimate counts. Where the context was never seen, bucket 0, the longest estimate is zero and
+    has no weight; without held-out tokens of its own, that bucket's other weights are those that
+    are best for all tokens without the longest.
     """
     parts: dict[int, list] = {}
     for row in rows:
         n = float(row["tokens"])
         parts.setdefault(row["bucket"], []).append((n, [1 / (types + 1), *(row[f"p{k}"] / n for k in range(1, order + 1))]))
+    if parts and 0 not in parts and order > 1:
+        parts[0] = [(n, [*x[:-1], 0.0]) for entries in list(parts.values()) for n, x in entries]
     learned: dict[int, np.ndarray] = {}
     for bucket, entries in parts.items():
         count = np.array([n for n, _ in entries])
         p = np.array([x for _, x in entries])
         weight = np.full(order + 1, 1 / (order + 1))
+        if bucket == 0 and order > 1:
+            weight = np.array([1 / order] * order + [0.0])
         for _ in range(rounds):
             each = p * weight
             new = (count[:, None] * each / each.sum(axis=1, keepdims=True)).sum(axis=0) / count.sum()
@@ -316,39 +378,34 @@ def interpolated_scores(
     columns = [F.col(f"`{name}`") for name in documents.columns if name != text]
     source = documents.select(
         F.struct(*columns).alias("row"),
-        F.pmod(F.xxhash64(value, *flat_columns(documents, text)), F.lit(chunks)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64(F.coalesce(value.cast("string"), F.lit(""))), F.lit(chunks)).cast("int").alias("chunk"),
+        text_key(value).alias("key"),
         F.coalesce(learned, F.lit(False)).alias("learned"),
         value.cast("binary").alias("text"),
     )
 
-    named = source.select("chunk", "learned", "text").mapInArrow(_named(order, chunks), _NAMED)
-    answers = stored(named.groupBy("shard").applyInArrow(_answered, _ANSWERED), "gram-counts")
-    totals = answers.where("chunk = -1 AND n = 1").agg(
-        F.sum(F.col("every")[0]).alias("types"),
-        F.sum(F.col("every")[1]).alias("tokens"),
-        F.sum(F.col("rest")[0]).alias("rest_types"),
-        F.sum(F.col("rest")[1]).alias("rest_tokens"),
-    ).first()
-    types, tokens = totals.types or 0, totals.tokens or 0
-
-    # Answers are in the order of all that a chunk named, so its other texts are sent along.
-    held = source.where(F.col("chunk") % HELD == 0).select("chunk", "learned", "text")
-    schema = "bucket bigint, bins bigint, tokens bigint, " + ", ".join(f"p{n} double" for n in range(1, order + 1))
-    counted = (
-        held.groupBy("chunk")
-        .cogroup(answers.where(F.col("chunk") % HELD == 0).groupBy("chunk"))
-        .applyInArrow(_histogram(order, totals.rest_tokens or 0), schema)
-        .groupBy("bucket", "bins")
-        .agg(F.sum("tokens").alias("tokens"), *[F.sum(f"p{n}").alias(f"p{n}") for n in range(1, order + 1)])
-        .collect()
-    )
-    model = Model(order, tokens, types, _em(counted, order, tokens, totals.rest_types or 0))
-
-    out = with_row(source, "n_tokens bigint, n_known bigint, base_score double, score double")
-    scored = (
-        source.select("row", "chunk", "text")
-        .groupBy("chunk")
-        .cogroup(answers.where("chunk >= 0").groupBy("chunk"))
-        .applyInArrow(_scores(model), out)
-    )
+    with scratch():
+        named = source.select("chunk", "learned", "text").mapInArrow(_named(order, chunks), _NAMED)
+        answers = stored(named.groupBy("shard").applyInArrow(_answered, _ANSWERED), "gram-counts")
+        totals = answers.where("chunk = -1 AND n = 1").agg(*[F.sum(name).alias(name) for name in _TOTALS]).first()
+        types, tokens = totals.types or 0, totals.tokens or 0
+
+        # Answers are in the order of all that a chunk named, so its other texts are sent along.
+        texts = source.select("chunk", "key", "learned", "text").mapInArrow(_once, _TEXTS)
+        schema = "bucket bigint, bins bigint, tokens bigint, " + ", ".join(f"p{n} double" for n in range(1, order + 1))
+        counted = (
+            source.where(F.col("chunk") % HELD == 0)
+            .select("chunk", "key", "learned", "text")
+            .mapInArrow(_once, _TEXTS)
+            .groupBy("chunk")
+            .cogroup(answers.where(F.col("chunk") % HELD == 0).groupBy("chunk"))
+            .applyInArrow(_histogram(order, totals.rest_tokens or 0), schema)
+            .groupBy("bucket", "bins")
+            .agg(F.sum("tokens").alias("tokens"), *[F.sum(f"p{n}").alias(f"p{n}") for n in range(1, order + 1)])
+            .collect()
+        )
+        model = Model(order, tokens, types, _em(counted, order, tokens, totals.rest_types or 0))
+        scored = texts.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInArrow(_scores(model), _SCORED)
+        scored = stored(scored, "scores", keep=True)
+    scored = source.select("row", "key").join(scored, "key").drop("key")
     return scored.withColumns({"train_tokens": F.lit(tokens).cast("bigint"), "train_types": F.lit(types).cast("bigint")})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,14 +14,14 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from skyframe.llm import queries
+from skyframe.llm import decontamination, queries
 from skyframe.llm.decontamination import contaminated
 from skyframe.llm.language import fit, identify
 from skyframe.llm.lines import drop_frequent_lines
 from skyframe.llm.packing import pack, plan_packing
-from skyframe.llm.scoring import interpolated_scores
-from skyframe.llm.secrets import KINDS, find_secrets, random_strings, written
-from skyframe.llm.simhash import links, near_duplicates, with_fingerprint
+from skyframe.llm.scoring import _em, interpolated_scores
+from skyframe.llm.secrets import ASSIGN, KINDS, find_secrets, random_strings, written
+from skyframe.llm.simhash import links, star_links, near_duplicates, with_fingerprint
 from skyframe.llm.words import words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,21 +97,37 @@ def test_scores_of_odd_texts(spark, order):
     assert all(r[-1] < 0 and math.isfinite(r[-1]) for r in got.collect())
 
 
-def test_scores_are_probabilities(spark):
-    """All continuations of one context sum to one, over the known words and one unknown."""
-    texts = ["a b a c", "b a b", "c c a", "a b"] * 15
+@pytest.mark.parametrize("texts", [["a b a c", "b a b", "c c a", "a b"] * 15, ["a b"] * 40 + ["c"], ["a", "b c"]])
+def test_scores_are_probabilities(spark, texts):
+    """All continuations sum to one, over the known words, one unknown, and the end.
+
+    A text "x y" has P(x) P(y | x) P(end | y) and "y" has P(y) P(end | y), so that P(x), which is the
+    sum of P(x, y) and P(x, end), solves a linear system in the scores; and all P(x) and P(end) are one.
+    """
     vocabulary = ["a", "b", "c", "zzz"]
     probes = ["", *vocabulary, *[f"{x} {y}" for x in vocabulary for y in vocabulary]]
     df = frame(spark, texts + probes)
     got = interpolated_scores(df, F.col("doc_id") < len(texts)).select("row.doc_id", "score").collect()
     p = {probes[r.doc_id - len(texts)]: 10**r.score for r in got if r.doc_id >= len(texts)}
-    # P(x, end) over P(x) is P(end | x); a two-word text gives P(x) P(y | x) P(end | y).
-    end = {x: None for x in vocabulary}
-    for x in vocabulary:
-        # Solve for P(x), P(end | x) from "x" and "x x": ratio is P(x | x).
-        end[x] = p[f"{x} {x}"] / p[x]
     assert all(0 < v < 1 for v in p.values())
-    assert all(0 < v < 1 for v in end.values())
+    following = np.array([[p[f"{x} {y}"] / p[y] for y in vocabulary] for x in vocabulary])
+    first = np.linalg.solve(np.eye(len(vocabulary)) - following, np.array([p[x] for x in vocabulary]))
+    assert (first > 0).all() and first.sum() + p[""] == pytest.approx(1, abs=1e-9)
+
+
+def test_a_context_never_seen_leaves_the_word_its_share():
+    """Without held-out tokens of that bucket, what the longest estimate had goes to the shorter ones."""
+    rows = [{"bucket": 5, "bins": 0, "tokens": 100, "p1": 100 * 0.1, "p2": 100 * 0.9}, {"bucket": 5, "bins": 1, "tokens": 5, "p1": 5 * 0.2, "p2": 5 * 0.9}]
+    weights = _em(rows, 2, 1000, 99)
+    assert weights[0][2] == 0 and weights[0][1] > 0.99 and sum(weights[0]) == pytest.approx(1)
+    assert weights[5][2] > 0.99
+
+
+def test_copies_of_a_text_are_scored_once(spark):
+    texts = ["one two three"] * 3000 + ["two three four", None, "", "one two three"]
+    got = interpolated_scores(frame(spark, texts, [None] * len(texts)), F.lit(True)).collect()
+    assert len(got) == len(texts) and {r.train_tokens for r in got} == {4 * 3002 + 2}
+    assert len({r.score for r in got if r.n_tokens == 4}) <= 2 and len({r.score for r in got if r.n_tokens == 1}) == 1
 
 
 def test_nothing_to_learn_from(spark):
@@ -468,3 +485,65 @@ def test_random_strings_are_added(spark):
     hits = [got[i] for i in range(len(keys))]
     assert hits.count("random:12:52") >= 0.8 * len(keys) and set(hits) <= {"random:12:52", ""}
     assert all(got[i] == "assign:0:49" for i in range(len(keys), 2 * len(keys)))
+
+
+def test_many_matches_in_one_text(spark):
+    """A hundred thousand hexadecimal runs, and keys between them."""
+    random = np.random.default_rng(5)
+    runs = ["".join(random.choice(list("0123456789abcdef"), 26)) for _ in range(2000)]
+    pieces = []
+    for k in range(100_000):
+        pieces.append(runs[k % 2000])
+        if k % 1000 == 7:
+            pieces.append(f"token = {k:06d}abcdef")
+    text = " ".join(pieces)
+    begin = time.perf_counter()
+    found = find_secrets(frame(spark, [text, "deadbeef"], [1, 2])).select("row.doc_id", "spans").collect()
+    assert time.perf_counter() - begin < 60
+    spans = {r.doc_id: r.spans for r in found}
+    kinds = [(re.compile(ASSIGN), 0), (re.compile("AKIA[A-Z0-9]{16,}"), 1), (re.compile("[0-9a-f]{24,}"), 2)]
+    want = sorted((m.start(), kind, m.end()) for pattern, kind in kinds for m in pattern.finditer(text))
+    got = [(s.start, s.kind, s.stop) for s in spans[1] if s.kind < 3]
+    assert len(got) > 100_000 and got == want and spans[2] == []
+
+
+def test_a_dense_set_of_fingerprints_has_few_links(spark):
+    """Two thousand within four bits of each other: a link or a few each, and one group."""
+    from itertools import combinations
+
+    base = 0x0123456789ABCDEF
+    near = [base, *[base ^ (1 << i) for i in range(64)], *[base ^ (1 << i) ^ (1 << j) for i, j in combinations(range(64), 2)]][:2000]
+    signed = [n - (1 << 64) if n >> 63 else n for n in near]
+    df = spark.createDataFrame([(n,) for n in signed], "fp long")
+    found = star_links(df)
+    assert found.count() <= 3 * len(near)
+    root = {n: n for n in signed}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in found.collect():
+        assert bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 4
+        root[find(a)] = find(b)
+    assert len({find(n) for n in signed}) == 1
+
+
+@pytest.mark.parametrize("most", [1 << 20, 400, 60])
+def test_retrieval_does_not_depend_on_the_parts(spark, sf_dir, documents, most):
+    """The same pairs are retrieved, before anything is verified, however the items are divided."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("item_id", "text")
+    items = [tuple(r) for r in benchmark.collect()]
+    texts = [t for _, t, _ in documents if t][:60] + [t for _, t in items if t] + [f"{a[1]} {b[1]}" for a, b in zip(items, items[5:])]
+    texts += [" ".join(t.split()[::2]) for _, t in items if t]
+    cleaned = [decontamination._clean(t) for t in texts]
+
+    def pairs(index):
+        begins, passages, found = decontamination.retrieved(index, cleaned)
+        return {(int(p), index.ids[i]) for p, i in zip(passages, found)}
+
+    whole = pairs(decontamination.build_index(items))
+    parts = list(decontamination.indexes(benchmark, most))
+    assert len(whole) > len(items) and (most > 400) == (len(parts) == 1)
+    assert set().union(*map(pairs, parts)) == whole
