@@ -213,7 +213,7 @@ def near_duplicates(
             across = across.join(own, end)
         across = stored(across.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "links")
         if not across.isEmpty():
-            joined = components(across).withColumnsRenamed({"node": "root", "root": "to"})
+            joined = components(across).select(F.col("node").alias("root"), F.col("root").alias("to"))
             groups = rooted.join(joined, "root", "left").select(F.col("fp").alias("node"), F.coalesce("to", "root").alias("root"))
         # Of each group of fingerprints, the smallest id; fingerprints without a link are their own.
         member = prints.join(groups, prints["fp"] == groups["node"], "left").select(
