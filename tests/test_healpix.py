@@ -75,3 +75,10 @@ def test_spans_tile_the_parent(spark):
 def test_an_order_that_healpix_has_not(spark):
     with pytest.raises(ValueError):
         healpix_index("ra", "dec", 30)
+
+
+@pytest.mark.parametrize("order,ra,dec,cell", [(1, 90.0, 0.0, 21), (2, 90.0, 0.0, 86), (1, 270.0, 0.0, 29)])
+def test_the_edge_of_two_cells_belongs_to_the_one_that_healpix_says(spark, order, ra, dec, cell):
+    """The coordinate that falls is cut to whole steps before it is counted from the far end."""
+    df = spark.createDataFrame([(ra, dec)], "ra double, dec double")
+    assert df.select(healpix_index("ra", "dec", order).alias("cell")).first().cell == cell
