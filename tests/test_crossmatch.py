@@ -219,3 +219,22 @@ def test_rings_are_as_many_as_the_gap_has_doublings(spark, sides, monkeypatch):
     for i, at in ((1, (300.0, -20.0)), (3, (125.0, 20.0))):
         assert abs(got[i][1] - min(separation(at, p) for _, p in every)) < 1e-5
     assert len(rounds) <= 3 + math.log2(180 / rounds[0])
+
+
+@pytest.mark.parametrize("radius", [2.0, "r"])
+def test_the_nearest_within_a_radius_meets_few_of_very_many(spark, monkeypatch, radius):
+    """Two thousand rows are within the radius of each row; one is too far from all of them."""
+    field = spark.range(2_000).selectExpr("CAST(id AS INT) AS rid", "120 + (id % 50) * 0.01D AS ra", "20 + floor(id / 50) * 0.01D AS dec")
+    left = spark.createDataFrame([(i, 120.2 + i * 0.003, 20.1, 2.0) for i in range(5)] + [(9, 125.0, 20.0, 2.0)], "id int, ra double, dec double, r double")
+    pairs, most = module.crossmatch, []
+
+    def counted(*given, **options):
+        found = pairs(*given, **options)
+        most.append(found.count())
+        return found
+
+    monkeypatch.setattr(module, "crossmatch", counted)
+    got = {row.id: row.separation for row in nearest_match(left, field, radius, key="id", tie="rid").collect()}
+    every = [(120 + (i % 50) * 0.01, 20 + (i // 50) * 0.01) for i in range(2_000)]
+    assert sorted(got) == [0, 1, 2, 3, 4] and max(most) < 5 * 1_000
+    assert all(abs(got[i] - min(separation((120.2 + i * 0.003, 20.1), p) for p in every)) < 1e-9 for i in got)
