@@ -194,3 +194,12 @@ def test_streams_answer_as_batches(spark, tmp_path):
     assert matched == sorted(tuple(r) for r in pairs.collect()) and matched
     with pytest.raises(ValueError):
         crossmatch_stream(stream, catalog, "ra")
+
+
+def test_a_task_is_dealt_so_many_rows_whatever_the_table(spark, monkeypatch):
+    from skyframe.sources import sinks
+
+    monkeypatch.setattr(sinks, "TASK_ROWS", 100)
+    dealt = sinks.ranged(spark.range(2_000), "id").selectExpr("spark_partition_id() AS part").groupBy("part").count().collect()
+    assert len(dealt) >= 15 and max(row["count"] for row in dealt) < 400
+    assert sinks.ranged(spark.range(0), "id").count() == 0
