@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import pytest
 from conftest import awkward_points, known
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from skyframe.functions.healpix import (
     first_index,
     healpix_index,
 )
+from skyframe.plans.inputs import sky_sql, with_position
 
 
 @pytest.mark.parametrize("order", [0, 1, 2, 5])
@@ -82,3 +85,13 @@ def test_the_edge_of_two_cells_belongs_to_the_one_that_healpix_says(spark, order
     """The coordinate that falls is cut to whole steps before it is counted from the far end."""
     df = spark.createDataFrame([(ra, dec)], "ra double, dec double")
     assert df.select(healpix_index("ra", "dec", order).alias("cell")).first().cell == cell
+
+
+def test_positions_are_those_of_their_sql(spark, duck):
+    """To the last bit, of which a cell is cut; a null key has none, nor has one beyond the sphere."""
+    keys = spark.range(2_000).select(F.col("id").alias("event_id"))
+    got = {row.event_id: (row.ra, row.dec) for row in with_position(keys, "event_id").collect()}
+    sql = f"SELECT event_id, {sky_sql('event_id')} FROM (SELECT range AS event_id FROM range(2000))"
+    assert got == {key: (ra, dec) for key, ra, dec in duck.execute(sql).fetchall()}
+    none, beyond = with_position(spark.createDataFrame([(None,), (-1,)], "k bigint"), "k").collect()
+    assert none.dec is None and math.isnan(beyond.dec)
