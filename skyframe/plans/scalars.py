@@ -386,7 +386,7 @@ def stream_restart(spark, sf_dir):
     folder = shared_folder(spark, "arriving")
     left = stars(spark, sf_dir).select("event_id", "ra", "dec")
     left.repartition(4, "event_id").write.parquet(f"{folder}/in")
-    batches = []
+    batches, pair = [], ["event_id", "o_orderkey"]
 
     def catalog():
         # Read anew for every batch; the second and the fourth time something is amiss.
@@ -397,11 +397,11 @@ def stream_restart(spark, sf_dir):
 
     while True:
         source = read_stream(spark, f"{folder}/in", left.schema, files_per_trigger=1)
-        running = crossmatch_batches(source, catalog, 0.3, f"{folder}/out", f"{folder}/progress", separation=None)
+        running = crossmatch_batches(source, catalog, 0.3, f"{folder}/out", f"{folder}/progress", columns=pair, separation=None)
         try:
             running.awaitTermination()
             break
         except StreamingQueryException:
             if len(batches) > 4:
                 raise
-    return spark.read.parquet(f"{folder}/out").select("event_id", "o_orderkey")
+    return spark.read.parquet(f"{folder}/out").select(*pair)

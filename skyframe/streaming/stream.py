@@ -62,11 +62,16 @@ def write_batches(
 
 
 def crossmatch_batches(
-    stream: DataFrame, catalog: Callable[[], DataFrame], radius, path: str, checkpoint: str, **options
+    stream: DataFrame, catalog: Callable[[], DataFrame], radius, path: str, checkpoint: str, columns: list[str] | None = None, **options
 ) -> StreamingQuery:
     """Every arriving row with the rows around it of a catalog that is read anew for each batch.
 
     A batch is an ordinary table: its hot buckets are counted on both sides, and the radius may be a
-    column of it.
+    column of it. Of the pairs `columns` are written, or all.
     """
-    return write_batches(stream, path, checkpoint, lambda batch: crossmatch(batch, catalog(), radius, **options))
+
+    def pairs(batch: DataFrame) -> DataFrame:
+        found = crossmatch(batch, catalog(), radius, **options)
+        return found if columns is None else select_columns(found, columns)
+
+    return write_batches(stream, path, checkpoint, pairs)

@@ -148,6 +148,20 @@ def test_a_stream_restarted_is_the_batch(spark, tmp_path):
     assert got == want and 0 < half < len(want)
 
 
+def test_batches_of_pairs_hold_the_columns_asked_for(spark, tmp_path):
+    """And no others: what is written is most of what a crossmatch of many pairs costs."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    points = spark.range(200).selectExpr("id", "(id * 7.3D) % 360 AS ra", "(id * 3.1D) % 120 - 60 AS dec")
+    points.repartition(2).write.parquet(source)
+    catalog = spark.range(300).selectExpr("id AS rid", "(id * 1.3D) % 360 AS ra", "(id * 0.7D) % 100 - 50 AS dec")
+    stream = read_stream(spark, source, points.schema, files_per_trigger=1)
+    crossmatch_batches(stream, lambda: catalog, 2.0, out, str(tmp_path / "progress"), columns=["rid", "id"]).awaitTermination()
+    got = spark.read.parquet(f"{out}/batch=*")
+    assert got.columns == ["rid", "id"]
+    want = sorted((r.id, r.rid) for r in crossmatch(points, catalog, 2.0).collect())
+    assert want and sorted((r.id, r.rid) for r in got.collect()) == want
+
+
 def test_a_batch_run_again_replaces_itself(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.range(0, 100, 1, 2).write.parquet(source)
