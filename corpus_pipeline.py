@@ -37,7 +37,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays, once.
 
-    Near copies share 0.8 of the five-word shingles of both. Documents without an id come after
+    Near copies share 0.8 of the five-word shingles of both; close SimHash fingerprints or a shared
+    MinHash band tell which are compared. Documents without an id come after
     all others, by their text. Unlike texts under one id are documents of their own; of repeated
     rows one stays, and so of all documents without a word. Other columns are not looked at.
     """

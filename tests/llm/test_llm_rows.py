@@ -377,6 +377,38 @@ def test_groups_around_the_limit_are_those_of_all_pairs(spark):
     assert near > 3000 and got == sorted({find(i) for i in range(len(texts))})
 
 
+def test_close_fingerprints_join_similar_texts_without_a_band(spark, monkeypatch):
+    """And only similar ones: the last two have one fingerprint and few shingles in common."""
+    from skyframe.llm import similar
+    from skyframe.llm.simhash import with_fingerprint
+    from skyframe.llm.tables import text_key
+
+    def apart(texts, width):
+        return np.array([[hash((text, band)) for band in range(similar.BANDS)] for text in texts], np.int64).reshape(-1, similar.BANDS)
+
+    monkeypatch.setattr(similar, "_bands", apart)
+    random, texts = np.random.default_rng(3), []
+    for base in range(12):
+        words = [f"w{w}" for w in random.integers(0, 5000, 400)]
+        for at in range(0, 3 * base, 3):
+            words[at * 10] = "new"
+            texts.append(" ".join(words))
+        texts.append(" ".join(words).upper())
+    texts += ["q " * 100, "q " * 100 + "and four more words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("key", text_key(F.col("text")))
+    prints = {r.row.id: r.fp for r in with_fingerprint(df.select("id", "text"), width=5).collect()}
+    sets, root = [shingled(t.lower()) for t in texts], list(range(len(texts)))
+    assert prints[len(texts) - 1] == prints[len(texts) - 2]
+    for i in range(len(texts)):
+        for j in range(i):
+            close = ((prints[i] ^ prints[j]) & ((1 << 64) - 1)).bit_count() <= similar.BITS_APART
+            if close and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {r: min(i for i, own in enumerate(root) if own == r) for r in root}
+    assert 12 < len(least) < len(texts) - 10
+    assert sorted(r.id for r in similar.first_of_similar(df.repartition(4)).collect()) == sorted(least.values())
+
+
 def test_stages_take_columns_of_any_name(spark, planted):
     df = spark.createDataFrame([(1, "One two three.", "a", "k"), (1, "One two three.", "a", "k"), (2, None, "b", "k")], "doc_id long, text string, __id string, __key string")
     kept = corpus_pipeline.near_dedup(spark, df, planted)
