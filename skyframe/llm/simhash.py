@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyframe.llm.components import components
-from skyframe.llm.tables import scratch, stored
+from skyframe.llm.tables import scratch, stored, unsent
 from skyframe.llm.words import words_of
 
 SHINGLE_WORDS = 4
@@ -116,7 +116,7 @@ def star_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     entries = prints.select("fp", F.explode(F.array(*values)).alias("value"))
     least = entries.groupBy("value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= distance
-    return entries.join(least, "value").where((F.col("a") < F.col("fp")) & close).select("a", F.col("fp").alias("b")).distinct()
+    return entries.join(unsent(least), "value").where((F.col("a") < F.col("fp")) & close).select("a", F.col("fp").alias("b")).distinct()
 
 
 def links(prints: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED) -> DataFrame:
@@ -141,7 +141,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED) -
     hot = sizes[0]
     for more in sizes[1:]:
         hot = hot.unionByName(more)
-    found = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & _met("a", "b", distance))
+    found = keyed.alias("a").join(unsent(keyed.alias("b")), (F.col("a.key") == F.col("b.key")) & _met("a", "b", distance))
     if hot.isEmpty():
         return found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
@@ -160,7 +160,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED) -
         keys = some if keys is None else keys.unionByName(some)
     keys = stored(keys.distinct(), "crowded-keys")
     cold = keyed.join(keys, "key", "left_anti")
-    found = cold.alias("a").join(cold.alias("b"), (F.col("a.key") == F.col("b.key")) & _met("a", "b", distance))
+    found = cold.alias("a").join(unsent(cold.alias("b")), (F.col("a.key") == F.col("b.key")) & _met("a", "b", distance))
     found = found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
     crowd = keyed.join(keys, "key", "left_semi")
@@ -177,7 +177,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED) -
         )
         on = (F.col("a.key") == F.col("b.key")) & (F.col("a.key2") == F.col("b.key2")) & _met("a", "b", distance)
         on = on & ((F.col("a.bit2") != F.col("b.bit2")) | F.col("a.lead2"))
-        more = twice.alias("a").join(twice.alias("b"), on)
+        more = twice.alias("a").join(unsent(twice.alias("b")), on)
         found = found.unionByName(more.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")))
     return found
 

@@ -219,6 +219,27 @@ def test_links_are_all_pairs(spark, distance, crowded):
     assert got == want
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    """Broadcasts of more than 2 MB fail, as large ones do on a driver with little memory."""
+    name = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(name, "2m")
+    yield
+    spark.conf.unset(name)
+
+
+def test_links_broadcast_no_exploded_table(spark, small_broadcasts):
+    """Sixty-four keys a fingerprint, which Spark sizes as one."""
+    from skyframe.llm.tables import stored
+
+    some = spark.range(5000).select(F.xxhash64("id").alias("fp"))
+    near = some.limit(3).select(F.col("fp").bitwiseXOR(F.lit(5)).alias("fp"))
+    prints = stored(some.unionByName(near), "test-prints")
+    want = sorted(tuple(sorted((r.fp, r.fp ^ 5))) for r in near.collect())
+    assert sorted(set(map(tuple, links(prints).collect()))) == want
+    assert star_links(prints).where("bit_count(a ^ b) > 4").count() == 0
+
+
 def test_long_chains_are_one_group(spark):
     from skyframe.llm.components import components
 
