@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from skyframe.llm.components import components
 from skyframe.llm.simhash import links, star_links, with_fingerprint
-from skyframe.llm.tables import stored, text_key
+from skyframe.llm.tables import stored, text_key, unsent
 from skyframe.llm.words import mixed, words_of
 
 SHINGLE_WORDS = 5
@@ -104,15 +104,15 @@ def _mapped(source: DataFrame, name: str, width: int, whole: bool) -> DataFrame:
 
 def _sets(keys: DataFrame, texts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """(key, shingles) of some texts. `texts` names one row of each text."""
-    chosen = stored(texts.select("key", "id").join(keys.distinct(), "key", "left_semi"), "similar-ends")
+    chosen = stored(texts.select("key", "id").join(unsent(keys.distinct()), "key", "left_semi"), "similar-ends")
     bodies = rows.select("key", "id", "text").join(chosen, ["key", "id"], "left_semi").dropDuplicates(["key", "id"])
     return stored(_mapped(bodies.select("key", "text"), "shingles", width, True), "similar-shingles")
 
 
 def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of text keys with their shingles, `s` and `t`."""
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("s")), "a")
-    return both.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("t")), "b")
+    both = pairs.join(unsent(sets.select(F.col("key").alias("a"), F.col("shingles").alias("s"))), "a")
+    return both.join(unsent(sets.select(F.col("key").alias("b"), F.col("shingles").alias("t"))), "b")
 
 
 def _similar() -> Column:
@@ -167,12 +167,12 @@ def first_of_similar(rows: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     wordless = text_key(F.lit(""))
     entries = texts.where(F.col("key") != wordless).select("key", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    entries = stored(entries.join(shared, "band"), "shared-bands")
+    entries = stored(entries.join(unsent(shared), "band"), "shared-bands")
     # What others were made from shares bands with the most of them.
     central = entries.groupBy("key").agg(F.sum("n").alias("weight"))
-    weighed = entries.join(central, "key")
+    weighed = entries.join(unsent(central), "key")
     centres = weighed.groupBy("band").agg(F.max_by("key", F.struct("weight", "key")).alias("centre"))
-    star = entries.join(centres, "band").where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b"))
+    star = entries.join(unsent(centres), "band").where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b"))
     star = stored(star.distinct(), "star-pairs")
     ends = star.select(F.col("a").alias("key")).unionByName(star.select(F.col("b").alias("key")))
     sets = _sets(ends, texts, rows, width)
@@ -256,10 +256,10 @@ def _differing(both: DataFrame) -> DataFrame:
     counted = rows.groupBy("bucket").agg(
         F.count("*").alias("texts"), F.count_if("first").alias("n"), F.count_if(~F.col("linked")).alias("apart")
     )
-    rows = rows.join(counted.where("texts > 1 AND n > 0 AND apart > 0").select("bucket", "n"), "bucket")
+    rows = rows.join(unsent(counted.where("texts > 1 AND n > 0 AND apart > 0").select("bucket", "n")), "bucket")
     rows = stored(rows, "meeting")
-    some = profiles.join(rows.select("a", "b").distinct(), ["a", "b"], "left_semi")
-    rows = rows.join(stored(_marked(some), "marks"), ["a", "b"])
+    some = profiles.join(unsent(rows.select("a", "b").distinct()), ["a", "b"], "left_semi")
+    rows = rows.join(unsent(stored(_marked(some), "marks")), ["a", "b"])
     return stored(rows.withColumnRenamed("b", "key").drop("a"), "differing")
 
 
@@ -286,7 +286,7 @@ def _joined(buckets: DataFrame, groups: DataFrame, texts: DataFrame, rows: DataF
         drawn = placed.where(F.col("first") & (draw >= low) & (draw < high)).alias("y")
         apart = placed.where("NOT linked").alias("x")
         on = (F.col("y.bucket") == F.col("x.bucket")) & (F.col("y.root") != F.col("x.root")) & _can_be_similar()
-        across = drawn.join(apart, on).select(*_unordered(F.col("x.key"), F.col("y.key"))).distinct()
+        across = drawn.join(unsent(apart), on).select(*_unordered(F.col("x.key"), F.col("y.key"))).distinct()
         more = _rooted(_rooted(_verified(across, texts, rows, width), groups, "a", "g"), groups, "b", "h")
         more = stored(more.select(*_unordered(F.col("g"), F.col("h"))).where("a <> b").distinct(), "joining")
         if not more.isEmpty():

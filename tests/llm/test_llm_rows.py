@@ -377,6 +377,28 @@ def test_groups_around_the_limit_are_those_of_all_pairs(spark):
     assert near > 3000 and got == sorted({find(i) for i in range(len(texts))})
 
 
+def test_no_side_that_can_grow_in_memory_is_broadcast(spark, monkeypatch):
+    """Exploded bands and buckets, and sets of shingles, which are stored in a few pages if alike."""
+    from skyframe.llm import similar
+    from skyframe.llm.tables import text_key
+
+    plans = {}
+
+    def seen(df, name):
+        plans.setdefault(name, "")
+        plans[name] += df._jdf.queryExecution().sparkPlan().toString()
+        return own(df, name)
+
+    own = similar.stored
+    monkeypatch.setattr(similar, "stored", seen)
+    rows = [(k, " ".join(f"w{i}" if i % 40 or i >= 25 * (k % 40) else f"copy{k % 7}" for i in range(600))) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("key", text_key(F.col("text")))
+    assert [r.id for r in similar.first_of_similar(df.repartition(4)).collect()] == [0]
+    for name in ("shared-bands", "star-pairs", "similar-ends", "judged", "similar", "meeting", "marks", "differing"):
+        assert "Join" in plans[name] or name == "marks"
+        assert "BroadcastHashJoin" not in plans[name], name
+
+
 def test_close_fingerprints_join_similar_texts_without_a_band(spark, monkeypatch):
     """And only similar ones: the last two have one fingerprint and few shingles in common."""
     from skyframe.llm import similar
