@@ -5,11 +5,13 @@ the bigram's, and so on up to `order`. The weights depend on how often the longe
 seen, in buckets of powers of two, and are learned by expectation-maximisation on texts held out
 from the counts that the estimates are then taken from.
 
-How it moves. Texts are dealt into chunks by hash. A chunk names the distinct n-grams that it
-holds, as hashes in ascending order, with their counts, cut by range of hash into shards. A shard
+How it moves. Texts are dealt into chunks by hash. A chunk, once its texts have met, names the
+distinct n-grams that it holds, as hashes in ascending order, with their counts, cut by range of hash
+into shards: one list a chunk, shard and n, however many parts the input has. A shard
 adds up what all chunks say and answers each chunk with the totals of the n-grams it named, in the
 order it named them, so an answer is a list of counts and no key travels back. Hashes in ascending
-order are sent as the steps between them. A chunk then scores
+order are sent as the steps between them, and lists in as many bytes a number as its largest needs.
+A chunk then scores
 its texts from the answers, a slice of them at a time. Copies of a text are in one chunk, but only
 one of them travels there from each part of the input, and rows get their scores by the text's hash.
 An n-gram that is everywhere is one entry a chunk, so no shard is hot;
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.llm.tables import scratch, stored, text_key
+from skyframe.llm.tables import scratch, stored, swept, text_key
 from skyframe.llm.words import mixed, slices, words_of
 
 ORDER = 2
@@ -36,6 +38,8 @@ CHUNK_BYTES = 8 << 20
 LEAST_CHUNKS = 40
 # One chunk in so many is held out to learn the weights on.
 HELD = 10
+# Chunks to a shard: a task holds as many n-grams of a shard as so many chunks have.
+CHUNKS_A_SHARD = 2
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _BEGIN = np.uint64(0x14057B7EF767814F)
@@ -76,10 +80,15 @@ def _grams(texts: list[bytes | None], order: int) -> tuple[list[np.ndarray], np.
     return grams, ends
 
 
-def _cuts(distinct: np.ndarray, shards: int) -> list[int]:
-    """Where each shard's range begins and ends among sorted hashes."""
-    limits = np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)
-    return [0, *np.searchsorted(distinct, limits).tolist(), len(distinct)]
+def _limits(shards: int) -> np.ndarray:
+    """The hash that each shard's range begins with."""
+    return np.array([(k << 64) // shards for k in range(shards)], np.uint64)
+
+
+def _ascending(values: np.ndarray) -> np.ndarray:
+    """The distinct values. By sorting: `np.unique` makes a hash table, which takes ten times as long."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
 
 
 _NAMED = "shard int, chunk int, n int, grams binary, counts binary"
@@ -109,8 +118,7 @@ def _unique(texts: pa.Table) -> tuple[list[bytes], list[bytes | None], np.ndarra
     weight = np.bincount(which, texts.column("weight").to_numpy(), len(place)) if len(place) else np.zeros(0)
     first = np.zeros(len(place), np.int64)
     first[which[::-1]] = np.arange(len(which))[::-1]
-    column = texts.column("text")
-    return list(place), [column[int(i)].as_py() for i in first], weight.astype(np.int64)
+    return list(place), texts.column("text").take(pa.array(first)).to_pylist(), weight.astype(np.int64)
 
 
 def _distinct(texts: list[bytes | None], order: int) -> list[np.ndarray]:
@@ -118,85 +126,96 @@ def _distinct(texts: list[bytes | None], order: int) -> list[np.ndarray]:
     parts: list[list[np.ndarray]] = [[] for _ in range(order)]
     for low, high in slices(texts, _SLICE):
         for n, keys in enumerate(_grams(texts[low:high], order)[0]):
-            parts[n].append(np.unique(keys))
-    return [np.unique(np.concatenate(part)) if part else np.empty(0, np.uint64) for part in parts]
+            parts[n].append(_ascending(keys))
+    return [_ascending(np.concatenate(part)) if part else np.empty(0, np.uint64) for part in parts]
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, where = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(where, counts, len(distinct)).astype(np.int64)
+
+
+def _counted(texts: list[bytes | None], weight: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct n-grams of some texts by n, ascending, and how often they are in learned rows."""
+    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
+    for low, high in slices(texts, _SLICE):
+        grams, ends = _grams(texts[low:high], order)
+        each = np.repeat(weight[low:high], np.diff(np.concatenate(([-1], ends))))
+        for n, keys in enumerate(grams):
+            parts[n].append(_summed(keys, each))
+    return [part[0] if len(part) == 1 else _summed(*map(np.concatenate, zip(*part))) for part in parts]
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Integers with all their first bytes together, then all second ones, and so on: the upper
-    bytes of small ones are zero, which a shuffle's compression then takes to nothing."""
-    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    """Integers, not negative, in as many bytes each as the largest needs, after how many that is;
+    all their first bytes together, then all second ones, and so on, as a shuffle's compression
+    likes them."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def _unplaned(buffers: list[bytes], kind) -> list[np.ndarray]:
-    size = np.dtype(kind).itemsize
-    return [np.frombuffer(b, np.uint8).reshape(size, -1).T.copy().view(kind).ravel() for b in buffers]
+def _unplaned(buffer: bytes) -> np.ndarray:
+    planes = np.frombuffer(buffer, np.uint8, offset=1).reshape(buffer[0], -1)
+    values = np.zeros((planes.shape[1], 8), np.uint8)
+    values[:, : len(planes)] = planes.T
+    return values.view("<u8").ravel()
 
 
 def _named(order: int, shards: int):
-    """Of every batch, for each chunk and n: its distinct n-grams with their learned counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chunks = batch.column("chunk").to_numpy()
-            learned = batch.column("learned").to_numpy(zero_copy_only=False)
-            texts = batch.column("text")
-            for chunk in np.unique(chunks):
-                at = np.flatnonzero(chunks == chunk)
-                grams, ends = _grams([texts[int(i)].as_py() for i in at], order)
-                sizes = np.diff(np.concatenate(([-1], ends)))
-                weight = np.repeat(learned[at], sizes)
-                for n, keys in enumerate(grams, 1):
-                    distinct, where = np.unique(keys, return_inverse=True)
-                    counts = np.bincount(where, weight, len(distinct)).astype(np.int32)
-                    cuts, rows = _cuts(distinct, shards), []
-                    for shard, (low, high) in enumerate(zip(cuts[:-1], cuts[1:])):
-                        if low < high:
-                            steps = np.diff(distinct[low:high], prepend=np.uint64(0))
-                            rows.append((shard, _planes(steps), _planes(counts[low:high])))
-                    columns = list(zip(*rows)) if rows else [[], [], []]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(columns[0], pa.int32()),
-                            pa.array(np.full(len(rows), chunk, np.int32)),
-                            pa.array(np.full(len(rows), n, np.int32)),
-                            pa.array(columns[1], pa.binary()),
-                            pa.array(columns[2], pa.binary()),
-                        ],
-                        ["shard", "chunk", "n", "grams", "counts"],
-                    )
+    """Of a chunk, for each n and shard: its distinct n-grams with their learned counts."""
+
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
+        _, rows, weight = _unique(texts)
+        limits, out = _limits(shards), []
+        for n, (distinct, counts) in enumerate(_counted(rows, weight, order), 1):
+            cuts = [*np.searchsorted(distinct, limits).tolist(), len(distinct)]
+            for shard, (low, high) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if low < high:
+                    steps = np.diff(distinct[low:high], prepend=limits[shard])
+                    out.append((shard, key[0].as_py(), n, _planes(steps), _planes(counts[low:high])))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        columns = [pa.array(column, kind) for column, kind in zip(zip(*out), kinds)]
+        return pa.table(columns, ["shard", "chunk", "n", "grams", "counts"])
 
     return run
 
 
-def _answered(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _answered(shards: int):
     """What a shard has counted: the totals for each chunk, and its own totals as chunk -1.
 
     `every` counts all learned texts, `rest` all but those of held-out chunks. Held-out chunks are
     answered with both.
     """
-    shard, out = key[0].as_py(), []
-    numbers = table.column("n").to_numpy()
-    for n in np.unique(numbers):
-        part = table.filter(pa.array(numbers == n))
-        lists = _unplaned(part.column("grams").to_pylist(), np.uint64)
-        keys = np.concatenate([np.cumsum(steps) for steps in lists])
-        counts = np.concatenate(_unplaned(part.column("counts").to_pylist(), np.int32))
-        chunks = np.repeat(part.column("chunk").to_numpy(), list(map(len, lists)))
-        del lists, part
-        distinct, where = np.unique(keys, return_inverse=True)
-        del keys
-        every = np.bincount(where, counts, len(distinct)).astype(np.int64)
-        rest = every - np.bincount(where, counts * (chunks % HELD == 0), len(distinct)).astype(np.int64)
-        pairs = np.unique(chunks.astype(np.int64) * len(distinct) + where)
-        chunks, where = pairs // len(distinct), pairs % len(distinct)
-        begins = np.concatenate((np.flatnonzero(np.diff(chunks, prepend=-1)), [len(chunks)]))
-        for a, b in zip(begins[:-1], begins[1:]):
-            chunk, own = int(chunks[a]), where[a:b]
-            held = _planes(rest[own]) if chunk % HELD == 0 else b""
-            out.append((chunk, shard, int(n), _planes(every[own]), held, None, None, None, None))
-        totals = [int(y) for x in (every, rest) for y in ((x > 0).sum(), x.sum())]
-        out.append((-1, shard, int(n), b"", b"", *totals))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        shard, out = key[0].as_py(), []
+        numbers = table.column("n").to_numpy()
+        for n in np.unique(numbers):
+            part = table.filter(pa.array(numbers == n))
+            chunks = part.column("chunk").to_numpy()
+            lists = [_unplaned(buffer) for buffer in part.column("grams").to_pylist()]
+            sizes = np.array([len(steps) for steps in lists])
+            keys = np.concatenate([np.cumsum(steps) for steps in lists]) + _limits(shards)[shard]
+            counts = np.concatenate([_unplaned(buffer) for buffer in part.column("counts").to_pylist()]).astype(np.int64)
+            del lists, part
+            distinct, where = np.unique(keys, return_inverse=True)
+            del keys
+            every = np.bincount(where, counts, len(distinct)).astype(np.int64)
+            held = np.repeat(chunks % HELD == 0, sizes)
+            rest = every - np.bincount(where[held], counts[held], len(distinct)).astype(np.int64)
+            ends = np.cumsum(sizes)
+            for chunk, a, b in zip(chunks.tolist(), (ends - sizes).tolist(), ends.tolist()):
+                own = where[a:b]
+                answer = _planes(rest[own]) if chunk % HELD == 0 else b""
+                out.append((chunk, shard, int(n), _planes(every[own]), answer, None, None, None, None))
+            totals = [int(y) for x in (every, rest) for y in ((x > 0).sum(), x.sum())]
+            out.append((-1, shard, int(n), b"", b"", *totals))
+        return _answers(out)
+
+    return run
+
+
+def _answers(out: list[tuple]) -> pa.Table:
     columns = list(zip(*out))
     return pa.table(
         {
@@ -213,8 +232,8 @@ def _answered(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 def _lookup(table: pa.Table, column: str, n: int, size: int) -> np.ndarray:
     """The answers to one chunk for one n, in the order its n-grams were named in."""
     part = table.filter(pa.array(table.column("n").to_numpy() == n)).sort_by("shard")
-    lists = _unplaned(part.column(column).to_pylist(), np.int64)
-    counts = np.concatenate(lists) if lists else np.empty(0, np.int64)
+    lists = [_unplaned(buffer) for buffer in part.column(column).to_pylist()]
+    counts = np.concatenate(lists).astype(np.int64) if lists else np.empty(0, np.int64)
     if len(counts) != size:
         raise ValueError(f"a chunk named {size} {n}-grams and was answered {len(counts)}")
     return counts
@@ -231,7 +250,9 @@ def _estimates(texts, distinct: list[np.ndarray], answers: list[np.ndarray], tok
     begins = np.concatenate(([0], ends[:-1] + 1))
     probabilities, context, first = [], None, None
     for n, keys in enumerate(grams, 1):
-        counts = answers[n - 1][np.searchsorted(distinct[n - 1], keys)]
+        # In ascending order they are looked up several times as fast.
+        own, where = np.unique(keys, return_inverse=True)
+        counts = answers[n - 1][np.searchsorted(distinct[n - 1], own)][where]
         if n == 1:
             first = counts
             probabilities.append(counts / max(tokens, 1))
@@ -375,6 +396,7 @@ def interpolated_scores(
     value = F.col(f"`{text}`")
     size = documents.agg(F.sum(F.coalesce(F.octet_length(value), F.lit(0)) + 1)).first()[0] or 0
     chunks = HELD * max(LEAST_CHUNKS // HELD, math.ceil(size / chunk_bytes / HELD))
+    shards = math.ceil(chunks / CHUNKS_A_SHARD)
     columns = [F.col(f"`{name}`") for name in documents.columns if name != text]
     source = documents.select(
         F.struct(*columns).alias("row"),
@@ -385,13 +407,14 @@ def interpolated_scores(
     )
 
     with scratch():
-        named = source.select("chunk", "learned", "text").mapInArrow(_named(order, chunks), _NAMED)
-        answers = stored(named.groupBy("shard").applyInArrow(_answered, _ANSWERED), "gram-counts")
+        # Answers are in the order of all that a chunk named, so texts that are not learned are sent along.
+        texts = source.select("chunk", "key", "learned", "text").mapInArrow(_once, _TEXTS)
+        named = texts.groupBy("chunk").applyInArrow(_named(order, shards), _NAMED)
+        with swept(spark):
+            answers = stored(named.groupBy("shard").applyInArrow(_answered(shards), _ANSWERED), "gram-counts")
         totals = answers.where("chunk = -1 AND n = 1").agg(*[F.sum(name).alias(name) for name in _TOTALS]).first()
         types, tokens = totals.types or 0, totals.tokens or 0
 
-        # Answers are in the order of all that a chunk named, so its other texts are sent along.
-        texts = source.select("chunk", "key", "learned", "text").mapInArrow(_once, _TEXTS)
         schema = "bucket bigint, bins bigint, tokens bigint, " + ", ".join(f"p{n} double" for n in range(1, order + 1))
         counted = (
             source.where(F.col("chunk") % HELD == 0)

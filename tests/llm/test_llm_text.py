@@ -130,6 +130,40 @@ def test_copies_of_a_text_are_scored_once(spark):
     assert len({r.score for r in got if r.n_tokens == 4}) <= 2 and len({r.score for r in got if r.n_tokens == 1}) == 1
 
 
+def test_a_chunk_names_its_grams_once(spark, monkeypatch):
+    """One list a chunk, shard and n, in however many batches its texts were read."""
+    from skyframe.llm import scoring
+
+    lists = []
+
+    def counted(df, name, keep=False):
+        if name == "gram-counts":
+            plan = df._jdf.queryExecution().analyzed().children().head()
+            lists.append(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan).count())
+        return own(df, name, keep)
+
+    own = scoring.stored
+    monkeypatch.setattr(scoring, "stored", counted)
+    random = np.random.default_rng(3)
+    df = frame(spark, [" ".join(f"w{k}" for k in random.integers(0, 500, 60)) for _ in range(600)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = interpolated_scores(df, F.lit(True)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 600 and {r.train_tokens for r in got} == {600 * 61}
+    assert lists[0] <= scoring.LEAST_CHUNKS * scoring.LEAST_CHUNKS * 2
+
+
+def test_numbers_come_back_from_their_planes():
+    from skyframe.llm.scoring import _planes, _unplaned
+
+    for values in ([0], [0, 255], [256, 1, 0], [(1 << 64) - 1, 5], [], list(range(1000))):
+        back = _unplaned(_planes(np.array(values, np.uint64)))
+        assert back.tolist() == values
+    assert len(_planes(np.arange(200))) == 201
+
+
 def test_nothing_to_learn_from(spark):
     got = interpolated_scores(frame(spark, ["a b", None]), F.lit(None).cast("boolean")).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.score) for r in got) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
