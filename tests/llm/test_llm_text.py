@@ -266,7 +266,7 @@ def test_links_broadcast_no_exploded_table(spark, small_broadcasts):
     """Sixty-four keys a fingerprint, which Spark sizes as one."""
     from skyframe.llm.tables import stored
 
-    some = spark.range(5000).select(F.xxhash64("id").alias("fp"))
+    some = spark.range(25000).select(F.xxhash64("id").alias("fp"))
     near = some.limit(3).select(F.col("fp").bitwiseXOR(F.lit(5)).alias("fp"))
     prints = stored(some.unionByName(near), "test-prints")
     want = sorted(tuple(sorted((r.fp, r.fp ^ 5))) for r in near.collect())
